@@ -95,7 +95,7 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], *, dim: int = 16, ep
     return model
 
 
-def train_language_model(docs: DataFrame, learn: Column, *, text: str = "text", lang: str = "lang", per_language: int = 1500, max_languages: int = 200) -> LanguageModel:
+def train_language_model(docs: DataFrame, learn: Column, *, text: str = "text", lang: str = "lang", per_language: int = 500, max_languages: int = 200) -> LanguageModel:
     """Fits the model on at most `per_language` documents of each of the `max_languages` most frequent languages.
 
     The sample is drawn by hash of the text among rows where `learn` holds, lang is not null and the text has a letter,

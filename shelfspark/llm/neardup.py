@@ -108,13 +108,12 @@ def near_duplicates(
     for each connected part, never all pairs. Recall depends on `tables`, `probes` and `width`; links that are found
     are exact.
 
-    Vectors that are null, zero, or hold null or non-finite components, and rows with a null label, link with nothing.
-    Repeated keys are rows of their own for n_links; component_id is the smallest key. A null key comes out as a row
-    with n_links and a null component. Vectors of different lengths are not compared. Extra columns are ignored.
+    Vectors that are null, zero, or hold null or non-finite components, and rows with a null label or key, link with nothing.
+    Repeated keys are rows of their own for n_links; component_id is the smallest key (null where the key is). Vectors of different lengths are not compared. Extra columns are ignored.
     """
     base = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.col(label).alias("label"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    usable = is_usable("v") & F.col("label").isNotNull()
+    usable = is_usable("v") & F.col("label").isNotNull() & F.col("id").isNotNull()
     base = base.withColumn("usable", F.coalesce(F.when(usable, norm > 0), F.lit(False)))
     base = base.withColumn("rep", F.when(F.col("usable"), F.xxhash64("label", "v")))
     base = keep(base, "vectors")

@@ -16,6 +16,48 @@ def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
 
+def op1_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfspark.llm.suffix import remove_repeats
+
+    found = remove_repeats(_documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.hi - s.lo)
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return found.select(
+        "doc_id", size.alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+def op2_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfspark.llm.toxicity import fit_index, held_out, score_toxicity
+
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = score_toxicity(docs, fit_index(docs, labels, ~held_out()))
+    predicted = F.when(F.col("tox_score") >= 0.3, 1).otherwise(0).cast("int")
+    return found.select("doc_id", held_out().alias("held_out"), F.col("tox_score").alias("score"), predicted.alias("predicted"))
+
+
+def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from shelfspark.llm.packing import pack
+
+    return pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfspark.llm.lm import score_texts
+
+    held_out = remainder("doc_id", 7) == 2
+    found = score_texts(_documents(spark, sf_dir), ~held_out)
+    return found.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfspark.llm.jaccard import jaccard_components
+
+    return jaccard_components(_documents(spark, sf_dir), words=4, num=85, den=100).drop("row")
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfspark.llm.mixing import mix_sources
 
@@ -53,7 +95,7 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op6_source_mix, op7_embedding_neardup, op8_exact_topk, op9_language_id, op10_vector_packing)
+    for f in (op1_repeat_removal, op2_toxicity_neighbours, op3_retrieval_packing, op4_lm_scoring, op5_jaccard_join, op6_source_mix, op7_embedding_neardup, op8_exact_topk, op9_language_id, op10_vector_packing)
 }
 ORACLES: dict[str, str] = {
     "op8_exact_topk": """
