@@ -139,8 +139,8 @@ def bounded_pairs(points: list[np.ndarray], sizes: np.ndarray, parts: np.ndarray
     return np.concatenate(a), np.concatenate(b)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, rule: Rule) -> DataFrame:
-    """Pairs (a, b) of set ids whose token sets link. texts: (sid, text), a row for each set id."""
+def _compared(pairs: DataFrame, texts: DataFrame, k: int, rule: Rule) -> DataFrame:
+    """Pairs (a, b) of set ids with their Jaccard similarity, and whether they link. texts: (sid, text), a row a set."""
     first = pairs.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b")
     both = first.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a")
 
@@ -156,13 +156,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, rule: Rule) -> DataFra
                 ta = dict(zip(part.a, part.ta, strict=True))
                 held |= dict(zip(new, token_sets([bytes(ta[i]) for i in new], k), strict=True))
                 sets = token_sets([bytes(t) for t in part.tb], k)
-                ok = []
-                for a, s in zip(part.a, sets, strict=True):
-                    r = held[a]
-                    ok.append(rule.links(len(r), len(s), len(np.intersect1d(r, s, assume_unique=True))))
-                yield part.loc[ok, ["a", "b"]]
+                both = [len(np.intersect1d(held[a], s, assume_unique=True)) for a, s in zip(part.a, sets, strict=True)]
+                sizes = [(len(held[a]), len(s)) for a, s in zip(part.a, sets, strict=True)]
+                ok = [rule.links(n, m, x) for (n, m), x in zip(sizes, both, strict=True)]
+                yield part[["a", "b"]].assign(near=[x / (n + m - x) for (n, m), x in zip(sizes, both, strict=True)], ok=ok)
 
-    return both.select("a", "b", "ta", "tb").mapInPandas(check, "a long, b long")
+    return both.select("a", "b", "ta", "tb").mapInPandas(check, "a long, b long, near double, ok boolean")
 
 
 def jaccard_components(
@@ -174,7 +173,7 @@ def jaccard_components(
     num: int = 80,
     den: int = 100,
     crowd: int = 200,
-    block: int = 512,
+    block: int = 128,
     page_bytes: int = 32 << 20,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, row) of every document; documents link when den * both >= num * either.
@@ -184,10 +183,11 @@ def jaccard_components(
 
     Equal sets are one set from the start. Sets stand in pages of the index (page_keys): sets that link share a page
     for certain. A page with more than `crowd` sets may be left out by a set as often as its spare groups allow, most
-    crowded first, which loses no link. In each page every set is compared with the page's smallest one; where a page
-    then still holds several components, an R-tree over its sets' count vectors gives the pairs of different components
-    whose summed coordinate minima reach the overlap that is needed. Pairs are verified on whole token sets. Pages are
-    cut into blocks of `block` sets, so no task holds an unbounded page.
+    crowded first, which loses no link. In each page every set is compared with the page's first one, and what is then
+    still apart with the set nearest to that. Where a page still holds several components, an R-tree over its sets' count
+    vectors gives the pairs of different components whose summed coordinate minima reach the overlap that is needed;
+    these are verified on whole token sets, and a task returns links that span what it found, never all pairs. Pages are
+    cut into blocks of `block` sets, and each pair of blocks meets in a task of its own.
 
     Null text counts as text without words. A null key gives a row whose component may be null. Rows that repeat are
     documents of their own. An empty table gives an empty result. Extra columns are ignored; `row` is a content key.
@@ -196,13 +196,13 @@ def jaccard_components(
     k = words
     rows = docs.select(F.col(key).alias("doc_id"), row_key(key, text).alias("row"), text_of(text).cast("binary").alias("text"))
 
-    @F.pandas_udf("n long, sid long, point binary")
+    @F.pandas_udf("n long, sid long")
     def describe(batch: pd.Series) -> pd.DataFrame:
         out = []
         for at in range(0, len(batch), 256):
             for s in token_sets([bytes(t) for t in batch.iloc[at : at + 256]], k):
-                out.append((len(s), set_id(s) if len(s) else None, count_vector(s).tobytes() if len(s) else None))
-        return pd.DataFrame(out, columns=["n", "sid", "point"]).astype({"sid": "Int64"})
+                out.append((len(s), set_id(s) if len(s) else None))
+        return pd.DataFrame(out, columns=["n", "sid"]).astype({"sid": "Int64"})
 
     known = rows.withColumn("x", describe("text")).select("doc_id", "row", "x.*", F.octet_length("text").alias("bytes"))
     known = keep(known, "sets")
@@ -268,41 +268,49 @@ def jaccard_components(
     star = keep(found.where("n = 0").select("a", "b").unionByName(starred).distinct(), "pairs")
 
     needed = star.select(F.col("a").alias("sid")).unionByName(star.select(F.col("b").alias("sid"))).distinct()
-    chosen = known.where("sid is not null").groupBy("sid").agg(F.min("row").alias("row"), F.first("point").alias("point"))
+    chosen = known.where("sid is not null").groupBy("sid").agg(F.min("row").alias("row"))
     chosen = keep(chosen.join(needed, "sid"), "chosen")
     texts = rows.select("row", "text").join(chosen.select("sid", "row"), "row").select("sid", "text").dropDuplicates(["sid"])
     texts = keep(texts, "texts")
-    links = keep(_verified(star, texts, k, rule), "links")
+    seen = keep(_compared(star, texts, k, rule), "compared")
+    links = seen.where("ok").select("a", "b")
     nodes = components(links)
 
-    member = star.unionByName(star.select("a", F.col("a").alias("b")).distinct())
-    member = member.join(nodes, F.col("b") == F.col("node"), "left").select(F.col("a").alias("page"), F.col("b").alias("sid"), F.coalesce("component", "b").alias("part"))
-    open_pages = member.groupBy("page").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"))
-    # a page of two different sets has been compared in full
-    open_pages = open_pages.where("low <> high and n > 2").withColumn("m", F.ceil(F.col("n") / block).cast("int")).select("page", "m")
-    member = member.join(open_pages, "page").join(chosen.select("sid", "point"), "sid")
-    member = member.withColumn("own", F.pmod(F.xxhash64(F.lit(2), "sid"), F.col("m")).cast("int"))
-    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    member = member.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    spread = F.pmod(F.xxhash64("page", "i", "j"), F.lit(16 * parts))
+    member = star.unionByName(star.select("a", F.col("a").alias("b")).distinct()).select(F.col("a").alias("page"), F.col("b").alias("sid"))
+    still = keep(_open_pages(member, nodes), "open")
+    # what is nearest to a page's first set lies nearest to the middle of its copies: all that are still apart meet it
+    middle = seen.join(still.select("page").distinct(), F.col("a") == F.col("page"), "left_semi")
+    middle = middle.groupBy(F.col("a").alias("page")).agg(F.min_by("b", F.struct(-F.col("near"), F.col("b"))).alias("middle"))
+    still = still.join(middle, "page").select(F.col("middle").alias("page"), "sid", "part")
+    still = keep(still.unionByName(still.select("page", F.col("page").alias("sid"), F.lit(None).cast("long").alias("part"))).groupBy("page", "sid").agg(F.max("part").alias("part")), "open")
+    home = still.where("page = sid").select("page", F.col("part").alias("home"))
+    again = still.join(home, "page").where("sid <> page and (home is null or part <> home)").select(F.col("page").alias("a"), F.col("sid").alias("b"))
+    late = keep(_compared(again, texts, k, rule), "compared")
+    links = links.unionByName(late.where("ok").select("a", "b"))
+    if not late.where("ok").isEmpty():
+        nodes = components(links)
+
+    rest = _open_pages(still.select("page", "sid"), nodes)
+    counts = rest.groupBy("page").agg(F.ceil(F.count("*") / block).cast("int").alias("m"))
+    rest = rest.join(counts, "page").withColumn("own", F.pmod(F.xxhash64(F.lit(2), "sid"), F.col("m")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    rest = rest.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).join(texts, "sid")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (page, _, _), part in pdf.groupby(["page", "i", "j"]):
-            points = [np.frombuffer(p, np.uint32) for p in part.point]
-            sid = part.sid.to_numpy()
-            a, b = bounded_pairs(points, np.array([int(p.sum()) for p in points]), part.part.to_numpy(), rule)
-            keep_ = (sid[a] != page) & (sid[b] != page)  # those are compared
-            out.append(np.stack([np.minimum(sid[a], sid[b])[keep_], np.maximum(sid[a], sid[b])[keep_]], 1))
+        out = [np.zeros((0, 2), np.int64)]
+        for (i, j, _), part in pdf.groupby(["i", "j", "page"]):
+            sets = token_sets([bytes(t) for t in part.text], k)
+            sid, own = part.sid.to_numpy(np.int64), part.own.to_numpy()
+            a, b = bounded_pairs([count_vector(s) for s in sets], np.array([len(s) for s in sets]), part.part.to_numpy(np.int64), rule)
+            across = (own[a] != own[b]) | (i == j)
+            out.append(sid[spanning_links(sets, a[across], b[across], rule)])
         pairs = np.unique(np.concatenate(out), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    more = member.withColumn("spread", spread).groupBy("spread").applyInPandas(search, "a long, b long").distinct()
-    more = keep(more, "pairs")
-    if not more.isEmpty():
-        late = keep(_verified(more, texts, k, rule), "links")
-        if not late.isEmpty():
-            nodes = components(links.unionByName(late))
+    spread = F.xxhash64("page", "i", "j")
+    last = keep(rest.withColumn("spread", spread).groupBy("spread").applyInPandas(search, "a long, b long").distinct(), "links")
+    if not last.isEmpty():
+        nodes = components(links.unionByName(last))
 
     named = known.join(nodes.withColumnRenamed("node", "sid"), "sid", "left")
     named = named.withColumn("part", F.coalesce("component", "sid")).select("doc_id", "row", "n", "sid", "part")
@@ -311,6 +319,45 @@ def jaccard_components(
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "row")
 
 
+def _open_pages(member: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(page, sid, part) of pages of more than two sets that lie in several components."""
+    rows = member.join(nodes, F.col("sid") == F.col("node"), "left").select("page", "sid", F.coalesce("component", "sid").alias("part"))
+    ends = rows.groupBy("page").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"))
+    return rows.join(ends.where("low <> high and n > 2").select("page"), "page")
+
+
+def spanning_links(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, rule: Rule) -> np.ndarray:
+    """Pairs of set numbers that link, out of the candidates (a, b): enough of them to span what all of them span.
+
+    Overlaps of all the sets concerned come from one product of their 0/1 token matrix, over blocks of tokens.
+    """
+    used = np.unique(np.concatenate((a, b)))
+    if not len(used):
+        return np.zeros((0, 2), np.int64)
+    size = np.array([len(sets[i]) for i in used])
+    _, column = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True)
+    row = np.repeat(np.arange(len(used)), size)
+    both = np.zeros((len(used), len(used)), np.float32)
+    for lo in range(0, int(column.max()) + 1, 8192):
+        now = (column >= lo) & (column < lo + 8192)
+        m = np.zeros((len(used), 8192), np.float32)
+        m[row[now], column[now] - lo] = 1
+        both += m @ m.T
+    x, y = np.searchsorted(used, a), np.searchsorted(used, b)
+    overlap = both[x, y].astype(np.int64)
+    ok = rule.den * overlap >= rule.num * (size[x] + size[y] - overlap)
+    root, out = list(range(len(used))), []
+    for p, q in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
+        while root[p] != p:
+            root[p] = p = root[root[p]]
+        while root[q] != q:
+            root[q] = q = root[root[q]]
+        if p != q:
+            root[q] = p
+            out.append((used[p], used[q]))
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
 def _dealt(held: list[np.ndarray], ids: list[tuple[int, int]], parts: int) -> pd.DataFrame:
     """Page keys and set ids, packed by the part of the index where the page lies."""
     keys = np.concatenate(held)
