@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -120,13 +121,15 @@ def fit_index(
     label: str = "toxic",
     examples: int = 16_384,
     max_terms: int = 2048,
-    least_z: float = 3.0,
+    lift: float = 2.0,
+    chance_terms: float = 12.0,
     k: int = 24,
 ) -> BlockMaxIndex:
     """Index over at most `examples` labelled documents, drawn by hash of their keys.
 
-    Terms are the at most `max_terms` words whose document frequencies differ most between toxic and other examples
-    (z-score of two shares). Their idf counts all documents. Leave-one-out votes of the examples calibrate scores.
+    Terms are the at most `max_terms` words that stand out most in toxic examples: their share of toxic documents is at
+    least `lift` times the sample's, by so much that about `chance_terms` words would do as well by chance (Chernoff
+    bound over all words tried). Their idf counts all documents. Leave-one-out votes of the examples calibrate scores.
     """
     spark = docs.sparkSession
     held = labels.where(learn & F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("y"))
@@ -154,8 +157,13 @@ def fit_index(
     if not all_n or not 0 < all_bad < all_n:
         return BlockMaxIndex(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), prior=all_bad / all_n if all_n else 0.0)
     p = all_bad / all_n
-    z = F.abs(F.col("bad") - F.col("n") * p) / F.sqrt(F.greatest(F.col("n") * F.lit(p * (1 - p)), F.lit(1e-9)))
-    top = counted.where("n >= 3").withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "w").limit(max_terms).toPandas()
+    counted = keep(counted.where("n >= 3"), "words")
+    tried = counted.count()
+    s = F.col("bad") / F.col("n")
+    other = F.when(s < 1, (1 - s) * F.log((1 - s) / (1 - p))).otherwise(0.0)
+    counted = counted.where(s >= min(lift * p, 0.5 + p / 2)).withColumn("apart", F.col("n") * (s * F.log(s / p) + other))
+    bound = math.log(max(tried, 1) / chance_terms)
+    top = counted.where(F.col("apart") >= bound).orderBy(F.desc("apart"), "w").limit(max_terms).toPandas()
     terms = np.sort(top.w.to_numpy(np.int64).view(np.uint64))
     shared = spark.sparkContext.broadcast(terms)
 
