@@ -31,7 +31,7 @@ def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     Every copy of a repeated string goes. Where a cut splits a character its bytes become a replacement character.
     """
     found = remove_repeats(docs)
-    clean = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.decode(F.col("kept"), F.lit("UTF-8")))
+    clean = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.make_valid_utf8(F.col("kept").cast("string")))
     found = found.withColumn("text", clean).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return found.where(F.octet_length("kept") > 0).select(*docs.columns)
 
