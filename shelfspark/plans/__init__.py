@@ -1,0 +1,6 @@
+"""Registered queries of the business operators, each with its oracle where SQL can say it."""
+
+from shelfspark.plans import asof_queries, conform_queries, demand_queries, forecast_queries, planning_queries, quality_queries, service_queries, supply_queries
+from shelfspark.plans.fixtures import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "asof_queries", "conform_queries", "demand_queries", "forecast_queries", "planning_queries", "quality_queries", "service_queries", "supply_queries"]
