@@ -205,7 +205,7 @@ def test_lm_probabilities_add_up():
     ids[:, 2] = (ids[:, 1] + 1) % 11
     lm.nce_steps(model, ids, np.full(11, 1 / 11), rng, [])
     near, far, norm = model.tables()
-    p = np.exp(near[:, None] + far[None] - norm.T[:, :, None])
+    p = np.exp(near[:, None] + far[None] - norm[:, :, None])
     assert np.allclose(p.sum(2), 1, atol=1e-4)
     assert p[ids[:, 1], ids[:, 0], ids[:, 2]].mean() > 0.2  # an even guess has 1/11
 
