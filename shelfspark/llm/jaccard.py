@@ -173,7 +173,7 @@ def jaccard_components(
     num: int = 80,
     den: int = 100,
     crowd: int = 200,
-    block: int = 128,
+    block: int = 256,
     page_bytes: int = 32 << 20,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, row) of every document; documents link when den * both >= num * either.
@@ -185,9 +185,10 @@ def jaccard_components(
     for certain. A page with more than `crowd` sets may be left out by a set as often as its spare groups allow, most
     crowded first, which loses no link. In each page every set is compared with the page's first one, and what is then
     still apart with the set nearest to that. Where a page still holds several components, an R-tree over its sets' count
-    vectors gives the pairs of different components whose summed coordinate minima reach the overlap that is needed;
-    these are verified on whole token sets, and a task returns links that span what it found, never all pairs. Pages are
-    cut into blocks of `block` sets, and each pair of blocks meets in a task of its own.
+    vectors finds the sets that have a partner in another component whose summed coordinate minima reach the overlap that
+    is needed. Only these texts travel; their pairs are verified on whole token sets, and a task returns links that span
+    what it found, never all pairs. Pages are cut into blocks of `block` sets, and each pair of blocks is a group of its
+    own.
 
     Null text counts as text without words. A null key gives a row whose component may be null. Rows that repeat are
     documents of their own. An empty table gives an empty result. Extra columns are ignored; `row` is a content key.
@@ -196,13 +197,13 @@ def jaccard_components(
     k = words
     rows = docs.select(F.col(key).alias("doc_id"), row_key(key, text).alias("row"), text_of(text).cast("binary").alias("text"))
 
-    @F.pandas_udf("n long, sid long")
+    @F.pandas_udf("n long, sid long, point binary")
     def describe(batch: pd.Series) -> pd.DataFrame:
         out = []
         for at in range(0, len(batch), 256):
             for s in token_sets([bytes(t) for t in batch.iloc[at : at + 256]], k):
-                out.append((len(s), set_id(s) if len(s) else None))
-        return pd.DataFrame(out, columns=["n", "sid"]).astype({"sid": "Int64"})
+                out.append((len(s), set_id(s) if len(s) else None, count_vector(s).tobytes() if len(s) else None))
+        return pd.DataFrame(out, columns=["n", "sid", "point"]).astype({"sid": "Int64"})
 
     known = rows.withColumn("x", describe("text")).select("doc_id", "row", "x.*", F.octet_length("text").alias("bytes"))
     known = keep(known, "sets")
@@ -268,7 +269,7 @@ def jaccard_components(
     star = keep(found.where("n = 0").select("a", "b").unionByName(starred).distinct(), "pairs")
 
     needed = star.select(F.col("a").alias("sid")).unionByName(star.select(F.col("b").alias("sid"))).distinct()
-    chosen = known.where("sid is not null").groupBy("sid").agg(F.min("row").alias("row"))
+    chosen = known.where("sid is not null").groupBy("sid").agg(F.min("row").alias("row"), F.first("point").alias("point"))
     chosen = keep(chosen.join(needed, "sid"), "chosen")
     texts = rows.select("row", "text").join(chosen.select("sid", "row"), "row").select("sid", "text").dropDuplicates(["sid"])
     texts = keep(texts, "texts")
@@ -291,10 +292,25 @@ def jaccard_components(
         nodes = components(links)
 
     rest = _open_pages(still.select("page", "sid"), nodes)
-    counts = rest.groupBy("page").agg(F.ceil(F.count("*") / block).cast("int").alias("m"))
-    rest = rest.join(counts, "page").withColumn("own", F.pmod(F.xxhash64(F.lit(2), "sid"), F.col("m")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    rest = rest.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).join(texts, "sid")
+    home = rest.where("page = sid").select("page", F.col("part").alias("home"))
+    rest = rest.join(home, "page").withColumn("main", F.col("part") == F.col("home"))
+    # sets of the middle's component never need to meet each other: they go to the other sets' blocks only
+    counts = rest.groupBy("page").agg(F.ceil(F.count_if("main") / block).cast("int").alias("mm"), F.ceil(F.count_if(~F.col("main")) / block).cast("int").alias("mo"))
+    spot = F.xxhash64(F.lit(2), "sid")
+    rest = rest.join(counts, "page").withColumn("own", F.when(F.col("main"), F.col("mo") + F.pmod(spot, F.greatest("mm", F.lit(1)))).otherwise(F.pmod(spot, F.col("mo"))).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("main"), F.col("mo")).otherwise(F.col("mo") + F.col("mm")) - 1)))
+    rest = rest.select("page", "sid", "part", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rest = rest.join(chosen.select("sid", "point"), "sid").withColumn("spread", F.pmod(F.xxhash64("page", "i", "j"), F.lit(4 * parts)))
+
+    def bound(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Sets that the bounds leave a partner in their pair of blocks."""
+        out = []
+        for _, part in pdf.groupby(["page", "i", "j"]):
+            points = [np.frombuffer(p, np.uint32) for p in part.point]
+            a, b = bounded_pairs(points, np.array([int(p.sum()) for p in points]), part.part.to_numpy(np.int64), rule)
+            across = (part.own.to_numpy()[a] != part.own.to_numpy()[b]) | (part.i.iloc[0] == part.j.iloc[0])
+            out.append(part.iloc[np.unique(np.concatenate((a[across], b[across])))])
+        return pd.concat(out)[["page", "sid", "part", "own", "i", "j"]]
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         out = [np.zeros((0, 2), np.int64)]
@@ -307,8 +323,9 @@ def jaccard_components(
         pairs = np.unique(np.concatenate(out), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    spread = F.xxhash64("page", "i", "j")
-    last = keep(rest.withColumn("spread", spread).groupBy("spread").applyInPandas(search, "a long, b long").distinct(), "links")
+    left = keep(rest.groupBy("spread").applyInPandas(bound, "page long, sid long, part long, own int, i int, j int"), "left")
+    left = left.join(texts, "sid").withColumn("spread", F.xxhash64("page", "i", "j"))
+    last = keep(left.groupBy("spread").applyInPandas(search, "a long, b long").distinct(), "links")
     if not last.isEmpty():
         nodes = components(links.unionByName(last))
 
