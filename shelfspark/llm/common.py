@@ -30,7 +30,16 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     place = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(place)
-    return spark.read.schema(df.schema).parquet(place)
+    kept = spark.read.schema(df.schema).parquet(place)
+    kept.kept_at = place
+    return kept
+
+
+def release(kept: DataFrame) -> None:
+    """Deletes a table that `keep` wrote, once nothing lazy reads it any more."""
+    jvm = kept.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(kept.kept_at)
+    path.getFileSystem(kept.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_of(column: str = "text") -> Column:

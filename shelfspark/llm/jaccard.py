@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import keep, mix64, row_key, shingle_hashes, text_of, word_hashes
+from shelfspark.llm.common import keep, mix64, release, row_key, shingle_hashes, text_of, word_hashes
 from shelfspark.llm.components import components
 
 #: Sizes are cut into bands that grow by this ratio.
@@ -326,6 +326,7 @@ def jaccard_components(
     left = keep(rest.groupBy("spread").applyInPandas(bound, "page long, sid long, part long, own int, i int, j int"), "left")
     left = left.join(texts, "sid").withColumn("spread", F.xxhash64("page", "i", "j"))
     last = keep(left.groupBy("spread").applyInPandas(search, "a long, b long").distinct(), "links")
+    release(texts)
     if not last.isEmpty():
         nodes = components(links.unionByName(last))
 
@@ -346,16 +347,18 @@ def _open_pages(member: DataFrame, nodes: DataFrame) -> DataFrame:
 def spanning_links(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, rule: Rule) -> np.ndarray:
     """Pairs of set numbers that link, out of the candidates (a, b): enough of them to span what all of them span.
 
-    Overlaps of all the sets concerned come from one product of their 0/1 token matrix, over blocks of tokens.
+    Overlaps of all the sets concerned come from products of their 0/1 matrix of shared tokens, block by block.
     """
     used = np.unique(np.concatenate((a, b)))
     if not len(used):
         return np.zeros((0, 2), np.int64)
     size = np.array([len(sets[i]) for i in used])
-    _, column = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True)
+    _, column, often = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(used)), size)
+    shared = often[column] > 1  # tokens of one set only are in no overlap
+    row, column = row[shared], (np.cumsum(often > 1) - 1)[column[shared]]
     both = np.zeros((len(used), len(used)), np.float32)
-    for lo in range(0, int(column.max()) + 1, 8192):
+    for lo in range(0, int((often > 1).sum()), 8192):
         now = (column >= lo) & (column < lo + 8192)
         m = np.zeros((len(used), 8192), np.float32)
         m[row[now], column[now] - lo] = 1
