@@ -38,7 +38,7 @@ def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows for the words the mix takes: whole copies of a document, and a row with its leading words for the rest."""
-    keyed = keep(docs.withColumn("_row", row_key("doc_id", "text")), "mix")
+    keyed = docs.withColumn("_row", row_key("doc_id", "text"))
     taken = mix_sources(keyed, key="_row").where("taken > 0").groupBy(F.col("doc_id").alias("_row"))
     taken = taken.agg(F.first("size").alias("size"), F.floor(F.avg("taken")).alias("taken"))  # rows that repeat share evenly
     whole, part = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
