@@ -223,3 +223,26 @@ def accuracy_by(detail: DataFrame, keys: list[str]) -> DataFrame:
     out = detail.groupBy(*keys).agg(F.sum("plan_qty").alias("plan_qty"), F.sum("actual_qty").alias("actual_qty"), F.sum("bias_qty").alias("bias_qty"), F.sum("abs_error_qty").alias("abs_error_qty"), F.sum("bias_value").alias("bias_value"))
     way = F.when(F.abs("bias_qty") <= 0.05 * F.col("plan_qty"), "balanced").when(F.col("bias_qty") > 0, "over").otherwise("under")
     return out.withColumn("direction", way)
+
+
+def history_and_forecast(series: DataFrame, detail: DataFrame, months: int = 12) -> DataFrame:
+    """A row an item, a column for each past and coming month. For export: months are few. (D-27)"""
+    newest = series.select("period").distinct().orderBy(F.desc("period")).limit(months)
+    past = series.join(F.broadcast(newest), "period", "left_semi").select("sku", F.concat(F.lit("hist "), F.date_format("period", "yyyy-MM")).alias("c"), F.col("qty").alias("v"))
+    coming = detail.select("sku", F.concat(F.lit("fcst "), F.date_format("period", "yyyy-MM")).alias("c"), F.col("forecast_qty").alias("v"))
+    return past.unionByName(coming).groupBy("sku").pivot("c").agg(F.sum("v"))
+
+
+def reviewed_plan(wide: DataFrame, prefix: str = "reviewed qty ") -> DataFrame:
+    """Reviewed quantities from columns named by month; blanks are no review; countries of one item and month add up. (D-28)"""
+    columns = [c for c in wide.columns if c.startswith(prefix)]
+    rows = wide.unpivot(["sku", "reviewer"], columns, "c", "q").where("q is not null")
+    month = F.to_date(F.concat(F.substring("c", len(prefix) + 1, 7), F.lit("-01")))
+    return rows.groupBy("sku", month.alias("period")).agg(F.sum("q").alias("reviewed_qty"), F.array_join(F.array_sort(F.collect_set("reviewer")), ", ").alias("reviewers"))
+
+
+def review_effect(reviewed: DataFrame) -> DataFrame:
+    """Rows that a review changed, largest change first. (D-32)"""
+    delta = F.col("forecast_qty") - F.col("statistical_qty")
+    rows = reviewed.where("forecast_source = 'reviewed'").withColumn("delta", delta).where("delta <> 0")
+    return rows.select("sku", "period", "statistical_qty", "forecast_qty", "delta", F.try_divide("delta", "statistical_qty").alias("delta_share")).orderBy(F.desc(F.abs("delta")), "sku", "period")

@@ -271,3 +271,43 @@ def gate(findings: DataFrame) -> DataFrame:
     """Whether each stage may go on, and its worst severity. (Q-26)"""
     rows = order_findings(findings)
     return rows.groupBy("stage").agg(F.bool_and(F.col("severity") != "block").alias("passed"), F.min_by("severity", "rank").alias("worst"), F.count("*").alias("findings"))
+
+
+def ordinal_keys(df: DataFrame, key: str, other: DataFrame) -> DataFrame:
+    """Whether a document's item key looks like line numbers, and how many of its values the other document lacks. (Q-14)"""
+    lacks = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("k")).distinct().join(other.select(F.col("sku").cast("string").alias("k")).distinct(), "k", "left_anti").agg(F.count("*").alias("unknown"))
+    rows = line_number_like(df, key).crossJoin(lacks)  # one row each
+    return rows.withColumn("severity", F.when(F.col("line_number_like") & (F.col("unknown") > 0), "warn").otherwise("pass"))
+
+
+def product_dimension(demand: DataFrame, master: DataFrame, floor: float = 0.8) -> DataFrame:
+    """Demand items the master lacks, master items without a family, and the share of demand items that have one. (Q-17)"""
+    items = demand.where("sku is not null").select("sku").distinct()
+    rows = items.join(master.select("sku", F.lit(True).alias("known"), "product_family"), "sku", "left")
+    row = rows.agg(F.count("*").alias("items"), F.count_if(F.col("known").isNull()).alias("missing"), F.count_if(F.col("known") & F.col("product_family").isNull()).alias("no_family"), F.count("product_family").alias("with_family"))
+    row = row.withColumn("coverage", F.try_divide("with_family", "items"))
+    return row.withColumn("severity", F.when(F.col("with_family") == 0, "severe").when(F.col("coverage") < floor, "warn").otherwise("pass"))
+
+
+def exposure(df: DataFrame, name: str, governed: str, money: str | None, qty: str, price: str | None = None) -> DataFrame:
+    """Rows that an assumption governs, their share, the money behind them (else quantity times price) and the quantity. (Q-22)"""
+    g = F.coalesce(F.expr(governed), F.lit(False))
+    worth = F.col(money) if money in df.columns else F.col(qty) * F.col(price)
+    row = df.agg(F.count("*").alias("n"), F.count_if(g).alias("rows"), F.sum(F.when(g, worth)).alias("money"), F.sum(F.when(g, F.col(qty))).alias("qty"))
+    return row.select(F.lit(name).alias("assumption"), "rows", F.try_divide("rows", "n").alias("share"), "money", "qty")
+
+
+def capabilities(fills: dict[str, DataFrame], needs: dict[str, dict[str, list[str]]]) -> DataFrame:
+    """Which questions the data supports: any of a document's columns that a question needs holds values. (Q-25)
+
+    fills: document -> result of `field_fill`; needs: question -> document -> columns.
+    """
+    rows = None
+    for document, fill in fills.items():
+        part = fill.withColumn("document", F.lit(document))
+        rows = part if rows is None else rows.unionByName(part)
+    spark = rows.sparkSession
+    table = [(q, d, c) for q, docs in needs.items() for d, cols in docs.items() for c in cols]
+    wanted = spark.createDataFrame(table, "question string, document string, field string")
+    found = F.broadcast(wanted).join(rows, ["document", "field"], "left")
+    return found.groupBy("question").agg(F.coalesce(F.max(F.col("filled") > 0), F.lit(False)).alias("supported"))

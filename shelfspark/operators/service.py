@@ -245,3 +245,18 @@ def slow_burn(stock: DataFrame, daily: DataFrame) -> DataFrame:
     cover = F.try_divide("qty_on_hand", "daily_demand")
     rows = rows.withColumn("cover_days", cover).where("daily_demand = 0 or cover_days > 365")
     return rows.select("sku", "qty_on_hand", "cover_days", (F.col("qty_on_hand") * F.coalesce("unit_cost", F.lit(0.0))).alias("stock_value"))
+
+
+def headline(rates: DataFrame, portfolio: DataFrame, risk: DataFrame) -> DataFrame:
+    """One row: on-time rates, stock against should-be, excess, shortfall, value at risk and items out within a month. (V-20)"""
+    at_risk = risk.agg(F.coalesce(F.sum("value_at_risk"), F.lit(0.0)).alias("value_at_risk"), F.count_if("urgent").alias("skus_out_30_days"))
+    rows = rates.select("line_rate", "harsh_rate").crossJoin(portfolio).crossJoin(at_risk)  # one row each
+    return rows.withColumn("stock_ratio", F.try_divide("actual_value", "should_be_value"))
+
+
+def score(rates: DataFrame, dates: DataFrame, health: DataFrame, on_time_target: float, days_target: float) -> DataFrame:
+    """On-time rate and days on hand against targets; the rate is not scored on untrusted request dates. (V-21)"""
+    days = health.agg(F.try_divide(F.sum("stock_value"), F.sum("daily_cogs")).alias("days_on_hand"), (F.sum("daily_cogs") * days_target).alias("implied_balance"))
+    rows = rates.select("clean_rate").crossJoin(dates.select("trusted")).crossJoin(days)  # one row each
+    verdict = F.when(~F.col("trusted"), "not scored").when(F.col("clean_rate") >= on_time_target, "met").otherwise("missed")
+    return rows.withColumn("on_time", verdict).withColumn("stock", F.when(F.col("days_on_hand") <= days_target, "met").otherwise("missed"))

@@ -1,6 +1,34 @@
 """Registered queries of the business operators, each with its oracle where SQL can say it."""
 
-from shelfspark.plans import asof_queries, conform_queries, demand_queries, forecast_queries, planning_queries, quality_queries, service_queries, supply_queries
-from shelfspark.plans.fixtures import ORACLES, QUERIES
+from shelfspark.plans import (
+    asof_queries,
+    attribute_queries,
+    conform_queries,
+    demand_queries,
+    feedback_queries,
+    forecast_queries,
+    planning_queries,
+    policy_queries,
+    profile_queries,
+    quality_queries,
+    service_queries,
+    supply_queries,
+)
+from shelfspark.plans.fixtures import QUERIES, oracles
 
-__all__ = ["ORACLES", "QUERIES", "asof_queries", "conform_queries", "demand_queries", "forecast_queries", "planning_queries", "quality_queries", "service_queries", "supply_queries"]
+__all__ = [
+    "QUERIES",
+    "oracles",
+    "asof_queries",
+    "attribute_queries",
+    "conform_queries",
+    "demand_queries",
+    "feedback_queries",
+    "forecast_queries",
+    "planning_queries",
+    "policy_queries",
+    "profile_queries",
+    "quality_queries",
+    "service_queries",
+    "supply_queries",
+]

@@ -67,12 +67,12 @@ def c13_material_numbers(spark, sf_dir):
     return raw(spark, sf_dir).select(*KEY, C.material_number(F.col("code_text")).alias("code"))
 
 
-@query("""SELECT so_number, so_line_number, sum(true_qty) AS true_qty, round(sum(true_amount), 2) AS true_amount, round(sum(price * true_qty) / sum(true_qty), 4) AS price, min(part) AS part
+@query("""SELECT so_number, so_line_number, sum(true_qty) AS true_qty, round(sum(true_amount), 2) AS true_amount, round(sum(price * true_qty) / sum(true_qty), 7) AS price, min(part) AS part
 FROM (SELECT *, true_amount / true_qty AS price FROM c_raw) GROUP BY so_number, so_line_number""")
 def c14_rolled_up(spark, sf_dir):
     rows = raw(spark, sf_dir).withColumn("price", F.col("true_amount") / F.col("true_qty"))
     rows = rows.select("so_number", "so_line_number", "true_qty", "true_amount", "price", "part")
-    return tidy(C.roll_up(rows, ["so_number", "so_line_number"], ["true_qty", "true_amount"], {"price": "true_qty"}, ["part"]), true_amount=2)
+    return tidy(C.roll_up(rows, ["so_number", "so_line_number"], ["true_qty", "true_amount"], {"price": "true_qty"}, ["part"]), true_amount=2, price=7)
 
 
 @query("SELECT so_number, so_line_number, min(part) AS part FROM c_raw GROUP BY so_number, so_line_number")

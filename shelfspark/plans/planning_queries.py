@@ -76,12 +76,12 @@ def l05_balance_by_item(spark, sf_dir):
     return tidy(L.balance_by_item(balance(spark, sf_dir)))
 
 
-@query("""SELECT sku, round(CASE src WHEN 'trailing_12m' THEN p12 WHEN 'trailing_3m' THEN p3 WHEN 'all_history' THEN pa WHEN 'standard_cost' THEN unit_cost END, 4) AS price, src AS price_source FROM (
+@query("""SELECT sku, round(CASE src WHEN 'trailing_12m' THEN p12 WHEN 'trailing_3m' THEN p3 WHEN 'all_history' THEN pa WHEN 'standard_cost' THEN unit_cost END, 2) AS price, src AS price_source FROM (
 SELECT sku, p12, p3, pa, unit_cost, CASE WHEN p12 > 0 THEN 'trailing_12m' WHEN p3 > 0 THEN 'trailing_3m' WHEN pa > 0 THEN 'all_history' WHEN unit_cost > 0 THEN 'standard_cost' ELSE 'none' END AS src
 FROM (SELECT sku, sum(amount) FILTER (demand_date > DATE '1999-01-01') / sum(qty) FILTER (demand_date > DATE '1999-01-01') AS p12, sum(amount) FILTER (demand_date > DATE '1999-10-01') / sum(qty) FILTER (demand_date > DATE '1999-10-01') AS p3,
   sum(amount) / sum(qty) AS pa FROM d_lines GROUP BY sku) FULL JOIN fx_item_master USING (sku))""")
 def l06_selling_price(spark, sf_dir):
-    return tidy(L.selling_price(lines(spark, sf_dir), view(spark, sf_dir, "fx_item_master"), at()))
+    return tidy(L.selling_price(lines(spark, sf_dir), view(spark, sf_dir, "fx_item_master"), at()), price=2)
 
 
 @query("SELECT sku, date_trunc('month', demand_date)::DATE AS period, round(sum(amount), 2) AS amount FROM d_lines GROUP BY ALL")

@@ -182,3 +182,27 @@ def q29_compared_totals(spark, sf_dir):
 def q26_gate(spark, sf_dir):
     tests = Q.contract_tests(po(spark, sf_dir), ["supplier", "receive_date", "moq"], ["po_number", "po_line_number"])
     return Q.gate(tests.select(F.lit("structure").alias("stage"), F.col("test").alias("check"), "severity"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT so_line_number) AS kinds, true AS line_number_like, count(DISTINCT so_line_number) AS unknown, 'warn' AS severity FROM fx_sales")
+def q14_ordinal_keys(spark, sf_dir):
+    return Q.ordinal_keys(view(spark, sf_dir, "fx_sales"), "so_line_number", view(spark, sf_dir, "fx_item_master"))
+
+
+@query("""SELECT n AS items, m AS missing, nf AS no_family, wf AS with_family, round(wf / n, 4) AS coverage, CASE WHEN wf = 0 THEN 'severe' WHEN wf / n < 0.8 THEN 'warn' ELSE 'pass' END AS severity FROM (
+SELECT count(*) AS n, count(*) FILTER (m.sku IS NULL) AS m, count(*) FILTER (m.sku IS NOT NULL AND f IS NULL) AS nf, count(f) AS wf FROM (SELECT DISTINCT sku FROM fx_sales) s
+LEFT JOIN (SELECT sku, CASE WHEN product_family <> 'pumps' THEN product_family END AS f FROM fx_item_master WHERE sku NOT LIKE 'S2-%') m ON m.sku = s.sku)""")
+def q17_product_dimension(spark, sf_dir):
+    master = view(spark, sf_dir, "fx_item_master").where("sku not like 'S2-%'").withColumn("product_family", F.when(F.col("product_family") != "pumps", F.col("product_family")))
+    return tidy(Q.product_dimension(view(spark, sf_dir, "fx_sales"), master))
+
+
+@query("SELECT 'no request date' AS assumption, count(*) FILTER (customer_request_date IS NULL) AS rows, round(count(*) FILTER (customer_request_date IS NULL) / count(*), 4) AS share, round(sum(amount) FILTER (customer_request_date IS NULL), 2) AS money, sum(qty) FILTER (customer_request_date IS NULL) AS qty FROM fx_sales")
+def q22_exposure(spark, sf_dir):
+    return tidy(Q.exposure(view(spark, sf_dir, "fx_sales"), "no request date", "customer_request_date is null", "amount", "qty"), money=2)
+
+
+@query("SELECT * FROM (VALUES ('service', true), ('lead_time', true), ('ageing', false)) v(question, supported)")
+def q25_capabilities(spark, sf_dir):
+    fills = {"sales": Q.field_fill(view(spark, sf_dir, "fx_sales"), ["customer_request_date", "qty"]), "po": Q.field_fill(po(spark, sf_dir), ["receive_date", "po_date"]), "stock": Q.field_fill(view(spark, sf_dir, "fx_inventory"), ["inventory_age_days"])}
+    return Q.capabilities(fills, {"service": {"sales": ["customer_request_date"]}, "lead_time": {"po": ["receive_date"]}, "ageing": {"stock": ["inventory_age_days"]}})

@@ -73,16 +73,44 @@ def daily(spark, sf_dir):
     return demand_lines(spark, sf_dir).groupBy("sku").agg((recent / 365.0).alias("daily_demand"))
 
 
-ALLOCATED = """
-WITH RECURSIVE {views}, lines AS (
-  SELECT *, row_number() OVER (PARTITION BY sku ORDER BY customer_request_date NULLS LAST, lpad(so_number::VARCHAR, 12, '0'), so_line_number, lpad(part::VARCHAR, 12, '0'), open_qty, open_amount) AS i FROM fx_open_so),
-walk AS (
-  SELECT l.*, s.qty_on_hand >= l.open_qty * 0.95 AS fillable, CASE WHEN s.qty_on_hand >= l.open_qty * 0.95 THEN greatest(s.qty_on_hand - l.open_qty, 0) ELSE s.qty_on_hand END AS rest
-  FROM lines l JOIN s_stock s USING (sku) WHERE i = 1
-  UNION ALL
-  SELECT l.*, w.rest >= l.open_qty * 0.95, CASE WHEN w.rest >= l.open_qty * 0.95 THEN greatest(w.rest - l.open_qty, 0) ELSE w.rest END
-  FROM walk w JOIN lines l ON l.sku = w.sku AND l.i = w.i + 1)
-"""
+ORACLE_VIEWS["r_lines"] = """
+SELECT *, row_number() OVER (PARTITION BY sku ORDER BY customer_request_date NULLS LAST, lpad(so_number::VARCHAR, 12, '0'), so_line_number, lpad(part::VARCHAR, 12, '0'), open_qty, open_amount) AS i FROM fx_open_so"""
+ORACLE_VIEWS["r_walk"] = """
+SELECT l.*, s.qty_on_hand >= l.open_qty * 0.95 AS fillable, CASE WHEN s.qty_on_hand >= l.open_qty * 0.95 THEN greatest(s.qty_on_hand - l.open_qty, 0) ELSE s.qty_on_hand END AS rest FROM r_lines l JOIN s_stock s ON s.sku = l.sku WHERE i = 1
+UNION ALL SELECT l.*, w.rest >= l.open_qty * 0.95, CASE WHEN w.rest >= l.open_qty * 0.95 THEN greatest(w.rest - l.open_qty, 0) ELSE w.rest END FROM r_walk w JOIN r_lines l ON l.sku = w.sku AND l.i = w.i + 1"""
+ORACLE_VIEWS["v_open"] = f"""
+SELECT *, CASE WHEN customer_request_date IS NULL THEN 'unjudgeable' WHEN customer_request_date >= {AT} THEN 'not_yet_due' WHEN fillable THEN 'past_due_available' ELSE 'past_due_short' END AS state,
+  greatest({AT} - customer_request_date, 0) AS days_late FROM r_walk"""
+ORACLE_VIEWS["r_judged"] = f"SELECT *, CASE WHEN fillable THEN open_qty ELSE 0 END AS idle FROM r_walk WHERE customer_request_date < {AT}"
+ORACLE_VIEWS["r_rate"] = "SELECT greatest(least(coalesce(1 - sum(idle) / sum(open_qty), 1), 1), 0.25) AS rate, count(*) AS n FROM r_judged"
+
+
+@query("SELECT so_number, so_line_number, sku, part, open_qty, fillable FROM r_walk")
+def r11_allocated_stock(spark, sf_dir):
+    return opened(spark, sf_dir).select("so_number", "so_line_number", "sku", "part", "open_qty", "fillable")
+
+
+@query("""SELECT sku, n AS lines, round_even(greatest(least((n * own + 3 * rate) / (n + 3), 1), 0.25), 3) AS realization_rate
+FROM (SELECT sku, count(*) AS n, 1 - sum(idle) / sum(open_qty) AS own FROM r_judged GROUP BY sku) CROSS JOIN (SELECT rate FROM r_rate)""")
+def r12_realization(spark, sf_dir):
+    return R.realization(opened(spark, sf_dir), at())[0]
+
+
+@query("SELECT round(rate, 4) AS portfolio_rate, n AS judged_lines FROM r_rate")
+def r12_portfolio_realization(spark, sf_dir):
+    return tidy(R.realization(opened(spark, sf_dir), at())[1])
+
+
+@query("SELECT sku, customer, customer_request_date, open_qty AS qty, open_amount AS value, state, days_late FROM v_open")
+def v02_open_lines(spark, sf_dir):
+    found = V.open_lines(opened(spark, sf_dir), at())
+    return found.select("sku", "customer", "customer_request_date", "qty", "value", "state", F.col("days_late").cast("long").alias("days_late"))
+
+
+@query("SELECT sku, count(*) AS lines, sum(open_qty) AS qty, round(sum(open_amount), 2) AS value, max(days_late) AS oldest_days FROM v_open WHERE state = 'past_due_available' GROUP BY sku")
+def v08_uncollected(spark, sf_dir):
+    found = V.uncollected(V.open_lines(opened(spark, sf_dir), at()))
+    return tidy(found, value=2).withColumn("oldest_days", F.col("oldest_days").cast("long"))
 
 
 @query("SELECT sku, customer, customer_request_date, qty, value, state, days_late FROM v_ship")

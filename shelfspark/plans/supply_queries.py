@@ -21,7 +21,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY sku, supplier ORDER BY po_date,
   FROM (SELECT *, bool_or(recent AND lt IS NOT NULL) OVER (PARTITION BY sku, supplier) AS hr FROM (
     SELECT *, po_date >= (SELECT max(po_date) FROM s_po) - INTERVAL 6 MONTH AS recent FROM s_po)) WHERE (recent OR NOT hr) AND lt IS NOT NULL) GROUP BY sku, supplier"""
 ORACLE_VIEWS["s_terms"] = """
-SELECT sku, supplier, incoterm FROM (SELECT sku, supplier, incoterm, row_number() OVER (PARTITION BY sku, supplier ORDER BY count(*) DESC, incoterm) AS n FROM s_po GROUP BY ALL) WHERE n = 1"""
+SELECT sku, supplier, incoterm FROM (SELECT sku, supplier, incoterm, row_number() OVER (PARTITION BY sku, supplier ORDER BY count(*) DESC, incoterm) AS n FROM s_po GROUP BY sku, supplier, incoterm) WHERE n = 1"""
 ORACLE_VIEWS["s_one"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY sample_count DESC, wma_lead_time_days, supplier) AS n FROM s_lt) WHERE n = 1"
 ORACLE_VIEWS["s_in"] = f"""
 SELECT sku, sum(open_qty) AS total_open_po_qty, sum(open_amount) AS open_po_amount, count(*) AS open_po_lines, min(committed_delivery) AS earliest_delivery,
