@@ -84,7 +84,7 @@ def t05_latest(spark, sf_dir):
     return A.latest(facts(spark, sf_dir), selected(spark)).select("sku", "customer", "so_number", "part", "qty")
 
 
-@query("SELECT count(*) AS rows, count(*) FILTER (batch_rank < (SELECT max(batch_rank) FROM t_sel)) AS carried, round(count(*) FILTER (batch_rank < (SELECT max(batch_rank) FROM t_sel)) / count(*), 4) AS share FROM t_cur")
+@query("SELECT count(*) AS rows, count(*) FILTER (batch_rank < (SELECT max(batch_rank) FROM t_sel)) AS carried, round(count(*) FILTER (batch_rank < (SELECT max(batch_rank) FROM t_sel)) / count(*), 6) AS share FROM t_cur")
 def t06_carried_forward(spark, sf_dir):
     return tidy(A.carried_forward(now(spark, sf_dir), selected(spark)))
 

@@ -59,7 +59,7 @@ def p04_disagreements(spark, sf_dir):
     return A.disagreements(resolved(spark, sf_dir), "lead_time", SOURCES)
 
 
-@query("""SELECT other, count(*) AS compared, count(*) FILTER (abs(value - lead_time) > 0.25 * abs(lead_time)) AS differ, round(count(*) FILTER (abs(value - lead_time) > 0.25 * abs(lead_time)) / count(*), 4) AS rate
+@query("""SELECT other, count(*) AS compared, count(*) FILTER (abs(value - lead_time) > 0.25 * abs(lead_time)) AS differ, round(count(*) FILTER (abs(value - lead_time) > 0.25 * abs(lead_time)) / count(*), 6) AS rate
 FROM (SELECT *, 'measured' AS other, measured AS value FROM a_res UNION ALL SELECT *, 'item_master', stated FROM a_res) WHERE value IS NOT NULL AND lead_time IS NOT NULL AND other <> src GROUP BY other""")
 def p04_disagreement_counts(spark, sf_dir):
     return tidy(A.disagreement_counts(resolved(spark, sf_dir), "lead_time", SOURCES))
@@ -138,7 +138,7 @@ def v21_score(spark, sf_dir):
     return V.score(V.service_rates(lines), V.request_date_quality(lines), health, 0.9, 45.0)
 
 
-@query("""SELECT w AS wanted, c AS covered, round(c / w, 4) AS share, CASE WHEN c / w < 0.8 THEN 'severe' ELSE 'pass' END AS severity FROM (SELECT count(*) AS w, count(*) FILTER (sku IN (SELECT sku FROM s_stock WHERE qty_on_hand > 20)) AS c
+@query("""SELECT w AS wanted, c AS covered, round(c / w, 6) AS share, CASE WHEN c / w < 0.8 THEN 'severe' ELSE 'pass' END AS severity FROM (SELECT count(*) AS w, count(*) FILTER (sku IN (SELECT sku FROM s_stock WHERE qty_on_hand > 20)) AS c
 FROM (SELECT c.sku FROM d_class c JOIN fx_item_master m ON m.sku = c.sku WHERE stocking_class <> 'non-stocking' AND stocking_policy <> 'MTO'))""")
 def q20_position_coverage(spark, sf_dir):
     wanted = classified(spark, sf_dir).where("stocking_class <> 'non-stocking'").join(view(spark, sf_dir, "fx_item_master").where("stocking_policy <> 'MTO'").select("sku"), "sku")

@@ -147,7 +147,7 @@ def _converted(spark, sf_dir):
     return C.convert_currency(rows, quotes, ["amount"], "ship_date", "EUR")
 
 
-@query("SELECT so_number, so_line_number, part, code AS currency_original, fx_basis, round(fx_rate_applied, 4) AS fx_rate_applied, round(true_amount * fx_rate_applied, 5) AS amount FROM c_conv")
+@query("SELECT so_number, so_line_number, part, code AS currency_original, fx_basis, round(fx_rate_applied, 6) AS fx_rate_applied, round(true_amount * fx_rate_applied, 5) AS amount FROM c_conv")
 def c28_converted_money(spark, sf_dir):
     return tidy(_converted(spark, sf_dir).select(*KEY, "currency_original", "fx_basis", "fx_rate_applied", "amount"), amount=5)
 
@@ -194,7 +194,7 @@ def _chain_edges(spark, sf_dir):
     return m.where("n % 10 <> 0").select(F.col("sku").alias("old_sku"), F.concat(F.lit("S"), F.col("n") + 1, F.lit("-2")).alias("new_sku"), F.lit(1.5).alias("ratio"))
 
 
-@query("""SELECT concat('S', n, '-2') AS old_sku, concat('S', n - n % 10 + 10, '-2') AS final_sku, round(pow(1.5, 10 - n % 10), 4) AS ratio
+@query("""SELECT concat('S', n, '-2') AS old_sku, concat('S', n - n % 10 + 10, '-2') AS final_sku, round(pow(1.5, 10 - n % 10), 6) AS ratio
 FROM (SELECT regexp_extract(sku, 'S(\\d+)-', 1)::INT AS n FROM fx_item_master WHERE sku LIKE '%-2') WHERE n % 10 <> 0""")
 def c34_resolved_chains(spark, sf_dir):
     return tidy(C.resolve_chains(_chain_edges(spark, sf_dir)))

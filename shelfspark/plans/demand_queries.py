@@ -38,7 +38,7 @@ def classified(spark, sf_dir):
     return D.classify(series(spark, sf_dir))
 
 
-@query("SELECT so_number, so_line_number, sku, demand_date, round(qty, 4) AS qty FROM d_lines")
+@query("SELECT so_number, so_line_number, sku, demand_date, round(qty, 6) AS qty FROM d_lines")
 def d01_demand_lines(spark, sf_dir):
     return tidy(lines(spark, sf_dir).select("so_number", "so_line_number", "sku", "demand_date", "qty"))
 
@@ -49,13 +49,13 @@ def d01_dropped_lines(spark, sf_dir):
     return D.demand_line_counts(view(spark, sf_dir, "fx_sales"))
 
 
-@query("SELECT sku, period, round(qty, 4) AS qty FROM d_series")
+@query("SELECT sku, period, round(qty, 6) AS qty FROM d_series")
 def d02_monthly_series(spark, sf_dir):
     return tidy(series(spark, sf_dir))
 
 
-@query("""SELECT s.sku, round(demand_mean, 4) AS demand_mean, round(demand_std, 4) AS demand_std, active_cycles, total_cycles, round(total_qty, 4) AS total_qty,
-  first_sale, last_sale, round(CASE WHEN mean_all > 0 THEN demand_std / mean_all END, 4) AS demand_cv
+@query("""SELECT s.sku, round(demand_mean, 6) AS demand_mean, round(demand_std, 6) AS demand_std, active_cycles, total_cycles, round(total_qty, 6) AS total_qty,
+  first_sale, last_sale, round(CASE WHEN mean_all > 0 THEN demand_std / mean_all END, 6) AS demand_cv
 FROM (SELECT sku, avg(qty) FILTER (qty > 0) AS demand_mean, stddev_samp(qty) AS demand_std, avg(qty) AS mean_all, count(*) FILTER (qty > 0) AS active_cycles,
   count(*) AS total_cycles, sum(qty) AS total_qty FROM d_series GROUP BY sku) s
 LEFT JOIN (SELECT sku, min(demand_date) AS first_sale, max(demand_date) AS last_sale FROM d_lines GROUP BY sku) d ON s.sku = d.sku""")
@@ -64,13 +64,13 @@ def d03_demand_summary(spark, sf_dir):
     return tidy(D.demand_summary(D.monthly_series(s), s))
 
 
-@query("""SELECT sku, round(m, 4) AS demand_mean, round(sd, 4) AS demand_std, active_cycles, total_cycles, round(total_qty, 4) AS total_qty, round(CASE WHEN m > 0 THEN sd / m END, 4) AS demand_cv
+@query("""SELECT sku, round(m, 6) AS demand_mean, round(sd, 6) AS demand_std, active_cycles, total_cycles, round(total_qty, 6) AS total_qty, round(CASE WHEN m > 0 THEN sd / m END, 6) AS demand_cv
 FROM (SELECT sku, coalesce(avg(qty) FILTER (qty > 0), 0) AS m, stddev_samp(qty) AS sd, count(*) FILTER (qty > 0) AS active_cycles, count(*) AS total_cycles, sum(qty) AS total_qty FROM d_series GROUP BY sku)""")
 def d04_matrix_summary(spark, sf_dir):
     return tidy(D.matrix_summary(series(spark, sf_dir)))
 
 
-@query("""SELECT sku, round(avg(qty) FILTER (qty > 0), 4) AS demand_mean, 'demand_history' AS demand_source FROM d_series GROUP BY sku
+@query("""SELECT sku, round(avg(qty) FILTER (qty > 0), 6) AS demand_mean, 'demand_history' AS demand_source FROM d_series GROUP BY sku
 UNION ALL SELECT DISTINCT sku, 0.0::DOUBLE, 'item_master' FROM fx_item_master WHERE sku NOT IN (SELECT sku FROM d_lines)""")
 def d05_population(spark, sf_dir):
     s = lines(spark, sf_dir)
@@ -109,20 +109,20 @@ def d10_policy_conflicts(spark, sf_dir):
     return D.policy_conflicts(classified(spark, sf_dir), view(spark, sf_dir, "fx_item_master"))
 
 
-@query("""SELECT sku, round(avg(qty), 4) AS mean_size, round(greatest(1, coalesce((coalesce(sum(gap), 0) + max(n) - max(i)) / nullif(count(gap) + CASE WHEN max(n) > max(i) THEN 1 ELSE 0 END, 0), 1)), 4) AS mean_gap
+@query("""SELECT sku, round(avg(qty), 6) AS mean_size, round(greatest(1, coalesce((coalesce(sum(gap), 0) + max(n) - max(i)) / nullif(count(gap) + CASE WHEN max(n) > max(i) THEN 1 ELSE 0 END, 0), 1)), 6) AS mean_gap
 FROM (SELECT sku, qty, i, n, i - lag(i) OVER (PARTITION BY sku ORDER BY i) AS gap FROM (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY period) AS i,
   count(*) OVER (PARTITION BY sku) AS n FROM d_series) WHERE qty > 0) GROUP BY sku""")
 def d11_demand_shape(spark, sf_dir):
     return tidy(D.demand_shape(series(spark, sf_dir)))
 
 
-@query("""SELECT sku, round(avg(CASE WHEN qty > 0 THEN 1.0 ELSE 0 END) FILTER (period >= f), 4) AS density
+@query("""SELECT sku, round(avg(CASE WHEN qty > 0 THEN 1.0 ELSE 0 END) FILTER (period >= f), 6) AS density
 FROM (SELECT *, min(period) FILTER (qty > 0) OVER (PARTITION BY sku) AS f FROM d_series) GROUP BY sku""")
 def d12_density(spark, sf_dir):
     return tidy(D.density_since_first(series(spark, sf_dir)))
 
 
-@query("""SELECT sku, round(slope, 4) AS slope, coalesce(n >= 3 AND abs(slope) > 1e-12 AND abs(slope) * (n - 1) >= 0.2 * abs(m)
+@query("""SELECT sku, round(slope, 6) AS slope, coalesce(n >= 3 AND abs(slope) > 1e-12 AND abs(slope) * (n - 1) >= 0.2 * abs(m)
   AND (NOT e > 1e-12 OR abs(slope) / e >= 2), false) AS has_trend
 FROM (SELECT *, sqrt(greatest(syy - slope * sxy, 0) / (n - 2) / sxx) AS e FROM (SELECT sku, count(*) AS n, avg(qty) AS m, regr_slope(qty, i) AS slope, regr_sxx(qty, i) AS sxx,
   regr_syy(qty, i) AS syy, regr_sxy(qty, i) AS sxy FROM (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY period)::DOUBLE AS i FROM d_series) GROUP BY sku))""")
@@ -132,7 +132,7 @@ def d13_trend(spark, sf_dir):
 
 @query("""SELECT sku, CASE WHEN n + 1 >= 6 AND s3 / ee >= b THEN 3 WHEN n + 1 >= 8 AND s4 / ee >= b THEN 4 WHEN n + 1 >= 12 AND s6 / ee >= b THEN 6 WHEN n + 1 >= 24 AND s12 / ee >= b THEN 12 END AS season
 FROM (SELECT sku, count(*) AS n, greatest(0.3, 2.5 / sqrt(count(*))) AS b, nullif(sum(e * e), 0) AS ee, sum(e * e3) AS s3, sum(e * e4) AS s4, sum(e * e6) AS s6, sum(e * e12) AS s12 FROM (
-  SELECT *, lag(e, 3) OVER w AS e3, lag(e, 4) OVER w AS e4, lag(e, 6) OVER w AS e6, lag(e, 12) OVER w AS e12 FROM (
+  SELECT *, lag(e, 3) OVER w AS e3, lag(e, 6) OVER w AS e4, lag(e, 6) OVER w AS e6, lag(e, 12) OVER w AS e12 FROM (
     SELECT sku, period, d - avg(d) OVER (PARTITION BY sku) AS e FROM (SELECT *, qty - lag(qty) OVER (PARTITION BY sku ORDER BY period) AS d FROM d_series) WHERE d IS NOT NULL)
   WINDOW w AS (PARTITION BY sku ORDER BY period)) GROUP BY sku)""")
 def d14_season(spark, sf_dir):

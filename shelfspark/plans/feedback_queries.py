@@ -71,7 +71,7 @@ def f04_monthly_loss(spark, sf_dir):
     return loss(spark, sf_dir)
 
 
-@query("""SELECT month, skus, round(md, 4) AS md, round(mad, 4) AS mad, round(mape, 4) AS mape, round(avg_dos, 4) AS avg_dos, round(excess_rate, 4) AS excess_rate, CASE WHEN md / mad > 0.2 THEN 'over-forecast' WHEN md / mad < -0.2 THEN 'under-forecast' ELSE 'neutral' END AS bias
+@query("""SELECT month, skus, round(md, 6) AS md, round(mad, 6) AS mad, round(mape, 6) AS mape, round(avg_dos, 6) AS avg_dos, round(excess_rate, 6) AS excess_rate, CASE WHEN md / mad > 0.2 THEN 'over-forecast' WHEN md / mad < -0.2 THEN 'under-forecast' ELSE 'neutral' END AS bias
 FROM (SELECT month, count(*) AS skus, avg(forecast_error) AS md, avg(abs(forecast_error)) AS mad, avg(ape) AS mape, avg(dos_realized) AS avg_dos, avg(CASE WHEN dos_realized > 90 THEN 1.0 WHEN dos_realized IS NOT NULL THEN 0 END) AS excess_rate FROM b_loss GROUP BY month)""")
 def f05_loss_summary(spark, sf_dir):
     return tidy(B.loss_summary(loss(spark, sf_dir), ["month"]))
@@ -87,7 +87,7 @@ def f06_short_items(spark, sf_dir):
     return B.persistent_gaps(loss(spark, sf_dir), "demand_gap")
 
 
-@query("""SELECT bias, deviations, risks, overlap, round(coalesce(overlap / nullif(risks, 0), 0), 4) AS explained, bias <> 'neutral' AND coalesce(overlap / nullif(risks, 0), 0) < 0.5 AS change_model FROM
+@query("""SELECT bias, deviations, risks, overlap, round(coalesce(overlap / nullif(risks, 0), 0), 6) AS explained, bias <> 'neutral' AND coalesce(overlap / nullif(risks, 0), 0) < 0.5 AS change_model FROM
 (SELECT CASE WHEN avg(forecast_error) / avg(abs(forecast_error)) > 0.2 THEN 'over-forecast' WHEN avg(forecast_error) / avg(abs(forecast_error)) < -0.2 THEN 'under-forecast' ELSE 'neutral' END AS bias FROM b_loss),
 (SELECT (SELECT count(*) FROM b_dev) AS deviations, (SELECT count(*) FROM b_risk) AS risks, (SELECT count(*) FROM b_dev JOIN b_risk USING (sku)) AS overlap)""")
 def f07_attribution(spark, sf_dir):
@@ -113,7 +113,7 @@ def f09_recurring_refusals(spark, sf_dir):
     return B.recurring_refusals(decisions(spark, sf_dir), view(spark, sf_dir, "fx_item_master"), ["product_family", "supplier"])
 
 
-@query("SELECT action_kind, count(*) AS proposed, count(*) FILTER (decision = 'accepted') AS accepted, sum(value_at_stake) AS value_at_stake, round(count(*) FILTER (decision = 'accepted') / count(*), 4) AS acceptance_rate FROM b_dec GROUP BY action_kind")
+@query("SELECT action_kind, count(*) AS proposed, count(*) FILTER (decision = 'accepted') AS accepted, sum(value_at_stake) AS value_at_stake, round(count(*) FILTER (decision = 'accepted') / count(*), 6) AS acceptance_rate FROM b_dec GROUP BY action_kind")
 def f10_acceptance_rate(spark, sf_dir):
     return tidy(B.acceptance_rate(decisions(spark, sf_dir)))
 
@@ -127,7 +127,7 @@ def x01_compared_runs(spark, sf_dir):
     return B.compare_runs(run(rows), run(rows.where("qty > 1")))
 
 
-@query("""SELECT flag, sku, round(value, 4) AS value, place, flagged FROM (SELECT *, row_number() OVER (PARTITION BY flag ORDER BY abs(value) DESC, sku) AS place, count(*) OVER (PARTITION BY flag) AS flagged FROM (
+@query("""SELECT flag, sku, round(value, 6) AS value, place, flagged FROM (SELECT *, row_number() OVER (PARTITION BY flag ORDER BY abs(value) DESC, sku) AS place, count(*) OVER (PARTITION BY flag) AS flagged FROM (
 SELECT 'policy' AS flag, c.sku, demand_mean_rolling AS value FROM d_class c JOIN fx_item_master m ON m.sku = c.sku WHERE (stocking_policy = 'MTO') <> (stocking_class = 'non-stocking')
 UNION ALL SELECT 'volatile', sku, demand_mean_rolling FROM d_class WHERE demand_cv > 1)) WHERE place <= 10""")
 def x02_review_list(spark, sf_dir):

@@ -107,8 +107,8 @@ def query(sql: str | None = None):
 
 
 def tidy(df: DataFrame, **digits: int) -> DataFrame:
-    """Doubles rounded for comparison: four digits, or as given by column."""
-    return df.select(*[_rounded(c, kind, digits.get(c, 4)) for c, kind in df.dtypes])
+    """Doubles rounded for comparison: six digits, or as given by column."""
+    return df.select(*[_rounded(c, kind, digits.get(c, 6)) for c, kind in df.dtypes])
 
 
 def _rounded(name: str, kind: str, digits: int) -> Column:

@@ -30,24 +30,24 @@ def detail(spark, sf_dir):
     return Fc.forecast_detail(Fc.forecast(arrays(spark, sf_dir), chosen(spark, sf_dir)), last)
 
 
-@query("""SELECT sku, round(arg_max(qty, period), 4) AS naive, round(avg(qty) FILTER (i > n - 3), 4) AS moving_average FROM f_num GROUP BY sku""")
+@query("""SELECT sku, round(arg_max(qty, period), 6) AS naive, round(avg(qty) FILTER (i > n - 3), 6) AS moving_average FROM f_num GROUP BY sku""")
 def d15_naive_and_average(spark, sf_dir):
     q = F.col("q")
     return tidy(arrays(spark, sf_dir).select("sku", Fc.naive(q).alias("naive"), Fc.moving_average(q).alias("moving_average")))
 
 
-@query("""SELECT sku, round(any_value(m) * pow(0.8, max(n) - 1) + coalesce(sum(0.2 * pow(0.8, n - i) * qty) FILTER (i > 1), 0), 4) AS level FROM (SELECT *, avg(qty) OVER (PARTITION BY sku) AS m FROM f_num) GROUP BY sku""")
+@query("""SELECT sku, round(any_value(m) * pow(0.8, max(n) - 1) + coalesce(sum(0.2 * pow(0.8, n - i) * qty) FILTER (i > 1), 0), 6) AS level FROM (SELECT *, avg(qty) OVER (PARTITION BY sku) AS m FROM f_num) GROUP BY sku""")
 def d16_simple_smoothing(spark, sf_dir):
     return tidy(arrays(spark, sf_dir).select("sku", Fc.simple_smoothing(F.col("q")).alias("level")))
 
 
-@query("""SELECT sku, round((mz * pow(0.8, k - 1) + sz) / (mg * pow(0.8, k - 1) + sg), 4) AS value FROM (SELECT sku, max(k) AS k, avg(qty) AS mz, coalesce(avg(gap), greatest(max(n), 1)) AS mg,
+@query("""SELECT sku, round((mz * pow(0.8, k - 1) + sz) / (mg * pow(0.8, k - 1) + sg), 6) AS value FROM (SELECT sku, max(k) AS k, avg(qty) AS mz, coalesce(avg(gap), greatest(max(n), 1)) AS mg,
 coalesce(sum(0.2 * pow(0.8, k - j) * qty) FILTER (j > 1), 0) AS sz, coalesce(sum(0.2 * pow(0.8, k - j) * gap) FILTER (j > 1), 0) AS sg FROM f_hit GROUP BY sku)""")
 def d17_croston(spark, sf_dir):
     return tidy(arrays(spark, sf_dir).select("sku", Fc.croston(F.col("q"))["value"].alias("value")))
 
 
-@query("""SELECT sku, round((mz * pow(0.8, k - 1) + sz) * (p0 * pow(0.8, m) + coalesce(sp, 0)), 4) AS value FROM (SELECT sku, max(k) AS k, avg(qty) AS mz, coalesce(sum(0.2 * pow(0.8, k - j) * qty) FILTER (j > 1), 0) AS sz,
+@query("""SELECT sku, round((mz * pow(0.8, k - 1) + sz) * (p0 * pow(0.8, m) + coalesce(sp, 0)), 6) AS value FROM (SELECT sku, max(k) AS k, avg(qty) AS mz, coalesce(sum(0.2 * pow(0.8, k - j) * qty) FILTER (j > 1), 0) AS sz,
   max(k) / max(n) AS p0, max(n) - min(i) AS m, sum(0.2 * pow(0.8, n - i)) FILTER (j > 1) AS sp FROM f_hit GROUP BY sku)""")
 def d18_tsb(spark, sf_dir):
     return tidy(arrays(spark, sf_dir).select("sku", Fc.tsb(F.col("q"))["value"].alias("value")))
@@ -120,7 +120,7 @@ def d31_accuracy_by_item(spark, sf_dir):
     return Fc.accuracy_by(accuracy(spark, sf_dir), ["sku"]).drop("bias_value")
 
 
-@query("""SELECT sku, round(arg_max(qty, period), 4) AS naive FROM (SELECT s.sku, p.period, coalesce(q.qty, 0) AS qty FROM (SELECT DISTINCT part::VARCHAR AS sku FROM d_lines) s CROSS JOIN (SELECT DISTINCT period FROM d_series) p
+@query("""SELECT sku, round(arg_max(qty, period), 6) AS naive FROM (SELECT s.sku, p.period, coalesce(q.qty, 0) AS qty FROM (SELECT DISTINCT part::VARCHAR AS sku FROM d_lines) s CROSS JOIN (SELECT DISTINCT period FROM d_series) p
 LEFT JOIN (SELECT part::VARCHAR AS sku, date_trunc('month', demand_date)::DATE AS period, sum(qty) AS qty FROM d_lines GROUP BY ALL) q ON q.sku = s.sku AND q.period = p.period) GROUP BY sku""")
 def d15_naive_by_part(spark, sf_dir):
     parts = D.monthly_series(lines(spark, sf_dir).withColumn("sku", F.col("part").cast("string")))

@@ -51,7 +51,7 @@ def l02_opening(spark, sf_dir):
     return L.opening(stock(spark, sf_dir))
 
 
-@query("""SELECT sku, period, round(monthly_demand, 4) AS monthly_demand, supply_qty, round(closing_qty, 4) AS closing_qty, round(gap_qty, 4) AS gap_qty, round(closing_qty * unit_cost, 2) AS closing_value,
+@query("""SELECT sku, period, round(monthly_demand, 6) AS monthly_demand, supply_qty, round(closing_qty, 6) AS closing_qty, round(gap_qty, 6) AS gap_qty, round(closing_qty * unit_cost, 2) AS closing_value,
 round(gap_qty * unit_cost, 2) AS gap_value, within_lead_time FROM l_bal""")
 def l03_period_balance(spark, sf_dir):
     return tidy(balance(spark, sf_dir), closing_value=2, gap_value=2)
@@ -70,8 +70,8 @@ def l04_balance_by_family(spark, sf_dir):
     return tidy(found, demand_qty=2, supply_qty=2, closing_qty=2, closing_value=2, gap_value=2)
 
 
-@query("""SELECT sku, min(period) FILTER (gap_qty > 0) AS first_short, count(*) FILTER (gap_qty > 0) AS short_months, round(max(gap_qty), 4) AS peak_gap_qty, round(sum(monthly_demand), 4) AS demand_qty,
-round(sum(supply_qty), 4) AS supply_qty, round(coalesce(max(gap_qty) FILTER (within_lead_time), 0), 4) AS gap_in_lead_time FROM l_bal GROUP BY sku""")
+@query("""SELECT sku, min(period) FILTER (gap_qty > 0) AS first_short, count(*) FILTER (gap_qty > 0) AS short_months, round(max(gap_qty), 6) AS peak_gap_qty, round(sum(monthly_demand), 6) AS demand_qty,
+round(sum(supply_qty), 6) AS supply_qty, round(coalesce(max(gap_qty) FILTER (within_lead_time), 0), 6) AS gap_in_lead_time FROM l_bal GROUP BY sku""")
 def l05_balance_by_item(spark, sf_dir):
     return tidy(L.balance_by_item(balance(spark, sf_dir)))
 
@@ -89,7 +89,7 @@ def l07_value_series(spark, sf_dir):
     return tidy(L.value_series(lines(spark, sf_dir)), amount=2)
 
 
-@query("""SELECT sku, country, round(raw + CASE WHEN place = 1 THEN 1 - sum(raw) OVER (PARTITION BY sku) ELSE 0 END, 4) AS share FROM (
+@query("""SELECT sku, country, round(raw + CASE WHEN place = 1 THEN 1 - sum(raw) OVER (PARTITION BY sku) ELSE 0 END, 6) AS share FROM (
 SELECT *, row_number() OVER (PARTITION BY sku ORDER BY raw DESC, country) AS place FROM (SELECT sku, country, q / sum(q) OVER (PARTITION BY sku) AS raw FROM (
   SELECT sku, country, CASE WHEN sum(r) OVER (PARTITION BY sku) > 0 THEN coalesce(r, 0) ELSE a END AS q FROM (
     SELECT sku, country, sum(qty) FILTER (demand_date > DATE '1999-01-01') AS r, sum(qty) AS a FROM d_lines GROUP BY ALL)))) WHERE raw >= 0.02 OR place = 1""")
@@ -102,18 +102,18 @@ def l10_last_movement(spark, sf_dir):
     return L.last_movement(series(spark, sf_dir))
 
 
-@query("SELECT sku, round(age_days, 4) AS age_days, age_basis FROM l_age")
+@query("SELECT sku, round(age_days, 6) AS age_days, age_basis FROM l_age")
 def l11_stock_age(spark, sf_dir):
     return tidy(aged(spark, sf_dir).select("sku", "age_days", "age_basis"))
 
 
-@query("""SELECT product_family, skus, round(stock_value, 2) AS stock_value, round(daily_cogs, 2) AS daily_cogs, slow_skus, round(slow_value, 2) AS slow_value, round(stock_value / nullif(daily_cogs, 0), 4) AS days_on_hand,
-round(slow_value / nullif(stock_value, 0), 4) AS slow_share FROM (SELECT product_family, count(*) AS skus, sum(qty_on_hand * a.unit_cost) AS stock_value, sum(coalesce(daily_demand, 0) * a.unit_cost) AS daily_cogs,
+@query("""SELECT product_family, skus, round(stock_value, 2) AS stock_value, round(daily_cogs, 2) AS daily_cogs, slow_skus, round(slow_value, 2) AS slow_value, round(stock_value / nullif(daily_cogs, 0), 6) AS days_on_hand,
+round(slow_value / nullif(stock_value, 0), 6) AS slow_share FROM (SELECT product_family, count(*) AS skus, sum(qty_on_hand * a.unit_cost) AS stock_value, sum(coalesce(daily_demand, 0) * a.unit_cost) AS daily_cogs,
 count(*) FILTER (months_idle >= 6) AS slow_skus, coalesce(sum(qty_on_hand * a.unit_cost) FILTER (months_idle >= 6), 0) AS slow_value FROM l_age a LEFT JOIN fx_item_master m ON m.sku = a.sku GROUP BY product_family)""")
 def l12_health_by_family(spark, sf_dir):
     return tidy(L.health_by_family(aged(spark, sf_dir), view(spark, sf_dir, "fx_item_master")), stock_value=2, daily_cogs=2, slow_value=2)
 
 
-@query("SELECT sku, coalesce(months_idle >= 6, false) AS slow, coalesce(age_days > 365, false) AS old, round(age_days, 4) AS age_days, months_idle FROM l_age WHERE qty_on_hand > 0 AND (months_idle >= 6 OR age_days > 365)")
+@query("SELECT sku, coalesce(months_idle >= 6, false) AS slow, coalesce(age_days > 365, false) AS old, round(age_days, 6) AS age_days, months_idle FROM l_age WHERE qty_on_hand > 0 AND (months_idle >= 6 OR age_days > 365)")
 def l13_slow_or_old(spark, sf_dir):
     return tidy(L.slow_or_old(aged(spark, sf_dir)))

@@ -113,7 +113,7 @@ def p09_rule_audit(spark, sf_dir):
 
 
 @query("""SELECT sku, round(CASE WHEN sl <= 0.5 THEN 0 WHEN sl < 0.75 THEN (sl - 0.5) / 0.25 * 0.674 WHEN sl < 0.8 THEN 0.674 + (sl - 0.75) / 0.05 * 0.168 WHEN sl < 0.85 THEN 0.842 + (sl - 0.8) / 0.05 * 0.194
-  WHEN sl < 0.9 THEN 1.036 + (sl - 0.85) / 0.05 * 0.246 ELSE 1.282 END, 4) AS z FROM (SELECT sku, 0.4 + lead_time_days / 120 AS sl FROM fx_item_master)""")
+  WHEN sl < 0.9 THEN 1.036 + (sl - 0.85) / 0.05 * 0.246 ELSE 1.282 END, 6) AS z FROM (SELECT sku, 0.4 + lead_time_days / 120 AS sl FROM fx_item_master)""")
 def p12_service_z(spark, sf_dir):
     return tidy(view(spark, sf_dir, "fx_item_master").select("sku", P.z_of(0.4 + F.col("lead_time_days") / 120).alias("z")))
 
@@ -133,8 +133,8 @@ def r06_pipeline_stock(spark, sf_dir):
     return shouldbe(spark, sf_dir).select("sku", "pipeline_qty")
 
 
-@query("""SELECT sku, round(should_be_qty, 4) AS should_be_qty, actual_qty, round(should_be_value, 2) AS should_be_value, round(gap_value, 2) AS gap_value, round(CASE WHEN should_be_qty > 0 THEN actual_qty / should_be_qty END, 4) AS coverage_ratio,
-round(CASE WHEN demand_mean > 0 THEN should_be_qty / (demand_mean * 12 / 365) END, 4) AS should_be_dioh FROM p_gap""")
+@query("""SELECT sku, round(should_be_qty, 6) AS should_be_qty, actual_qty, round(should_be_value, 2) AS should_be_value, round(gap_value, 2) AS gap_value, round(CASE WHEN should_be_qty > 0 THEN actual_qty / should_be_qty END, 6) AS coverage_ratio,
+round(CASE WHEN demand_mean > 0 THEN should_be_qty / (demand_mean * 12 / 365) END, 6) AS should_be_dioh FROM p_gap""")
 def r07_should_be(spark, sf_dir):
     found = shouldbe(spark, sf_dir).select("sku", "should_be_qty", "actual_qty", "should_be_value", "gap_value", "coverage_ratio", "should_be_dioh")
     return tidy(found, should_be_value=2, gap_value=2)
@@ -166,7 +166,7 @@ def lever_results(spark, sf_dir):
     return P.levers(params(spark, sf_dir), on_hand(spark, sf_dir))
 
 
-@query("SELECT sku, lever, round(stock_saving, 2) AS stock_saving, round(ordering_cost, 4) AS ordering_cost, round(stock_saving * 0.22 - ordering_cost, 4) AS net_annual FROM p_lev")
+@query("SELECT sku, lever, round(stock_saving, 2) AS stock_saving, round(ordering_cost, 6) AS ordering_cost, round(stock_saving * 0.22 - ordering_cost, 6) AS net_annual FROM p_lev")
 def r19_levers(spark, sf_dir):
     return tidy(lever_results(spark, sf_dir).select("sku", "lever", "stock_saving", "ordering_cost", "net_annual"), stock_saving=2)
 

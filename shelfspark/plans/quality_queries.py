@@ -25,9 +25,9 @@ def texts(spark, sf_dir):
     return raw(spark, sf_dir).select("qty_text", "date_text", "code_text")
 
 
-@query("""SELECT column_name, rows, non_null, round(1 - non_null / rows, 4) AS null_rate, distinct_values, round(distinct_values / non_null, 4) AS distinct_rate,
+@query("""SELECT column_name, rows, non_null, round(1 - non_null / rows, 6) AS null_rate, distinct_values, round(distinct_values / non_null, 6) AS distinct_rate,
   CASE WHEN numbers / non_null >= 0.9 THEN 'number' WHEN dates / non_null >= 0.8 THEN 'date' ELSE 'text' END AS inferred_type, lo AS min_number, hi AS max_number,
-  round(neg / non_null, 4) AS negative_rate, round(zero / non_null, 4) AS zero_rate
+  round(neg / non_null, 6) AS negative_rate, round(zero / non_null, 6) AS zero_rate
 FROM (SELECT column_name, count(*) AS rows, count(value) AS non_null, count(DISTINCT value) AS distinct_values, count(n) AS numbers, count(d) AS dates, min(n) AS lo, max(n) AS hi, count(*) FILTER (n < 0) AS neg,
   count(*) FILTER (n = 0) AS zero FROM (SELECT *, try_cast(value AS DOUBLE) AS n, try_cast(value AS DATE) AS d FROM q_cells) GROUP BY column_name)""")
 def q01_profile(spark, sf_dir):
@@ -63,7 +63,7 @@ def q05_line_number_like(spark, sf_dir):
     return Q.line_number_like(view(spark, sf_dir, "fx_sales"), "so_line_number")
 
 
-@query("SELECT round(avg(CASE WHEN regexp_matches(c, '^0{2,}\\d+$') AND length(c) >= 8 THEN 1.0 ELSE 0 END), 4) AS share, avg(CASE WHEN regexp_matches(c, '^0{2,}\\d+$') AND length(c) >= 8 THEN 1.0 ELSE 0 END) >= 0.8 AS zero_padded FROM (SELECT lpad(part::VARCHAR, 9, '0') AS c FROM fx_sales)")
+@query("SELECT round(avg(CASE WHEN regexp_matches(c, '^0{2,}\\d+$') AND length(c) >= 8 THEN 1.0 ELSE 0 END), 6) AS share, avg(CASE WHEN regexp_matches(c, '^0{2,}\\d+$') AND length(c) >= 8 THEN 1.0 ELSE 0 END) >= 0.8 AS zero_padded FROM (SELECT lpad(part::VARCHAR, 9, '0') AS c FROM fx_sales)")
 def q06_zero_padded(spark, sf_dir):
     return tidy(Q.zero_padded(view(spark, sf_dir, "fx_sales").select(F.lpad(F.col("part").cast("string"), 9, "0").alias("c")), "c"))
 
@@ -79,7 +79,7 @@ def q08_total_rows(spark, sf_dir):
     return Q.total_rows(rows, ["sku", "name"])
 
 
-@query("""SELECT n AS rows, k AS keys, round(n / k, 4) AS rows_per_key, CASE WHEN a >= b THEN 'part' ELSE 'qty' END AS discriminator FROM (SELECT count(*) AS n, count(DISTINCT (so_number, so_line_number)) AS k,
+@query("""SELECT n AS rows, k AS keys, round(n / k, 6) AS rows_per_key, CASE WHEN a >= b THEN 'part' ELSE 'qty' END AS discriminator FROM (SELECT count(*) AS n, count(DISTINCT (so_number, so_line_number)) AS k,
 count(DISTINCT (so_number, so_line_number, part)) AS a, count(DISTINCT (so_number, so_line_number, qty)) AS b FROM fx_sales)""")
 def q09_grain(spark, sf_dir):
     return tidy(Q.grain(view(spark, sf_dir, "fx_sales"), ["so_number", "so_line_number"], ["part", "qty"]))
@@ -99,12 +99,12 @@ SELECT 'qty_positive' AS assertion, count(*) AS judged, count(*) FILTER (po_qty
 UNION ALL SELECT 'received_after_order', count(receive_date), count(*) FILTER (receive_date < po_date) FROM fx_po_history"""
 
 
-@query("SELECT assertion, judged, failed, round(failed / judged, 4) AS fail_rate FROM q_assert")
+@query("SELECT assertion, judged, failed, round(failed / judged, 6) AS fail_rate FROM q_assert")
 def q11_assertions(spark, sf_dir):
     return tidy(Q.assertions(po(spark, sf_dir), RULES))
 
 
-@query("""SELECT measure, round(before, 4) AS before, round(after, 4) AS after, round((after - before) / abs(before), 4) AS change,
+@query("""SELECT measure, round(before, 6) AS before, round(after, 6) AS after, round((after - before) / abs(before), 6) AS change,
 CASE WHEN abs((after - before) / before) > CASE WHEN measure = 'rows' THEN 0.5 ELSE 0.35 END THEN 'warn' ELSE 'pass' END AS severity FROM (
 SELECT unnest(['rows', 'qty', 'amount']) AS measure, unnest([a, b, c]) AS before, unnest([d, e, f]) AS after FROM
 (SELECT count(*)::DOUBLE AS a, avg(qty) AS b, avg(amount) AS c FROM fx_sales WHERE ship_date < DATE '1998-01-01'), (SELECT count(*)::DOUBLE AS d, avg(qty) AS e, avg(amount) AS f FROM fx_sales WHERE ship_date >= DATE '1998-01-01'))""")
@@ -113,14 +113,14 @@ def q12_load_drift(spark, sf_dir):
     return tidy(Q.load_drift(s.where("ship_date < date'1998-01-01'"), s.where("ship_date >= date'1998-01-01'"), ["qty", "amount"]))
 
 
-@query("""SELECT document, count(*) AS items, round(avg(CASE WHEN seen > 1 THEN 1.0 ELSE 0 END), 4) AS share_known, CASE WHEN avg(CASE WHEN seen > 1 THEN 1.0 ELSE 0 END) < 0.2 THEN 'block' ELSE 'pass' END AS severity
+@query("""SELECT document, count(*) AS items, round(avg(CASE WHEN seen > 1 THEN 1.0 ELSE 0 END), 6) AS share_known, CASE WHEN avg(CASE WHEN seen > 1 THEN 1.0 ELSE 0 END) < 0.2 THEN 'block' ELSE 'pass' END AS severity
 FROM (SELECT *, count(*) OVER (PARTITION BY sku) AS seen FROM (SELECT DISTINCT 'sales' AS document, sku FROM fx_sales UNION ALL SELECT DISTINCT 'open_po', sku FROM fx_open_po UNION ALL SELECT DISTINCT 'master', sku FROM fx_item_master)) GROUP BY document""")
 def q13_sku_agreement(spark, sf_dir):
     v = lambda n: view(spark, sf_dir, n)
     return tidy(Q.sku_agreement({"sales": v("fx_sales"), "open_po": v("fx_open_po"), "master": v("fx_item_master")}))
 
 
-@query("""SELECT supplier, lines, undated, first_order, last_order, round(undated / lines, 4) AS share, CASE WHEN undated / lines > 0.1 THEN 'warn' ELSE 'pass' END AS severity FROM (SELECT supplier, count(*) AS lines,
+@query("""SELECT supplier, lines, undated, first_order, last_order, round(undated / lines, 6) AS share, CASE WHEN undated / lines > 0.1 THEN 'warn' ELSE 'pass' END AS severity FROM (SELECT supplier, count(*) AS lines,
 count(*) FILTER (receive_date IS NULL) AS undated, min(po_date) AS first_order, max(po_date) AS last_order FROM fx_po_history GROUP BY supplier)""")
 def q15_receipt_completeness(spark, sf_dir):
     return tidy(Q.receipt_completeness(po(spark, sf_dir)))
@@ -137,30 +137,30 @@ def q18_demand_gate(spark, sf_dir):
     return Q.demand_gate(series(spark, sf_dir), at())
 
 
-@query("""SELECT w AS wanted, c AS covered, round(c / w, 4) AS share, CASE WHEN c / w < 0.8 THEN 'severe' ELSE 'pass' END AS severity FROM (SELECT count(*) AS w, count(*) FILTER (sku IN (SELECT sku FROM fx_open_po)) AS c FROM (SELECT DISTINCT sku FROM fx_sales))""")
+@query("""SELECT w AS wanted, c AS covered, round(c / w, 6) AS share, CASE WHEN c / w < 0.8 THEN 'severe' ELSE 'pass' END AS severity FROM (SELECT count(*) AS w, count(*) FILTER (sku IN (SELECT sku FROM fx_open_po)) AS c FROM (SELECT DISTINCT sku FROM fx_sales))""")
 def q19_coverage(spark, sf_dir):
     return tidy(Q.coverage(view(spark, sf_dir, "fx_sales"), view(spark, sf_dir, "fx_open_po")))
 
 
 @query("""SELECT 'qty' AS column_name, round(sum(qty), 2) AS total, round(median(qty), 2) AS median, max(qty) AS largest, 1.0::DOUBLE AS whole_share, NULL::DATE AS earliest, NULL::DATE AS latest, NULL::BIGINT AS ahead FROM fx_sales
-UNION ALL SELECT 'amount', round(sum(amount), 2), round(median(amount), 2), max(amount), round(avg(CASE WHEN amount = floor(amount) THEN 1.0 ELSE 0 END), 4), NULL, NULL, NULL FROM fx_sales
+UNION ALL SELECT 'amount', round(sum(amount), 2), round(median(amount), 2), max(amount), round(avg(CASE WHEN amount = floor(amount) THEN 1.0 ELSE 0 END), 6), NULL, NULL, NULL FROM fx_sales
 UNION ALL SELECT 'customer_request_date', NULL, NULL, NULL, NULL, min(customer_request_date), max(customer_request_date), count(*) FILTER (customer_request_date > DATE '2000-01-01') FROM fx_sales""")
 def q21_column_facts(spark, sf_dir):
     return tidy(Q.column_facts(view(spark, sf_dir, "fx_sales"), ["qty", "amount"], ["customer_request_date"], at()), total=2, median=2)
 
 
-@query("SELECT a AS first, b AS shared, round(b / a, 4) AS share FROM (SELECT count(*) AS a, count(*) FILTER (po_number IN (SELECT po_number FROM fx_po_history)) AS b FROM (SELECT DISTINCT po_number FROM fx_open_po))")
+@query("SELECT a AS first, b AS shared, round(b / a, 6) AS share FROM (SELECT count(*) AS a, count(*) FILTER (po_number IN (SELECT po_number FROM fx_po_history)) AS b FROM (SELECT DISTINCT po_number FROM fx_open_po))")
 def q23_shared_numbers(spark, sf_dir):
     return tidy(Q.shared_numbers(view(spark, sf_dir, "fx_open_po"), po(spark, sf_dir), "po_number"))
 
 
-@query("""SELECT 'sku' AS field, count(sku) AS filled, 1.0::DOUBLE AS fill_rate FROM fx_po_history UNION ALL SELECT 'receive_date', count(receive_date), round(count(receive_date) / count(*), 4) FROM fx_po_history UNION ALL SELECT 'moq', 0, 0.0""")
+@query("""SELECT 'sku' AS field, count(sku) AS filled, 1.0::DOUBLE AS fill_rate FROM fx_po_history UNION ALL SELECT 'receive_date', count(receive_date), round(count(receive_date) / count(*), 6) FROM fx_po_history UNION ALL SELECT 'moq', 0, 0.0""")
 def q24_field_fill(spark, sf_dir):
     return tidy(Q.field_fill(po(spark, sf_dir), ["sku", "receive_date", "moq"]))
 
 
 @query("""SELECT 'sku' AS column_name, 0 AS nulls, 0.0::DOUBLE AS null_share, true AS required, 0 AS negatives UNION ALL SELECT 'po_qty', 0, 0.0, false, 0
-UNION ALL SELECT 'receive_date', count(*) FILTER (receive_date IS NULL), round(count(*) FILTER (receive_date IS NULL) / count(*), 4), false, 0 FROM fx_po_history""")
+UNION ALL SELECT 'receive_date', count(*) FILTER (receive_date IS NULL), round(count(*) FILTER (receive_date IS NULL) / count(*), 6), false, 0 FROM fx_po_history""")
 def q27_reader_report(spark, sf_dir):
     return tidy(Q.reader_report(po(spark, sf_dir).select("sku", "po_qty", "receive_date"), ["sku"], ["po_qty"]))
 
@@ -189,7 +189,7 @@ def q14_ordinal_keys(spark, sf_dir):
     return Q.ordinal_keys(view(spark, sf_dir, "fx_sales"), "so_line_number", view(spark, sf_dir, "fx_item_master"))
 
 
-@query("""SELECT n AS items, m AS missing, nf AS no_family, wf AS with_family, round(wf / n, 4) AS coverage, CASE WHEN wf = 0 THEN 'severe' WHEN wf / n < 0.8 THEN 'warn' ELSE 'pass' END AS severity FROM (
+@query("""SELECT n AS items, m AS missing, nf AS no_family, wf AS with_family, round(wf / n, 6) AS coverage, CASE WHEN wf = 0 THEN 'severe' WHEN wf / n < 0.8 THEN 'warn' ELSE 'pass' END AS severity FROM (
 SELECT count(*) AS n, count(*) FILTER (m.sku IS NULL) AS m, count(*) FILTER (m.sku IS NOT NULL AND f IS NULL) AS nf, count(f) AS wf FROM (SELECT DISTINCT sku FROM fx_sales) s
 LEFT JOIN (SELECT sku, CASE WHEN product_family <> 'pumps' THEN product_family END AS f FROM fx_item_master WHERE sku NOT LIKE 'S2-%') m ON m.sku = s.sku)""")
 def q17_product_dimension(spark, sf_dir):
@@ -197,7 +197,7 @@ def q17_product_dimension(spark, sf_dir):
     return tidy(Q.product_dimension(view(spark, sf_dir, "fx_sales"), master))
 
 
-@query("SELECT 'no request date' AS assumption, count(*) FILTER (customer_request_date IS NULL) AS rows, round(count(*) FILTER (customer_request_date IS NULL) / count(*), 4) AS share, round(sum(amount) FILTER (customer_request_date IS NULL), 2) AS money, sum(qty) FILTER (customer_request_date IS NULL) AS qty FROM fx_sales")
+@query("SELECT 'no request date' AS assumption, count(*) FILTER (customer_request_date IS NULL) AS rows, round(count(*) FILTER (customer_request_date IS NULL) / count(*), 6) AS share, round(sum(amount) FILTER (customer_request_date IS NULL), 2) AS money, sum(qty) FILTER (customer_request_date IS NULL) AS qty FROM fx_sales")
 def q22_exposure(spark, sf_dir):
     return tidy(Q.exposure(view(spark, sf_dir, "fx_sales"), "no request date", "customer_request_date is null", "amount", "qty"), money=2)
 

@@ -96,7 +96,7 @@ def r12_realization(spark, sf_dir):
     return R.realization(opened(spark, sf_dir), at())[0]
 
 
-@query("SELECT round(rate, 4) AS portfolio_rate, n AS judged_lines FROM r_rate")
+@query("SELECT round(rate, 6) AS portfolio_rate, n AS judged_lines FROM r_rate")
 def r12_portfolio_realization(spark, sf_dir):
     return tidy(R.realization(opened(spark, sf_dir), at())[1])
 
@@ -119,7 +119,7 @@ def v01_shipped_lines(spark, sf_dir):
     return found.withColumn("days_late", F.col("days_late").cast("long"))
 
 
-@query("""SELECT round(n / nullif(n + late, 0), 4) AS line_rate, round(n / nullif(n + late, 0), 4) AS harsh_rate, round(cn / nullif(call, 0), 4) AS clean_rate, round(v / nullif(va, 0), 4) AS value_rate,
+@query("""SELECT round(n / nullif(n + late, 0), 6) AS line_rate, round(n / nullif(n + late, 0), 6) AS harsh_rate, round(cn / nullif(call, 0), 6) AS clean_rate, round(v / nullif(va, 0), 6) AS value_rate,
   0 AS past_due_lines, 0.0::DOUBLE AS past_due_value FROM (SELECT count(*) FILTER (state = 'on_time') AS n, count(*) FILTER (state = 'shipped_late') AS late,
   count(*) FILTER (state = 'on_time' AND customer_request_date > order_date) AS cn, count(*) FILTER (state IN ('on_time', 'shipped_late') AND customer_request_date > order_date) AS call,
   sum(value) FILTER (state = 'on_time') AS v, sum(value) FILTER (state IN ('on_time', 'shipped_late')) AS va FROM v_ship)""")
@@ -127,20 +127,20 @@ def v03_service_rates(spark, sf_dir):
     return tidy(V.service_rates(shipped(spark, sf_dir)))
 
 
-@query("""SELECT s.state, s.label, coalesce(c.lines, 0) AS lines, round(coalesce(c.lines, 0) / (SELECT count(*) FROM v_ship), 4) AS share FROM (VALUES ('on_time', 'shipped by the requested date'),
+@query("""SELECT s.state, s.label, coalesce(c.lines, 0) AS lines, round(coalesce(c.lines, 0) / (SELECT count(*) FROM v_ship), 6) AS share FROM (VALUES ('on_time', 'shipped by the requested date'),
   ('shipped_late', 'shipped after the requested date'), ('not_yet_due', 'open, requested later'), ('past_due_available', 'open and past due, stock could fill it'),
   ('past_due_short', 'open and past due, stock is short'), ('unjudgeable', 'no requested date')) s(state, label) LEFT JOIN (SELECT state, count(*) AS lines FROM v_ship GROUP BY state) c ON c.state = s.state""")
 def v04_state_counts(spark, sf_dir):
     return tidy(V.state_counts(shipped(spark, sf_dir)))
 
 
-@query("""SELECT lines, missing, same_as_order, before_order, clean, round(clean / lines, 4) AS clean_rate, clean / lines >= 0.7 AS trusted FROM (SELECT count(*) AS lines, count(*) FILTER (customer_request_date IS NULL) AS missing,
+@query("""SELECT lines, missing, same_as_order, before_order, clean, round(clean / lines, 6) AS clean_rate, clean / lines >= 0.7 AS trusted FROM (SELECT count(*) AS lines, count(*) FILTER (customer_request_date IS NULL) AS missing,
   count(*) FILTER (customer_request_date = order_date) AS same_as_order, count(*) FILTER (customer_request_date < order_date) AS before_order, count(*) FILTER (customer_request_date > order_date) AS clean FROM v_ship)""")
 def v05_request_dates(spark, sf_dir):
     return tidy(V.request_date_quality(shipped(spark, sf_dir)))
 
 
-@query(f"""SELECT m.month, coalesce(lines, 0) AS lines, coalesce(on_time, 0) AS on_time, round(on_time / lines, 4) AS rate, coalesce(lines, 0) < 5 AS thin, last_day(m.month) >= {AT} AS partial
+@query(f"""SELECT m.month, coalesce(lines, 0) AS lines, coalesce(on_time, 0) AS on_time, round(on_time / lines, 6) AS rate, coalesce(lines, 0) < 5 AS thin, last_day(m.month) >= {AT} AS partial
 FROM (SELECT unnest(generate_series((SELECT date_trunc('month', min(customer_request_date))::DATE FROM v_ship), (SELECT date_trunc('month', max(customer_request_date))::DATE FROM v_ship), INTERVAL 1 MONTH))::DATE AS month) m
 LEFT JOIN (SELECT date_trunc('month', customer_request_date)::DATE AS month, count(*) AS lines, count(*) FILTER (state = 'on_time') AS on_time FROM v_ship WHERE customer_request_date IS NOT NULL GROUP BY 1) c ON c.month = m.month""")
 def v06_monthly_on_time(spark, sf_dir):
@@ -148,8 +148,8 @@ def v06_monthly_on_time(spark, sf_dir):
 
 
 def _failures(key: str) -> str:
-    return f"""SELECT {key}, failures, judged, round(value, 2) AS value, round(avg_days_late, 4) AS avg_days_late, max_days_late, round(failures / judged, 4) AS rate,
-  round(sum(value) OVER (ORDER BY value DESC, {key} ROWS UNBOUNDED PRECEDING) / sum(value) OVER (), 4) AS cumulative_share
+    return f"""SELECT {key}, failures, judged, round(value, 2) AS value, round(avg_days_late, 6) AS avg_days_late, max_days_late, round(failures / judged, 6) AS rate,
+  round(sum(value) OVER (ORDER BY value DESC, {key} ROWS UNBOUNDED PRECEDING) / sum(value) OVER (), 6) AS cumulative_share
 FROM (SELECT {key}, count(*) FILTER (state = 'shipped_late') AS failures, count(*) AS judged, coalesce(sum(value) FILTER (state = 'shipped_late'), 0) AS value,
   avg(days_late) FILTER (state = 'shipped_late') AS avg_days_late, max(days_late) FILTER (state = 'shipped_late') AS max_days_late FROM v_ship WHERE state <> 'unjudgeable' GROUP BY {key}) WHERE failures > 0"""
 
@@ -174,7 +174,7 @@ def v10_cadence_matrix(spark, sf_dir):
     return matrix(spark, sf_dir)
 
 
-@query("SELECT * REPLACE (round(tolerance_qty, 4) AS tolerance_qty, round(imbalance_pct, 4) AS imbalance_pct) FROM v_met")
+@query("SELECT * REPLACE (round(tolerance_qty, 6) AS tolerance_qty, round(imbalance_pct, 6) AS imbalance_pct) FROM v_met")
 def v11_cadence_metrics(spark, sf_dir):
     return tidy(metrics(spark, sf_dir))
 
@@ -184,31 +184,31 @@ def v12_cadence_verdicts(spark, sf_dir):
     return verdicts(spark, sf_dir).select("sku", "verdict", "expected_orders", "excess_value", "shortfall_value", "avoidable_order_cost", "exposure_value")
 
 
-@query("SELECT verdict, count(*) AS items, round(sum(exposure_value), 2) AS exposure_value, round(count(*) / (SELECT count(*) FROM v_ver), 4) AS share FROM v_ver GROUP BY verdict")
+@query("SELECT verdict, count(*) AS items, round(sum(exposure_value), 2) AS exposure_value, round(count(*) / (SELECT count(*) FROM v_ver), 6) AS share FROM v_ver GROUP BY verdict")
 def v13_verdict_counts(spark, sf_dir):
     return tidy(V.verdict_counts(verdicts(spark, sf_dir)), exposure_value=2)
 
 
-@query("""SELECT sku, bought, round(bought / nullif(daily_demand, 0), 4) AS days_bought, round((bought - 365 * daily_demand) * unit_cost, 2) AS excess_value
+@query("""SELECT sku, bought, round(bought / nullif(daily_demand, 0), 6) AS days_bought, round((bought - 365 * daily_demand) * unit_cost, 2) AS excess_value
 FROM (SELECT sku, sum(po_qty) AS bought FROM fx_po_history WHERE po_date > DATE '1999-01-01' GROUP BY sku) JOIN v_daily USING (sku) JOIN fx_item_master USING (sku) WHERE daily_demand = 0 OR bought / nullif(daily_demand, 0) > 365""")
 def v14_over_ordering(spark, sf_dir):
     demand = daily(spark, sf_dir).join(view(spark, sf_dir, "fx_item_master").select("sku", "unit_cost"), "sku")
     return tidy(V.over_ordering(view(spark, sf_dir, "fx_po_history"), demand, at()), excess_value=2)
 
 
-@query("""SELECT sku, orders, round(m, 4) AS mean_lot, round(cv, 4) AS lot_cv FROM (SELECT sku, count(*) AS orders, avg(po_qty) AS m, stddev_samp(po_qty) / avg(po_qty) AS cv
+@query("""SELECT sku, orders, round(m, 6) AS mean_lot, round(cv, 6) AS lot_cv FROM (SELECT sku, count(*) AS orders, avg(po_qty) AS m, stddev_samp(po_qty) / avg(po_qty) AS cv
 FROM fx_po_history WHERE po_qty > 0 GROUP BY sku) WHERE orders >= 4 AND cv > 0.6""")
 def v15_erratic_lots(spark, sf_dir):
     return tidy(V.erratic_lots(view(spark, sf_dir, "fx_po_history")))
 
 
-@query("""SELECT sku, orders, air_orders, round(air_spend, 2) AS air_spend, round(air_orders / orders, 4) AS air_share FROM (SELECT sku, count(*) AS orders, count(*) FILTER (transport_mode = 'AIR') AS air_orders,
+@query("""SELECT sku, orders, air_orders, round(air_spend, 2) AS air_spend, round(air_orders / orders, 6) AS air_share FROM (SELECT sku, count(*) AS orders, count(*) FILTER (transport_mode = 'AIR') AS air_orders,
 sum(po_amount) FILTER (transport_mode = 'AIR') AS air_spend FROM fx_po_history GROUP BY sku) WHERE orders >= 3 AND air_orders / orders >= 0.3""")
 def v16_air_freight(spark, sf_dir):
     return tidy(V.air_freight(view(spark, sf_dir, "fx_po_history")), air_spend=2)
 
 
-@query(f"""SELECT sku, days_left, horizon, inbound_before, round(qty_at_risk, 4) AS qty_at_risk, round(qty_at_risk * unit_cost, 2) AS value_at_risk, days_left <= 30 AS urgent FROM (
+@query(f"""SELECT sku, days_left, horizon, inbound_before, round(qty_at_risk, 6) AS qty_at_risk, round(qty_at_risk * unit_cost, 2) AS value_at_risk, days_left <= 30 AS urgent FROM (
 SELECT *, floor((qty_on_hand + inbound_before) / daily_demand)::BIGINT AS days_left, greatest(horizon * daily_demand - qty_on_hand - inbound_before, 0) AS qty_at_risk FROM (
 SELECT s.sku, qty_on_hand, s.unit_cost, daily_demand, CASE WHEN lead_time_days > 0 THEN lead_time_days ELSE 180.0 END AS horizon,
   coalesce((SELECT sum(open_qty) FROM fx_open_po p WHERE p.sku = s.sku AND committed_delivery >= {AT} AND committed_delivery <= {AT} + floor(qty_on_hand / daily_demand)::INT), 0) AS inbound_before
@@ -218,7 +218,7 @@ def v17_stockout_forecast(spark, sf_dir):
     return tidy(V.stockout_forecast(stock(spark, sf_dir), daily(spark, sf_dir), view(spark, sf_dir, "fx_open_po"), lead, at()), value_at_risk=2)
 
 
-@query("""SELECT s.sku, qty_on_hand, round(qty_on_hand / nullif(coalesce(daily_demand, 0), 0), 4) AS cover_days, round(qty_on_hand * unit_cost, 2) AS stock_value FROM s_stock s LEFT JOIN v_daily d ON d.sku = s.sku
+@query("""SELECT s.sku, qty_on_hand, round(qty_on_hand / nullif(coalesce(daily_demand, 0), 0), 6) AS cover_days, round(qty_on_hand * unit_cost, 2) AS stock_value FROM s_stock s LEFT JOIN v_daily d ON d.sku = s.sku
 WHERE qty_on_hand > 0 AND (coalesce(daily_demand, 0) = 0 OR qty_on_hand / nullif(daily_demand, 0) > 365)""")
 def v18_slow_burn(spark, sf_dir):
     return tidy(V.slow_burn(stock(spark, sf_dir), daily(spark, sf_dir)), stock_value=2)

@@ -215,7 +215,7 @@ def s12_unit_rounding(spark, sf_dir):
     return view(spark, sf_dir, "fx_sales").select("so_number", "so_line_number", "sku", "part", "qty", S.rounded_quantity(F.col("qty") * 0.37, uom).alias("rounded"))
 
 
-@query("""SELECT sku, CASE WHEN unit_cost > 0 AND lead_time_days > 0 THEN round(sqrt(2 * (lead_time_days * 12) * 350 / (unit_cost * 0.22)), 4) END AS eoq,
+@query("""SELECT sku, CASE WHEN unit_cost > 0 AND lead_time_days > 0 THEN round(sqrt(2 * (lead_time_days * 12) * 350 / (unit_cost * 0.22)), 6) END AS eoq,
   CASE WHEN lead_time_days * 1.7 > 0 THEN ceil(greatest(lead_time_days * 1.7, min_order_qty) / order_multiple) * order_multiple ELSE 0 END AS lot FROM fx_item_master""")
 def r01_r02_lot_sizes(spark, sf_dir):
     eoq = R.economic_order_quantity(F.col("lead_time_days") * 12, F.col("unit_cost"), 350.0, 0.22)
@@ -229,7 +229,7 @@ def r03_safety_stock(spark, sf_dir):
     return safety(spark, sf_dir).select("sku", "safety_stock", "demand_during_lt", "demand_during_exposure", "reorder_point", "ss_exposure_days", "ss_coverage_days")
 
 
-@query("SELECT sku, should_be_inventory, round(surplus_deficit, 4) AS surplus_deficit, days_of_supply, inventory_status FROM (SELECT * REPLACE (round(should_be_inventory, 4) AS should_be_inventory) FROM r_proj)")
+@query("SELECT sku, should_be_inventory, round(surplus_deficit, 6) AS surplus_deficit, days_of_supply, inventory_status FROM (SELECT * REPLACE (round(should_be_inventory, 6) AS should_be_inventory) FROM r_proj)")
 def r09_projection(spark, sf_dir):
     return tidy(projection(spark, sf_dir).select("sku", "should_be_inventory", "surplus_deficit", "days_of_supply", "inventory_status"))
 
