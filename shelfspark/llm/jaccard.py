@@ -96,6 +96,16 @@ def count_vector(tokens: np.ndarray) -> np.ndarray:
     return np.bincount((tokens >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k).astype(np.uint32)
 
 
+def packed_vector(tokens: np.ndarray) -> bytes:
+    """A count vector in bytes: one for each count (the first byte is 1), or four where a count needs them (4)."""
+    v = count_vector(tokens)
+    return b"\x01" + v.astype(np.uint8).tobytes() if v.max() < 256 else b"\x04" + v.tobytes()
+
+
+def unpacked(point: bytes) -> np.ndarray:
+    return np.frombuffer(point, np.uint8 if point[0] == 1 else np.uint32, offset=1).astype(np.int64)
+
+
 def folded(v: np.ndarray, size: int) -> np.ndarray:
     """A count vector over fewer groups; groups are prefixes of the hash, so neighbours add up."""
     return v.reshape(size, -1).sum(1)
@@ -139,6 +149,27 @@ def bounded_pairs(points: list[np.ndarray], sizes: np.ndarray, parts: np.ndarray
     return np.concatenate(a), np.concatenate(b)
 
 
+def _possible(pairs: DataFrame, points: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) whose summed coordinate minima reach the overlap that is needed. points: (sid, point), a row a set."""
+    both = pairs.join(points.select(F.col("sid").alias("b"), F.col("point").alias("pb")), "b")
+    both = both.join(points.select(F.col("sid").alias("a"), F.col("point").alias("pa")), "a")
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for (na, nb, ka, kb), part in pdf.groupby([pdf.pa.map(len), pdf.pb.map(len), pdf.pa.map(lambda p: p[0]), pdf.pb.map(lambda p: p[0])]):
+                sides = []
+                for column, n, kind in ((part.pa, na, ka), (part.pb, nb, kb)):
+                    raw = np.frombuffer(b"".join(column), np.uint8).reshape(len(part), n)[:, 1:]
+                    sides.append((raw if kind == 1 else np.ascontiguousarray(raw).view(np.uint32)).astype(np.int64))
+                width = min(x.shape[1] for x in sides)
+                a, b = (x.reshape(len(part), width, -1).sum(2) for x in sides)
+                out.append(part[np.minimum(a, b).sum(1) >= rule.least_overlap(a.sum(1), b.sum(1))])
+            yield pd.concat(out)[["a", "b"]] if out else pdf[["a", "b"]]
+
+    return both.select("a", "b", "pa", "pb").mapInPandas(check, "a long, b long")
+
+
 def _compared(pairs: DataFrame, texts: DataFrame, k: int, rule: Rule) -> DataFrame:
     """Pairs (a, b) of set ids with their Jaccard similarity, and whether they link. texts: (sid, text), a row a set."""
     first = pairs.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b")
@@ -202,7 +233,7 @@ def jaccard_components(
         out = []
         for at in range(0, len(batch), 256):
             for s in token_sets([bytes(t) for t in batch.iloc[at : at + 256]], k):
-                out.append((len(s), set_id(s) if len(s) else None, count_vector(s).tobytes() if len(s) else None))
+                out.append((len(s), set_id(s) if len(s) else None, packed_vector(s) if len(s) else None))
         return pd.DataFrame(out, columns=["n", "sid", "point"]).astype({"sid": "Int64"})
 
     known = rows.withColumn("x", describe("text")).select("doc_id", "row", "x.*", F.octet_length("text").alias("bytes"))
@@ -271,9 +302,11 @@ def jaccard_components(
     needed = star.select(F.col("a").alias("sid")).unionByName(star.select(F.col("b").alias("sid"))).distinct()
     chosen = known.where("sid is not null").groupBy("sid").agg(F.min("row").alias("row"), F.first("point").alias("point"))
     chosen = keep(chosen.join(needed, "sid"), "chosen")
+    possible = keep(_possible(star, chosen, rule), "possible")
+
     texts = rows.select("row", "text").join(chosen.select("sid", "row"), "row").select("sid", "text").dropDuplicates(["sid"])
     texts = keep(texts, "texts")
-    seen = keep(_compared(star, texts, k, rule), "compared")
+    seen = keep(_compared(possible, texts, k, rule), "compared")
     links = seen.where("ok").select("a", "b")
     nodes = components(links)
 
@@ -282,11 +315,11 @@ def jaccard_components(
     # what is nearest to a page's first set lies nearest to the middle of its copies: all that are still apart meet it
     middle = seen.join(still.select("page").distinct(), F.col("a") == F.col("page"), "left_semi")
     middle = middle.groupBy(F.col("a").alias("page")).agg(F.min_by("b", F.struct(-F.col("near"), F.col("b"))).alias("middle"))
-    still = still.join(middle, "page").select(F.col("middle").alias("page"), "sid", "part")
+    still = still.join(middle, "page", "left").select(F.coalesce("middle", "page").alias("page"), "sid", "part")
     still = keep(still.unionByName(still.select("page", F.col("page").alias("sid"), F.lit(None).cast("long").alias("part"))).groupBy("page", "sid").agg(F.max("part").alias("part")), "open")
     home = still.where("page = sid").select("page", F.col("part").alias("home"))
     again = still.join(home, "page").where("sid <> page and (home is null or part <> home)").select(F.col("page").alias("a"), F.col("sid").alias("b"))
-    late = keep(_compared(again, texts, k, rule), "compared")
+    late = keep(_compared(keep(_possible(again, chosen, rule), "possible"), texts, k, rule), "compared")
     links = links.unionByName(late.where("ok").select("a", "b"))
     if not late.where("ok").isEmpty():
         nodes = components(links)
@@ -306,7 +339,7 @@ def jaccard_components(
         """Sets that the bounds leave a partner in their pair of blocks."""
         out = []
         for _, part in pdf.groupby(["page", "i", "j"]):
-            points = [np.frombuffer(p, np.uint32) for p in part.point]
+            points = [unpacked(bytes(p)) for p in part.point]
             a, b = bounded_pairs(points, np.array([int(p.sum()) for p in points]), part.part.to_numpy(np.int64), rule)
             across = (part.own.to_numpy()[a] != part.own.to_numpy()[b]) | (part.i.iloc[0] == part.j.iloc[0])
             out.append(part.iloc[np.unique(np.concatenate((a[across], b[across])))])
