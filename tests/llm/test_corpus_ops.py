@@ -203,7 +203,9 @@ def test_lm_probabilities_add_up():
     model = lm.new_model(head, np.arange(10, 0, -1), 5, 4, 1)
     ids = rng.integers(0, 11, (4000, 3))
     ids[:, 2] = (ids[:, 1] + 1) % 11
-    lm.nce_steps(model, ids, np.full(11, 1 / 11), rng, [])
+    state = []
+    for _ in range(5):  # 4000 rows are one batch of the default size, a single step
+        lm.nce_steps(model, ids, np.full(11, 1 / 11), rng, state, batch=64)
     near, far, norm = model.tables()
     p = np.exp(near[:, None] + far[None] - norm[:, :, None])
     assert np.allclose(p.sum(2), 1, atol=1e-4)
