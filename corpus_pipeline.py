@@ -26,11 +26,11 @@ def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated 400-byte strings; documents of which nothing stays go.
+    """Texts without their repeated 400-byte strings and repeated passages of over 50 words; documents of which nothing stays go.
 
-    Every copy of a repeated string goes. Where a cut splits a character its bytes become a replacement character.
+    Every copy of a repeated string or passage goes. Where a cut splits a character its bytes become a replacement character.
     """
-    found = remove_repeats(docs)
+    found = remove_repeats(docs, words=51)
     clean = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.make_valid_utf8(F.col("kept").cast("string")))
     found = found.withColumn("text", clean).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return found.where(F.octet_length("kept") > 0).select(*docs.columns)

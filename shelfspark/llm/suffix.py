@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import mix64, powers, prefix_hash, row_key, text_of
+from shelfspark.llm.common import is_space, mix64, powers, prefix_hash, row_key, text_of, word_hashes
 
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -150,7 +150,38 @@ def _deal(part: np.ndarray, parts: int, *columns: np.ndarray) -> list[tuple]:
 
 
 def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 400, gram: int = 100, part_bytes: int = 16 << 20) -> DataFrame:
-    """(row, spans): for every row key with repeats, the maximal byte spans covered by n-byte strings that start elsewhere, too.
+    """(row, spans): for every row key with repeats, the maximal byte spans covered by n-byte strings that start elsewhere, too."""
+    return _repeats(docs.select(row_key(key, text).alias("row"), text_of(text).cast("binary").alias("text")), n, gram, part_bytes)
+
+
+#: Bytes that stand for a word where repeated passages are looked for.
+_CODE = 4
+
+
+def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 51, part_bytes: int = 16 << 20) -> DataFrame:
+    """(row, passages): for every row key with repeats, the maximal runs of words (numbers, the end excluded) covered by passages of that many words that start elsewhere, too.
+
+    A word is a maximal run without white space; white space itself is not compared. Words become codes of four bytes,
+    in which repeated strings of so many codes are found; the ends of a found span that split a code are chance.
+    """
+
+    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), 512):
+                part = pdf.iloc[lo : lo + 512]
+                found, at = word_hashes([bytes(t) for t in part.text], lower=False)
+                data = (found >> np.uint64(32)).astype("<u4").tobytes()
+                yield pd.DataFrame({"row": part.row, "text": [data[_CODE * a : _CODE * b] for a, b in zip(at, at[1:], strict=False)]})
+
+    rows = docs.select(row_key(key, text).alias("row"), text_of(text).cast("binary").alias("text")).where(F.octet_length("text") >= 2 * words - 1)
+    found = _repeats(rows.mapInPandas(coded, "row long, text binary"), _CODE * words, _CODE * max(1, words // 4), part_bytes)
+    inward = lambda s: F.struct(F.ceil(s.lo / _CODE).alias("lo"), F.floor(s.hi / _CODE).alias("hi"))
+    passages = F.filter(F.transform("spans", inward), lambda s: s.hi - s.lo >= words)
+    return found.select("row", passages.alias("passages")).where(F.size("passages") > 0)
+
+
+def _repeats(rows: DataFrame, n: int, gram: int, part_bytes: int) -> DataFrame:
+    """(row, spans) of rows (row, text): see `repeated_spans`.
 
     Each window of n bytes has an anchor that depends on its bytes only (winnow). Anchors are counted over the corpus;
     documents with repeated anchors give those anchors' contexts, dealt to parts by anchor. A part interleaves the
@@ -158,9 +189,9 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     from `n` bytes after the anchor to the first window's start, byte by byte, and reads repeated intervals off the
     common prefixes. Equal contexts of one shard travel once.
     """
-    rows = docs.select(row_key(key, text).alias("row"), text_of(text).cast("binary").alias("text")).where(F.octet_length("text") >= n)
+    rows = rows.where(F.octet_length("text") >= n)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = int(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // part_bytes)))
+    parts = int(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // part_bytes)))
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, owners, size = [], [], 0
@@ -253,18 +284,45 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     return found.groupBy("part").applyInPandas(merge, "row long, spans array<struct<lo: long, hi: long>>")
 
 
-def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 400, gram: int = 100) -> DataFrame:
+def passage_bytes(text: bytes, passages: list) -> list[tuple[int, int]]:
+    """Byte spans of runs of words; white space before the first word and after the last one goes with these."""
+    edge = np.diff(np.concatenate(([1], is_space(np.frombuffer(text, np.uint8)).view(np.int8), [1])))
+    begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    return [(0 if p["lo"] == 0 else int(begin[p["lo"]]), len(text) if p["hi"] == len(end) else int(end[p["hi"] - 1])) for p in passages]
+
+
+_SPANS = "array<struct<lo: long, hi: long>>"
+
+
+def _joined(text: pd.Series, spans: pd.Series, passages: pd.Series) -> pd.Series:
+    """Union of byte spans and passages; null where the text is null."""
+
+    def union(t: bytes, found: list, runs: list) -> list[dict]:
+        both = np.array([(s["lo"], s["hi"]) for s in found] + passage_bytes(bytes(t), runs), np.int64)
+        return [{"lo": a, "hi": b} for a, b in _merged(both[:, 0], both[:, 1])]
+
+    return pd.Series([None if t is None else union(t, f, r) for t, f, r in zip(text, spans, passages, strict=True)])
+
+
+def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 400, gram: int = 100, words: int | None = None) -> DataFrame:
     """Adds kept (the bytes that stay, in order) and spans (the maximal removed runs, by byte) to every row.
 
     A byte goes when an n-byte string that covers it also starts at any other place of any document, its own included.
+    With `words`, so do passages of that many words and more that also start at another place, whatever their bytes.
     Texts are UTF-8 bytes, strings never cross documents, and all are judged on the input. Null text is empty; texts
-    under n bytes stay whole. Rows that repeat are documents of their own, so such texts of n bytes and more go whole.
-    An empty table gives an empty result. Columns of those two names are replaced.
+    under n bytes (and under `words` words) stay whole. Rows that repeat are documents of their own, so such texts of n
+    bytes and more go whole. An empty table gives an empty result. Columns of those two names are replaced.
     """
     spans = repeated_spans(docs, key=key, text=text, n=n, gram=gram)
-    none = F.array().cast("array<struct<lo: long, hi: long>>")
+    if words:
+        spans = spans.join(repeated_passages(docs, key=key, text=text, words=words), "row", "full")
+    none = F.array().cast(_SPANS)
     out = docs.drop("kept", "spans").withColumn("_row", row_key(key, text)).join(spans.withColumnRenamed("row", "_row"), "_row", "left")
     out = out.withColumn("spans", F.coalesce("spans", none)).withColumn("_data", text_of(text).cast("binary"))
+    if words:
+        met = F.when(F.size("passages") > 0, F.col("_data"))  # only these texts go to Python
+        joined = F.pandas_udf(_joined, _SPANS)(met, F.col("spans"), F.coalesce("passages", none))
+        out = out.withColumn("spans", F.coalesce(joined, "spans")).drop("passages")
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s.hi))
     ends = F.concat(F.transform("spans", lambda s: s.lo), F.array(F.octet_length("_data").cast("long")))
     gaps = F.arrays_zip(starts.alias("a"), ends.alias("b"))

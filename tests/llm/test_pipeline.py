@@ -7,6 +7,8 @@ import pytest
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
 
+from shelfspark.llm import suffix  # noqa: E402
+
 
 def test_pipeline_runs_and_its_stages_take_effect(spark, tmp_path):
     rng = random.Random(3)
@@ -39,3 +41,36 @@ def test_pipeline_runs_and_its_stages_take_effect(spark, tmp_path):
     assert kept["source_mix"].count() > 0 and kept["retrieval_packing"].count() > 0
     assert ids["retrieval_packing"] == ids["source_mix"]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_pipeline_cuts_passages_of_51_words_and_leaves_50(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(1, 8)))
+    make = lambda n: " ".join(word() for _ in range(n))
+    over, under, spaced = make(51), make(50), make(51)
+    assert len(over) < 400 and len(spaced) < 400
+    own = [make(40) for _ in range(7)]
+    texts = [f"{own[0]} {over} {own[1]}", f"{over} {own[2]}", f"{own[3]} {under} {own[4]}", under, f"{own[5]} {spaced}", f"{own[6]}\n" + spaced.replace(" ", "\n"), None, " "]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int")
+    found = {r.doc_id: r.text for r in corpus_pipeline.remove_repeated_strings(spark, docs, "").collect()}
+    assert found == {0: f"{own[0]}  {own[1]}", 1: f" {own[2]}", 2: texts[2], 3: under, 4: f"{own[5]} ", 5: f"{own[6]}\n", 7: " "}
+
+
+@pytest.mark.parametrize("words", [3, 51])
+def test_repeated_passages_against_brute_force(spark, words):
+    rng = random.Random(words)
+    pool = [" ".join(rng.choice(["a", "bb", "c", "dé", "É"]) + str(rng.randrange(40)) for _ in range(words + rng.randrange(-1, 20))) for _ in range(6)]
+    texts = ["  ".join(rng.choice(pool) if rng.random() < 0.5 else str(rng.random()) for _ in range(rng.randrange(1, 6))) for _ in range(60)]
+    split = [t.split() for t in texts]
+    places: dict[tuple, list[tuple[int, int]]] = {}
+    for i, t in enumerate(split):
+        for a in range(len(t) - words + 1):
+            places.setdefault(tuple(t[a : a + words]), []).append((i, a))
+    gone = [[False] * len(t) for t in split]
+    for at in places.values():
+        for i, a in at if len(at) > 1 else []:
+            gone[i][a : a + words] = [True] * words
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = suffix.remove_repeats(docs, n=10_000, words=words).collect()
+    assert {r.doc_id: bytes(r.kept).decode().split() for r in found} == {i: [w for w, x in zip(t, g, strict=True) if not x] for i, (t, g) in enumerate(zip(split, gone, strict=True))}
+    assert any(map(any, gone)) and not all(map(all, gone))
