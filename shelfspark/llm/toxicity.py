@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,69 @@ def term_counts(texts: list[bytes], terms: np.ndarray) -> list[tuple[np.ndarray,
     return [(pairs[a:b] % len(terms), n[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
 
 
+def word_counts(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each whole text the hashes of its words, rising, and how often each stands there."""
+    words, at = word_hashes(texts)
+    return [np.unique(words[a:b], return_counts=True) for a, b in zip(at, at[1:], strict=False)]
+
+
+class AllWords:
+    """Exact cosines of unit TF-IDF vectors over every word of the examples; frequent words are a dense table, others lists."""
+
+    def __init__(self, examples: list[tuple[np.ndarray, np.ndarray]]):
+        self.n = len(examples)
+        rows = np.repeat(np.arange(self.n, dtype=np.int32), [len(w) for w, _ in examples])
+        self.terms, term = np.unique(np.concatenate([w for w, _ in examples]), return_inverse=True)
+        df = np.bincount(term, minlength=len(self.terms))
+        self.idf = np.log((self.n + 1) / (df + 1)) + 1
+        weights = (1 + np.log(np.concatenate([c for _, c in examples]))) * self.idf[term]
+        weights /= np.sqrt(np.bincount(rows, weights * weights, self.n))[rows]
+        order = np.argsort(term, kind="stable")
+        self.rows, self.weights, self.cut = rows[order], weights[order], np.concatenate(([0], np.cumsum(df)))
+        self.often = np.flatnonzero(df > max(64, self.n // 16))  # under 16 times the words of a mean example
+        self._table: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_table": None}
+
+    def table(self) -> np.ndarray:
+        if self._table is None:
+            self._table = np.zeros((len(self.often), self.n))
+            for i, t in enumerate(self.often):
+                self._table[i, self.rows[self.cut[t] : self.cut[t + 1]]] = self.weights[self.cut[t] : self.cut[t + 1]]
+        return self._table
+
+    def known(self, words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words that the examples hold, and how often each stands in the text."""
+        spot = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
+        hit = self.terms[spot] == words
+        return spot[hit], n[hit]
+
+    def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int, but: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text's (terms, counts) the k examples of highest cosine (above 0; ties: smaller number), exactly."""
+        often, rare = np.zeros((len(texts), len(self.often))), []
+        for i, (t, n) in enumerate(texts):
+            w = (1 + np.log(n)) * self.idf[t]
+            w = w / np.sqrt((w * w).sum())
+            spot = np.minimum(np.searchsorted(self.often, t), max(len(self.often) - 1, 0))
+            dense = self.often[spot] == t if len(self.often) else np.zeros(len(t), bool)
+            often[i, spot[dense]] = w[dense]
+            rare.append((t[~dense], w[~dense]))
+        out = []
+        for i, (scores, (t, w)) in enumerate(zip(often @ self.table(), rare, strict=True)):
+            size = self.cut[t + 1] - self.cut[t]
+            ends = np.cumsum(size)
+            at = np.repeat(self.cut[t] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+            scores += np.bincount(self.rows[at], self.weights[at] * np.repeat(w, size), self.n)
+            if but is not None:
+                scores[but[i]] = 0
+            least = np.partition(scores, self.n - k)[self.n - k] if k < self.n else 0.0
+            found = np.flatnonzero((scores >= least) & (scores > 0))
+            found = found[np.lexsort((found, -scores[found]))[:k]]
+            out.append((found, scores[found]))
+        return out
+
+
 @dataclass
 class BlockMaxIndex:
     """Inverted lists of unit TF-IDF vectors, and the largest weight of each term in each block of examples."""
@@ -40,6 +104,8 @@ class BlockMaxIndex:
     most: np.ndarray | None = None
     prior: float = 0.0
     knots: tuple[np.ndarray, np.ndarray] | None = None
+    full: AllWords | None = None
+    full_knots: tuple[np.ndarray, np.ndarray] | None = None
 
     def weigh(self, terms: np.ndarray, n: np.ndarray) -> np.ndarray:
         w = (1 + np.log(n)) * self.idf[terms]
@@ -94,8 +160,9 @@ class BlockMaxIndex:
         w = 1 / (1.02 - np.minimum(cosines, 1.0))
         return float((w @ self.toxic[rows] + self.prior) / (w.sum() + 1))
 
-    def calibrated(self, raw: float) -> float:
-        return float(np.interp(raw, *self.knots)) if self.knots is not None else raw
+    def calibrated(self, raw: float, full: bool = False) -> float:
+        knots = self.full_knots if full else self.knots
+        return float(np.interp(raw, *knots)) if knots is not None else raw
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, bins: int = 20) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +196,9 @@ def fit_index(
 
     Terms are the at most `max_terms` words that stand out most in toxic examples: their share of toxic documents is at
     least `lift` times the sample's, by so much that about `chance_terms` words would do as well by chance (Chernoff
-    bound over all words tried). Their idf counts all documents. Leave-one-out votes of the examples calibrate scores.
+    bound over all words tried). Their idf counts all documents. A second index holds every word of the examples, with
+    idf over these, for texts without such terms. Leave-one-out votes of all examples calibrate scores: of those with
+    terms in the first index, of the others in the second.
     """
     spark = docs.sparkSession
     held = labels.where(learn & F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("y"))
@@ -182,10 +251,13 @@ def fit_index(
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [r for lo in range(0, len(pdf), 512) for r in term_counts([bytes(x) for x in pdf.text.iloc[lo : lo + 512]], shared.value)]
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "y": pdf.y, "t": [t.astype(np.int16).tobytes() for t, _ in found], "n": [n.astype(np.int32).tobytes() for _, n in found]})
+            texts = [[bytes(x) for x in pdf.text.iloc[lo : lo + 512]] for lo in range(0, len(pdf), 512)]
+            found = [r for part in texts for r in term_counts(part, shared.value)]
+            every = [r for part in texts for r in word_counts(part)]
+            some = {"t": [t.astype(np.int16).tobytes() for t, _ in found], "n": [n.astype(np.int32).tobytes() for _, n in found]}
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "y": pdf.y, **some, "words": [w.tobytes() for w, _ in every], "counts": [n.astype(np.int32).tobytes() for _, n in every]})
 
-    kept = chosen.mapInPandas(vectors, "doc_id long, y long, t binary, n binary").toPandas()
+    kept = chosen.mapInPandas(vectors, "doc_id long, y long, t binary, n binary, words binary, counts binary").toPandas()
     kept = kept.assign(first=[int(np.frombuffer(t, np.int16)[0]) if len(t) else -1 for t in kept.t]).sort_values(["y", "first", "doc_id"], ascending=[False, True, True], ignore_index=True)
     index = BlockMaxIndex(terms, idf, kept.doc_id.to_numpy(np.int64), kept.y.to_numpy(float))
     counts = [(np.frombuffer(t, np.int16).astype(np.int64), np.frombuffer(n, np.int32)) for t, n in zip(kept.t, kept.n, strict=True)]
@@ -194,18 +266,26 @@ def fit_index(
     empty = np.array([not len(t) for t, _ in unit])
     index.prior = float((index.toxic[empty].sum() + p) / (empty.sum() + 1))
     some = np.flatnonzero(~empty)
-    some = some[:: max(1, len(some) // 3000)]
     raw = np.array([index.vote(*index.nearest(*unit[i], k, i)) for i in some])
     if len(some) >= 20:
         index.knots = isotonic(raw, index.toxic[some])
+    every = [(np.frombuffer(w, np.uint64), np.frombuffer(n, np.int32)) for w, n in zip(kept.words, kept.counts, strict=True)]
+    full = AllWords(every)
+    if len(full.terms):
+        index.full = full
+        some = np.array([i for i in np.flatnonzero(empty) if len(every[i][0])], np.int64)
+        near = [r for lo in range(0, len(some), 256) for r in full.nearest([full.known(*every[i]) for i in some[lo : lo + 256]], k, some[lo : lo + 256])]
+        if len(some) >= 20:
+            index.full_knots = isotonic(np.array([index.vote(*r) for r in near]), index.toxic[some])
     return index
 
 
 def score_toxicity(docs: DataFrame, index: BlockMaxIndex, *, text: str = "text", k: int = 24, evidence: int = 3) -> DataFrame:
     """Adds tox_score (0 to 1) and tox_evidence, the nearest examples with their cosines and labels, to every row.
 
-    The whole text counts. Texts without any of the index's terms (null and empty ones, too) get the share of toxic
-    examples among examples without terms. Equal term vectors get equal answers; ties go to the example that comes
+    The whole text counts. Texts without any of the index's terms are held against all words of the examples; those that
+    share no word with any example (null and empty ones, too) get the share of toxic examples among examples without
+    terms. Equal term vectors get equal answers; ties go to the example that comes
     first. Repeated rows are scored alike. Columns of those two names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -213,21 +293,37 @@ def score_toxicity(docs: DataFrame, index: BlockMaxIndex, *, text: str = "text",
     @F.pandas_udf("score double, evidence array<struct<doc_id: long, cosine: double, toxic: int>>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         index, known = shared.value, {}
+
+        def answer(rows: np.ndarray, cos: np.ndarray, full: bool) -> tuple:
+            near = [{"doc_id": int(index.ids[r]), "cosine": float(c), "toxic": int(index.toxic[r])} for r, c in zip(rows[:evidence], cos[:evidence], strict=True)]
+            return index.calibrated(index.vote(rows, cos), full), near
+
         for batch in batches:
             out = []
             for lo in range(0, len(batch), 512):
-                for t, n in term_counts([bytes(x) for x in batch.iloc[lo : lo + 512]], index.terms):
+                texts = [bytes(x) for x in batch.iloc[lo : lo + 512]]
+                names, wanted, plain = [], {}, []
+                for i, (t, n) in enumerate(term_counts(texts, index.terms)):
+                    names.append((t.tobytes(), n.tobytes()))
                     if not len(t):
-                        out.append((index.prior, []))
-                        continue
-                    name = (t.tobytes(), n.tobytes())
-                    if name not in known:
-                        if len(known) > 50_000:
-                            known.clear()
-                        rows, cos = index.nearest(t, index.weigh(t, n), k)
-                        near = [{"doc_id": int(index.ids[r]), "cosine": float(c), "toxic": int(index.toxic[r])} for r, c in zip(rows[:evidence], cos[:evidence], strict=True)]
-                        known[name] = (index.calibrated(index.vote(rows, cos)), near)
-                    out.append(known[name])
+                        plain.append(i)
+                    elif names[i] not in known:
+                        known[names[i]] = answer(*index.nearest(t, index.weigh(t, n), k), False)
+                if index.full is not None:
+                    for i, (w, n) in zip(plain, word_counts([texts[i] for i in plain]), strict=True):
+                        t, n = index.full.known(w, n)
+                        if len(t):
+                            names[i] = (blake2b(t.tobytes() + n.tobytes(), digest_size=16).digest(), "all words")
+                            if names[i] not in known:
+                                wanted[names[i]] = (t, n)
+                asked = list(wanted)
+                for at in range(0, len(asked), 256):
+                    part = asked[at : at + 256]
+                    for name, found in zip(part, index.full.nearest([wanted[x] for x in part], k), strict=True):
+                        known[name] = answer(*found, True)
+                out += [known[x] if x[0] else (index.prior, []) for x in names]
+                if len(known) > 50_000:
+                    known.clear()
             yield pd.DataFrame(out, columns=["score", "evidence"])
 
     out = docs.drop("tox_score", "tox_evidence").withColumn("_found", score(text_of(text).cast("binary")))

@@ -409,6 +409,46 @@ def test_toxicity(spark, hard, nothing):
     assert toxicity.score_toxicity(nothing, index).count() == 0
 
 
+def test_toxicity_of_texts_without_a_selected_term(spark):
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(60):  # words of two toxic examples each: too few to be selected
+        own = [f"f{i}x{j}" for j in range(25)]
+        for copy in range(3):
+            rows.append((3 * i + copy, " ".join(own[:copy] + own[copy + 1 :])))
+            labels.append((3 * i + copy, 1))
+    for i in range(1000, 1800):
+        rows.append((i, words(rng, 60, 2000)))
+        labels.append((i, 0))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    held = F.col("doc_id") % 3 == 0
+    index = toxicity.fit_index(docs, marks, ~held)
+    found = toxicity.score_toxicity(docs, index).join(marks, "doc_id").where(held).collect()
+    assert not any(len(toxicity.term_counts([t.encode()], index.terms)[0][0]) for i, t in rows if i < 1000)
+    assert all((r.tox_score >= 0.3) == bool(r.toxic) for r in found)
+    assert all(r.tox_evidence[0].toxic == r.toxic for r in found)
+
+
+def test_cosines_over_all_words_are_exact():
+    rng = np.random.default_rng(9)
+    rows = []
+    for _ in range(400):
+        t = np.unique(np.minimum(rng.zipf(1.3, 12), 300)).astype(np.uint64)
+        rows.append((t, rng.integers(1, 5, len(t))))
+    index = toxicity.AllWords(rows)
+    assert 0 < len(index.often) < len(index.terms)
+    dense = np.zeros((400, len(index.terms)))
+    for i, (t, n) in enumerate(rows):
+        dense[i, np.searchsorted(index.terms, t)] = (1 + np.log(n)) * index.idf[np.searchsorted(index.terms, t)]
+    dense /= np.linalg.norm(dense, axis=1)[:, None]
+    asked = np.arange(0, 400, 16)
+    for i, (found, cos) in zip(asked, index.nearest([index.known(*rows[i]) for i in asked], 7, asked), strict=True):
+        all_cos = dense @ dense[i]
+        all_cos[i] = 0
+        best = np.sort(all_cos)[::-1][:7]
+        assert np.allclose(cos, best[best > 0]) and np.allclose(all_cos[found], cos) and i not in found
+
+
 def test_nearest_examples_are_exact():
     rng = np.random.default_rng(7)
     terms = np.sort(rng.integers(0, 1 << 63, 50, dtype=np.uint64))
