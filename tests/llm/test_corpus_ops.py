@@ -333,6 +333,24 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [16, 64])
+def test_near_duplicates_by_default_find_close_calls(spark, size):
+    rng = np.random.default_rng(size)
+    rows, pairs = [], 1000
+    for i in range(pairs):
+        a, b = rng.standard_normal((2, size))
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        cos = rng.uniform(0.9801, 0.985)
+        rows += [(2 * i, a.tolist(), 1), (2 * i + 1, (cos * a + math.sqrt(1 - cos * cos) * b / np.linalg.norm(b)).tolist(), 1)]
+    unit = np.array([r[1] for r in rows])
+    linked = np.triu(unit @ unit.T >= 0.98, 1).sum()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    recall = neardup.near_duplicates(df).agg(F.sum("n_links")).first()[0] / 2 / linked
+    print(f"recall at cosine 0.98 to 0.985, {size} components, {linked} pairs: {recall:.3f}")
+    assert linked >= pairs and recall >= 0.9
+
+
 def test_e8_points():
     x = np.random.default_rng(1).standard_normal((2000, 8)) * 3
     p = neardup.e8(x)
