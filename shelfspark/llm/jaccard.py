@@ -1,4 +1,4 @@
-"""Shingle-set similarity join: pages of a count-vector index, bounds by summed coordinate minima, exact verification."""
+"""Shingle-set similarity join: a count-vector R-tree in pages, bounds by summed coordinate minima, exact verification."""
 
 from __future__ import annotations
 
@@ -6,19 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.llm.common import keep, mix64, release, row_key, shingle_hashes, text_of, word_hashes
 from shelfspark.llm.components import components
 
-#: Sizes are cut into bands that grow by this ratio.
-BAND = 1.25
-#: Token groups beyond those that differing tokens can touch; a set may leave that many crowded pages out.
-SLACK = 3
-#: Tokens for each coordinate of a count vector, about.
-TOKENS_A_GROUP = 8
+#: Tokens for each coordinate of a count vector: between this and half of it.
+TOKENS_A_GROUP = 4
+#: Cells of the sketch that says which tokens are frequent, as a power of two, and its pieces: fixed at every size.
+CELLS, PIECES = 20, 256
 
 
 class Rule:
@@ -33,29 +32,9 @@ class Rule:
     def least_overlap(self, n, m):
         return -(-self.num * (n + m) // (self.den + self.num))
 
-    def band(self, b: int) -> tuple[int, int, int]:
-        """First size, tokens in which two sets of the band can differ, and number of token groups."""
-        low, high = self._edges(b)
-        apart = 2 * (high - 1) * (self.den - self.num) // (self.den + self.num)
-        return low, apart, apart + 1 + (SLACK if apart else 0)
-
-    @staticmethod
-    def _edges(b: int) -> tuple[int, int]:
-        low, high = 1, 2
-        for _ in range(b):
-            low, high = high, max(high + 1, int(high * BAND))
-        return low, high
-
-    def bands(self, n: int) -> list[int]:
-        """Bands in which a set of n tokens stands: its own, and those of its possible larger partners."""
-        b = 0
-        while self._edges(b)[1] <= n:
-            b += 1
-        found = [b]
-        while self._edges(b + 1)[0] * self.num <= n * self.den:
-            b += 1
-            found.append(b)
-        return found
+    def prefix(self, n: int) -> int:
+        """Tokens of a set of n, first ones in any order that all sets share, of which a linked set holds one among its own."""
+        return n - -(-self.num * n // self.den) + 1
 
 
 def token_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -68,32 +47,32 @@ def set_id(tokens: np.ndarray) -> int:
     return int(mix64(np.array([mix64(tokens ^ np.uint64(77)).sum(dtype=np.uint64) + np.uint64(len(tokens))]))[0].view(np.int64))
 
 
-def page_keys(tokens: np.ndarray, rule: Rule, bands: list[tuple[int, int, int]]) -> np.ndarray:
-    """Keys of the index pages where a set stands: one for each band and non-empty token group, over all of its tokens.
+def page_keys(tokens: np.ndarray, rule: Rule, level: np.ndarray) -> np.ndarray:
+    """Tokens under which a set stands in the index: its first ones in the order of (level of frequency, hash).
 
-    Two sets that link differ in fewer tokens than a band has groups, so they agree in full on some groups and share
-    those pages. The low four bits hold how many crowded pages the set may leave out: groups in excess, less its empty
-    ones. A set with too many empty groups stands in one further page of the band.
+    Two sets that link have in common at least num / den of the larger one; so the first common token, in an order that
+    is the same for all sets, lies in the prefix of both. Rare tokens come first, so that passages which many documents
+    share bring those together only whose shared part is most of the text. The levels touch the work, never the result.
     """
-    mixed = mix64(tokens)
-    high = tokens >> np.uint64(32)
-    out = []
-    for b, apart, groups in bands:
-        g = (high * np.uint64(groups)) >> np.uint64(32)
-        start = np.concatenate(([0], np.flatnonzero(np.diff(g)) + 1))
-        sums = np.add.reduceat(mixed, start)
-        keys = mix64(sums + mix64(g[start] + np.uint64(1_000_003 * (b + 1))))
-        spare = groups - apart - 1 - (groups - len(start))
-        if spare < 0:
-            keys = np.append(keys, mix64(np.array([b + 1], np.uint64)))
-        out.append((keys & ~np.uint64(15)) | np.uint64(min(max(spare, 0), 15)))
-    return np.concatenate(out)
+    most = rule.prefix(len(tokens))
+    return tokens[np.argsort(level[(tokens >> np.uint64(64 - CELLS)).astype(np.int64)], kind="stable")[:most]]
+
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    """Level of each cell: 0 where its tokens are no more than chance, then one more for each doubling above."""
+    mean = counts.mean() if len(counts) else 0.0
+    apart = max(30.0, 6 * mean**0.5)
+    return np.floor(np.log2(np.maximum((counts - mean) / apart, 0.5)) + 1).astype(np.uint8)
 
 
 def count_vector(tokens: np.ndarray) -> np.ndarray:
-    """Numbers of tokens in 2**k groups by hash, where 2**k is about size / TOKENS_A_GROUP and at least 16."""
-    k = max(4, int(max(len(tokens), 1) // TOKENS_A_GROUP).bit_length())
-    return np.bincount((tokens >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k).astype(np.uint32)
+    """Numbers of tokens in 2**k groups by hash, where 2**k is more than size / TOKENS_A_GROUP and at least 16."""
+    k = max(4, int(len(tokens) // TOKENS_A_GROUP).bit_length())
+    return np.bincount((tokens >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k).astype(np.uint16)
+
+
+def read_point(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint16).astype(np.int64)
 
 
 def folded(v: np.ndarray, size: int) -> np.ndarray:
@@ -102,46 +81,76 @@ def folded(v: np.ndarray, size: int) -> np.ndarray:
 
 
 class RTree:
-    """Count vectors packed in order of size into leaves with their largest coordinates, and leaves into nodes."""
+    """Count vectors in order of size, packed into leaves, and leaves into nodes; each has its largest coordinates and sizes.
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, parts: np.ndarray, leaf: int = 16):
-        self.points, self.sizes, self.parts, self.leaf = points, sizes, parts, leaf
-        cut = np.arange(0, len(points), leaf)
-        self.most = np.maximum.reduceat(points, cut, axis=0)
-        self.smallest = np.minimum.reduceat(sizes, cut)
-        self.largest = np.maximum.reduceat(sizes, cut)
-        low, high = np.minimum.reduceat(parts, cut), np.maximum.reduceat(parts, cut)
-        self.only = np.where(low == high, low, -1)
+    What a box admits is bounded by the sum of the smaller of the point's and the box's coordinates, group by group.
+    """
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, parts: np.ndarray, fan: int = 16):
+        self.points, self.sizes, self.parts, self.fan = points, sizes, parts, fan
+        self.levels = [(points, sizes, sizes, parts)]  # points, then leaves, then nodes: largest coordinates, sizes, only part
+        while len(self.levels[-1][0]) > fan or len(self.levels) == 1:
+            most, low, high, only = self.levels[-1]
+            cut = np.arange(0, len(most), fan)
+            a, b = np.minimum.reduceat(only, cut), np.maximum.reduceat(only, cut)
+            self.levels.append((np.maximum.reduceat(most, cut, axis=0), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.where(a == b, a, -1)))
 
     def search(self, i: int, rule: Rule) -> np.ndarray:
         """Points after i, of another part, whose overlap with point i can be large enough."""
-        p, n = self.points[i], self.sizes[i]
-        need = rule.least_overlap(n, np.maximum(self.smallest, n))
-        leaves = np.flatnonzero((self.largest >= n) & (self.smallest * rule.num <= n * rule.den) & (self.only != self.parts[i]))
-        leaves = leaves[leaves >= i // self.leaf]
-        leaves = leaves[np.minimum(self.most[leaves], p).sum(1) >= need[leaves]]
-        rows = (leaves[:, None] * self.leaf + np.arange(self.leaf)).reshape(-1)
-        rows = rows[(rows > i) & (rows < len(self.points))]
-        rows = rows[self.parts[rows] != self.parts[i]]
-        return rows[np.minimum(self.points[rows], p).sum(1) >= rule.least_overlap(n, self.sizes[rows])]
+        p, n, part = self.points[i], self.sizes[i], self.parts[i]
+        here = np.arange(len(self.levels[-1][0]))
+        for depth in range(len(self.levels) - 1, -1, -1):
+            most, low, high, only = self.levels[depth]
+            here = here[(here >= i // self.fan**depth) & (high[here] >= n) & (low[here] * rule.num <= n * rule.den) & (only[here] != part)]
+            here = here[np.minimum(most[here], p).sum(1) >= rule.least_overlap(n, np.maximum(low[here], n))]
+            if depth:
+                here = (here[:, None] * self.fan + np.arange(self.fan)).reshape(-1)
+                here = here[here < len(self.levels[depth - 1][0])]
+        return here[here > i]
 
 
 def bounded_pairs(points: list[np.ndarray], sizes: np.ndarray, parts: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different parts that the summed coordinate minima leave possible."""
-    width = min(len(p) for p in points)
-    order = np.argsort(sizes, kind="stable")
-    tree = RTree(np.array([folded(points[i], width) for i in order], np.int64), sizes[order], parts[order])
-    a, b = [], []
-    for i in range(len(order)):
-        found = tree.search(i, rule)
-        a.append(np.full(len(found), order[i]))
-        b.append(order[found])
+    """Pairs of different parts that the summed coordinate minima leave possible.
+
+    Sets that link are of sizes that differ by den / num at most, and so are their vectors' widths, which are powers of
+    two: a tree holds the points of a width and the wider ones within reach, folded to it.
+    """
+    widths = np.array([len(p) for p in points])
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    reach = 2 * rule.den // rule.num + 1
+    for width in np.unique(widths):
+        here = np.flatnonzero((widths >= width) & (widths <= reach * width))
+        order = here[np.argsort(sizes[here], kind="stable")]
+        own = widths[order] == width
+        tree = RTree(np.array([folded(points[i], width) for i in order], np.int64), sizes[order], parts[order])
+        for i in range(len(order)):
+            found = tree.search(i, rule)
+            found = found if own[i] else found[own[found]]  # pairs of wider points have a tree of their own
+            a.append(np.full(len(found), order[i]))
+            b.append(order[found])
     return np.concatenate(a), np.concatenate(b)
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, k: int, rule: Rule) -> DataFrame:
-    """Pairs (a, b) of set ids with their Jaccard similarity, and whether they link. texts: (sid, text), a row a set."""
-    first = pairs.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b")
+def _compared(pairs: DataFrame, points: DataFrame, texts: DataFrame, k: int, rule: Rule) -> DataFrame:
+    """Pairs (a, b) of set ids with their Jaccard similarity, and whether they link; pairs that the bounds exclude are absent.
+
+    points: (sid, point), texts: (sid, text), a row a set. Texts travel only to the pairs that the bounds leave.
+    """
+
+    @F.pandas_udf("boolean")
+    def admits(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            p, q = read_point(x), read_point(y)
+            width = min(len(p), len(q))
+            both = int(np.minimum(folded(p, width), folded(q, width)).sum())
+            out.append(rule.links(int(p.sum()), int(q.sum()), both))
+        return pd.Series(out, dtype=bool)
+
+    met = pairs.join(points.select(F.col("sid").alias("b"), F.col("point").alias("pb")), "b")
+    met = met.join(points.select(F.col("sid").alias("a"), F.col("point").alias("pa")), "a").where(admits("pa", "pb"))
+    met = keep(met.select("a", "b"), "bounded")
+    first = met.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b")
     both = first.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,8 +181,7 @@ def jaccard_components(
     words: int = 5,
     num: int = 80,
     den: int = 100,
-    crowd: int = 200,
-    block: int = 256,
+    block: int = 512,
     page_bytes: int = 32 << 20,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, row) of every document; documents link when den * both >= num * either.
@@ -181,14 +189,13 @@ def jaccard_components(
     A text's set: distinct `words`-word shingles of its words, A-Z lower-cased; with fewer words the whole sequence as
     one; without words it is empty and links with nothing. component_id is the smallest key reachable by links.
 
-    Equal sets are one set from the start. Sets stand in pages of the index (page_keys): sets that link share a page
-    for certain. A page with more than `crowd` sets may be left out by a set as often as its spare groups allow, most
-    crowded first, which loses no link. In each page every set is compared with the page's first one, and what is then
-    still apart with the set nearest to that. Where a page still holds several components, an R-tree over its sets' count
-    vectors finds the sets that have a partner in another component whose summed coordinate minima reach the overlap that
-    is needed. Only these texts travel; their pairs are verified on whole token sets, and a task returns links that span
-    what it found, never all pairs. Pages are cut into blocks of `block` sets, and each pair of blocks is a group of its
-    own.
+    Equal sets are one set from the start. Every set is a point of the index, its count vector, and stands in the pages
+    of its prefix (page_keys): sets that link share a page for certain. Each page compares its sets with its first one,
+    and what is then still apart with the set nearest to that, rows in proportion to the page. Where a page still holds
+    several components, an R-tree over its points finds the sets that have a partner in another component. In all three
+    rounds the summed coordinate minima of two points decide first; only texts of pairs that they admit travel, and these
+    are verified on whole token sets. Of the R-tree's pairs a task returns links that span what it found, never all of
+    them. Such pages are cut into blocks of `block` sets, and each pair of blocks is a group of its own.
 
     Null text counts as text without words. A null key gives a row whose component may be null. Rows that repeat are
     documents of their own. An empty table gives an empty result. Extra columns are ignored; `row` is a content key.
@@ -197,32 +204,55 @@ def jaccard_components(
     k = words
     rows = docs.select(F.col(key).alias("doc_id"), row_key(key, text).alias("row"), text_of(text).cast("binary").alias("text"))
 
-    @F.pandas_udf("n long, sid long, point binary")
-    def describe(batch: pd.Series) -> pd.DataFrame:
-        out = []
-        for at in range(0, len(batch), 256):
-            for s in token_sets([bytes(t) for t in batch.iloc[at : at + 256]], k):
-                out.append((len(s), set_id(s) if len(s) else None, count_vector(s).tobytes() if len(s) else None))
-        return pd.DataFrame(out, columns=["n", "sid", "point"]).astype({"sid": "Int64"})
-
-    known = rows.withColumn("x", describe("text")).select("doc_id", "row", "x.*", F.octet_length("text").alias("bytes"))
-    known = keep(known, "sets")
+    kind = docs.schema[key].dataType.simpleString()
+    form = f"doc_id {kind}, row long, n long, sid long, point binary, bytes long, piece int, cells binary"
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row a document, and at last the task's counts of tokens by cell, in pieces."""
+        counts, schema = np.zeros(1 << CELLS, np.uint32), None
+        for batch in batches:
+            out, seen = [], []
+            for at in range(0, batch.num_rows, 256):
+                sets = token_sets(batch.column("text").slice(at, 256).to_pylist(), k)
+                out += [(len(s), set_id(s), count_vector(s).tobytes()) if len(s) else (0, None, None) for s in sets]
+                seen += [s >> np.uint64(64 - CELLS) for s in sets]
+            if seen:
+                counts += np.bincount(np.concatenate(seen).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+            n, sid, point = zip(*out, strict=True) if out else ((), (), ())
+            doc, row, text = (batch.column(c) for c in ("doc_id", "row", "text"))
+            none = [None] * len(out)
+            columns = [doc, row, pa.array(n, "int64"), pa.array(sid, "int64"), pa.array(point, "binary"), pc.binary_length(text).cast("int64"), pa.array(none, "int32"), pa.array(none, "binary")]
+            made = pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n", "sid", "point", "bytes", "piece", "cells"])
+            schema = made.schema
+            yield made
+        if schema is not None:
+            pieces = np.minimum(counts, 65535).astype(np.uint16).reshape(PIECES, -1)
+            last = [pa.nulls(PIECES, f.type) for f in schema][:6] + [pa.array(range(PIECES), "int32"), pa.array([x.tobytes() for x in pieces], "binary")]
+            yield pa.RecordBatch.from_arrays(last, schema=schema)
+
+    described = keep(rows.mapInArrow(describe, form), "sets")
+    known = described.where("piece is null").select("doc_id", "row", "n", "sid", "point", "bytes")
     total = known.agg(F.sum("bytes")).first()[0] or 0
     parts = int(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // page_bytes)))
 
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = sum(np.frombuffer(c, np.uint16).astype(np.int64) for c in pdf.cells)
+        return pd.DataFrame({"piece": pdf.piece.iloc[:1], "cells": [found.tobytes()]})
+
+    counted = described.where("piece is not null").select("piece", "cells").groupBy("piece").applyInPandas(added, "piece int, cells binary")
+    counted = [np.frombuffer(r.cells, np.int64) for r in sorted(counted.collect())]  # 8 MB in all, whatever the input
+    level = docs.sparkSession.sparkContext.broadcast(levels(np.concatenate(counted) if counted else np.zeros(1 << CELLS)))
+
     def stand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         held, ids, n = [], [], 0
-        plans: dict[int, list[tuple[int, int, int]]] = {}
         for pdf in batches:
             for at in range(0, len(pdf), 256):
                 for tokens in token_sets([bytes(t) for t in pdf.text.iloc[at : at + 256]], k):
                     if not len(tokens) or (sid := set_id(tokens)) in seen:
                         continue
                     seen.add(sid)
-                    if len(tokens) not in plans:
-                        plans[len(tokens)] = [(b, *rule.band(b)[1:]) for b in rule.bands(len(tokens))]
-                    held.append(page_keys(tokens, rule, plans[len(tokens)]))
+                    held.append(page_keys(tokens, rule, level.value))
                     ids.append((sid, len(held[-1])))
                     n += len(held[-1])
                 if n >= 1 << 20:
@@ -232,68 +262,48 @@ def jaccard_components(
             yield _dealt(held, ids, parts)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of a page's first set and each other one, once a part."""
         blobs = [np.frombuffer(b, np.uint64).reshape(2, -1) for b in pdf.blob]
-        keys, sids = np.concatenate([b[0] for b in blobs]), np.concatenate([b[1] for b in blobs]).view(np.int64)
-        order = np.argsort(keys >> np.uint64(4), kind="stable")
-        keys, sids = keys[order], sids[order]
-        page = keys >> np.uint64(4)
+        page, sids = np.concatenate([b[0] for b in blobs]), np.concatenate([b[1] for b in blobs]).view(np.int64)
+        order = np.argsort(page, kind="stable")
+        page, sids = page[order], sids[order]
         same = page[1:] == page[:-1]
         shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        keys, sids, page = keys[shared], sids[shared], page[shared]
-        order = np.lexsort((sids, page))
-        keys, sids, page = keys[order], sids[order], page[order]
-        again = np.concatenate(([False], (page[1:] == page[:-1]) & (sids[1:] == sids[:-1])))
-        keys, sids, page = keys[~again], sids[~again], page[~again]
+        page, sids = page[shared], sids[shared]
         start = np.flatnonzero(np.concatenate(([True], page[1:] != page[:-1]))) if len(page) else np.zeros(0, np.int64)
-        n = np.diff(np.concatenate((start, [len(page)])))
-        first, count = np.repeat(sids[start], n), np.repeat(n, n)
-        calm = (count <= crowd) & (sids != first)
-        pairs = np.unique(np.stack([first[calm], sids[calm]], 1), axis=0) if calm.any() else np.zeros((0, 2), np.int64)
-        full = count > crowd
-        return pd.DataFrame(
-            {
-                "a": np.concatenate((pairs[:, 0], np.zeros(full.sum(), np.int64))),
-                "b": np.concatenate((pairs[:, 1], sids[full])),
-                "page": np.concatenate((np.zeros(len(pairs), np.int64), page[full].view(np.int64))),
-                "n": np.concatenate((np.zeros(len(pairs), np.int64), count[full])),
-                "spare": np.concatenate((np.zeros(len(pairs), np.int64), (keys[full] & np.uint64(15)).astype(np.int64))),
-            }
-        )
+        first = np.repeat(np.minimum.reduceat(sids, start), np.diff(np.append(start, len(page)))) if len(page) else sids
+        apart = first != sids
+        pairs = np.unique(np.stack([first[apart], sids[apart]], 1), axis=0) if apart.any() else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     stood = rows.select("text").mapInPandas(stand, "part int, blob binary")
-    found = keep(stood.groupBy("part").applyInPandas(meet, "a long, b long, page long, n long, spare long"), "met")
-    most_crowded = W.partitionBy("b").orderBy(F.desc("n"), "page")
-    full = found.where("n > 0").withColumn("place", F.row_number().over(most_crowded)).where("place > spare")
-    first = full.groupBy("page").agg(F.min("b").alias("a"))
-    starred = full.select("page", "b").join(first, "page").where("a <> b").select("a", "b")
-    star = keep(found.where("n = 0").select("a", "b").unionByName(starred).distinct(), "pairs")
+    star = keep(stood.groupBy("part").applyInPandas(meet, "a long, b long").distinct(), "pairs")
 
     needed = star.select(F.col("a").alias("sid")).unionByName(star.select(F.col("b").alias("sid"))).distinct()
     chosen = known.where("sid is not null").groupBy("sid").agg(F.min("row").alias("row"), F.first("point").alias("point"))
     chosen = keep(chosen.join(needed, "sid"), "chosen")
     texts = rows.select("row", "text").join(chosen.select("sid", "row"), "row").select("sid", "text").dropDuplicates(["sid"])
     texts = keep(texts, "texts")
-    seen = keep(_compared(star, texts, k, rule), "compared")
+    seen = keep(_compared(star, chosen, texts, k, rule), "compared")
     links = seen.where("ok").select("a", "b")
     nodes = components(links)
 
-    member = star.unionByName(star.select("a", F.col("a").alias("b")).distinct()).select(F.col("a").alias("page"), F.col("b").alias("sid"))
-    still = keep(_open_pages(member, nodes), "open")
+    # a pivot that has met all of its page leaves it
+    still = keep(_open_pages(star.select(F.col("a").alias("page"), F.col("b").alias("sid")), nodes), "open")
     # what is nearest to a page's first set lies nearest to the middle of its copies: all that are still apart meet it
-    middle = seen.join(still.select("page").distinct(), F.col("a") == F.col("page"), "left_semi")
-    middle = middle.groupBy(F.col("a").alias("page")).agg(F.min_by("b", F.struct(-F.col("near"), F.col("b"))).alias("middle"))
-    still = still.join(middle, "page").select(F.col("middle").alias("page"), "sid", "part")
-    still = keep(still.unionByName(still.select("page", F.col("page").alias("sid"), F.lit(None).cast("long").alias("part"))).groupBy("page", "sid").agg(F.max("part").alias("part")), "open")
-    home = still.where("page = sid").select("page", F.col("part").alias("home"))
-    again = still.join(home, "page").where("sid <> page and (home is null or part <> home)").select(F.col("page").alias("a"), F.col("sid").alias("b"))
-    late = keep(_compared(again, texts, k, rule), "compared")
+    near = seen.groupBy(F.col("a").alias("page")).agg(F.min_by("b", F.struct(-F.col("near"), F.col("b"))).alias("near"))
+    middle = still.groupBy("page").agg(F.min("sid").alias("next")).join(near, "page", "left").select("page", F.coalesce("near", "next").alias("middle"))
+    still = keep(still.join(middle, "page").select(F.col("middle").alias("page"), "sid", "part").where("page <> sid").distinct(), "open")
+    homes = nodes.select(F.col("node").alias("page"), F.col("component").alias("home"))
+    again = still.join(homes, "page", "left").where("part <> coalesce(home, page)").select(F.col("page").alias("a"), F.col("sid").alias("b"))
+    late = keep(_compared(again, chosen, texts, k, rule), "compared")
     links = links.unionByName(late.where("ok").select("a", "b"))
     if not late.where("ok").isEmpty():
         nodes = components(links)
+        homes = nodes.select(F.col("node").alias("page"), F.col("component").alias("home"))
 
     rest = _open_pages(still.select("page", "sid"), nodes)
-    home = rest.where("page = sid").select("page", F.col("part").alias("home"))
-    rest = rest.join(home, "page").withColumn("main", F.col("part") == F.col("home"))
+    rest = rest.join(homes, "page", "left").withColumn("main", F.col("part") == F.coalesce("home", "page")).drop("home")
     # sets of the middle's component never need to meet each other: they go to the other sets' blocks only
     counts = rest.groupBy("page").agg(F.ceil(F.count_if("main") / block).cast("int").alias("mm"), F.ceil(F.count_if(~F.col("main")) / block).cast("int").alias("mo"))
     spot = F.xxhash64(F.lit(2), "sid")
@@ -306,7 +316,7 @@ def jaccard_components(
         """Sets that the bounds leave a partner in their pair of blocks."""
         out = []
         for _, part in pdf.groupby(["page", "i", "j"]):
-            points = [np.frombuffer(p, np.uint32) for p in part.point]
+            points = [read_point(p) for p in part.point]
             a, b = bounded_pairs(points, np.array([int(p.sum()) for p in points]), part.part.to_numpy(np.int64), rule)
             across = (part.own.to_numpy()[a] != part.own.to_numpy()[b]) | (part.i.iloc[0] == part.j.iloc[0])
             out.append(part.iloc[np.unique(np.concatenate((a[across], b[across])))])
@@ -317,7 +327,7 @@ def jaccard_components(
         for (i, j, _), part in pdf.groupby(["i", "j", "page"]):
             sets = token_sets([bytes(t) for t in part.text], k)
             sid, own = part.sid.to_numpy(np.int64), part.own.to_numpy()
-            a, b = bounded_pairs([count_vector(s) for s in sets], np.array([len(s) for s in sets]), part.part.to_numpy(np.int64), rule)
+            a, b = bounded_pairs([count_vector(s).astype(np.int64) for s in sets], np.array([len(s) for s in sets]), part.part.to_numpy(np.int64), rule)
             across = (own[a] != own[b]) | (i == j)
             out.append(sid[spanning_links(sets, a[across], b[across], rule)])
         pairs = np.unique(np.concatenate(out), axis=0)
@@ -338,10 +348,10 @@ def jaccard_components(
 
 
 def _open_pages(member: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(page, sid, part) of pages of more than two sets that lie in several components."""
+    """(page, sid, part) of pages whose sets lie in several components."""
     rows = member.join(nodes, F.col("sid") == F.col("node"), "left").select("page", "sid", F.coalesce("component", "sid").alias("part"))
-    ends = rows.groupBy("page").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"))
-    return rows.join(ends.where("low <> high and n > 2").select("page"), "page")
+    ends = rows.groupBy("page").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    return rows.join(ends.where("low <> high").select("page"), "page")
 
 
 def spanning_links(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, rule: Rule) -> np.ndarray:
@@ -382,7 +392,7 @@ def _dealt(held: list[np.ndarray], ids: list[tuple[int, int]], parts: int) -> pd
     """Page keys and set ids, packed by the part of the index where the page lies."""
     keys = np.concatenate(held)
     sids = np.repeat(np.array([i for i, _ in ids], np.int64), [n for _, n in ids]).view(np.uint64)
-    part = (mix64(keys >> np.uint64(4)) % np.uint64(parts)).astype(np.int64)
+    part = (mix64(keys) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     cut = np.searchsorted(part[order], np.arange(parts + 1))
     full = np.flatnonzero(np.diff(cut))
