@@ -42,10 +42,32 @@ def release(kept: DataFrame) -> None:
     path.getFileSystem(kept.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a key filter, of 64 bits each: a constant, so it may be broadcast whatever the number of keys.
+FILTER_ROWS = 1 << 17
+
+
+def may_hold(df: DataFrame, key: str, keys: DataFrame, flag: str) -> DataFrame:
+    """Adds `flag`: false only where the long `key` is certainly not among the keys (column `key`, materialised).
+
+    A bit for each hashed key, in at most FILTER_ROWS rows; more keys only make more rows come out true.
+    """
+    at = F.pmod(F.xxhash64(F.lit(5), key), F.lit(64 * FILTER_ROWS))
+    bits = keys.select(at.alias("_at")).groupBy(F.shiftright("_at", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_at & 63 as int))")).alias("_bits"))
+    out = df.withColumn("_at", at).withColumn("_word", F.shiftright("_at", 6)).join(F.broadcast(bits), "_word", "left")
+    return out.withColumn(flag, F.coalesce(F.expr("bit_get(_bits, cast(_at & 63 as int)) = 1"), F.lit(False))).drop("_at", "_word", "_bits")
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have yet."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def remainder(column: str, of: int) -> Column:
     """crc32 of an id as text, modulo `of`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % of
