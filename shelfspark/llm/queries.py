@@ -19,11 +19,12 @@ def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shelfspark.llm.suffix import remove_repeats
 
-    found = remove_repeats(_documents(spark, sf_dir))
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.hi - s.lo)
+    found = remove_repeats(_documents(spark, sf_dir), words=51, cut=False)
+    covered = lambda runs: F.aggregate(runs, F.lit(0).cast("long"), lambda n, s: n + s.hi - s.lo)
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
     return found.select(
-        "doc_id", size.alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+        "doc_id", size.alias("n_bytes"), covered("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        covered("passages").alias("n_passage_words"),
     )
 
 

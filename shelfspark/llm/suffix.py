@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import is_space, mix64, powers, prefix_hash, row_key, text_of, word_hashes
+from shelfspark.llm.common import is_space, keep, may_hold, mix64, powers, prefix_hash, row_key, text_of, word_hashes
 
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -151,7 +151,8 @@ def _deal(part: np.ndarray, parts: int, *columns: np.ndarray) -> list[tuple]:
 
 def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 400, gram: int = 100, part_bytes: int = 16 << 20) -> DataFrame:
     """(row, spans): for every row key with repeats, the maximal byte spans covered by n-byte strings that start elsewhere, too."""
-    return _repeats(docs.select(row_key(key, text).alias("row"), text_of(text).cast("binary").alias("text")), n, gram, part_bytes)
+    rows = docs.select(row_key(key, text).alias("row"), text_of(text).cast("binary").alias("text")).where(F.octet_length("text") >= n)
+    return _repeats(rows, _parts(rows, part_bytes), n, gram)
 
 
 #: Bytes that stand for a word where repeated passages are looked for.
@@ -174,24 +175,27 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
                 yield pd.DataFrame({"row": part.row, "text": [data[_CODE * a : _CODE * b] for a, b in zip(at, at[1:], strict=False)]})
 
     rows = docs.select(row_key(key, text).alias("row"), text_of(text).cast("binary").alias("text")).where(F.octet_length("text") >= 2 * words - 1)
-    found = _repeats(rows.mapInPandas(coded, "row long, text binary"), _CODE * words, _CODE * max(1, words // 4), part_bytes)
+    found = _repeats(rows.mapInPandas(coded, "row long, text binary"), _parts(rows, part_bytes), _CODE * words, _CODE * max(1, words // 4))
     inward = lambda s: F.struct(F.ceil(s.lo / _CODE).alias("lo"), F.floor(s.hi / _CODE).alias("hi"))
     passages = F.filter(F.transform("spans", inward), lambda s: s.hi - s.lo >= words)
     return found.select("row", passages.alias("passages")).where(F.size("passages") > 0)
 
 
-def _repeats(rows: DataFrame, n: int, gram: int, part_bytes: int) -> DataFrame:
+def _parts(rows: DataFrame, part_bytes: int) -> int:
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return int(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // part_bytes)))
+
+
+def _repeats(rows: DataFrame, parts: int, n: int, gram: int) -> DataFrame:
     """(row, spans) of rows (row, text): see `repeated_spans`.
 
     Each window of n bytes has an anchor that depends on its bytes only (winnow). Anchors are counted over the corpus;
     documents with repeated anchors give those anchors' contexts, dealt to parts by anchor. A part interleaves the
     contexts of all shards (map tasks) page by page, where a page is an anchor: it refines the order of all suffixes
     from `n` bytes after the anchor to the first window's start, byte by byte, and reads repeated intervals off the
-    common prefixes. Equal contexts of one shard travel once.
+    common prefixes. Equal contexts of one shard travel once. Texts without repeated anchors don't travel, but for what
+    the fixed size of the key filter lets through.
     """
-    rows = rows.where(F.octet_length("text") >= n)
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = int(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // part_bytes)))
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, owners, size = [], [], 0
@@ -220,7 +224,7 @@ def _repeats(rows: DataFrame, n: int, gram: int, part_bytes: int) -> DataFrame:
         return pd.DataFrame({"row": owners[often], "key": (keys[often] >> np.uint64(1)).view(np.int64)})
 
     marked = rows.mapInPandas(mark, "part int, keys binary, rows binary").groupBy("part").applyInPandas(repeated, "row long, key long")
-    marked = marked.groupBy("row").agg(F.collect_set("key").alias("marks"))
+    marked = keep(marked.groupBy("row").agg(F.collect_set("key").alias("marks")), "marks")
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -279,7 +283,7 @@ def _repeats(rows: DataFrame, n: int, gram: int, part_bytes: int) -> DataFrame:
         spans = [[{"lo": x, "hi": y} for x, y in _merged(lo[a:b], hi[a:b])] for a, b in zip(cut, ends, strict=True)]
         return pd.DataFrame({"row": names, "spans": spans})
 
-    shipped = rows.join(marked, "row").mapInPandas(contexts, "part int, anchor long, row long, at long, near long, far long, many boolean, bytes binary")
+    shipped = may_hold(rows, "row", marked.select("row"), "_held").where("_held").drop("_held").join(marked, "row").mapInPandas(contexts, "part int, anchor long, row long, at long, near long, far long, many boolean, bytes binary")
     found = shipped.groupBy("part").applyInPandas(meet, "part int, rows binary, lo binary, hi binary")
     return found.groupBy("part").applyInPandas(merge, "row long, spans array<struct<lo: long, hi: long>>")
 
@@ -304,29 +308,41 @@ def _joined(text: pd.Series, spans: pd.Series, passages: pd.Series) -> pd.Series
     return pd.Series([None if t is None else union(t, f, r) for t, f, r in zip(text, spans, passages, strict=True)])
 
 
-def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 400, gram: int = 100, words: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 400, gram: int = 100, words: int | None = None, cut: bool = True) -> DataFrame:
     """Adds kept (the bytes that stay, in order) and spans (the maximal removed runs, by byte) to every row.
 
     A byte goes when an n-byte string that covers it also starts at any other place of any document, its own included.
-    With `words`, so do passages of that many words and more that also start at another place, whatever their bytes.
+    With `words`, passages of that many words and more that also start at another place, whatever their bytes, are found,
+    too: their bytes go as well, or, without `cut`, they only stand in a column `passages` (runs of words, by number).
     Texts are UTF-8 bytes, strings never cross documents, and all are judged on the input. Null text is empty; texts
     under n bytes (and under `words` words) stay whole. Rows that repeat are documents of their own, so such texts of n
-    bytes and more go whole. An empty table gives an empty result. Columns of those two names are replaced.
+    bytes and more go whole. A very long text takes a few dozen times its bytes in its task. An empty table gives an
+    empty result. Columns of the new names are replaced; other columns, whatever their names, stay.
     """
-    spans = repeated_spans(docs, key=key, text=text, n=n, gram=gram)
-    if words:
-        spans = spans.join(repeated_passages(docs, key=key, text=text, words=words), "row", "full")
+    found = repeated_spans(docs, key=key, text=text, n=n, gram=gram)
     none = F.array().cast(_SPANS)
-    out = docs.drop("kept", "spans").withColumn("_row", row_key(key, text)).join(spans.withColumnRenamed("row", "_row"), "_row", "left")
-    out = out.withColumn("spans", F.coalesce("spans", none)).withColumn("_data", text_of(text).cast("binary"))
     if words:
-        met = F.when(F.size("passages") > 0, F.col("_data"))  # only these texts go to Python
-        joined = F.pandas_udf(_joined, _SPANS)(met, F.col("spans"), F.coalesce("passages", none))
-        out = out.withColumn("spans", F.coalesce(joined, "spans")).drop("passages")
+        found = found.join(repeated_passages(docs, key=key, text=text, words=words), "row", "full")
+        found = found.select("row", F.coalesce("spans", none).alias("spans"), F.coalesce("passages", none).alias("passages"))
+    else:
+        found = found.withColumn("passages", none)
+    found = keep(found, "repeats")
+    new = ["kept", "spans", "passages"] if words and not cut else ["kept", "spans"]
+    own = [c for c in docs.columns if c not in new]
+    data = text_of(text).cast("binary")
+    # the caller's columns travel in one struct, so none of their names can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("own"), row_key(key, text).alias("row"), data.alias("data"))
+    rows = may_hold(rows, "row", found.select("row"), "_held")
+    rest = rows.where("not _held").select("own", "data", none.alias("spans"), none.alias("passages"))
+    met = rows.where("_held").join(found, "row", "left").select("own", "data", F.coalesce("spans", none).alias("spans"), F.coalesce("passages", none).alias("passages"))
+    if words and cut:
+        joined = F.pandas_udf(_joined, _SPANS)(F.when(F.size("passages") > 0, F.col("data")), F.col("spans"), F.col("passages"))  # only these texts go to Python
+        met = met.withColumn("spans", F.coalesce(joined, "spans"))
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s.hi))
-    ends = F.concat(F.transform("spans", lambda s: s.lo), F.array(F.octet_length("_data").cast("long")))
+    ends = F.concat(F.transform("spans", lambda s: s.lo), F.array(F.octet_length("data").cast("long")))
     gaps = F.arrays_zip(starts.alias("a"), ends.alias("b"))
-    piece = lambda g: F.substring("_data", (g.a + 1).cast("int"), (g.b - g.a).cast("int"))
+    piece = lambda g: F.substring("data", (g.a + 1).cast("int"), (g.b - g.a).cast("int"))
     kept = F.aggregate(gaps, F.lit(b""), lambda held, g: F.concat(held, piece(g)))
-    out = out.withColumn("kept", F.when(F.size("spans") == 0, F.col("_data")).otherwise(kept))
-    return out.drop("_row", "_data")
+    met = met.withColumn("kept", F.when(F.size("spans") == 0, F.col("data")).otherwise(kept))
+    out = met.unionByName(rest.withColumn("kept", F.col("data")))
+    return out.select(*[F.col("own").getField(c).alias(c) for c in own], *new)
