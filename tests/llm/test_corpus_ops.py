@@ -428,64 +428,82 @@ def test_toxicity(spark, hard, nothing):
     assert toxicity.score_toxicity(nothing, index).count() == 0
 
 
-def test_toxicity_of_texts_without_a_selected_term(spark):
+def test_toxicity_hears_every_word_of_the_examples(spark):
     rng = random.Random(8)
     rows, labels = [], []
-    for i in range(60):  # words of two toxic examples each: too few to be selected
+    for i in range(60):  # words of a few toxic examples each: too few to stand out by themselves
         own = [f"f{i}x{j}" for j in range(25)]
-        for copy in range(3):
-            rows.append((3 * i + copy, " ".join(own[:copy] + own[copy + 1 :])))
-            labels.append((3 * i + copy, 1))
+        for copy in range(6):
+            rows.append((f"t{6 * i + copy}", " ".join(own[:copy] + own[copy + 1 :])))
+            labels.append((f"t{6 * i + copy}", 1))
     for i in range(1000, 1800):
-        rows.append((i, words(rng, 60, 2000)))
-        labels.append((i, 0))
-    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    held = F.col("doc_id") % 3 == 0
-    index = toxicity.fit_index(docs, marks, ~held)
-    found = toxicity.score_toxicity(docs, index).join(marks, "doc_id").where(held).collect()
-    assert not any(len(toxicity.term_counts([t.encode()], index.terms)[0][0]) for i, t in rows if i < 1000)
-    assert all((r.tox_score >= 0.3) == bool(r.toxic) for r in found)
-    assert all(r.tox_evidence[0].toxic == r.toxic for r in found)
-
-
-def test_cosines_over_all_words_are_exact():
+        rows.append((f"c{i}", words(rng, 60, 2000)))
+        labels.append((f"c{i}", 0))
+    docs, marks = spark.createDataFrame(rows, "doc_id string, text string"), spark.createDataFrame(labels, "doc_id string, toxic int")
+    held = F.substring("doc_id", 2, 9).cast("int") % 6 == 0
+    docs = docs.withColumn("found", F.lit(1)).withColumn("tox_score", F.lit(2.0))
+    found = toxicity.score_toxicity(docs, toxicity.fit_index(docs, marks, ~held)).join(marks, "doc_id").where(held).collect()
+    assert found and all((r.tox_score >= 0.3) == bool(r.toxic) for r in found)
+    assert all(r.tox_evidence[0].toxic == r.toxic and r.found == 1 for r in found)
+
+
+def test_toxicity_against_brute_force(spark):
+    rng = random.Random(16)
+    rows = [(i, " ".join(rng.choice(["aa", "bb", "cc", *[f"w{j}" for j in range(40)]] + ["bad"] * (6 * (i % 3 == 0))) for _ in range(rng.randrange(1, 30)))) for i in range(300)]
+    docs = spark.createDataFrame([*rows, (900, None), (901, "zz")], "doc_id long, text string")
+    index = toxicity.fit_index(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int"), F.lit(True), k=5)
+    assert len(index.ids) == 225 and index.knots is not None
+    texts = dict(rows)
+    df = Counter(w for _, t in [*rows, (0, ""), (901, "zz")] for w in set(t.split()))
+    names = sorted({w for i in index.ids for w in texts[i].split()}, key=lambda w: toxicity.word_counts([w.encode()])[0][0][0])
+    mine, y = [Counter(texts[i].split()) for i in index.ids], index.toxic
+    share, factor = y.mean(), {}
+    for w in names:
+        n, bad = sum(w in c for c in mine), sum(t for c, t in zip(mine, y, strict=True) if w in c)
+        s = bad / n
+        apart = n * (s * math.log(s / share) + ((1 - s) * math.log((1 - s) / (1 - share)) if s < 1 else 0)) if s > share else 0
+        factor[w] = (math.log(303 / (df[w] + 1)) + 1) * (0.02 + math.sqrt(max(apart - 4, 0)))
+
+    def unit(c):
+        v = {w: (1 + math.log(n)) * factor[w] for w, n in c.items() if w in factor}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    vectors = [unit(c) for c in mine]
+    for r in toxicity.score_toxicity(docs, index, k=5).collect():
+        v = unit(Counter((r.text or "").split()))
+        cos = sorted(((-sum(x * e.get(w, 0) for w, x in v.items()), i) for i, e in enumerate(vectors)))[:5]
+        if not v:
+            assert r.tox_score == pytest.approx(share) and not r.tox_evidence
+            continue
+        vote = [(1 / (1.02 + c), y[i]) for c, i in cos if c < 0]
+        raw = (sum(w * t for w, t in vote) + share) / (sum(w for w, _ in vote) + 1)
+        assert [e.cosine for e in r.tox_evidence] == pytest.approx([-c for c, _ in cos[:3]])
+        assert r.tox_score == pytest.approx(float(np.interp(raw, *index.knots)), abs=1e-6)
+
+
+@pytest.mark.parametrize("block", [4, 16, 64])
+def test_nearest_examples_are_exact_and_blocks_are_skipped(block):
     rng = np.random.default_rng(9)
     rows = []
-    for _ in range(400):
-        t = np.unique(np.minimum(rng.zipf(1.3, 12), 300)).astype(np.uint64)
+    for i in range(400):
+        t = np.unique(np.append(np.minimum(rng.zipf(1.3, 12), 300), 301 + i // 8)).astype(np.int64)
         rows.append((t, rng.integers(1, 5, len(t))))
-    index = toxicity.AllWords(rows)
-    assert 0 < len(index.often) < len(index.terms)
-    dense = np.zeros((400, len(index.terms)))
+    factor = rng.random(360) + 0.5
+    factor[301:] += 6
+    index = toxicity.BlockMaxIndex(np.arange(360).astype(np.uint64), factor, list(range(400)), np.zeros(400), 0.0, block=block)
+    index.build(rows)
+    assert 0 < len(index.often) < 100
+    dense = np.zeros((400, 360))
     for i, (t, n) in enumerate(rows):
-        dense[i, np.searchsorted(index.terms, t)] = (1 + np.log(n)) * index.idf[np.searchsorted(index.terms, t)]
-    dense /= np.linalg.norm(dense, axis=1)[:, None]
+        dense[i, t] = index.weigh(t, n)
     asked = np.arange(0, 400, 16)
-    for i, (found, cos) in zip(asked, index.nearest([index.known(*rows[i]) for i in asked], 7, asked), strict=True):
+    for i, (found, cos) in zip(asked, index.nearest([rows[i] for i in asked], 7, asked), strict=True):
         all_cos = dense @ dense[i]
         all_cos[i] = 0
         best = np.sort(all_cos)[::-1][:7]
         assert np.allclose(cos, best[best > 0]) and np.allclose(all_cos[found], cos) and i not in found
-
-
-def test_nearest_examples_are_exact():
-    rng = np.random.default_rng(7)
-    terms = np.sort(rng.integers(0, 1 << 63, 50, dtype=np.uint64))
-    index = toxicity.BlockMaxIndex(terms, rng.random(50) + 0.5, np.arange(500), np.zeros(500), block=16)
-    rows = []
-    for _ in range(500):
-        t = np.sort(rng.choice(50, rng.integers(1, 9), replace=False))
-        rows.append((t, index.weigh(t, rng.integers(1, 5, len(t)))))
-    index.build(rows)
-    dense = np.zeros((500, 50))
-    for i, (t, w) in enumerate(rows):
-        dense[i, t] = w
-    for i in range(0, 500, 25):
-        got, cos = index.nearest(*rows[i], 7, i)
-        all_cos = dense @ dense[i]
-        all_cos[i] = -1
-        best = np.sort(all_cos)[::-1][:7]
-        assert np.allclose(np.sort(cos)[::-1], best[best > 0][: len(cos)]) and len(cos) == min(7, (all_cos > 0).sum())
+    assert block > 16 or index.opened < len(asked) * (400 // block) // 2
 
 
 def test_kept_digest_round_trip():
