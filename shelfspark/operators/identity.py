@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.operators.shared import keep
+
 
 def code_kind(c: Column) -> Column:
     """Digits of 4 to 18 places, a part number, or no code at all. (C-37)"""
@@ -31,27 +30,19 @@ def alias_edges(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.explode(pairs).alias("p")).select("p.*").where("a is not null and b is not null").distinct()
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    place = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    path = f"{place}/identity-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def item_ids(edges: DataFrame) -> DataFrame:
     """(node, item_uid): the smallest code that each one reaches. (C-37)
 
     Labels pass to neighbours and then jump to their label's label, until none changes; every round is written to the
     shared folder, so lineage stays short.
     """
-    both = _settled(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = _settled(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")))
+    both = keep(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "identity")
+    labels = keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")), "identity")
     while True:
         near = both.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("l").alias("m"))
         step = labels.join(near, "a").select("a", F.least("l", "m").alias("n"), "l")
         jump = step.select(F.col("a").alias("n"), F.col("n").alias("j"))
-        new = _settled(step.join(jump, "n").select("a", F.least("n", "j").alias("l"), (F.least("n", "j") != F.col("l")).alias("moved")))
+        new = keep(step.join(jump, "n").select("a", F.least("n", "j").alias("l"), (F.least("n", "j") != F.col("l")).alias("moved")), "identity")
         labels = new.select("a", "l")
         if new.where("moved").isEmpty():
             return labels.select(F.col("a").alias("node"), F.col("l").alias("item_uid"))
