@@ -2,39 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.operators.shared import keep as keep
+
 #: ASCII white space of the contracts; words are maximal runs of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 SEGMENT = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", place)
-        spark.sparkContext.setCheckpointDir(place)
-    return place
-
-
-def keep(df: DataFrame, tag: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: cuts lineage, survives a lost executor."""
-    spark = df.sparkSession
-    place = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(place)
-    kept = spark.read.schema(df.schema).parquet(place)
-    kept.kept_at = place
-    return kept
-
-
 def release(kept: DataFrame) -> None:
     """Deletes a table that `keep` wrote, once nothing lazy reads it any more."""
     jvm = kept.sparkSession.sparkContext._jvm

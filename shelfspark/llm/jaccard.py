@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import keep, mix64, release, row_key, shingle_hashes, text_of, word_hashes
+from shelfspark.llm.common import keep, may_hold, mix64, row_key, shingle_hashes, text_of, word_hashes
 from shelfspark.llm.components import components
 
 #: Tokens for each coordinate of a count vector: between this and half of it.
@@ -131,10 +131,17 @@ def bounded_pairs(points: list[np.ndarray], sizes: np.ndarray, parts: np.ndarray
     return np.concatenate(a), np.concatenate(b)
 
 
-def _compared(pairs: DataFrame, points: DataFrame, texts: DataFrame, k: int, rule: Rule) -> DataFrame:
+def _texts(rows: DataFrame, chosen: DataFrame, sids: DataFrame) -> DataFrame:
+    """(sid, text) of the sets; of the other texts only those travel that the key filter's fixed size lets through."""
+    wanted = keep(chosen.select("sid", "row").join(sids.distinct(), "sid").select("sid", "row"), "wanted")
+    found = may_hold(rows.select("row", "text"), "row", wanted.select("row"), "_held").where("_held").select("row", "text")
+    return found.join(wanted, "row").dropDuplicates(["row"]).select("sid", "text")
+
+
+def _compared(pairs: DataFrame, points: DataFrame, rows: DataFrame, k: int, rule: Rule) -> DataFrame:
     """Pairs (a, b) of set ids with their Jaccard similarity, and whether they link; pairs that the bounds exclude are absent.
 
-    points: (sid, point), texts: (sid, text), a row a set. Texts travel only to the pairs that the bounds leave.
+    points: (sid, row, point), a row a set; rows: (row, text). Texts travel only for pairs that the bounds leave.
     """
 
     @F.pandas_udf("boolean")
@@ -150,6 +157,7 @@ def _compared(pairs: DataFrame, points: DataFrame, texts: DataFrame, k: int, rul
     met = pairs.join(points.select(F.col("sid").alias("b"), F.col("point").alias("pb")), "b")
     met = met.join(points.select(F.col("sid").alias("a"), F.col("point").alias("pa")), "a").where(admits("pa", "pb"))
     met = keep(met.select("a", "b"), "bounded")
+    texts = keep(_texts(rows, points, met.select(F.col("a").alias("sid")).unionByName(met.select(F.col("b").alias("sid")))), "texts")
     first = met.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b")
     both = first.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a")
 
@@ -282,9 +290,7 @@ def jaccard_components(
     needed = star.select(F.col("a").alias("sid")).unionByName(star.select(F.col("b").alias("sid"))).distinct()
     chosen = known.where("sid is not null").groupBy("sid").agg(F.min("row").alias("row"), F.first("point").alias("point"))
     chosen = keep(chosen.join(needed, "sid"), "chosen")
-    texts = rows.select("row", "text").join(chosen.select("sid", "row"), "row").select("sid", "text").dropDuplicates(["sid"])
-    texts = keep(texts, "texts")
-    seen = keep(_compared(star, chosen, texts, k, rule), "compared")
+    seen = keep(_compared(star, chosen, rows, k, rule), "compared")
     links = seen.where("ok").select("a", "b")
     nodes = components(links)
 
@@ -296,7 +302,7 @@ def jaccard_components(
     still = keep(still.join(middle, "page").select(F.col("middle").alias("page"), "sid", "part").where("page <> sid").distinct(), "open")
     homes = nodes.select(F.col("node").alias("page"), F.col("component").alias("home"))
     again = still.join(homes, "page", "left").where("part <> coalesce(home, page)").select(F.col("page").alias("a"), F.col("sid").alias("b"))
-    late = keep(_compared(again, chosen, texts, k, rule), "compared")
+    late = keep(_compared(again, chosen, rows, k, rule), "compared")
     links = links.unionByName(late.where("ok").select("a", "b"))
     if not late.where("ok").isEmpty():
         nodes = components(links)
@@ -334,9 +340,8 @@ def jaccard_components(
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     left = keep(rest.groupBy("spread").applyInPandas(bound, "page long, sid long, part long, own int, i int, j int"), "left")
-    left = left.join(texts, "sid").withColumn("spread", F.xxhash64("page", "i", "j"))
+    left = left.join(keep(_texts(rows, chosen, left.select("sid")), "texts"), "sid").withColumn("spread", F.xxhash64("page", "i", "j"))
     last = keep(left.groupBy("spread").applyInPandas(search, "a long, b long").distinct(), "links")
-    release(texts)
     if not last.isEmpty():
         nodes = components(links.unionByName(last))
 

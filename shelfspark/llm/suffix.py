@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -159,6 +159,18 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 _CODE = 4
 
 
+def _plain(texts: pd.Series) -> Iterator[bytes]:
+    return map(bytes, texts)
+
+
+def _coded(texts: pd.Series) -> Iterator[bytes]:
+    """Each text's words as codes."""
+    for lo in range(0, len(texts), 256):
+        found, at = word_hashes([bytes(t) for t in texts.iloc[lo : lo + 256]], lower=False)
+        data = (found >> np.uint64(32)).astype("<u4").tobytes()
+        yield from (data[_CODE * a : _CODE * b] for a, b in zip(at, at[1:], strict=False))
+
+
 def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 51, part_bytes: int = 16 << 20) -> DataFrame:
     """(row, passages): for every row key with repeats, the maximal runs of words (numbers, the end excluded) covered by passages of that many words that start elsewhere, too.
 
@@ -166,16 +178,8 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     in which repeated strings of so many codes are found; the ends of a found span that split a code are chance.
     """
 
-    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lo in range(0, len(pdf), 512):
-                part = pdf.iloc[lo : lo + 512]
-                found, at = word_hashes([bytes(t) for t in part.text], lower=False)
-                data = (found >> np.uint64(32)).astype("<u4").tobytes()
-                yield pd.DataFrame({"row": part.row, "text": [data[_CODE * a : _CODE * b] for a, b in zip(at, at[1:], strict=False)]})
-
     rows = docs.select(row_key(key, text).alias("row"), text_of(text).cast("binary").alias("text")).where(F.octet_length("text") >= 2 * words - 1)
-    found = _repeats(rows.mapInPandas(coded, "row long, text binary"), _parts(rows, part_bytes), _CODE * words, _CODE * max(1, words // 4))
+    found = _repeats(rows, _parts(rows, part_bytes), _CODE * words, _CODE * max(1, words // 4), _coded)
     inward = lambda s: F.struct(F.ceil(s.lo / _CODE).alias("lo"), F.floor(s.hi / _CODE).alias("hi"))
     passages = F.filter(F.transform("spans", inward), lambda s: s.hi - s.lo >= words)
     return found.select("row", passages.alias("passages")).where(F.size("passages") > 0)
@@ -186,8 +190,8 @@ def _parts(rows: DataFrame, part_bytes: int) -> int:
     return int(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // part_bytes)))
 
 
-def _repeats(rows: DataFrame, parts: int, n: int, gram: int) -> DataFrame:
-    """(row, spans) of rows (row, text): see `repeated_spans`.
+def _repeats(rows: DataFrame, parts: int, n: int, gram: int, seen: Callable[[pd.Series], Iterator[bytes]] = _plain) -> DataFrame:
+    """(row, spans) of rows (row, text): see `repeated_spans`. `seen` makes of texts the bytes that are compared.
 
     Each window of n bytes has an anchor that depends on its bytes only (winnow). Anchors are counted over the corpus;
     documents with repeated anchors give those anchors' contexts, dealt to parts by anchor. A part interleaves the
@@ -200,7 +204,7 @@ def _repeats(rows: DataFrame, parts: int, n: int, gram: int) -> DataFrame:
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, owners, size = [], [], 0
         for pdf in batches:
-            for t, row in zip(pdf.text, pdf.row, strict=True):
+            for t, row in zip(seen(pdf.text), pdf.row, strict=True):
                 found, count = np.unique(winnow(np.frombuffer(t, np.uint8), n, gram)[3], return_counts=True)
                 keys.append((found & ~np.uint64(1)) | (count > 1).astype(np.uint64))  # the last bit: more than once here
                 owners.append(np.full(len(found), row, np.int64))
@@ -229,7 +233,7 @@ def _repeats(rows: DataFrame, parts: int, n: int, gram: int) -> DataFrame:
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             held: dict[bytes, list[tuple]] = {}
-            size, rows_in = 0, zip(pdf.text, pdf.row, pdf.marks, strict=True)
+            size, rows_in = 0, zip(seen(pdf.text), pdf.row, pdf.marks, strict=True)
             for t, row, marks in rows_in:
                 data = np.frombuffer(t, np.uint8)
                 first, last, anchor, keys = winnow(data, n, gram)
