@@ -20,15 +20,26 @@ def phase_supply(open_po: DataFrame, as_of: Column, horizon: int = 6) -> DataFra
 
 
 def opening(stock: DataFrame) -> DataFrame:
-    """Opening quantity and unit cost of each item. (L-02)"""
-    return stock.groupBy("sku").agg(F.sum("qty_on_hand").alias("opening_qty"), F.max("unit_cost").alias("unit_cost"))
+    """Opening quantity of each item: on hand and in transit. (L-02)"""
+    quantity = F.coalesce("qty_on_hand", F.lit(0.0)) + F.coalesce("qty_in_transit", F.lit(0.0))
+    return stock.groupBy("sku").agg(F.sum(quantity).alias("opening_qty"))
+
+
+def unit_costs(*sources: DataFrame) -> DataFrame:
+    """Cost of each item from the first source that has any positive cost at all; the least of an item's several. (L-02)"""
+    ranked = [s.where("unit_cost > 0").select(F.lit(i).alias("rank"), "sku", "unit_cost") for i, s in enumerate(sources)]
+    rows = ranked[0]
+    for more in ranked[1:]:
+        rows = rows.unionByName(more)
+    first = rows.agg(F.min("rank").alias("rank"))
+    return rows.join(F.broadcast(first), "rank").groupBy("sku").agg(F.min("unit_cost").alias("unit_cost"))  # one row
 
 
 def period_balance(items: DataFrame, demand: DataFrame, supply: DataFrame, as_of: Column, horizon: int = 6) -> DataFrame:
     """Closing stock of each item and month, its gap to the safety stock and whether it lies inside the lead time. (L-03)
 
     items: sku, opening_qty, unit_cost, safety_stock, lead_time_days; demand: sku, monthly_demand. The spine is items
-    times months; balances are running sums.
+    times months; balances are running sums. A negative balance is a backlog, its value 0.
     """
     spine = items.join(demand, "sku", "left").fillna(0.0, ["monthly_demand", "opening_qty", "safety_stock"])
     spine = spine.select("*", F.posexplode(plan_months(as_of, horizon)).alias("pos", "period"))
@@ -39,7 +50,7 @@ def period_balance(items: DataFrame, demand: DataFrame, supply: DataFrame, as_of
     months = F.when(F.col("lead_time_days") > 0, F.least(F.greatest(F.ceil(F.col("lead_time_days") / 30.4375), F.lit(1)), F.lit(horizon))).otherwise(F.lit(horizon))
     cost = F.coalesce("unit_cost", F.lit(0.0))
     return rows.select(
-        "sku", "period", "monthly_demand", "supply_qty", "closing_qty", "gap_qty", (F.col("closing_qty") * cost).alias("closing_value"), (F.col("gap_qty") * cost).alias("gap_value"), (F.col("pos") < months).alias("within_lead_time")
+        "sku", "period", "monthly_demand", "supply_qty", "closing_qty", "gap_qty", (F.greatest(F.col("closing_qty"), F.lit(0.0)) * cost).alias("closing_value"), (F.col("gap_qty") * cost).alias("gap_value"), (F.col("pos") < months).alias("within_lead_time")
     )
 
 
@@ -94,6 +105,47 @@ def country_shares(lines: DataFrame, as_of: Column, least: float = 0.02) -> Data
     return rows.select("sku", "country", (F.col("raw") + F.when(F.col("place") == 1, rest).otherwise(0.0)).alias("share"))
 
 
+def sop_rows(history: DataFrame, detail: DataFrame, values: DataFrame, prices: DataFrame, shares: DataFrame, months: int = 12) -> DataFrame:
+    """History and forecast of each item and country, in units and money, a row a period. (L-09)
+
+    history: sku, period, qty; detail: sku, period, forecast_qty; values: sku, period, amount. Items are those with a
+    forecast. Quantities and past money are split by country share; future money is the split quantity at the item's
+    price. Items without a country keep one row: `(not stated)`.
+    """
+    items = detail.select("sku").distinct()
+    newest = history.select("period").distinct().orderBy(F.desc("period")).limit(months)  # a year of months
+    past = history.join(F.broadcast(newest), "period", "left_semi").join(items, "sku", "left_semi").join(values, ["sku", "period"], "left")
+    past = past.select("sku", "period", F.lit("history").alias("kind"), "qty", "amount")
+    coming = detail.select("sku", "period", F.lit("forecast").alias("kind"), F.col("forecast_qty").alias("qty"), F.lit(None).cast("double").alias("amount"))
+    rows = past.unionByName(coming).join(prices.select("sku", "price"), "sku", "left").join(shares, "sku", "left")
+    share = F.coalesce("share", F.lit(1.0))
+    qty = F.col("qty") * share
+    amount = F.when(F.col("kind") == "history", F.col("amount") * share).otherwise(qty * F.col("price"))
+    basis = F.when(share < 1, "top-down by share").otherwise("single country")
+    return rows.select("sku", F.coalesce("country", F.lit("(not stated)")).alias("country"), "period", "kind", qty.alias("qty"), amount.alias("amount"), basis.alias("split_basis"))
+
+
+def sop_totals(rows: DataFrame, attrs: DataFrame, prices: DataFrame) -> DataFrame:
+    """Totals of each line of the sheet, with the item's dimensions; null where all of a line's values are.
+
+    Sums are exact over amounts of four digits, in any order of addition. (L-09)
+    """
+    total = lambda kind, c: F.sum(F.when(F.col("kind") == kind, F.round(c, 4).cast("decimal(20,4)"))).cast("double")
+    out = rows.groupBy("sku", "country").agg(
+        total("history", "qty").alias("history_qty_total"), total("history", "amount").alias("history_amount_total"), total("forecast", "qty").alias("forecast_qty_total"), total("forecast", "amount").alias("forecast_amount_total"), F.first("split_basis").alias("split_basis"),
+    )
+    named = out.join(attrs, "sku", "left").join(prices.select("sku", F.col("price").alias("asp"), F.col("price_source").alias("price_basis")), "sku", "left")
+    return named.withColumn("price_basis", F.coalesce("price_basis", F.lit("none")))
+
+
+def sop_sheet(rows: DataFrame, totals: DataFrame) -> DataFrame:
+    """The sheet as a reviewer reads it: a line an item and country, a column a month and measure. For export. (L-09)"""
+    name = lambda m: F.concat(F.when(F.col("kind") == "history", F.lit("hist ")).otherwise(F.lit("fcst ")), F.lit(f"{m} "), F.date_format("period", "yyyy-MM"))
+    cells = rows.select("sku", "country", name("qty").alias("c"), F.col("qty").alias("v")).unionByName(rows.select("sku", "country", name("amt").alias("c"), F.col("amount").alias("v")))
+    wide = cells.groupBy("sku", "country").pivot("c").agg(F.sum("v"))
+    return totals.join(wide, ["sku", "country"]).orderBy("business_unit", "product_family", "country", F.desc("forecast_amount_total"), "sku")
+
+
 def last_movement(series: DataFrame) -> DataFrame:
     """Months between the series' end and an item's last demand. (L-10)"""
     end = series.agg(F.max("period").alias("_end"))

@@ -170,9 +170,12 @@ def order_counts(po: DataFrame, as_of: Column, months: int = 12) -> DataFrame:
     return rows.groupBy("sku").agg(F.count_distinct("po_number").alias("order_count"))
 
 
-def cadence_verdict(metrics: DataFrame, attrs: DataFrame, *, review_days: float = 30.0, order_cost: float = 350.0, min_orders: int = 2) -> DataFrame:
-    """One verdict an item, most expensive failure first, and the money behind it. attrs: sku, unit_cost. (V-12)"""
-    rows = metrics.join(attrs.select("sku", "unit_cost"), "sku", "left").where(F.col("order_count") >= min_orders)
+def cadence_verdict(metrics: DataFrame, attrs: DataFrame, *, review_days: float = 30.0, order_cost: float = 350.0, min_orders: int = 2, critical: tuple[str, ...] = ("A",)) -> DataFrame:
+    """One verdict an item, most expensive failure first, and the money behind it. attrs: sku, unit_cost, abc_class. (V-12)
+
+    Orders beyond the cadence cost nothing where the item's class is critical: such items earn their frequency.
+    """
+    rows = metrics.join(attrs.select("sku", "unit_cost", "abc_class"), "sku", "left").where(F.col("order_count") >= min_orders)
     expected = F.greatest(F.bround(F.col("months") / (F.lit(review_days) / 30.44)), F.lit(1.0))
     rows = rows.withColumn("expected_orders", expected).withColumn("orders_vs_expected", F.col("order_count") / F.col("expected_orders"))
     down, up, close, tol = (F.col(c) for c in ("longest_deficit_run", "longest_surplus_run", "closing_balance", "tolerance_qty"))
@@ -190,7 +193,9 @@ def cadence_verdict(metrics: DataFrame, attrs: DataFrame, *, review_days: float
     cost = F.coalesce("unit_cost", F.lit(0.0))
     rows = rows.withColumn("verdict", verdict)
     rows = rows.withColumn("excess_value", F.bround(F.col("max_surplus") * cost, 2)).withColumn("shortfall_value", F.bround(F.col("max_deficit") * cost, 2))
-    rows = rows.withColumn("avoidable_order_cost", F.bround(F.greatest(F.col("order_count") - F.col("expected_orders"), F.lit(0.0)) * order_cost, 2))
+    rows = rows.withColumn("frequency_earned", F.coalesce(F.col("abc_class").isin(*critical), F.lit(False)))
+    beyond = F.bround(F.greatest(F.col("order_count") - F.col("expected_orders"), F.lit(0.0)) * order_cost, 2)
+    rows = rows.withColumn("avoidable_order_cost", F.when(F.col("frequency_earned"), 0.0).otherwise(beyond))
     return rows.withColumn("exposure_value", F.bround(F.col("excess_value") + F.col("shortfall_value") + F.col("avoidable_order_cost"), 2))
 
 

@@ -183,3 +183,32 @@ def consolidate(inventory: DataFrame) -> DataFrame:
         F.max("snapshot_date").alias("snapshot_date"),
         F.array_join(F.array_sort(F.collect_set("location_id")), ",").alias("location_id"),
     )
+
+
+#: Measures of a bin's contents: what is withheld from the position with the bin.
+BIN_CONTENTS = ("qty_on_hand", "inventory_value")
+
+
+def split_by_status(inventory: DataFrame, statuses: dict[str, str], wildcard: str | None = None) -> DataFrame:
+    """Stock in places that may not be sold moves from the netting measures to reported ones; goods in transit stay. (C-31)
+
+    statuses: location code -> status; only `sellable` nets. The wildcard answers for codes that are not declared.
+    ValueError where several codes are in use and one of them is undeclared: stock of unknown status must not be summed.
+    """
+    code = F.upper(F.trim(F.coalesce(F.col("location_id").cast("string"), F.lit(""))))
+    declared = {k.strip().upper(): v for k, v in statuses.items()}
+    codes = inventory.select(code.alias("code")).where("code <> ''").distinct()
+    if wildcard is None and codes.limit(2).count() > 1:
+        unknown = [r.code for r in codes.where(~F.col("code").isin(*declared)).orderBy("code").limit(5).collect()]
+        if unknown:
+            raise ValueError(f"stock locations without a declared status, for example {', '.join(unknown)}")
+    known = F.create_map(*[F.lit(x) for kv in declared.items() for x in kv]) if declared else F.create_map().cast("map<string,string>")
+    status = F.when(code == "", F.lit("sellable")).otherwise(F.coalesce(known[code], F.lit(wildcard), F.lit("sellable")))
+    held = status != "sellable"
+    measure = lambda c: F.coalesce(F.col(c), F.lit(0.0)) if c in inventory.columns else F.lit(0.0)
+    kinds = sorted(({*declared.values()} | ({wildcard} if wildcard else set())) - {"sellable"})
+    return inventory.select(
+        *[F.when(held, 0.0).otherwise(F.col(c)).alias(c) if c in BIN_CONTENTS else F.col(c) for c in inventory.columns],
+        F.when(held, measure("qty_on_hand")).otherwise(0.0).alias("qty_not_sellable"), F.when(held, measure("inventory_value")).otherwise(0.0).alias("value_not_sellable"),
+        F.when(held, code).otherwise("").alias("stock_locations_excluded"), *[F.when(status == k, measure("qty_on_hand")).otherwise(0.0).alias(f"qty_{k}") for k in kinds],
+    )

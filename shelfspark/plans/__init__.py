@@ -12,6 +12,7 @@ from shelfspark.plans import (
     profile_queries,
     quality_queries,
     service_queries,
+    sheet_queries,
     supply_queries,
 )
 from shelfspark.plans.fixtures import QUERIES, oracles
@@ -30,5 +31,6 @@ __all__ = [
     "profile_queries",
     "quality_queries",
     "service_queries",
+    "sheet_queries",
     "supply_queries",
 ]

@@ -67,7 +67,7 @@ def p04_disagreement_counts(spark, sf_dir):
 
 def _codes(spark, sf_dir):
     rows = view(spark, sf_dir, "fx_sales")
-    return rows.select("sku", F.concat(F.lit("P"), F.lpad((F.crc32(F.col("sku").cast("binary")) % 1000).cast("string"), 4, "0")).alias("maker_code"), F.lpad(F.col("part").cast("string"), 6, "0").alias("erp_code"), "country")
+    return rows.select("sku", F.concat(F.lit("P0"), F.regexp_extract("sku", r"^S(\d+)-", 1).cast("int") % 7).alias("maker_code"), F.lpad(F.col("part").cast("string"), 6, "0").alias("erp_code"), "country")
 
 
 @query("SELECT 'erp_code' AS column_name, count(DISTINCT part) AS kinds, 'number' AS kind FROM fx_sales UNION ALL SELECT 'sku', count(DISTINCT sku), 'part' FROM fx_sales")
@@ -75,12 +75,15 @@ def c37_code_columns(spark, sf_dir):
     return I.code_columns(_codes(spark, sf_dir).select("sku", "erp_code", "country"), ["sku", "erp_code", "country"], share=0.0)
 
 
-@query()
+ORACLE_VIEWS["i_code"] = "SELECT DISTINCT sku, concat('P0', CAST(split_part(substr(sku, 2), '-', 1) AS INT) % 7) AS maker FROM fx_sales"
+
+
+@query("SELECT concat('sku:', sku) AS node, concat('maker_code:', maker) AS item_uid FROM i_code UNION SELECT concat('maker_code:', maker), concat('maker_code:', maker) FROM i_code")
 def c37_item_ids(spark, sf_dir):
     return I.item_ids(I.alias_edges(_codes(spark, sf_dir), ["sku", "maker_code"]))
 
 
-@query()
+@query("SELECT concat('maker_code:', maker) AS item_uid, count(*) + 1 AS codes, 1 AS anchors FROM i_code GROUP BY maker HAVING count(*) + 1 > 2")
 def c38_identity_conflicts(spark, sf_dir):
     return I.identity_conflicts(I.item_ids(I.alias_edges(_codes(spark, sf_dir), ["sku", "maker_code"])), "maker_code", most=2)
 
@@ -90,10 +93,10 @@ def c20_period_matrix(spark, sf_dir):
     return C.period_matrix(series(spark, sf_dir).where("sku in ('S1-0', 'S1-1')"), ["S1-0", "S1-1"])
 
 
-@query("SELECT sku, count(*) AS rows, 'first' AS source_sheet FROM fx_sales WHERE sku LIKE '%-0' GROUP BY sku UNION ALL SELECT sku, count(*), 'second' FROM fx_sales WHERE sku LIKE '%-1' GROUP BY sku")
+@query("SELECT sku, count(*) AS rows, 'first' AS source_sheet FROM fx_sales WHERE sku LIKE '%-0' GROUP BY sku UNION ALL SELECT sku, count(*), 'second' FROM fx_sales WHERE sku NOT LIKE '%-0' GROUP BY sku")
 def c21_stacked_partitions(spark, sf_dir):
     rows = view(spark, sf_dir, "fx_sales")
-    return C.stack(rows.where("sku like '%-0'"), rows.where("sku like '%-1'"), "sku", 0.2).groupBy("sku", "source_sheet").agg(F.count("*").alias("rows"))
+    return C.stack(rows.where("sku like '%-0'"), rows.where("sku not like '%-0'"), "sku", 0.2).groupBy("sku", "source_sheet").agg(F.count("*").alias("rows"))
 
 
 @query("""SELECT sku, period, q AS qty FROM (SELECT *, sum(q) OVER (PARTITION BY sku) AS t FROM (SELECT sku, period, greatest(qty - 40, 0) AS q FROM d_series WHERE period IN (SELECT DISTINCT period FROM d_series ORDER BY period DESC LIMIT 6))) WHERE t > 0""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfspark.operators import demand as D
-from shelfspark.plans.fixtures import AS_OF, ORACLE_VIEWS, query, tidy, view
+from shelfspark.plans.fixtures import AS_OF, ORACLE_VIEWS, once, query, tidy, view
 
 ORACLE_VIEWS["d_lines"] = "SELECT *, coalesce(ship_date, order_date) AS demand_date FROM fx_sales WHERE coalesce(ship_date, order_date) IS NOT NULL AND qty > 0"
 ORACLE_VIEWS["d_series"] = """
@@ -30,6 +30,7 @@ def lines(spark, sf_dir):
     return D.demand_lines(view(spark, sf_dir, "fx_sales"))
 
 
+@once
 def series(spark, sf_dir):
     return D.monthly_series(lines(spark, sf_dir))
 

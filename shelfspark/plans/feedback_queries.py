@@ -1,4 +1,4 @@
-"""Queries and oracles of the feedback section: a plan of each month is derived from the months before it."""
+"""Queries and oracles of the feedback section: a plan of each month is derived from the three months before it."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from shelfspark.plans.supply_queries import lead_times, recommended, stock
 
 ORACLE_VIEWS["b_plan"] = """
 SELECT * FROM (SELECT sku, period AS month, lag(qty) OVER w AS forecast, lag(qty, 2) OVER w AS suggested, 30.0 AS available, qty AS actual_demand, least(lag(qty, 2) OVER w, 10) AS receipts, lag(qty, 3) OVER w + 5 AS eom_inv
-FROM d_series WINDOW w AS (PARTITION BY sku ORDER BY period)) WHERE month >= DATE '1999-08-01'"""
+FROM d_series WINDOW w AS (PARTITION BY sku ORDER BY period)) WHERE eom_inv IS NOT NULL"""
 ORACLE_VIEWS["b_loss"] = """
 SELECT sku, month, round_even(forecast - actual_demand, 2) AS forecast_error, CASE WHEN actual_demand > 0 THEN round_even(abs((forecast - actual_demand) / actual_demand), 4) END AS ape,
   round_even(CASE WHEN suggested > 0 THEN suggested - receipts ELSE 0 END, 1) AS supply_gap, round_even(greatest(0, actual_demand - available), 1) AS demand_gap,
@@ -31,7 +31,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY month DESC) AS r FR
 ORACLE_VIEWS["b_dev"], ORACLE_VIEWS["b_risk"] = _gaps("supply_gap"), _gaps("demand_gap")
 ORACLE_VIEWS["b_dec"] = """
 SELECT sku, so_line_number AS n, CASE so_line_number % 3 WHEN 0 THEN 'rejected' WHEN 1 THEN 'accepted' ELSE 'deferred' END AS decision, CASE WHEN part % 2 = 0 THEN 'moq' ELSE 'budget' END AS reason_code,
-  CASE WHEN customer % 2 = 0 THEN 'push_out' ELSE 'expedite' END AS action_kind, qty AS value_at_stake FROM fx_sales WHERE ship_date > DATE '1999-11-01'"""
+  CASE WHEN customer % 2 = 0 THEN 'push_out' ELSE 'expedite' END AS action_kind, qty AS value_at_stake FROM fx_sales"""
 
 ORACLE_VIEWS["b_ref"] = "SELECT d.*, product_family, supplier FROM b_dec d LEFT JOIN fx_item_master m ON m.sku = d.sku WHERE decision <> 'accepted'"
 
@@ -42,7 +42,7 @@ def plans(spark, sf_dir):
         "sku", F.col("period").alias("month"), F.lag("qty").over(w).alias("forecast"), F.lag("qty", 2).over(w).alias("suggested"), F.lit(30.0).alias("available"), F.col("qty").alias("actual_demand"),
         F.least(F.lag("qty", 2).over(w), F.lit(10.0)).alias("receipts"), (F.lag("qty", 3).over(w) + 5).alias("eom_inv"),
     )
-    return rows.where("month >= date'1999-08-01'")
+    return rows.where("eom_inv is not null")
 
 
 def loss(spark, sf_dir):
@@ -50,7 +50,7 @@ def loss(spark, sf_dir):
 
 
 def decisions(spark, sf_dir):
-    rows = view(spark, sf_dir, "fx_sales").where("ship_date > date'1999-11-01'")
+    rows = view(spark, sf_dir, "fx_sales")
     kind = F.when(F.col("so_line_number") % 3 == 0, "rejected").when(F.col("so_line_number") % 3 == 1, "accepted").otherwise("deferred")
     return rows.select("sku", kind.alias("decision"), F.when(F.col("part") % 2 == 0, "moq").otherwise("budget").alias("reason_code"), F.when(F.col("customer") % 2 == 0, "push_out").otherwise("expedite").alias("action_kind"), F.col("qty").alias("value_at_stake"))
 
@@ -118,7 +118,7 @@ def f10_acceptance_rate(spark, sf_dir):
     return tidy(B.acceptance_rate(decisions(spark, sf_dir)))
 
 
-@query("SELECT false AS same_inputs, true AS same_settings, true AS same_code, 'new_data' AS basis")
+@query("SELECT same AS same_inputs, true AS same_settings, true AS same_code, CASE WHEN same THEN 'identical' ELSE 'new_data' END AS basis FROM (SELECT count(*) = count(*) FILTER (qty > 1) AS same FROM fx_sales)")
 def x01_compared_runs(spark, sf_dir):
     def run(rows):
         return A.fingerprint(rows).select(F.col("fingerprint").alias("inputs"), F.lit("s1").alias("settings"), F.lit("c1").alias("code"))

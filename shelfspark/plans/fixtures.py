@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfspark.operators.shared import keep
+
 AS_OF = "2000-01-01"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -75,13 +78,17 @@ ORACLE_VIEWS: dict[str, str] = {}
 def oracle(body: str) -> str:
     """Oracle text: the views that `body` needs, in order, then `body`."""
     every = {**VIEWS, **ORACLE_VIEWS}
-    need, look = set(), [body]
-    while look:
-        words = set(re.findall(r"\w+", look.pop()))
-        new = {name for name in every if name in words} - need
-        need |= new
-        look += [every[name] for name in new]
-    chain = ",\n".join(f"{name} AS ({every[name].strip()})" for name in every if name in need)
+    need: dict[str, str] = {}
+
+    def add(text: str) -> None:
+        words = set(re.findall(r"\w+", text))
+        for name in every:
+            if name in words and name not in need and text != every[name]:
+                add(every[name])
+                need[name] = every[name].strip()
+
+    add(body)
+    chain = ",\n".join(f"{name} AS ({text})" for name, text in need.items())
     return f"WITH RECURSIVE {chain}\n{body.strip()}" if chain else body.strip()
 
 
@@ -98,7 +105,15 @@ def query(sql: str | None = None):
     """Registers a query under its function's name, with its oracle."""
 
     def add(f):
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            _held.clear()
+            try:
+                return f(spark, sf_dir)
+            finally:
+                _held.clear()
+
+        QUERIES[f.__name__] = run
         if sql is not None:
             _TEXTS[f.__name__] = sql
         return f
@@ -106,6 +121,22 @@ def query(sql: str | None = None):
     return add
 
 
+_held: dict[tuple[str, str], DataFrame] = {}
+
+
+def once(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A table that several parts of one query read: made and written once a query, however often it is asked for."""
+
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        name = (f.__qualname__, sf_dir)
+        if name not in _held:
+            _held[name] = keep(f(spark, sf_dir), f.__name__)
+        return _held[name]
+
+    return run
+
+
 def tidy(df: DataFrame, **digits: int) -> DataFrame:
     """Doubles rounded for comparison: six digits, or as given by column."""
     return df.select(*[_rounded(c, kind, digits.get(c, 6)) for c, kind in df.dtypes])

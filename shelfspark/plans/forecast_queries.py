@@ -91,12 +91,12 @@ def d29_reviewed_plan(spark, sf_dir):
 
 
 ORACLE_VIEWS["f_plan"] = """
-SELECT s.sku, s.period, s.qty AS actual_qty, s.qty + (CASE WHEN s.sku LIKE '%-0' THEN 3 WHEN s.sku LIKE '%-1' THEN -4 ELSE 0 END) AS plan_qty, s.qty + 100 AS later FROM d_series s WHERE s.period >= DATE '1999-07-01'"""
+SELECT s.sku, s.period, s.qty AS actual_qty, s.qty + (CASE WHEN s.sku LIKE '%-0' THEN 3 WHEN s.sku LIKE '%-1' THEN -4 ELSE 0 END) AS plan_qty, s.qty + 100 AS later FROM d_series s"""
 ORACLE_VIEWS["f_price"] = "SELECT sku, sum(amount) FILTER (demand_date > DATE '1999-01-01') / sum(qty) FILTER (demand_date > DATE '1999-01-01') AS p12, sum(amount) / sum(qty) AS pa FROM d_lines GROUP BY sku"
 
 
 def plans(spark, sf_dir):
-    s = series(spark, sf_dir).where("period >= date'1999-07-01'")
+    s = series(spark, sf_dir)
     shift = F.when(F.col("sku").endswith("-0"), 3).when(F.col("sku").endswith("-1"), -4).otherwise(0)
     early = s.select("sku", "period", (F.col("qty") + shift).alias("plan_qty"), F.lit("1999-06-01").alias("planned_at"), F.lit(True).alias("reviewed"))
     late = s.select("sku", "period", (F.col("qty") + 100).alias("plan_qty"), F.lit("1999-06-20").alias("planned_at"), F.lit(True).alias("reviewed"))

@@ -15,9 +15,9 @@ SELECT sku, period, sum(open_qty) AS supply_qty FROM (SELECT *, greatest(coalesc
 WHERE period <= DATE '2000-06-01' GROUP BY sku, period"""
 ORACLE_VIEWS["l_bal"] = """
 SELECT *, greatest(0, safety_stock - closing_qty) AS gap_qty FROM (SELECT *, opening_qty + sum(supply_qty - monthly_demand) OVER (PARTITION BY sku ORDER BY period) AS closing_qty FROM (
-SELECT r.sku, m.period, m.pos, demand_mean_rolling AS monthly_demand, coalesce(supply_qty, 0) AS supply_qty, coalesce(qty_on_hand, 0) AS opening_qty, s.unit_cost, safety_stock,
+SELECT r.sku, m.period, m.pos, demand_mean_rolling AS monthly_demand, coalesce(supply_qty, 0) AS supply_qty, coalesce(qty_on_hand + qty_in_transit, 0) AS opening_qty, i.unit_cost, safety_stock,
   m.pos < CASE WHEN lt > 0 THEN least(greatest(ceil(lt / 30.4375), 1), 6) ELSE 6 END AS within_lead_time
-FROM r_ss r LEFT JOIN s_stock s ON s.sku = r.sku CROSS JOIN (SELECT unnest(generate_series(DATE '2000-01-01', DATE '2000-06-01', INTERVAL 1 MONTH))::DATE AS period, unnest(range(6)) AS pos) m
+FROM r_ss r LEFT JOIN s_stock s ON s.sku = r.sku LEFT JOIN fx_item_master i ON i.sku = r.sku CROSS JOIN (SELECT unnest(generate_series(DATE '2000-01-01', DATE '2000-06-01', INTERVAL 1 MONTH))::DATE AS period, unnest(range(6)) AS pos) m
 LEFT JOIN l_sup u ON u.sku = r.sku AND u.period = m.period))"""
 ORACLE_VIEWS["l_idle"] = """
 SELECT sku, l AS last_demand, (year(e) - year(l)) * 12 + month(e) - month(l) AS months_idle FROM (SELECT sku, max(period) FILTER (qty > 0) AS l, (SELECT max(period) FROM d_series) AS e FROM d_series GROUP BY sku)"""
@@ -33,10 +33,15 @@ def supply(spark, sf_dir):
 
 def balance(spark, sf_dir):
     ss = safety(spark, sf_dir)
-    items = ss.select("sku", "safety_stock", F.col("wma_lead_time_days").alias("lead_time_days")).join(L.opening(stock(spark, sf_dir)), "sku", "left")
+    items = ss.select("sku", "safety_stock", F.col("wma_lead_time_days").alias("lead_time_days")).join(opened(spark, sf_dir), "sku", "left")
     return L.period_balance(items, ss.select("sku", F.col("demand_mean_rolling").alias("monthly_demand")), supply(spark, sf_dir), at())
 
 
+def opened(spark, sf_dir):
+    have = stock(spark, sf_dir)
+    return L.opening(have).join(L.unit_costs(view(spark, sf_dir, "fx_item_master"), have), "sku", "left")
+
+
 def aged(spark, sf_dir):
     return L.stock_age(stock(spark, sf_dir), L.last_movement(series(spark, sf_dir)), daily(spark, sf_dir))
 
@@ -46,24 +51,24 @@ def l01_phased_supply(spark, sf_dir):
     return supply(spark, sf_dir)
 
 
-@query("SELECT sku, qty_on_hand AS opening_qty, unit_cost FROM s_stock")
+@query("SELECT s.sku, qty_on_hand + qty_in_transit AS opening_qty, m.unit_cost FROM s_stock s LEFT JOIN fx_item_master m ON m.sku = s.sku")
 def l02_opening(spark, sf_dir):
-    return L.opening(stock(spark, sf_dir))
+    return opened(spark, sf_dir)
 
 
-@query("""SELECT sku, period, round(monthly_demand, 6) AS monthly_demand, supply_qty, round(closing_qty, 6) AS closing_qty, round(gap_qty, 6) AS gap_qty, round(closing_qty * unit_cost, 2) AS closing_value,
+@query("""SELECT sku, period, round(monthly_demand, 6) AS monthly_demand, supply_qty, round(closing_qty, 6) AS closing_qty, round(gap_qty, 6) AS gap_qty, round(greatest(closing_qty, 0) * unit_cost, 2) AS closing_value,
 round(gap_qty * unit_cost, 2) AS gap_value, within_lead_time FROM l_bal""")
 def l03_period_balance(spark, sf_dir):
     return tidy(balance(spark, sf_dir), closing_value=2, gap_value=2)
 
 
-@query("""SELECT period, round(sum(monthly_demand), 2) AS demand_qty, round(sum(supply_qty), 2) AS supply_qty, round(sum(closing_qty), 2) AS closing_qty, round(sum(closing_qty * unit_cost), 2) AS closing_value,
+@query("""SELECT period, round(sum(monthly_demand), 2) AS demand_qty, round(sum(supply_qty), 2) AS supply_qty, round(sum(closing_qty), 2) AS closing_qty, round(sum(greatest(closing_qty, 0) * unit_cost), 2) AS closing_value,
 round(sum(gap_qty * unit_cost), 2) AS gap_value, count(*) FILTER (gap_qty > 0) AS gap_skus FROM l_bal GROUP BY period""")
 def l04_balance_by_period(spark, sf_dir):
     return tidy(L.balance_by_period(balance(spark, sf_dir)), demand_qty=2, supply_qty=2, closing_qty=2, closing_value=2, gap_value=2)
 
 
-@query("""SELECT product_family, period, round(sum(monthly_demand), 2) AS demand_qty, round(sum(supply_qty), 2) AS supply_qty, round(sum(closing_qty), 2) AS closing_qty, round(sum(closing_qty * l_bal.unit_cost), 2) AS closing_value,
+@query("""SELECT product_family, period, round(sum(monthly_demand), 2) AS demand_qty, round(sum(supply_qty), 2) AS supply_qty, round(sum(closing_qty), 2) AS closing_qty, round(sum(greatest(closing_qty, 0) * l_bal.unit_cost), 2) AS closing_value,
 round(sum(gap_qty * l_bal.unit_cost), 2) AS gap_value, count(*) FILTER (gap_qty > 0) AS gap_skus FROM l_bal LEFT JOIN fx_item_master USING (sku) GROUP BY ALL""")
 def l04_balance_by_family(spark, sf_dir):
     found = L.balance_by_period(balance(spark, sf_dir), view(spark, sf_dir, "fx_item_master"))

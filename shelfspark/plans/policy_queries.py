@@ -73,12 +73,20 @@ def p05_product_family(spark, sf_dir):
     return P.product_family(rows).select("sku", "product_family", "family_source")
 
 
-@query("""SELECT sku, annual_value, CASE WHEN s <= 0.8 THEN 'A' WHEN s <= 0.95 THEN 'B' ELSE 'C' END AS abc_class FROM (
-SELECT *, sum(annual_value) OVER (ORDER BY annual_value DESC, sku ROWS UNBOUNDED PRECEDING) / sum(annual_value) OVER () AS s FROM p_val)""")
-def p06_abc_classes(spark, sf_dir):
+ORACLE_VIEWS["p_abc"] = """
+SELECT sku, annual_value, CASE WHEN s <= 0.8 THEN 'A' WHEN s <= 0.95 THEN 'B' ELSE 'C' END AS abc_class FROM (
+SELECT *, sum(annual_value) OVER (ORDER BY annual_value DESC, sku ROWS UNBOUNDED PRECEDING) / sum(annual_value) OVER () AS s FROM p_val)"""
+
+
+def classes(spark, sf_dir):
     return P.abc_classes(values(spark, sf_dir)).select("sku", "annual_value", "abc_class")
 
 
+@query("SELECT * FROM p_abc")
+def p06_abc_classes(spark, sf_dir):
+    return classes(spark, sf_dir)
+
+
 @query("SELECT CASE WHEN demand_cv <= 0.5 THEN 'stable' WHEN demand_cv <= 1 THEN 'variable' ELSE 'erratic' END AS volatility, count(*) AS items FROM d_class GROUP BY 1")
 def p07_volatility(spark, sf_dir):
     return classified(spark, sf_dir).groupBy(P.volatility_class(F.col("demand_cv")).alias("volatility")).agg(F.count("*").alias("items"))
@@ -171,9 +179,9 @@ def r19_levers(spark, sf_dir):
     return tidy(lever_results(spark, sf_dir).select("sku", "lever", "stock_saving", "ordering_cost", "net_annual"), stock_saving=2)
 
 
-@query("SELECT lever, round(sum(stock_saving), 1) AS stock_saving, round(sum(stock_saving * 0.22 - ordering_cost), 1) AS net_annual, count(*) FILTER (stock_saving * 0.22 - ordering_cost > 0) AS items_that_pay FROM p_lev GROUP BY lever")
+@query("SELECT lever, sum(round(stock_saving, 4)::DECIMAL(20,4))::DOUBLE AS stock_saving, sum(round(stock_saving * 0.22 - ordering_cost, 4)::DECIMAL(20,4))::DOUBLE AS net_annual, count(*) FILTER (stock_saving * 0.22 - ordering_cost > 0) AS items_that_pay FROM p_lev GROUP BY lever")
 def r20_lever_ranking(spark, sf_dir):
-    return tidy(P.lever_ranking(lever_results(spark, sf_dir)), stock_saving=1, net_annual=1)
+    return P.lever_ranking(lever_results(spark, sf_dir))
 
 
 @query("SELECT sku, lever FROM (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY round(stock_saving * 0.22 - ordering_cost, 6) DESC, lever) AS n FROM p_lev) WHERE n = 1")

@@ -33,12 +33,12 @@ FROM (SELECT *, count(*) OVER (PARTITION BY sku, side, island) AS run FROM (
       FROM v_cad c LEFT JOIN v_oc o ON o.sku = c.sku)))) GROUP BY sku"""
 ORACLE_VIEWS["v_ver"] = """
 SELECT *, round_even(excess_value + shortfall_value + avoidable_order_cost, 2) AS exposure_value FROM (
-SELECT *, round_even(max_surplus * unit_cost, 2) AS excess_value, round_even(max_deficit * unit_cost, 2) AS shortfall_value, round_even(greatest(order_count - expected_orders, 0) * 350.0, 2) AS avoidable_order_cost,
+SELECT *, round_even(max_surplus * unit_cost, 2) AS excess_value, round_even(max_deficit * unit_cost, 2) AS shortfall_value, CASE WHEN frequency_earned THEN 0 ELSE round_even(greatest(order_count - expected_orders, 0) * 350.0, 2) END AS avoidable_order_cost,
   CASE WHEN longest_deficit_run >= 2 AND longest_surplus_run >= 2 THEN 'oscillating' WHEN short AND closing_balance < -tolerance_qty AND order_count / expected_orders < 1 / 1.25 THEN 'under_ordered' WHEN short THEN 'chasing'
     WHEN longest_surplus_run >= 3 OR (coalesce(imbalance_pct, 0) > 0.25 AND closing_balance > tolerance_qty) THEN 'losing_control'
     WHEN abs(closing_balance) <= tolerance_qty AND deficit_months = 0 AND order_count / expected_orders > 1.5 THEN 'unearned_frequency' ELSE 'controlled' END AS verdict
-FROM (SELECT m.*, unit_cost, greatest(round_even(months / (30.0 / 30.44), 0), 1) AS expected_orders, longest_deficit_run >= 2 OR deficit_months >= months / 3 AS short
-  FROM v_met m LEFT JOIN fx_item_master i ON i.sku = m.sku WHERE order_count >= 2))"""
+FROM (SELECT m.*, i.unit_cost, coalesce(abc_class = 'A', false) AS frequency_earned, greatest(round_even(months / (30.0 / 30.44), 0), 1) AS expected_orders, longest_deficit_run >= 2 OR deficit_months >= months / 3 AS short
+  FROM v_met m LEFT JOIN fx_item_master i ON i.sku = m.sku LEFT JOIN p_abc a ON a.sku = m.sku WHERE order_count >= 2))"""
 ORACLE_VIEWS["v_daily"] = "SELECT sku, sum(qty) FILTER (demand_date > DATE '1999-01-01') / 365.0 AS daily_demand FROM d_lines GROUP BY sku"
 
 
@@ -65,7 +65,10 @@ def metrics(spark, sf_dir):
 
 
 def verdicts(spark, sf_dir):
-    return V.cadence_verdict(metrics(spark, sf_dir), view(spark, sf_dir, "fx_item_master"))
+    from shelfspark.plans.policy_queries import classes
+
+    attrs = view(spark, sf_dir, "fx_item_master").select("sku", "unit_cost").join(classes(spark, sf_dir).select("sku", "abc_class"), "sku", "left")
+    return V.cadence_verdict(metrics(spark, sf_dir), attrs)
 
 
 def daily(spark, sf_dir):
@@ -179,9 +182,9 @@ def v11_cadence_metrics(spark, sf_dir):
     return tidy(metrics(spark, sf_dir))
 
 
-@query("SELECT sku, verdict, expected_orders, excess_value, shortfall_value, avoidable_order_cost, exposure_value FROM v_ver")
+@query("SELECT sku, verdict, frequency_earned, expected_orders, excess_value, shortfall_value, avoidable_order_cost, exposure_value FROM v_ver")
 def v12_cadence_verdicts(spark, sf_dir):
-    return verdicts(spark, sf_dir).select("sku", "verdict", "expected_orders", "excess_value", "shortfall_value", "avoidable_order_cost", "exposure_value")
+    return verdicts(spark, sf_dir).select("sku", "verdict", "frequency_earned", "expected_orders", "excess_value", "shortfall_value", "avoidable_order_cost", "exposure_value")
 
 
 @query("SELECT verdict, count(*) AS items, round(sum(exposure_value), 2) AS exposure_value, round(count(*) / (SELECT count(*) FROM v_ver), 6) AS share FROM v_ver GROUP BY verdict")

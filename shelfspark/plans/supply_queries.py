@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelfspark.operators import replenish as R
 from shelfspark.operators import supply as S
 from shelfspark.plans.demand_queries import classified
-from shelfspark.plans.fixtures import AS_OF, ORACLE_VIEWS, query, tidy, view
+from shelfspark.plans.fixtures import AS_OF, ORACLE_VIEWS, once, query, tidy, view
 
 AT = "DATE '2000-01-01'"
 ORACLE_VIEWS["s_po"] = """
@@ -86,10 +86,12 @@ def receipts(spark, sf_dir):
     return S.sane_lead_times(view(spark, sf_dir, "fx_po_history"))
 
 
+@once
 def lead_times(spark, sf_dir):
     return S.supplier_lead_times(receipts(spark, sf_dir))
 
 
+@once
 def inbound(spark, sf_dir):
     return S.inbound_schedule(view(spark, sf_dir, "fx_open_po"), at())
 
@@ -267,12 +269,17 @@ def r17_order_quantity(spark, sf_dir):
     return required(spark, sf_dir).select("sku", "order_quantity")
 
 
-@query("""SELECT sku, recommended_action, CASE recommended_action WHEN 'PURCHASE-REQUEST' THEN order_quantity WHEN 'ORDER-FOR-BACKLOG' THEN backlog_shortfall ELSE 0 END AS suggested_po_qty FROM (
+ORACLE_VIEWS["r_rec"] = """
+SELECT *, CASE recommended_action WHEN 'PURCHASE-REQUEST' THEN order_quantity WHEN 'ORDER-FOR-BACKLOG' THEN backlog_shortfall ELSE 0 END AS suggested_po_qty,
+  CASE WHEN pushout_candidate THEN round_even(greatest(least(surplus_deficit, total_open_po_qty), 0), 1) ELSE 0 END AS pushout_open_po_qty FROM (
 SELECT *, CASE WHEN stocking_class = 'non-stocking' THEN CASE WHEN backlog_shortfall > 0 THEN 'ORDER-FOR-BACKLOG' ELSE 'NO-ACTION' END
   WHEN supply_gap THEN CASE WHEN total_open_po_qty > 0 THEN 'EXPEDITE-INBOUND' ELSE 'PURCHASE-REQUEST' END WHEN pushout_candidate THEN 'PUSH-OUT-OPEN-PO'
   WHEN net_requirement > 0 THEN 'PURCHASE-REQUEST' WHEN inventory_status = 'EXCESS' THEN 'HOLD-EXCESS' ELSE 'HOLD-OK' END AS recommended_action FROM (
 SELECT r_req.*, CASE WHEN net_requirement > 0 AND method <> 'make_to_order' THEN round_even(net_requirement + order_lot, 1) ELSE 0 END AS order_quantity,
   round_even(greatest(round_even(coalesce(mto_actionable_qty, backlog_due_qty), 1) - coalesce(effective_position, 0), 0), 1) AS backlog_shortfall
-FROM r_req LEFT JOIN s_by USING (sku)))""")
+FROM r_req LEFT JOIN s_by USING (sku)))"""
+
+
+@query("SELECT sku, recommended_action, suggested_po_qty FROM r_rec")
 def r18_recommendations(spark, sf_dir):
     return recommended(spark, sf_dir).select("sku", "recommended_action", "suggested_po_qty")
