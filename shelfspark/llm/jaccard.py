@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import keep, may_hold, mix64, row_key, shingle_hashes, text_of, word_hashes
+from shelfspark.llm.common import keep, may_hold, mix64, row_key, shingle_hashes, text_of, trim, word_hashes
 from shelfspark.llm.components import components
 
 #: Tokens for each coordinate of a count vector: between this and half of it.
@@ -237,6 +237,7 @@ def jaccard_components(
             pieces = np.minimum(counts, 65535).astype(np.uint16).reshape(PIECES, -1)
             last = [pa.nulls(PIECES, f.type) for f in schema][:6] + [pa.array(range(PIECES), "int32"), pa.array([x.tobytes() for x in pieces], "binary")]
             yield pa.RecordBatch.from_arrays(last, schema=schema)
+        trim()
 
     described = keep(rows.mapInArrow(describe, form), "sets")
     known = described.where("piece is null").select("doc_id", "row", "n", "sid", "point", "bytes")
@@ -268,6 +269,8 @@ def jaccard_components(
                     held, ids, n, seen = [], [], 0, set()
         if held:
             yield _dealt(held, ids, parts)
+        held, ids = [], []
+        trim()
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         """Pairs of a page's first set and each other one, once a part."""
@@ -329,6 +332,7 @@ def jaccard_components(
         return pd.concat(out)[["page", "sid", "part", "own", "i", "j"]]
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        trim()
         out = [np.zeros((0, 2), np.int64)]
         for (i, j, _), part in pdf.groupby(["i", "j", "page"]):
             sets = token_sets([bytes(t) for t in part.text], k)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import mix64, text_of
+from shelfspark.llm.common import fresh, mix64, text_of, trim
 
 BUCKETS = 1 << 13
 #: Bytes of text whose subwords are hashed at once; longer texts go piece by piece.
@@ -95,15 +95,16 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], *, dim: int = 16, ep
     return model
 
 
-def train_language_model(docs: DataFrame, learn: Column, *, text: str = "text", lang: str = "lang", per_language: int = 500, max_languages: int = 200) -> LanguageModel:
-    """Fits the model on at most `per_language` documents of each of the `max_languages` most frequent languages.
+def train_language_model(docs: DataFrame, learn: Column, *, text: str = "text", lang: str = "lang", per_language: int = 500) -> LanguageModel:
+    """Fits the model on at most `per_language` documents of each language.
 
     The sample is drawn by hash of the text among rows where `learn` holds, lang is not null and the text has a letter,
-    equal texts once. Only subword counts of sampled texts, bounded by BUCKETS for each, reach the driver.
+    equal texts once. One task fits the model on the subword counts of the sampled texts, at most BUCKETS for each; the
+    driver gets a row a language, and the model.
     """
     known = docs.where(learn & F.col(lang).isNotNull() & has_letter(text)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     known = known.withColumn("order", F.xxhash64(F.lit(31), "text"))
-    totals = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    totals = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
     languages = sorted(r.lang for r in totals)
     if not languages:
         return LanguageModel([], np.zeros((BUCKETS, 1), np.float32), np.zeros((1, 0), np.float32), np.zeros(0, np.float32))
@@ -120,14 +121,21 @@ def train_language_model(docs: DataFrame, learn: Column, *, text: str = "text",
             kinds = [np.flatnonzero(c).astype(np.uint16) for c in counted]
             yield pd.DataFrame({"lang": pdf.lang, "order": pdf.order, "kinds": [k.tobytes() for k in kinds], "n": [c[k].astype(np.float32).tobytes() for c, k in zip(counted, kinds, strict=True)]})
 
-    rows = chosen.dropDuplicates(["lang", "order"]).mapInPandas(count, "lang string, order long, kinds binary, n binary").toPandas()
-    rows = rows.sort_values(["order", "lang"]).groupby("lang").head(per_language)
-    x = np.zeros((len(rows), BUCKETS), np.float32)
-    for i, (kinds, n) in enumerate(zip(rows.kinds, rows.n, strict=True)):
-        n = np.frombuffer(n, np.float32)
-        x[i, np.frombuffer(kinds, np.uint16)] = n / max(n.sum(), 1)
-    y = rows.lang.map({name: i for i, name in enumerate(languages)}).to_numpy()
-    return fit(x, y, languages)
+    def learned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([*batches, pd.DataFrame({"lang": [], "order": [], "kinds": [], "n": []})])
+        rows = rows.sort_values(["order", "lang"]).groupby("lang").head(per_language)
+        x = np.zeros((len(rows), BUCKETS), np.float32)
+        for i, (kinds, n) in enumerate(zip(rows.kinds, rows.n, strict=True)):
+            n = np.frombuffer(n, np.float32)
+            x[i, np.frombuffer(kinds, np.uint16)] = n / max(n.sum(), 1)
+        model = fit(x, rows.lang.map({name: i for i, name in enumerate(languages)}).to_numpy(np.int64), languages)
+        yield pd.DataFrame({"e": [model.embeddings.tobytes()], "w": [model.weights.tobytes()], "b": [model.bias.tobytes()], "t": [model.temperature], "r": [model.reject_below]})
+        trim()
+
+    counted = chosen.dropDuplicates(["lang", "order"]).mapInPandas(count, "lang string, order long, kinds binary, n binary")
+    got = counted.repartition(1).mapInPandas(learned, "e binary, w binary, b binary, t double, r double").first()  # `per_language` rows a language
+    e, w, b = (np.frombuffer(x, np.float32) for x in (got.e, got.w, got.b))
+    return LanguageModel(languages, e.reshape(BUCKETS, -1), w.reshape(-1, len(languages)), b, got.t, got.r)
 
 
 def has_letter(text: str = "text") -> Column:
@@ -139,7 +147,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", rejec
     below the model's calibrated bound.
 
     The whole text counts. Null and letterless texts score 0. Rows, ties and repeated rows are independent of each
-    other. A model without languages answers `und`. Columns of those two names are replaced.
+    other. A model without languages answers `und`. Columns of those two names are replaced; others, whatever their names, stay.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.languages, model.table().astype(np.float64), model.bias, model.temperature))
@@ -162,7 +170,9 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", rejec
             yield pd.DataFrame({"lang": names, "score": scores})
 
     found = predict(F.when(has_letter(text), F.col(text).cast("binary")))
-    out = docs.drop("lang_pred", "lang_score").withColumn("_found", found)
-    low = F.col("_found.score") < model.reject_below if reject else F.lit(False)
-    out = out.withColumn("lang_pred", F.when(low, "und").otherwise(F.col("_found.lang")))
-    return out.withColumn("lang_score", F.col("_found.score")).drop("_found")
+    docs = docs.drop("lang_pred", "lang_score")
+    own = fresh(docs, "found")
+    out = docs.withColumn(own, found)
+    low = F.col(f"{own}.score") < model.reject_below if reject else F.lit(False)
+    out = out.withColumn("lang_pred", F.when(low, "und").otherwise(F.col(f"{own}.lang")))
+    return out.withColumn("lang_score", F.col(f"{own}.score")).drop(own)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import is_space, keep, may_hold, mix64, powers, prefix_hash, row_key, text_of, word_hashes
+from shelfspark.llm.common import is_space, keep, may_hold, mix64, powers, prefix_hash, row_key, text_of, trim, word_hashes
 
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -214,6 +214,7 @@ def _repeats(rows: DataFrame, parts: int, n: int, gram: int, seen: Callable[[pd.
                 keys, owners, size = [], [], 0
         if keys:
             yield dealt(keys, owners)
+        trim()
 
     def dealt(keys: list, owners: list) -> pd.DataFrame:
         keys, owners = np.concatenate(keys), np.concatenate(owners)
@@ -249,6 +250,8 @@ def _repeats(rows: DataFrame, parts: int, n: int, gram: int, seen: Callable[[pd.
                     held, size = {}, 0
             if held:
                 yield sent(held)
+                held = {}
+            trim()
 
     def sent(held: dict) -> pd.DataFrame:
         out = []
@@ -260,6 +263,7 @@ def _repeats(rows: DataFrame, parts: int, n: int, gram: int, seen: Callable[[pd.
         return pd.DataFrame(out, columns=["part", "anchor", "row", "at", "near", "far", "many", "bytes"])
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        trim()
         own = pdf[pdf["bytes"].isna()]
         rows_out, lo_out, hi_out = [own.row.to_numpy(np.int64)], [own["at"].to_numpy(np.int64)], [own.far.to_numpy(np.int64)]
         pdf = pdf[pdf["bytes"].notna()]
