@@ -1,7 +1,14 @@
-"""Forecasts of one series at a time as folds over ordered arrays; no Python in the executors."""
+"""Forecasts of series: single models as folds over ordered arrays; the competition of all models on matrices of series.
+
+A series is one row, so every model works on all series of a batch at once; Spark deals the batches out.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -103,96 +110,273 @@ def tsb(q: Column, alpha: float = ALPHA, beta: float = ALPHA) -> Column:
     return _result(q, found)
 
 
-def holt(q: Column, alpha: float, beta: float) -> Column:
-    """Level and additive trend by fixed weights: (level, trend, sse). One point of the grid of D-19."""
-    first, second = F.get(q, F.lit(0)), F.get(q, F.lit(1))
-    start = F.struct(first.alias("l"), (second - first).alias("b"), F.lit(0.0).alias("sse"))
-
-    def step(acc: Column, x: Column) -> Column:
-        guess = acc.l + acc.b
-        level = alpha * x + (1 - alpha) * guess
-        return F.struct(level.alias("l"), (beta * (level - acc.l) + (1 - beta) * acc.b).alias("b"), (acc.sse + (x - guess) * (x - guess)).alias("sse"))
-
-    return F.when(F.size(q) >= 2, F.aggregate(F.slice(q, F.lit(2), F.size(q) - 1), start, step))
-
-
-#: Parameter grid of the trend model.
-GRID = tuple((a / 10, b / 10) for a in (1, 3, 5, 7, 9) for b in (1, 3, 5))
-
-
-def best_trend(arrays: DataFrame, horizon: int = 3) -> DataFrame:
-    """Level-and-trend smoothing with the grid's best weights by squared error, and its next values. (D-19)"""
-    fits = F.array(*[F.struct(holt(F.col("q"), a, b).alias("f"), F.lit(a).alias("alpha"), F.lit(b).alias("beta")) for a, b in GRID])
-    ranked = F.array_min(F.transform(F.filter(fits, lambda x: x.f.isNotNull()), lambda x: F.struct(x.f.sse.alias("sse"), x.alpha.alias("alpha"), x.beta.alias("beta"), x.f.l.alias("l"), x.f.b.alias("b"))))
-    rows = arrays.withColumn("m", ranked).where("m is not null")
-    return rows.select("sku", "m.alpha", "m.beta", "m.sse", F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda h: F.greatest(F.col("m.l") + h * F.col("m.b"), F.lit(0.0))).alias("values"))
-
-
-MODELS = ("naive", "moving_average", "smoothing", "croston", "tsb")
-
+#: Weights that the fits try, in this order; the first of the best ones stands.
+ALPHAS, BETAS, GAMMAS = (0.1, 0.3, 0.5, 0.7, 0.9), (0.1, 0.3, 0.5), (0.1, 0.3, 0.5)
+#: Autoregressive and moving-average weights that the fit of ARIMA(1,1,1) tries.
+PHIS = THETAS = (-0.8, -0.4, 0.0, 0.4, 0.8)
+#: Cycle lengths that are looked for, shortest first.
+CYCLES = (3, 4, 6, 12)
+#: Candidates in the order that settles equal scores.
+MODELS = ("ets", "ets_trend", "ets_seasonal", "ets_mul_seasonal", "arima", "croston", "tsb", "moving_average", "smoothing", "naive")
+LEAST_POINTS = 12
+
+
+def trending(q: np.ndarray, drift: float = 0.2, t_least: float = 2.0) -> np.ndarray:
+    """Rows of a matrix of series with a slope that stands out and moves the mean. As D-13."""
+    n = q.shape[1]
+    if n < 3:
+        return np.zeros(len(q), bool)
+    x = np.arange(n) - (n - 1) / 2
+    sxx, mean = (x * x).sum(), q.mean(1)
+    slope = q @ x / sxx
+    rest = np.maximum(((q - mean[:, None]) ** 2).sum(1) - slope * (q @ x), 0)
+    error = np.sqrt(rest / (n - 2) / sxx)
+    t = np.where(error > 1e-12, np.abs(slope) / np.where(error > 1e-12, error, 1), np.inf)
+    return (np.abs(slope) > 1e-12) & (t >= t_least) & (np.abs(slope) * (n - 1) >= drift * np.abs(mean))
+
+
+def cycles(q: np.ndarray, least: float = 0.3, z: float = 2.5) -> np.ndarray:
+    """The shortest cycle of each series that its month-to-month changes repeat; 0 for none. As D-14."""
+    n, found = q.shape[1], np.zeros(len(q), np.int64)
+    d = np.diff(q, axis=1)
+    e = d - d.mean(1, keepdims=True) if n > 1 else d
+    total = (e * e).sum(1)
+    for m in reversed(CYCLES):
+        if n >= 2 * m:
+            share = (e[:, m:] * e[:, :-m]).sum(1) / np.where(total > 0, total, 1)
+            found[(total > 0) & (share >= max(least, z / np.sqrt(n - 1)))] = m
+    return found
+
+
+def _best(fits: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Values ahead, and the error within the sample, of each series' first fit with the least squared error."""
+    sse = np.round(np.array([f[0] for f in fits]), 6)
+    pick, rows = np.argmin(sse, axis=0), np.arange(sse.shape[1])
+    return np.array([f[1] for f in fits])[pick, rows], np.array([f[2] for f in fits])[pick, rows]
+
+
+def smoothed(q: np.ndarray, h: int, trend: bool = False, cycle: int = 0, mul: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Exponential smoothing of level, trend and season by the best weights of the grid, a series a row. (D-19)
+
+    The level starts at the first value, the trend at the first step; with a season, at the first cycle's mean, the step
+    between the means of the first two cycles, and the first cycle's departures. Returns (values ahead, rmse).
+    """
+    n, start = q.shape[1], cycle or 1
+    mean = q[:, :start].mean(1)
+    first = (q[:, cycle : 2 * cycle].mean(1) - mean) / cycle if cycle else q[:, 1] - q[:, 0]
+    fits = []
+    for alpha in ALPHAS:
+        for beta in BETAS if trend else (0.0,):
+            for gamma in GAMMAS if cycle else (0.0,):
+                level, slope, sse = mean.copy(), first * trend, np.zeros(len(q))
+                season = [(q[:, i] / mean if mul else q[:, i] - mean) if cycle else np.full(len(q), float(mul)) for i in range(start)]
+                for t in range(start, n):
+                    x, s, ahead = q[:, t], season[t % start], level + slope
+                    sse += (x - (ahead * s if mul else ahead + s)) ** 2
+                    new = alpha * (x / s if mul else x - s) + (1 - alpha) * ahead
+                    slope = beta * (new - level) + (1 - beta) * slope if trend else slope
+                    if cycle:
+                        season[t % start] = gamma * (x / new if mul else x - new) + (1 - gamma) * s
+                    level = new
+                steps = [(level + (i + 1) * slope, season[(n + i) % start]) for i in range(h)]
+                fits.append((sse, np.stack([a * s if mul else a + s for a, s in steps], 1), np.sqrt(sse / (n - start))))
+    return _best(fits)
+
+
+def arima(q: np.ndarray, h: int) -> tuple[np.ndarray, np.ndarray]:
+    """ARIMA(1,1,1) by the least conditional sum of squares on a grid, a series a row: (values ahead, rmse). (D-20)"""
+    w, fits = np.diff(q, axis=1), []
+    for phi in PHIS:
+        for theta in THETAS:
+            e, sse = np.zeros(len(q)), np.zeros(len(q))
+            for t in range(1, w.shape[1]):
+                e = w[:, t] - phi * w[:, t - 1] - theta * e
+                sse = sse + e * e
+            step, at, out = phi * w[:, -1] + theta * e, q[:, -1], []
+            for _ in range(h):
+                at = at + step
+                out.append(at)
+                step = phi * step
+            fits.append((sse, np.stack(out, 1), np.sqrt(sse / (w.shape[1] - 1))))
+    return _best(fits)
+
+
+def intermittent(q: np.ndarray, dying: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Croston, or TSB (`dying`), of a series a row, as the folds of D-17 and D-18: (value, rmse)."""
+    n, hit = q.shape[1], q > 0
+    count = hit.sum(1)
+    some = count > 0
+    at = np.where(hit, np.arange(n), -1)
+    first, last = np.where(some, hit.argmax(1), n), at.max(1)
+    z = q.sum(1, where=hit) / np.maximum(count, 1)
+    p = count / n if dying else np.where(count > 1, (last - first) / np.maximum(count - 1, 1), max(n, 1)).astype(float)
+    since, sq, k = np.ones(len(q)), np.zeros(len(q)), np.zeros(len(q))
+    for t in range(1, n):
+        live, x = t > first, q[:, t]
+        now = live & hit[:, t]
+        error = x - (z * p if dying else z / p)
+        sq, k = sq + np.where(now, error * error, 0), k + now
+        if dying:
+            p = np.where(live, ALPHA * now + (1 - ALPHA) * p, p)
+        else:
+            p = np.where(now, ALPHA * since + (1 - ALPHA) * p, p)
+        since = np.where(now, 1.0, since + live)
+        z = np.where(now, ALPHA * x + (1 - ALPHA) * z, z)
+    spread = q.std(1, ddof=1) if n > 1 else np.full(len(q), np.nan)
+    value = np.where(some, z * p if dying else z / np.where(some, p, 1), q.mean(1))
+    return value, np.where(some & (k > 0), np.sqrt(sq / np.maximum(k, 1)), spread)
+
+
+def candidates(q: np.ndarray, h: int, density: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Values ahead of every model that a series may use, by model: (rows, values), never below 0. (D-21)
+
+    Trend and season are tried beside the plain level, where they are found in these values; ARIMA where half of the
+    months or more have demand (`density`, over the whole series), Croston and TSB where less than 76 % have.
+    """
+    n, everyone = q.shape[1], np.arange(len(q))
+    flat = lambda v: np.repeat(v[:, None], h, 1)
+    out: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    if n >= LEAST_POINTS:
+        trend, cycle = trending(q), cycles(q)
+        out["ets"] = everyone, smoothed(q, h)[0]
+        out["ets_trend"] = np.flatnonzero(trend), smoothed(q[trend], h, True)[0]
+        for name, ok, mul in (("ets_seasonal", cycle > 0, False), ("ets_mul_seasonal", (cycle > 0) & (q > 0).all(1), True)):
+            rows, values = [np.zeros(0, np.int64)], [np.zeros((0, h))]
+            for m in np.unique(cycle[ok]):
+                for up in (False, True):
+                    at = np.flatnonzero(ok & (cycle == m) & (trend == up))
+                    rows.append(at)
+                    values.append(smoothed(q[at], h, up, int(m), mul)[0])
+            out[name] = np.concatenate(rows), np.concatenate(values)
+    if n >= 8:
+        dense = np.flatnonzero(density >= 0.5)
+        out["arima"] = dense, arima(q[dense], h)[0]
+    gaps = np.flatnonzero(density < 0.76)
+    out["croston"] = gaps, flat(intermittent(q[gaps], False)[0])
+    out["tsb"] = gaps, flat(intermittent(q[gaps], True)[0])
+    out["moving_average"] = everyone, flat(q[:, -3:].mean(1))
+    level = q.mean(1)
+    for t in range(1, n):
+        level = ALPHA * q[:, t] + (1 - ALPHA) * level
+    out["smoothing"], out["naive"] = (everyone, flat(level)), (everyone, flat(q[:, -1]))
+    return {name: (rows, np.maximum(v, 0)) for name, (rows, v) in out.items() if len(rows)}
+
+
+def density_of(q: np.ndarray) -> np.ndarray:
+    """Share of months with demand from the first such month on; 0 for none. As D-12."""
+    hit = q > 0
+    return np.where(hit.any(1), hit.sum(1) / (q.shape[1] - hit.argmax(1)), 0.0)
+
+
+def _by_length(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Items of a batch whose series are of one length, and these as a matrix."""
+    for pdf in batches:
+        for _, part in pdf.groupby(pdf.q.map(len)):
+            yield part, np.array([np.asarray(v, float) for v in part.q])
+
+
+def backtest(arrays: DataFrame, folds: int = 3, steps: int = 3) -> DataFrame:
+    """Errors of each candidate, pooled over the last origins and `steps` ahead: rmse, mape, mase. (D-21, D-22)
+
+    Each of the `folds` origins leaves `steps` values to forecast; the last origin's are the series' last ones. Series
+    of fewer than 12 months have no origins, and origins have at least 9 months. The mean absolute first difference of
+    the whole series scales mase; mape needs 4 values other than 0.
+    """
 
-def point_forecasts(q: Column) -> Column:
-    """An array of (ord, model, value) for the models without parameters to fit."""
-    values = (naive(q), moving_average(q), simple_smoothing(q), croston(q)["value"], tsb(q)["value"])
-    return F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(m).alias("model"), v.cast("double").alias("value")) for i, (m, v) in enumerate(zip(MODELS, values, strict=True))])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, q in _by_length(batches):
+            n, density = q.shape[1], density_of(q)
+            origins = [o for o in range(n - steps - folds + 1, n - steps + 1) if o >= max(LEAST_POINTS - steps, 4)]
+            if n < LEAST_POINTS or not origins:
+                continue
+            error = {m: np.full((len(q), len(origins) * steps), np.nan) for m in MODELS}
+            actual = np.concatenate([q[:, o : o + steps] for o in origins], 1)
+            for i, o in enumerate(origins):
+                for m, (rows, values) in candidates(q[:, :o], steps, density).items():
+                    error[m][rows, i * steps : (i + 1) * steps] = values - q[rows, o : o + steps]
+            scale = np.abs(np.diff(q, axis=1)).mean(1)
+            for i, m in enumerate(MODELS):
+                e = error[m]
+                rows = np.flatnonzero(~np.isnan(e).all(1))
+                e, a = e[rows], actual[rows]
+                there, hit = ~np.isnan(e), ~np.isnan(e) & (a != 0)
+                mape = np.nansum(np.abs(e) / np.where(hit, a, 1), 1, where=hit) / np.maximum(hit.sum(1), 1)
+                some = scale[rows] > 0
+                yield pd.DataFrame(
+                    {
+                        "sku": part.sku.to_numpy()[rows], "ord": i, "model": m, "rmse": np.sqrt(np.nanmean(e * e, 1)) if len(rows) else [],
+                        "mape": pd.array(np.where(hit.sum(1) >= 4, mape, np.nan), "Float64"), "mase": pd.array(np.where(some, np.nanmean(np.abs(e), 1) / np.where(some, scale[rows], 1), np.nan) if len(rows) else [], "Float64"),
+                        "has_zero": (there & (a == 0)).any(1), "all_zero": ~hit.any(1),
+                    }
+                )
+
+    found = arrays.mapInPandas(run, "sku string, ord int, model string, rmse double, mape double, mase double, has_zero boolean, all_zero boolean")
+    return found.select("sku", "ord", "model", "rmse", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("mape", "mase")], "has_zero", "all_zero")
 
 
-def backtest(arrays: DataFrame, origins: int = 3, steps: int = 3, least: int = 6) -> DataFrame:
-    """Pooled errors of each model over the last origins, up to `steps` ahead: rmse, mape, mase. (D-21, D-22)
+def choose_model(scores: DataFrame) -> DataFrame:
+    """The model with the lowest error: mape where no actual is 0 and all models have one, else mase, else rmse. (D-23)
 
-    Croston and TSB stand only where less than three quarters of the months have demand. The scale of mase is the mean
-    absolute first difference of the whole series. Series of fewer than `least` months have no origins.
+    A window without demand has measured nothing: such items go to TSB, without a score.
     """
-    n = F.size("q")
-    rows = arrays.where(n >= least).withColumn("o", F.explode(F.sequence(F.lit(1), F.lit(origins))))
-    rows = rows.withColumn("train", F.slice("q", F.lit(1), n - F.col("o"))).withColumn("test", F.slice("q", n - F.col("o") + 1, F.least(F.lit(steps), F.col("o"))))
-    density = F.size(_positive(F.col("q"))) / n
-    diffs = F.transform(F.slice("q", F.lit(2), n - 1), lambda x, i: F.abs(x - F.get(F.col("q"), i)))
-    rows = rows.withColumn("density", density).withColumn("scale", mean_of(diffs))
-    rows = rows.select("sku", "o", "test", "density", "scale", F.explode(point_forecasts(F.col("train"))).alias("f")).select("*", "f.*")
-    rows = rows.where("value is not null and (model not in ('croston', 'tsb') or density < 0.76)")
-    rows = rows.select("sku", "ord", "model", "value", "scale", F.explode("test").alias("actual"))
-    error = F.col("actual") - F.col("value")
-    out = rows.groupBy("sku", "ord", "model").agg(
-        F.sqrt(F.avg(error * error)).alias("rmse"),
-        F.when(F.count_if(F.col("actual") != 0) >= 4, F.avg(F.when(F.col("actual") != 0, F.abs(error / F.col("actual"))))).alias("mape"),
-        F.try_divide(F.avg(F.abs(error)), F.first("scale")).alias("mase"),
-        F.bool_or(F.col("actual") == 0).alias("has_zero"),
-        F.bool_and(F.col("actual") == 0).alias("all_zero"),
-    )
-    return out
-
-
-def choose_model(scores: DataFrame) -> DataFrame:
-    """The model with the lowest error: mape where no actual is 0 and all models have one, else mase, else rmse. (D-23)"""
     whole = W.partitionBy("sku")
     rows = scores.withColumn("use_mape", ~F.max("has_zero").over(whole) & (F.count("mape").over(whole) == F.count("*").over(whole)))
-    rows = rows.withColumn("use_mase", F.count("mase").over(whole) == F.count("*").over(whole))
+    rows = rows.withColumn("use_mase", F.count("mase").over(whole) == F.count("*").over(whole)).withColumn("quiet", F.min("all_zero").over(whole))
     metric = F.when(F.col("use_mape"), "mape").when(F.col("use_mase"), "mase").otherwise("rmse")
     score = F.when(F.col("use_mape"), F.col("mape")).when(F.col("use_mase"), F.col("mase")).otherwise(F.col("rmse"))
     rows = rows.withColumn("metric", metric).withColumn("score", score)
     rows = rows.withColumn("naive_score", F.max(F.when(F.col("model") == "naive", F.col("score"))).over(whole))
-    # an all-zero window says nothing about models: the decaying one stands where it is a candidate
-    first = F.when(F.col("all_zero") & (F.col("model") == "tsb"), 0).otherwise(1)
-    place = F.row_number().over(whole.orderBy(first, F.round("score", 9), "ord"))
-    best = rows.withColumn("place", place).where("place = 1")
-    return best.select("sku", "model", "metric", "score", F.try_divide("score", "naive_score").alias("ratio_to_naive"), "rmse")
-
+    best = rows.withColumn("place", F.row_number().over(whole.orderBy(F.round("score", 9), "ord"))).where("place = 1")
+    judged = lambda c: F.when(~F.col("quiet"), c)
+    return best.select(
+        "sku", F.when(F.col("quiet"), "tsb").otherwise(F.col("model")).alias("model"), F.when(F.col("quiet"), "no demand in window").otherwise(F.col("metric")).alias("metric"), judged(F.col("score")).alias("score"),
+        judged(F.try_divide("score", "naive_score")).alias("ratio_to_naive"), judged(F.col("rmse")).alias("rmse"),
+    )
 
-def forecast(arrays: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The chosen model's value on the whole series, at least 0; items without a choice fall back by what they have. (D-24)"""
-    rows = arrays.select("sku", F.size("q").alias("n"), F.aggregate("q", F.lit(0.0), lambda s, x: s + x).alias("total"), F.size(_positive(F.col("q"))).alias("active"), point_forecasts(F.col("q")).alias("f"))
-    rows = rows.join(chosen.select("sku", F.col("model").alias("chosen"), F.col("rmse").alias("forecast_rmse")), "sku", "left")
-    fallback = F.when((F.col("n") < 4) | (F.col("total") <= 0), None).when(F.col("active") < 0.75 * F.col("n"), "tsb").otherwise("moving_average")
-    rows = rows.withColumn("model", F.coalesce("chosen", fallback))
-    value = F.filter("f", lambda x: x.model == F.col("model"))[0]["value"]
-    return rows.where("model is not null").select("sku", "model", F.bround(F.greatest(value, F.lit(0.0)), 1).alias("forecast_qty"), "forecast_rmse")
 
+def forecast(arrays: DataFrame, chosen: DataFrame, hints: DataFrame | None = None, horizon: int = 6) -> DataFrame:
+    """(sku, model, h, forecast_qty, forecast_rmse): the chosen model's values on the whole series, to one digit. (D-24)
 
-def forecast_detail(forecasts: DataFrame, last: DataFrame, horizon: int = 6) -> DataFrame:
-    """A row for each future month; the first one is marked. last: one row, `period`. (D-25)"""
+    Items without a choice (too short to hold anything out) go by their hints (sku, stocking_policy, demand_pattern):
+    TSB when made to order or with gaps; else ARIMA from 8 months on, else the average of the last three. A chosen model
+    that the whole series doesn't admit gives way to that average. Series of under 4 months or without demand have none.
+    """
+    rows = arrays.join(chosen.select("sku", F.col("model").alias("chosen"), F.col("rmse").alias("scored")), "sku", "left")
+    if hints is not None:
+        gaps = (F.col("stocking_policy") == "MTO") | F.col("demand_pattern").isin("intermittent", "lumpy")
+        rows = rows.join(hints.select("sku", F.coalesce(gaps, F.lit(False)).alias("gaps")), "sku", "left")
+    else:
+        rows = rows.withColumn("gaps", F.lit(False))
+    rows = rows.where((F.size("q") >= 4) & F.exists("q", lambda x: x > 0))
+    short = F.when(F.coalesce("gaps", F.lit(False)), "tsb").when(F.size("q") >= 8, "arima").otherwise("moving_average")
+    rows = rows.select("sku", "q", F.coalesce("chosen", short).alias("model"), F.col("chosen").isNotNull().alias("tested"), "scored")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, q in _by_length(batches):
+            model, tested = part.model.to_numpy(), part.tested.to_numpy(bool)
+            values, rmse = np.repeat(q[:, -3:].mean(1)[:, None], horizon, 1), part.scored.to_numpy(float).copy()
+            before = np.array([[q[i, max(0, t - 3) : t].mean() for t in range(1, q.shape[1])] for i in np.flatnonzero(~tested)]).reshape(-1, q.shape[1] - 1)
+            rmse[~tested] = np.sqrt(((q[~tested][:, 1:] - before) ** 2).mean(1))
+            for m, (at, v) in candidates(q, horizon, density_of(q)).items():
+                use = model[at] == m
+                values[at[use]] = v[use]
+            late = np.flatnonzero((model == "tsb") & np.isnan(part.scored.to_numpy(float)))  # quiet windows and short series, whatever their density
+            v, e = intermittent(q[late], True)
+            values[late], rmse[late] = v[:, None], e
+            early = np.flatnonzero(~tested & (model == "arima"))
+            if len(early):
+                values[early], rmse[early] = arima(q[early], horizon)
+            n = len(q)
+            yield pd.DataFrame({"sku": np.repeat(part.sku.to_numpy(), horizon), "model": np.repeat(model, horizon), "h": np.tile(np.arange(1, horizon + 1), n), "value": values.reshape(-1), "rmse": np.repeat(rmse, horizon)})
+
+    found = rows.mapInPandas(run, "sku string, model string, h int, value double, rmse double")
+    value = F.bround(F.greatest(F.col("value"), F.lit(0.0)), 1)
+    return found.select("sku", "model", "h", value.alias("forecast_qty"), F.when(~F.isnan("rmse"), F.round("rmse", 3)).alias("forecast_rmse"))
+
+
+def forecast_detail(forecasts: DataFrame, last: DataFrame) -> DataFrame:
+    """A row for each future month; the first one is marked. forecasts: sku, model, h, forecast_qty, forecast_rmse; last: one row, `period`. (D-25)"""
     rows = forecasts.crossJoin(F.broadcast(last))  # one row
-    rows = rows.select("sku", "model", "forecast_qty", "forecast_rmse", "period", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"))
     return rows.select("sku", F.add_months("period", F.col("h")).alias("period"), "forecast_qty", "model", "forecast_rmse", (F.col("h") == 1).alias("is_next_period"))
 
 

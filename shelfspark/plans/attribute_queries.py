@@ -117,11 +117,11 @@ def d28_reviewed_plan(spark, sf_dir):
     return Fc.reviewed_plan(wide)
 
 
-@query()
+@query("SELECT sku, period, forecast_qty AS statistical_qty, reviewed AS forecast_qty, round(reviewed - forecast_qty, 6) AS delta, round((reviewed - forecast_qty) / nullif(forecast_qty, 0), 6) AS delta_share FROM f_rev WHERE reviewed IS NOT NULL")
 def d32_review_effect(spark, sf_dir):
     rows = detail(spark, sf_dir)
     plan = rows.where("is_next_period").select("sku", "period", (F.col("forecast_qty") + 5).alias("reviewed_qty")).where("sku like '%-1'")
-    return Fc.review_effect(Fc.apply_review(rows, plan))
+    return tidy(Fc.review_effect(Fc.apply_review(rows, plan)))
 
 
 def risk(spark, sf_dir):

@@ -43,7 +43,8 @@ FROM fx_item_master m LEFT JOIN p_abc a ON a.sku = m.sku LEFT JOIN d_class c ON
 @once
 def sheet_rows(spark, sf_dir):
     have = series(spark, sf_dir)
-    forecasts = Fc.as_arrays(have).select("sku", F.lit("moving_average").alias("model"), F.bround(Fc.moving_average(F.col("q")), 1).alias("forecast_qty"), F.lit(None).cast("double").alias("forecast_rmse"))
+    average = F.bround(Fc.moving_average(F.col("q")), 1)
+    forecasts = Fc.as_arrays(have).select("sku", F.lit("moving_average").alias("model"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("h"), average.alias("forecast_qty"), F.lit(None).cast("double").alias("forecast_rmse"))
     detail = Fc.forecast_detail(forecasts, have.agg(F.max("period").alias("period")))
     sold = lines(spark, sf_dir)
     return L.sop_rows(have, detail, L.value_series(sold), prices(spark, sf_dir), L.country_shares(sold, at()))
