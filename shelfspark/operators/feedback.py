@@ -14,13 +14,17 @@ def publish(recommended: DataFrame, lead_times: DataFrame, run_at: str, planning
     return rows.join(lt, "sku", "left").withColumn("run_at", F.lit(run_at)).withColumn("planning_month", F.lit(planning_month))
 
 
-def actuals_after(lines: DataFrame, stock: DataFrame, as_of: Column) -> DataFrame:
-    """Demand of the month after a plan and closing stock, a row an item; ValueError for an empty month. (F-02, F-03)"""
+def actuals_after(lines: DataFrame, stock: DataFrame, as_of: Column, po: DataFrame | None = None) -> DataFrame:
+    """Demand of the month after a plan, closing stock and receipts (of `po`), a row an item; ValueError for an empty month. (F-02, F-03)"""
     inside = lines.where((F.col("demand_date") > as_of) & (F.col("demand_date") <= F.add_months(as_of, 1)))
     if inside.isEmpty():
         raise ValueError("no demand lines in the month after the plan")
     demand = inside.groupBy("sku").agg(F.sum("qty").alias("actual_demand"))
-    return demand.join(stock.groupBy("sku").agg(F.sum("qty_on_hand").alias("actual_eom_inv")), "sku", "full").fillna(0.0, ["actual_demand"])
+    rows = demand.join(stock.groupBy("sku").agg(F.sum("qty_on_hand").alias("actual_eom_inv")), "sku", "full")
+    if po is None:
+        return rows.fillna(0.0, ["actual_demand"])
+    came = po.where((F.col("receive_date") > as_of) & (F.col("receive_date") <= F.add_months(as_of, 1))).groupBy("sku").agg(F.sum("po_qty").alias("actual_receipts"))
+    return rows.join(came, "sku", "full").fillna(0.0, ["actual_demand", "actual_receipts"])
 
 
 def monthly_loss(plans: DataFrame) -> DataFrame:

@@ -48,6 +48,17 @@ def item_ids(edges: DataFrame) -> DataFrame:
             return labels.select(F.col("a").alias("node"), F.col("l").alias("item_uid"))
 
 
+def substitution_candidates(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Two codes of one kind that stand in one row: a renumbering to propose, never an alias to apply. (C-38)
+
+    (kind, code_a, code_b), each pair once, the smaller code first.
+    """
+    code = lambda c: F.upper(F.trim(F.col(c).cast("string")))
+    pairs = [F.struct(code_kind(F.col(a).cast("string")).alias("kind"), code_kind(F.col(b).cast("string")).alias("other"), F.least(code(a), code(b)).alias("code_a"), F.greatest(code(a), code(b)).alias("code_b")) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    rows = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where("kind = other and code_a <> code_b")
+    return rows.select("kind", "code_a", "code_b").distinct()
+
+
 def identity_conflicts(ids: DataFrame, anchor: str, most: int = 50) -> DataFrame:
     """Items with too many codes, or with several codes of the anchor system. (C-38)"""
     out = ids.groupBy("item_uid").agg(F.count("*").alias("codes"), F.count_if(F.startswith("node", F.lit(f"{anchor}:"))).alias("anchors"))

@@ -75,6 +75,11 @@ def c37_code_columns(spark, sf_dir):
     return I.code_columns(_codes(spark, sf_dir).select("sku", "erp_code", "country"), ["sku", "erp_code", "country"], share=0.0)
 
 
+@query("SELECT DISTINCT 'part' AS kind, least(sku, maker) AS code_a, greatest(sku, maker) AS code_b FROM i_code")
+def c38_substitution_candidates(spark, sf_dir):
+    return I.substitution_candidates(_codes(spark, sf_dir), ["sku", "maker_code", "erp_code"])
+
+
 ORACLE_VIEWS["i_code"] = "SELECT DISTINCT sku, concat('P0', CAST(split_part(substr(sku, 2), '-', 1) AS INT) % 7) AS maker FROM fx_sales"
 
 
@@ -129,16 +134,22 @@ def risk(spark, sf_dir):
     return V.stockout_forecast(stock(spark, sf_dir), daily(spark, sf_dir), view(spark, sf_dir, "fx_open_po"), lead, at())
 
 
-@query()
+@query("""SELECT line_rate, line_rate AS harsh_rate, p.*, value_at_risk, skus_out_30_days, round(actual_value / should_be_value, 6) AS stock_ratio
+FROM (SELECT round(count(*) FILTER (state = 'on_time') / nullif(count(*) FILTER (state IN ('on_time', 'shipped_late')), 0), 6) AS line_rate FROM v_ship) CROSS JOIN (SELECT round(sum(should_be_value), 1) AS should_be_value, round(sum(actual_value), 1) AS actual_value, round(sum(gap_value), 1) AS net_gap_value,
+  round(sum(greatest(gap_value, 0)), 1) AS excess_value, round(sum(greatest(-gap_value, 0)), 1) AS shortfall_value, round(sum(daily_demand * unit_cost), 2) AS daily_cogs, 0 AS unpriced_skus FROM p_gap) p
+CROSS JOIN (SELECT round(coalesce(sum(greatest(horizon * daily_demand - o.qty_on_hand - inbound_before, 0) * s.unit_cost), 0), 1) AS value_at_risk, count(*) FILTER (days_left <= 30) AS skus_out_30_days FROM g_out o JOIN s_stock s ON s.sku = o.sku)""")
 def v20_headline(spark, sf_dir):
-    return V.headline(V.service_rates(shipped(spark, sf_dir)), P.portfolio(shouldbe(spark, sf_dir)), risk(spark, sf_dir))
+    found = V.headline(V.service_rates(shipped(spark, sf_dir)), P.portfolio(shouldbe(spark, sf_dir)), risk(spark, sf_dir))
+    return tidy(found, should_be_value=1, actual_value=1, net_gap_value=1, excess_value=1, shortfall_value=1, daily_cogs=2, value_at_risk=1)
 
 
-@query()
+@query("""SELECT round(clean_rate, 6) AS clean_rate, trusted, round(value / cogs, 6) AS days_on_hand, round(cogs * 45, 2) AS implied_balance, CASE WHEN NOT trusted THEN 'not scored' WHEN clean_rate >= 0.9 THEN 'met' ELSE 'missed' END AS on_time, CASE WHEN value / cogs <= 45 THEN 'met' ELSE 'missed' END AS stock
+FROM (SELECT count(*) FILTER (state = 'on_time' AND customer_request_date > order_date) / nullif(count(*) FILTER (state IN ('on_time', 'shipped_late') AND customer_request_date > order_date), 0) AS clean_rate, count(*) FILTER (customer_request_date > order_date) / count(*) >= 0.7 AS trusted FROM v_ship)
+CROSS JOIN (SELECT sum(qty_on_hand * unit_cost) AS value, sum(coalesce(daily_demand, 0) * unit_cost) AS cogs FROM l_age)""")
 def v21_score(spark, sf_dir):
     lines = shipped(spark, sf_dir)
     health = L.health_by_family(aged(spark, sf_dir), view(spark, sf_dir, "fx_item_master"))
-    return V.score(V.service_rates(lines), V.request_date_quality(lines), health, 0.9, 45.0)
+    return tidy(V.score(V.service_rates(lines), V.request_date_quality(lines), health, 0.9, 45.0), implied_balance=2)
 
 
 @query("""SELECT w AS wanted, c AS covered, round(c / w, 6) AS share, CASE WHEN c / w < 0.8 THEN 'severe' ELSE 'pass' END AS severity FROM (SELECT count(*) AS w, count(*) FILTER (sku IN (SELECT sku FROM s_stock WHERE qty_on_hand > 20)) AS c

@@ -55,7 +55,8 @@ def decisions(spark, sf_dir):
     return rows.select("sku", kind.alias("decision"), F.when(F.col("part") % 2 == 0, "moq").otherwise("budget").alias("reason_code"), F.when(F.col("customer") % 2 == 0, "push_out").otherwise("expedite").alias("action_kind"), F.col("qty").alias("value_at_stake"))
 
 
-@query()
+@query("""SELECT r.sku, stocking_class, recommended_action, suggested_po_qty, effective_position AS available_supply, demand_mean_rolling AS forecast_qty, o.wma_lead_time_days AS lead_time_days, o.lt_source, o.supplier, '2000-01-01T00:00:00' AS run_at, '2000-01' AS planning_month
+FROM r_rec r LEFT JOIN s_one o ON o.sku = r.sku""")
 def f01_plan_snapshot(spark, sf_dir):
     return B.publish(recommended(spark, sf_dir), S.one_supplier(lead_times(spark, sf_dir)), "2000-01-01T00:00:00", "2000-01")
 
@@ -66,6 +67,12 @@ def f02_actuals(spark, sf_dir):
     return B.actuals_after(lines(spark, sf_dir), stock(spark, sf_dir), F.lit("1999-11-01").cast("date"))
 
 
+@query("""SELECT sku, coalesce(actual_demand, 0) AS actual_demand, qty_on_hand AS actual_eom_inv, coalesce(actual_receipts, 0) AS actual_receipts FROM (SELECT sku, sum(qty) AS actual_demand FROM d_lines WHERE demand_date > DATE '1999-11-01' AND demand_date <= DATE '1999-12-01' GROUP BY sku)
+FULL JOIN (SELECT sku, qty_on_hand FROM s_stock) USING (sku) FULL JOIN (SELECT sku, sum(po_qty) AS actual_receipts FROM fx_po_history WHERE receive_date > DATE '1999-11-01' AND receive_date <= DATE '1999-12-01' GROUP BY sku) USING (sku)""")
+def f03_actual_receipts(spark, sf_dir):
+    return B.actuals_after(lines(spark, sf_dir), stock(spark, sf_dir), F.lit("1999-11-01").cast("date"), view(spark, sf_dir, "fx_po_history"))
+
+
 @query("SELECT * FROM b_loss")
 def f04_monthly_loss(spark, sf_dir):
     return loss(spark, sf_dir)
@@ -136,6 +143,6 @@ def x02_review_list(spark, sf_dir):
     return tidy(B.review_list(rows, flags, "demand_mean_rolling", 10))
 
 
-@query()
+@query("SELECT period, 'history' AS kind, qty AS value FROM d_series WHERE sku = 'S1-1' UNION ALL SELECT period, 'forecast', forecast_qty FROM f_det WHERE sku = 'S1-1'")
 def x03_item_detail(spark, sf_dir):
     return B.item_detail(series(spark, sf_dir), detail(spark, sf_dir), "S1-1")

@@ -8,7 +8,7 @@ from shelfspark.operators import policy as P
 from shelfspark.operators import profile as R
 from shelfspark.operators import supply as S
 from shelfspark.plans.demand_queries import classified
-from shelfspark.plans.fixtures import ORACLE_VIEWS, query, view
+from shelfspark.plans.fixtures import ORACLE_VIEWS, query, tidy, view
 from shelfspark.plans.policy_queries import params, values
 from shelfspark.plans.supply_queries import at, lead_times, stock
 
@@ -59,17 +59,22 @@ def p13_suggestions(spark, sf_dir):
     return suggested(spark, sf_dir).select("sku", "eoq_qty", "eoq_review_days", "suggested_review_period_days", "suggested_replenishment_method", "suggested_service_level")
 
 
-@query("""SELECT sku, suggested_safety_stock, current_safety_stock, round_even(suggested_safety_stock - current_safety_stock, 1) AS ss_delta_qty FROM (SELECT g.sku, safety_qty AS current_safety_stock,
+ORACLE_VIEWS["g_ss"] = """
+SELECT g.sku, safety_qty AS current_safety_stock,
   CASE WHEN g.stocking_class <> 'non-stocking' THEN round_even(CASE s_level WHEN 0.9 THEN 1.282 WHEN 0.95 THEN 1.645 ELSE 2.054 END * sqrt((g.lead_time_days + CASE WHEN s_method IN ('periodic', 'min_max') THEN s_review ELSE 0 END) / 30.0 * g.demand_sigma * g.demand_sigma
-    + g.demand_mean * g.demand_mean * (g.lt_sigma_days / 30.0) * (g.lt_sigma_days / 30.0)), 1) ELSE 0 END AS suggested_safety_stock FROM g_sug g JOIN p_sb b ON b.sku = g.sku)""")
+    + g.demand_mean * g.demand_mean * (g.lt_sigma_days / 30.0) * (g.lt_sigma_days / 30.0)), 1) ELSE 0 END AS suggested_safety_stock FROM g_sug g JOIN p_sb b ON b.sku = g.sku"""
+
+
+@query("SELECT sku, suggested_safety_stock, current_safety_stock, round_even(suggested_safety_stock - current_safety_stock, 1) AS ss_delta_qty FROM g_ss")
 def p14_suggested_safety(spark, sf_dir):
     return R.suggested_safety(suggested(spark, sf_dir)).select("sku", "suggested_safety_stock", "current_safety_stock", "ss_delta_qty")
 
 
-@query()
+@query("""SELECT sku, suggested_safety_stock, planner_safety_stock, round_even(d, 1) AS delta_qty, round(d / nullif(planner_safety_stock, 0), 6) AS delta_share, CASE WHEN abs(d) <= 0.1 * planner_safety_stock THEN 'agrees' WHEN d > 0 THEN 'planner holds less' ELSE 'planner holds more' END AS verdict
+FROM (SELECT g.sku, suggested_safety_stock, min_order_qty AS planner_safety_stock, suggested_safety_stock - min_order_qty AS d FROM g_ss g JOIN fx_item_master m ON m.sku = g.sku)""")
 def p15_against_planner(spark, sf_dir):
     planner = view(spark, sf_dir, "fx_item_master").select("sku", F.col("min_order_qty").alias("planner_safety_stock"))
-    return R.against_planner(R.suggested_safety(suggested(spark, sf_dir)), planner)
+    return tidy(R.against_planner(R.suggested_safety(suggested(spark, sf_dir)), planner))
 
 
 @query()

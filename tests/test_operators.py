@@ -2,11 +2,12 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.functions import guarded
-from shelfspark.operators import asof, conform, demand, feedback, forecast, policy, replenish, service, supply
+from shelfspark.operators import asof, conform, demand, feedback, forecast, policy, replenish, service, supply, target
 from shelfspark.sources import files
 from shelfspark.streaming import landing
 
@@ -153,3 +154,72 @@ def test_series_spine_and_patterns(spark):
     got = rows(demand.monthly_series(lines), "sku", "period", "qty")
     assert got == [("A", D(2020, 1, 1), 3.0), ("A", D(2020, 3, 1), 0.0), ("B", D(2020, 1, 1), 0.0), ("B", D(2020, 3, 1), 4.0)]
     assert supply.one_unit([spark.createDataFrame([("A", "KG")], "sku string, uom string"), spark.createDataFrame([("A", "PC"), ("B", "PC")], "sku string, uom string")]).count() == 2
+
+
+def test_stock_by_status_refuses_what_nobody_declared(spark):
+    rows = spark.createDataFrame([("a", " w1", 5.0, 2.0, 50.0), ("a", "Q", 3.0, 1.0, 30.0), ("b", None, 4.0, 0.0, None)], "sku string, location_id string, qty_on_hand double, qty_in_transit double, inventory_value double")
+    with pytest.raises(ValueError, match="Q"):
+        supply.split_by_status(rows, {"W1": "sellable"})
+    found = {(r.sku, r.location_id): r for r in supply.split_by_status(rows, {"w1": "sellable"}, wildcard="blocked").collect()}
+    held = found["a", "Q"]
+    assert (held.qty_on_hand, held.inventory_value, held.qty_in_transit, held.qty_not_sellable, held.value_not_sellable, held.qty_blocked, held.stock_locations_excluded) == (0, 0, 1, 3, 30, 3, "Q")
+    assert (found["a", " w1"].qty_on_hand, found["a", " w1"].qty_blocked, found["b", None].qty_on_hand) == (5, 0, 4)
+    # a single code needs no declaration: the snapshot is the position
+    assert supply.split_by_status(rows.where("location_id = 'Q'"), {}).first().qty_on_hand == 3
+
+
+def test_short_series_go_by_their_hints(spark):
+    rows = [("mto", [1.0, 0.0, 2.0, 0.0, 3.0]), ("arima", [float(i) for i in range(1, 10)]), ("mean", [3.0, 4.0, 5.0, 6.0, 7.0]), ("none", [0.0] * 6), ("tiny", [1.0, 2.0, 3.0])]
+    arrays = spark.createDataFrame(rows, "sku string, q array<double>")
+    hints = spark.createDataFrame([("mto", "MTO", "smooth"), ("arima", "MTS", "smooth"), ("mean", "MTS", "variable")], "sku string, stocking_policy string, demand_pattern string")
+    scores = forecast.backtest(arrays)
+    assert scores.count() == 0
+    found = {}
+    for r in forecast.forecast(arrays, forecast.choose_model(scores), hints, horizon=2).orderBy("h").collect():
+        found.setdefault(r.sku, (r.model, []))[1].append(r.forecast_qty)
+    assert found["mean"] == ("moving_average", [6.0, 6.0]) and found["mto"][0] == "tsb"
+    assert found["arima"][0] == "arima" and set(found) == {"mto", "arima", "mean"}
+    best = []
+    for phi in forecast.PHIS:
+        for theta in forecast.THETAS:
+            e = sse = 0.0
+            for _ in range(7):  # all eight differences are 1
+                e = 1 - phi - theta * e
+                sse += e * e
+            best.append((round(sse, 6), phi + theta * e, phi))
+    _, step, phi = min(best, key=lambda x: x[0])
+    assert found["arima"][1] == pytest.approx([9 + step, 9 + step + phi * step], abs=0.051)
+
+
+def test_a_quiet_window_goes_to_the_decaying_model(spark):
+    quiet = [5.0, 0.0] * 4 + [0.0] * 8
+    climbing = [10.0 + 2 * i for i in range(24)]
+    arrays = spark.createDataFrame([("quiet", quiet), ("climbing", climbing)], "sku string, q array<double>")
+    chosen = {r.sku: r for r in forecast.choose_model(forecast.backtest(arrays)).collect()}
+    assert (chosen["quiet"].model, chosen["quiet"].score) == ("tsb", None)
+    assert chosen["climbing"].model == "ets_trend" and chosen["climbing"].ratio_to_naive < 0.01
+    ahead = [r.forecast_qty for r in forecast.forecast(arrays, forecast.choose_model(forecast.backtest(arrays)), horizon=3).where("sku = 'climbing'").orderBy("h").collect()]
+    assert ahead == [58.0, 60.0, 62.0]
+
+
+def test_a_season_is_fitted_where_it_is_found():
+    wave = np.array([[20.0, 5.0, 11.0, 8.0] * 6, [20.0, 5.0, 11.0, 8.0] * 6])
+    wave[1] *= 1 + np.arange(24) // 4 / 10
+    assert forecast.cycles(wave).tolist() == [4, 4]
+    values, rmse = forecast.smoothed(wave[:1], 6, cycle=4)
+    assert np.allclose(values, [[20, 5, 11, 8, 20, 5]]) and rmse[0] < 1e-9
+    found = forecast.candidates(wave, 3, forecast.density_of(wave))
+    assert {"ets_seasonal", "ets_mul_seasonal"} <= set(found) and "croston" not in found
+
+
+def test_target_frontier_orders_by_pain_and_marks_what_suffices(spark):
+    items = spark.createDataFrame([("a", 1000.0, 50.0, 500.0, 30.0, 10.0), ("b", 400.0, 20.0, 200.0, 0.0, 10.0), ("c", 50.0, -10.0, -100.0, 60.0, 10.0)], "sku string, actual_value double, gap_qty double, gap_value double, demand_mean double, unit_cost double")
+    po = spark.createDataFrame([("a", 80.0), ("c", 9.0)], "sku string, open_qty double")
+    levers = spark.createDataFrame([("a", "lt_speed", 70.0, 15.0), ("a", "lt_reliability", 90.0, 20.0), ("a", "review_weekly", 10.0, -5.0), ("a", "service_level_down", 900.0, 9.0)], "sku string, lever string, stock_saving double, net_annual double")
+    goal = spark.createDataFrame([(500.0,)], "target_value double")
+    rows = {r.kind: r for r in target.target_frontier(items, po, levers, goal, days_left=60).collect()}
+    assert [r.kind for r in sorted((x for x in rows.values() if x.state == "planned"), key=lambda x: x.place)] == ["stop_buying", "push_out_po", "lever:lt_speed", "lever:service_level_down"]
+    assert rows["stop_buying"].released == 500 and rows["stop_buying"].theoretical == 700  # b has no demand to draw it down
+    assert rows["push_out_po"].released == 500 and rows["push_out_po"].hits_target and rows["push_out_po"].needed and not rows["lever:lt_speed"].needed
+    assert rows["lever:lt_reliability"].state == "too_slow" and rows["lever:review_weekly"].state == rows["cut_below_policy"].state == "excluded"
+    assert target.target_frontier(items, po, levers, spark.createDataFrame([(5000.0,)], "target_value double")).count() == 0
