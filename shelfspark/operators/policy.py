@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfspark.functions.shares import running_share
+
 from shelfspark.operators.supply import BUYER_OWNED
 
 #: Cycle service level and standard normal z.
@@ -39,23 +41,10 @@ def product_family(attrs: DataFrame) -> DataFrame:
 
 
 def abc_classes(items: DataFrame, value: str = "annual_value", a: float = 0.8, b: float = 0.95) -> DataFrame:
-    """A up to 80 % and B up to 95 % of the running share of value, largest first; the row that crosses is in the lower class. (P-06)
-
-    Items fall in buckets of an eighth of a power of two, whose sums run over a bounded table; a window orders each
-    bucket, so no task sees all items.
-    """
-    v = F.coalesce(F.col(value), F.lit(0.0))
-    bucket = F.when(v > 0, F.floor(F.log2(v) * 8)).otherwise(F.lit(-100_000)).cast("long")
-    rows = items.withColumn("_v", v).withColumn("_b", bucket)
-    sums = rows.groupBy("_b").agg(F.sum("_v").alias("_s"))  # at most 8 for each of a double's exponents
-    above = W.orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select("_b", F.coalesce(F.sum("_s").over(above), F.lit(0.0)).alias("_above"), F.sum("_s").over(W.orderBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_total"))
-    rows = rows.join(F.broadcast(sums), "_b")
-    within = W.partitionBy("_b").orderBy(F.desc("_v"), "sku").rowsBetween(W.unboundedPreceding, W.currentRow)
-    share = F.try_divide(F.col("_above") + F.sum("_v").over(within), F.col("_total"))
-    rows = rows.withColumn("cumulative_share", share)
+    """A up to 80 % and B up to 95 % of the running share of value, largest first; the row that crosses is in the lower class. (P-06)"""
+    rows = running_share(items, value, "sku", "cumulative_share", "_total")
     name = F.when(F.col("_total") <= 0, "C").when(F.col("cumulative_share") <= a, "A").when(F.col("cumulative_share") <= b, "B").otherwise("C")
-    return rows.withColumn("abc_class", name).drop("_v", "_b", "_above", "_total")
+    return rows.withColumn("abc_class", name).drop("_total")
 
 
 def volatility_class(cv: Column) -> Column:

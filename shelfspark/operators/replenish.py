@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
+from pyspark.sql import types as T
 
 
 def economic_order_quantity(annual: Column, unit_cost: Column, order_cost: float, holding_rate: float) -> Column:
@@ -188,27 +191,28 @@ def recommend(rows: DataFrame) -> DataFrame:
 def allocate(lines: DataFrame, on_hand: DataFrame, share: float = 0.95) -> DataFrame:
     """Which open lines stock can fill, by request date; lines that don't fit are skipped, and later ones may. (R-11)
 
-    A fold over each sku's sorted lines. Items without stock need none: their lines are short. Every line keeps its row;
+    Lines are dealt by sku and sorted; a task passes over them once, batch by batch, with the stock that is left, so a
+    sku's lines are never held together. Items without stock need none: their lines are short. Every line keeps its row;
     `line_order` settles ties of dates (undated lines come last).
     """
-    rows = lines.join(on_hand.where("qty_on_hand > 0").select("sku", "qty_on_hand"), "sku", "left")
-    empty = rows.where("qty_on_hand is null").drop("qty_on_hand").withColumn("fillable", F.lit(False))
-    columns = [c for c in lines.columns if c != "sku"]
-    packed = F.struct(F.col("customer_request_date").isNull().alias("undated"), F.col("customer_request_date").alias("at"), F.col("line_order").alias("tie"), F.struct(*columns).alias("row"))
-    by_sku = rows.where("qty_on_hand is not null").groupBy("sku").agg(F.first("qty_on_hand").alias("stock"), F.array_sort(F.collect_list(packed)).alias("lines"))
-
-    def take(acc: Column, line: Column) -> Column:
-        need = F.coalesce(line.row.open_qty, F.lit(0.0))
-        ok = (need > 0) & (acc.left >= need * share)
-        return F.struct(
-            F.when(ok, F.greatest(acc.left - need, F.lit(0.0))).otherwise(acc.left).alias("left"), F.concat(acc.flags, F.array(ok)).alias("flags")
-        )
-
-    start = F.struct(F.col("stock").alias("left"), F.array().cast("array<boolean>").alias("flags"))
-    folded = by_sku.withColumn("flags", F.aggregate("lines", start, take, lambda acc: acc.flags))
-    flat = folded.select("sku", F.explode(F.arrays_zip("lines", "flags")).alias("x"))
-    filled = flat.select("sku", *[F.col(f"x.lines.row.{c}").alias(c) for c in columns], F.col("x.flags").alias("fillable"))
-    return filled.unionByName(empty)
+    rows = lines.join(on_hand.where("qty_on_hand > 0").select("sku", F.col("qty_on_hand").alias("_stock")), "sku", "left")
+    columns = lines.columns
+    dealt = rows.repartition("sku").sortWithinPartitions("sku", F.col("customer_request_date").isNull(), "customer_request_date", "line_order")
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        item, left = None, 0.0
+        for batch in batches:
+            flags = []
+            for sku, stock, need in zip(*(batch.column(c).to_pylist() for c in ("sku", "_stock", "open_qty")), strict=True):
+                if sku != item:
+                    item, left = sku, stock or 0.0
+                ok = sku is not None and (need or 0.0) > 0 and left >= need * share
+                left = max(left - need, 0.0) if ok else left
+                flags.append(ok)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(flags, "bool")], [*columns, "fillable"])
+
+    schema = T.StructType([*lines.schema, T.StructField("fillable", T.BooleanType())])
+    return dealt.select(*columns, "_stock").mapInArrow(take, schema)
 
 
 def realization(lines: DataFrame, as_of: Column, floor: float = 0.25, weight: float = 3.0) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfspark.functions.shares import running_share
+
 #: The six states of a line.
 STATES = (
     ("on_time", "shipped by the requested date"),
@@ -85,10 +87,7 @@ def monthly_on_time(lines: DataFrame, as_of: Column, thin: int = 5) -> DataFrame
 
 
 def failures_by(lines: DataFrame, key: str) -> DataFrame:
-    """Late and short lines by item or customer, with delay, rate and cumulative share of value, worst first. (V-07)
-
-    The running share is over one row for each key that failed.
-    """
+    """Late and short lines by item or customer, with delay, rate and cumulative share of value, worst first. (V-07)"""
     bad = F.col("state").isin("shipped_late", "past_due_short")
     out = lines.where("state not in ('unjudgeable', 'not_yet_due')").groupBy(key).agg(
         F.count_if(bad).alias("failures"),
@@ -98,8 +97,7 @@ def failures_by(lines: DataFrame, key: str) -> DataFrame:
         F.max(F.when(bad, F.col("days_late"))).alias("max_days_late"),
     )
     out = out.where("failures > 0").withColumn("rate", F.col("failures") / F.col("judged"))
-    running = W.orderBy(F.desc("value"), key).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return out.withColumn("cumulative_share", F.try_divide(F.sum("value").over(running), F.sum("value").over(W.partitionBy())))
+    return running_share(out, "value", key, "cumulative_share", "_total").drop("_total")
 
 
 def uncollected(lines: DataFrame) -> DataFrame:
