@@ -56,7 +56,7 @@ def first_words(text: str, n: Column) -> Column:
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 4096 tokens."""
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), remember=100_000)
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), shard_bytes=4 << 20, remember=50_000)
 
 
 STAGES = [
