@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,22 +32,33 @@ def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
     Every copy of a repeated string or passage goes. Where a cut splits a character its bytes become a replacement character.
     """
-    found = remove_repeats(docs, words=51)
+    found = remove_repeats(docs.select("doc_id", "text", F.struct(*docs.columns).alias("own")), words=51)
     clean = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.make_valid_utf8(F.col("kept").cast("string")))
-    found = found.withColumn("text", clean).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return found.where(F.octet_length("kept") > 0).select(*docs.columns)
+    return found.where(F.octet_length("kept") > 0).select(*_columns(docs, clean, lambda c: F.col("own").getField(c)))
+
+
+def _columns(docs: DataFrame, text: Column, other: Callable[[str], Column]) -> list[Column]:
+    """The columns of documents with a new text, and its length where they have one."""
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return [new.get(c, other(c)).alias(c) for c in docs.columns]
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows for the words the mix takes: whole copies of a document, and a row with its leading words for the rest."""
-    keyed = docs.withColumn("_row", row_key("doc_id", "text"))
-    taken = mix_sources(keyed, key="_row").where("taken > 0").groupBy(F.col("doc_id").alias("_row"))
-    taken = taken.agg(F.first("size").alias("size"), F.floor(F.avg("taken")).alias("taken"))  # rows that repeat share evenly
+    """Rows for the words the mix takes: whole copies of a document, and a row with its leading words for the rest.
+
+    Rows that repeat share evenly what is taken of them. Null texts hold no words and go. The caller's columns travel in
+    one struct, so none of their names can clash.
+    """
+    row = row_key("doc_id", "text")
+    taken = mix_sources(docs.select(row.alias("row"), "text", "source"), key="row").where("taken > 0").groupBy(F.col("doc_id").alias("row"))
+    taken = taken.agg(F.first("size").alias("size"), F.floor(F.avg("taken")).alias("taken"))
     whole, part = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
-    out = keyed.join(taken, "_row")
+    out = docs.select(F.struct(*docs.columns).alias("own"), row.alias("row")).join(taken, "row")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), whole + F.when(part > 0, 1).otherwise(0))))
-    out = out.withColumn("text", F.when(F.col("copy") <= whole, F.col("text")).otherwise(first_words("text", part)))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    text = F.when(F.col("copy") <= whole, F.col("own.text")).otherwise(first_words("own.text", part))
+    return out.select(*_columns(docs, text, lambda c: F.col("own").getField(c)))
 
 
 def first_words(text: str, n: Column) -> Column:

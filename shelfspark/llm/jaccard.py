@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfspark.llm.common import keep, may_hold, mix64, row_key, shingle_hashes, text_of, trim, word_hashes
@@ -410,9 +411,17 @@ def _dealt(held: list[np.ndarray], ids: list[tuple[int, int]], parts: int) -> pd
 
 
 def keep_one(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents whose key is their component's smallest, once each; documents without words stay as they are."""
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("row").alias("_row"), "n_shingles")
-    kept = kept.dropDuplicates(["_row"])
-    out = docs.withColumn("_row", row_key(key, text)).join(kept, "_row")
-    once = out.where("n_shingles > 0").dropDuplicates(["_row"]).unionByName(out.where("n_shingles = 0"))
-    return once.drop("_row", "n_shingles")
+    """Documents whose key is their component's smallest, once each; documents without words stay as they are.
+
+    Only documents that go, or whose rows repeat, travel, but for what the key filter's fixed size lets through. The
+    caller's columns travel in one struct, so none of their names can clash.
+    """
+    stays = F.bool_and(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    by_row = found.groupBy("row").agg(F.count("*").alias("n"), stays.alias("stays"), F.max("n_shingles").alias("size"))
+    special = keep(by_row.where("not stays or (n > 1 and size > 0)").select("row", "stays"), "special")
+    rows = docs.select(F.struct(*docs.columns).alias("own"), row_key(key, text).alias("row"))
+    rows = may_hold(rows, "row", special.select("row"), "held")
+    met = rows.where("held").join(special, "row", "left").where("coalesce(stays, true)")
+    place = F.row_number().over(W.partitionBy("row").orderBy("row"))
+    met = met.withColumn("place", place).where("stays is null or place = 1")
+    return rows.where("not held").select("own").unionByName(met.select("own")).select("own.*")

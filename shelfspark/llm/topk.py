@@ -130,6 +130,15 @@ def _search(index: BitSlicedIndex, ids: np.ndarray, query: np.ndarray, own: int,
     return ids[rows[best]], scores[best]
 
 
+def _search_wide(values: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int):
+    """As _search, in Python's integers."""
+    weights = [int(x) for x in query]
+    scored = sorted((-sum(int(x) * w for x, w in zip(row, weights, strict=True)), i) for row, i in zip(values, ids.tolist(), strict=True) if i != own)[:k]
+    if any(abs(s) >= 1 << 63 for s, _ in scored):
+        raise ValueError("an inner product does not fit in a long")
+    return np.array([i for _, i in scored], np.int64), np.array([-s for s, _ in scored], np.int64)
+
+
 def top_k(
     rows: DataFrame,
     is_query: Column,
@@ -151,8 +160,9 @@ def top_k(
     k-th best are scored exactly. Ties go to the smaller key; a row is never its own result.
 
     Vectors that are null or hold null or non-finite components take no part; nor do rows with a null key. Vectors of
-    different lengths are not compared. Rows that repeat a key are candidates one by one. Quantised components must fit
-    in 24 bits (else ValueError). An empty table gives an empty result.
+    different lengths are not compared. Rows that repeat a key are candidates one by one. A pair of blocks with quantised
+    components beyond 24 bits is scored whole, in integers of any size; ValueError only where one of the k best scores
+    doesn't fit in a long. An empty table gives an empty result.
     """
     used = rows.where(is_usable(vector) & F.col(key).isNotNull())
     used = used.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("asks"))
@@ -165,19 +175,17 @@ def top_k(
     left = used.select("id", "v", "d", own.alias("b")).withColumn("q", spots(query_blocks))
     right = used.where("asks").select("id", "v", "d", mine.alias("q")).withColumn("b", spots(blocks))
 
-    def quantise(column) -> np.ndarray:
-        x = np.floor(matrix(column) * scale)
-        if x.size and np.abs(x).max() >= 1 << 24:
-            raise ValueError("a quantised component does not fit in 24 bits")
-        return x.astype(np.int64)
-
     def meet(found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(found) and len(asked):
-            index = BitSlicedIndex(quantise(found.v), drop_bits)
-            ids = found.id.to_numpy()
-            for own_id, query in zip(asked.id.to_numpy(), quantise(asked.v), strict=True):
-                best, scores = _search(index, ids, query, own_id, k, drop_weight)
+            ids, values, weights = found.id.to_numpy(), np.floor(matrix(found.v) * scale), np.floor(matrix(asked.v) * scale)
+            wide = max(np.abs(values).max(initial=0), np.abs(weights).max(initial=0)) >= 1 << 24
+            index = None if wide else BitSlicedIndex(values.astype(np.int64), drop_bits)
+            for own_id, query in zip(asked.id.to_numpy(), weights, strict=True):
+                if wide:
+                    best, scores = _search_wide(values, ids, query, own_id, k)
+                else:
+                    best, scores = _search(index, ids, query.astype(np.int64), own_id, k, drop_weight)
                 out.append(pd.DataFrame({"query_id": own_id, "vec_id": best, "score": scores}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
 

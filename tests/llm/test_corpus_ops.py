@@ -376,6 +376,16 @@ def test_exact_top_k(spark, block_rows):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_exact_top_k_of_wide_components(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.uniform(-1, 1) * 10 ** rng.randrange(0, 7) for _ in range(4)]) for i in range(60)]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    q = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    for own in (0, 20, 40):
+        want = sorted((-sum(a * b for a, b in zip(q[own], q[i], strict=True)), i) for i in q if i != own)[:5]
+        assert [(r.score, r.vec_id) for r in sorted((x for x in found if x.query_id == own), key=lambda x: x.rank)] == [(-s, i) for s, i in want]
+
+
 def test_bitmap_sums():
     rng = np.random.default_rng(3)
     values = rng.integers(-256, 256, (300, 9))

@@ -74,3 +74,15 @@ def test_repeated_passages_against_brute_force(spark, words):
     found = suffix.remove_repeats(docs, n=10_000, words=words).collect()
     assert {r.doc_id: bytes(r.kept).decode().split() for r in found} == {i: [w for w, x in zip(t, g, strict=True) if not x] for i, (t, g) in enumerate(zip(split, gone, strict=True))}
     assert any(map(any, gone)) and not all(map(all, gone))
+
+
+def test_stages_keep_columns_with_clashing_names(spark):
+    names = ["taken", "size", "copy", "own", "row", "found", "kept", "data", "held", "_row", "n"]
+    rows = [(i, f"w{i} " * (20 + i) if i % 5 else None, "en", f"s{i % 2}", *range(len(names))) for i in range(40)]
+    form = "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} long" for c in names)
+    docs = spark.createDataFrame(rows, form)
+    for stage in (corpus_pipeline.mix, corpus_pipeline.remove_repeated_strings, corpus_pipeline.join_near_duplicates):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.count() > 0
+        assert all(tuple(r[c] for c in names) == tuple(range(len(names))) for r in out.collect())
+        assert stage(spark, docs.limit(0), "").count() == 0
