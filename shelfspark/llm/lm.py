@@ -161,7 +161,7 @@ def _windows(model: LogBilinear, texts: list[bytes]) -> np.ndarray:
     return np.stack([far, last, ids], 1)
 
 
-def train(texts: DataFrame, model: LogBilinear, noise: np.ndarray, seed: int, blocks: int = 16) -> LogBilinear:
+def train(texts: DataFrame, model: LogBilinear, noise: np.ndarray, seed: int, rate: float = 0.1, blocks: int = 16) -> LogBilinear:
     """Every task runs NCE over all of its texts from the same start; parameters are averaged, weighed by tokens.
 
     A task returns its parameters in `blocks` pieces, which Spark adds up by piece.
@@ -175,7 +175,7 @@ def train(texts: DataFrame, model: LogBilinear, noise: np.ndarray, seed: int, bl
         own, rng, state, n = start.load(start.flat().copy()), np.random.default_rng(seed), [], 0
         for pdf in _groups(batches, ["text"]):
             rows = _windows(own, [bytes(t) for t in pdf.text])
-            nce_steps(own, rows, q, rng, state)
+            nce_steps(own, rows, q, rng, state, rate=rate)
             n += len(rows)
         if n:
             flat = own.flat().astype(np.float64) * n
@@ -202,13 +202,15 @@ def score_texts(
     common: int = 1 << 17,
     part_bytes: int = 32 << 20,
     seed: int = 5,
+    rates: tuple[float, ...] = (0.05, 0.01),
 ) -> DataFrame:
     """(doc_id, learned, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
     Tokens are words (A-Z lower-cased) and one end. Counts cover all tokens of all rows where `learn` holds; base_score
     is add-one unigram log10 probability. The model predicts the `head` most frequent tokens, or "another token", from
     the two tokens before; another token is then drawn by its count plus one among all but head tokens (one unseen
-    token stands for the rest), so probabilities over tokens add up to one. Training runs over all learning texts.
+    token stands for the rest), so probabilities over tokens add up to one. Training passes over all learning texts once
+    for each of `rates`, every time from the average of what the tasks had learned; another split of the texts gives slightly other weights.
 
     Only tokens with at least 1 / `common` of all occurrences (at most `common` of them) and the parameters are
     broadcast. Counts of the other tokens meet the texts' tokens in packed parts of the token space.
@@ -242,8 +244,8 @@ def score_texts(
     model = new_model(chosen, np.maximum(head_n, 1), rest, dim, seed)
     weights = np.append(np.maximum(head_n, 1), max(rest, 1)).astype(float)
     noise = weights / weights.sum()
-    if total:
-        model = train(learning, model, noise, seed)
+    for r in range(len(rates) if total else 0):
+        model = train(learning, model, noise, seed + r, rates[r])
     tail = rest + (kinds - int((head_n > 0).sum())) + 1
     order = np.argsort(top.u.to_numpy(np.uint64))
     shared = spark.sparkContext.broadcast((top.u.to_numpy(np.uint64)[order], top.n.to_numpy(np.int64)[order], model, model.tables()))

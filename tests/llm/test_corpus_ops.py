@@ -198,6 +198,23 @@ def test_lm_scores(hard, nothing):
     assert lm.score_texts(nothing, F.lit(True)).count() == 0
 
 
+def test_lm_learns_what_follows(spark):
+    rng = random.Random(12)
+    after = {f"w{i}": [f"w{(3 * i + j) % 30}" for j in (1, 7)] for i in range(30)}
+
+    def text():
+        w = [f"w{rng.randrange(30)}"]
+        while len(w) < 60:
+            w.append(rng.choice(after[w[-1]]) if rng.random() < 0.9 else f"w{rng.randrange(30)}")
+        return " ".join(w)
+
+    docs = spark.createDataFrame([(i, text()) for i in range(3000)], "doc_id long, text string").repartition(2)
+    held = remainder("doc_id", 7) == 2
+    gain = lambda **k: lm.score_texts(docs, ~held, head=64, **k).where("not learned").agg(F.sum(F.col("score") - F.col("base_score")) / F.sum("n_tokens")).first()[0]
+    once, twice = gain(rates=(0.05,)), gain()
+    assert twice > once > 0.1
+
+
 def test_lm_probabilities_add_up():
     rng = np.random.default_rng(2)
     head = np.append(rng.integers(1, 1 << 62, 9, dtype=np.uint64), lm.END)
