@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import keep, row_key
+from shelfspark.llm.common import bound_batches, keep, row_key
 from shelfspark.llm.jaccard import jaccard_components, keep_one
 from shelfspark.llm.langid import identify, train_language_model
 from shelfspark.llm.mixing import mix_sources
@@ -18,12 +18,14 @@ from shelfspark.llm.suffix import remove_repeats
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model accepts; the others (null, no letter, below the calibrated score) go."""
+    bound_batches(spark)
     model = train_language_model(docs, F.lit(True))
     return identify(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a Jaccard similarity of 0.8 or more."""
+    bound_batches(spark)
     return keep_one(docs, jaccard_components(docs, words=5, num=80, den=100)).select(*docs.columns)
 
 
@@ -32,6 +34,7 @@ def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
     Every copy of a repeated string or passage goes. Where a cut splits a character its bytes become a replacement character.
     """
+    bound_batches(spark)
     found = remove_repeats(docs.select("doc_id", "text", F.struct(*docs.columns).alias("own")), words=51)
     clean = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.make_valid_utf8(F.col("kept").cast("string")))
     return found.where(F.octet_length("kept") > 0).select(*_columns(docs, clean, lambda c: F.col("own").getField(c)))
@@ -69,6 +72,7 @@ def first_words(text: str, n: Column) -> Column:
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 4096 tokens."""
+    bound_batches(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), shard_bytes=4 << 20, remember=50_000)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.operators.shared import keep as keep
@@ -43,6 +43,14 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lowers the session's Arrow batches to so many rows: texts are long, and both sides of a Python task hold a batch whole."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "0"))
+    if not 0 < now <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def trim() -> None:
     """Gives memory that this Python process has freed back to the machine: workers are reused, and idle ones hold it."""
     pa.default_memory_pool().release_unused()

@@ -232,26 +232,25 @@ def _repeats(rows: DataFrame, parts: int, n: int, gram: int, seen: Callable[[pd.
     marked = keep(marked.groupBy("row").agg(F.collect_set("key").alias("marks")), "marks")
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[bytes, list[tuple]] = {}
+        size = 0
         for pdf in batches:
-            held: dict[bytes, list[tuple]] = {}
-            size, rows_in = 0, zip(seen(pdf.text), pdf.row, pdf.marks, strict=True)
-            for t, row, marks in rows_in:
+            for t, row, marks in zip(seen(pdf.text), pdf.row, pdf.marks, strict=True):
                 data = np.frombuffer(t, np.uint8)
                 first, last, anchor, keys = winnow(data, n, gram)
                 keys = (keys >> np.uint64(1)).view(np.int64)
                 for r in np.flatnonzero(np.isin(keys, np.asarray(marks))).tolist():
                     a, b = int(first[r]), int(last[r])
                     c = t[a : b + n]
-                    if c not in held:
-                        size += len(c)
+                    size += 64 + (len(c) if c not in held else 0)
                     held.setdefault(c, []).append((int(keys[r]), row, a, b, int(anchor[r])))
                 if size >= 16 << 20:
                     yield sent(held)
                     held, size = {}, 0
-            if held:
-                yield sent(held)
-                held = {}
-            trim()
+        if held:
+            yield sent(held)
+        held = {}
+        trim()
 
     def sent(held: dict) -> pd.DataFrame:
         out = []
