@@ -77,7 +77,9 @@ def p15_against_planner(spark, sf_dir):
     return tidy(R.against_planner(R.suggested_safety(suggested(spark, sf_dir)), planner))
 
 
-@query()
+@query("""SELECT sku, CASE WHEN t = '' THEN 'no change' ELSE t END AS changes FROM (SELECT sku, concat_ws('; ', CASE WHEN s_level IS DISTINCT FROM service_level THEN concat('service level: ', coalesce(service_level::VARCHAR, 'none'), ' to ', coalesce(s_level::VARCHAR, 'none')) END,
+CASE WHEN s_method IS DISTINCT FROM method THEN concat('method: ', coalesce(method, 'none'), ' to ', coalesce(s_method, 'none')) END,
+CASE WHEN s_review IS DISTINCT FROM review_period_days THEN concat('review days: ', coalesce(review_period_days::VARCHAR, 'none'), ' to ', coalesce(s_review::VARCHAR, 'none')) END) AS t FROM g_sug)""")
 def p16_change_list(spark, sf_dir):
     return R.change_list(suggested(spark, sf_dir))
 
