@@ -279,9 +279,12 @@ def _repeats(rows: DataFrame, parts: int, n: int, gram: int, seen: Callable[[pd.
             hi_out.append(start[i] - a + n)
         rows_, lo, hi = (np.concatenate(x).astype(np.int64) for x in (rows_out, lo_out, hi_out))
         part = (mix64(rows_.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        del pdf, own
+        trim()
         return pd.DataFrame(_deal(part, parts, rows_, lo, hi), columns=["part", "rows", "lo", "hi"])
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        trim()
         rows_, lo, hi = (np.concatenate([np.frombuffer(b, np.int64) for b in pdf[c]]) for c in ("rows", "lo", "hi"))
         order = np.argsort(rows_, kind="stable")
         rows_, lo, hi = rows_[order], lo[order], hi[order]
@@ -312,6 +315,7 @@ def _joined(text: pd.Series, spans: pd.Series, passages: pd.Series) -> pd.Series
         both = np.array([(s["lo"], s["hi"]) for s in found] + passage_bytes(bytes(t), runs), np.int64)
         return [{"lo": a, "hi": b} for a, b in _merged(both[:, 0], both[:, 1])]
 
+    trim()
     return pd.Series([None if t is None else union(t, f, r) for t, f, r in zip(text, spans, passages, strict=True)])
 
 
