@@ -95,9 +95,30 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", none)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfspark.llm.trie import rebuild, sequences, trie
+
+    bound_batches(spark)
+    return trie(rebuild(sequences(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfspark.llm.lines import batches_of, drop_lines, shared_lines
+
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    found = drop_lines(docs, shared_lines(spark, batches_of(docs, 4), min_docs=10, least=1))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shelfspark.llm.spelling import spelling_forms, word_counts
+
+    return spelling_forms(word_counts(_documents(spark, sf_dir)))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_repeat_removal, op2_toxicity_neighbours, op3_retrieval_packing, op4_lm_scoring, op5_jaccard_join, op6_source_mix, op7_embedding_neardup, op8_exact_topk, op9_language_id, op10_vector_packing)
+    for f in (op1_repeat_removal, op2_toxicity_neighbours, op3_retrieval_packing, op4_lm_scoring, op5_jaccard_join, op6_source_mix, op7_embedding_neardup, op8_exact_topk, op9_language_id, op10_vector_packing, op11_conversation_trie, op12_line_dedup, op13_spelling_variants)
 }
 ORACLES: dict[str, str] = {
     "op8_exact_topk": """
