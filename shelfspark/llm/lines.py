@@ -19,8 +19,8 @@ from shelfspark.llm.common import fresh, keep, may_hold, release, row_key, trim
 from shelfspark.operators.shared import shared_dir
 
 SPACE = b" \t\n\x0b\x0c\r"
-#: Keys that so many documents share that their pairs are matched where they stand: a fixed number, so it may be broadcast.
-HEAD = 4096
+#: So many of the commonest keys, 16 bytes each, are sent to every task: a fixed number, whatever the input.
+HEAD = 1 << 16
 _PENDING = 1 << 17
 
 
@@ -145,54 +145,45 @@ def drop_lines(docs: DataFrame, keys: DataFrame, least: int = 1) -> DataFrame:
     """docs with `n_lines`, `n_dropped` and `kept`: the text without the lines whose key is among `keys` (key, n).
 
     docs: text (null: one empty line) and any other columns; columns named like the results are replaced. Equal texts fare
-    alike. An empty table gives an empty one. Texts without a dropped line stay where they are; of the others the keys
-    they share travel, and the text once. The few commonest lines are matched without a shuffle, so none is a hot key.
+    alike. An empty table gives an empty one. The commonest keys, HEAD of them, are matched where the text stands, so
+    no key is hot in the join of the others; only texts that may hold one of those travel, once.
     """
     docs = docs.drop("n_lines", "n_dropped", "kept")
     row, drop, flag = fresh(docs, "_row"), fresh(docs, "_drop"), fresh(docs, "_flag")
+    names = docs.columns
     docs = docs.withColumn(row, row_key("text"))  # a collision only adds keys, all of them to be dropped
+    common = keep(keys.orderBy(F.desc("n"), "key").limit(HEAD).select("key"), "common_lines")
+    head = docs.sparkSession.sparkContext.broadcast(frozenset(bytes(r.key) for r in common.collect()))  # HEAD keys
+    tail = keep(keys.join(F.broadcast(common), "key", "left_anti").select("key", F.xxhash64("key").alias("code")), "rarer_lines")  # HEAD rows
+    release(common)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, found = [], []
             for at, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = _keys(text.as_py(), least)
+                own = _keys(text.as_py(), least) - head.value
                 rows += [at] * len(own)
                 found += own
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(found, pa.binary())], ["at", "key"])
         trim()
 
     lines = docs.select(F.col(row).alias("at"), F.col("text").cast("binary")).mapInArrow(pairs, "at long, key binary")
-    head = keep(keys.orderBy(F.desc("n"), "key").limit(HEAD).select("key", F.lit(True).alias("common")), "common_lines")
-    tail = keys.join(F.broadcast(head), "key", "left_anti").select("key")  # HEAD rows
-    lines = lines.join(F.broadcast(head), "key", "left")  # HEAD rows
-    lines = may_hold(lines.withColumn("code", F.xxhash64("key")), "code", tail.select(F.xxhash64("key").alias("code")), "rare").where("common or rare").select("at", "key", "common")
-    lines = keep(lines, "lines")
-    hits = lines.where("common").select("at", "key").unionByName(lines.where("common is null").join(tail, "key", "left_semi").select("at", "key"))
-    hits = keep(hits.groupBy("at").agg(F.collect_set("key").alias(drop)), "dropped_lines")
-    release(lines)
-
-    names = [c for c in docs.columns if c != row]
+    lines = may_hold(lines.withColumn("code", F.xxhash64("key")), "code", tail, "rare").where("rare").select("at", "key")
+    hits = keep(lines.join(tail, "key", "left_semi").groupBy("at").agg(F.collect_set("key").alias(drop)), "dropped_lines")
     docs = may_hold(docs, row, hits.select(F.col("at").alias(row)), flag)
     some = docs.where(flag).join(hits.withColumnRenamed("at", row), row, "left").select(*names, drop)
     rest = docs.where(~F.col(flag)).select(*names, F.lit(None).cast("array<binary>").alias(drop))
-    cut = some.where(F.col(drop).isNotNull())
-    done = _cut(cut, names, drop, least)
-    whole = some.where(F.col(drop).isNull()).unionByName(rest)
-    text = F.coalesce("text", F.lit(""))
-    whole = whole.select(*names, (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), text.alias("kept"))
-    return done.unionByName(whole)
-
-
-def _cut(docs: DataFrame, names: list[str], drop: str, least: int) -> DataFrame:
-    """The texts without the lines whose keys are in `drop`."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_lines, n_dropped, kept = [], [], []
-            for text, keys in zip(batch.column("text"), batch.column(drop)):
-                lines, gone = (text.as_py() or "").encode().split(b"\n"), set(keys.as_py())
-                stay = [line for line in lines if line_key(line, least) not in gone]
+            for text, rare in zip(batch.column("text"), batch.column(drop)):
+                lines, own = (text.as_py() or "").encode().split(b"\n"), set(rare.as_py() or ())
+                stay = []
+                for line in lines:
+                    key = line_key(line, least)
+                    if key not in head.value and key not in own:
+                        stay.append(line)
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(stay))
                 kept.append(b"\n".join(stay).decode())
@@ -201,4 +192,4 @@ def _cut(docs: DataFrame, names: list[str], drop: str, least: int) -> DataFrame:
         trim()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields)
-    return docs.mapInArrow(cut, f"{fields}, n_lines long, n_dropped long, kept string")
+    return some.unionByName(rest).mapInArrow(cut, f"{fields}, n_lines long, n_dropped long, kept string")

@@ -120,7 +120,48 @@ QUERIES = {
     f.__name__: f
     for f in (op1_repeat_removal, op2_toxicity_neighbours, op3_retrieval_packing, op4_lm_scoring, op5_jaccard_join, op6_source_mix, op7_embedding_neardup, op8_exact_topk, op9_language_id, op10_vector_packing, op11_conversation_trie, op12_line_dedup, op13_spelling_variants)
 }
+#: ASCII letters, and one ASCII character for each letter from U+00C0 to U+00FF, for functions that count bytes.
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LATIN = "".join(map(chr, range(0xC0, 0x100)))
+_PLAIN = _UPPER + "0123456789" + "!#$%&()*+,-./:;<=>?@[]^_`{|}"
+
+
+def _crc32(text: str) -> str:
+    """Oracle text: CRC-32 of the UTF-8 bytes of a text of ASCII and U+00C0 to U+00FF, bit by bit."""
+    bits = ", ".join(["-1"] * 8)
+    data = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: CASE WHEN unicode(substr({text}, i, 1)) < 128 THEN [unicode(substr({text}, i, 1))::BIGINT, {bits}] ELSE [195, {bits}, unicode(substr({text}, i, 1))::BIGINT - 64, {bits}] END))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {data}), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"
+
+
 ORACLES: dict[str, str] = {
+    "op11_conversation_trie": f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {_crc32("conv_id::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, i, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 WHERE i <= h UNION ALL SELECT c.conv_id, i, role, text FROM c JOIN t ON t.conv_id = c.conv_id WHERE i > h),
+p AS (SELECT conv_id, row_number() OVER w AS d, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words, string_agg(md5(concat(length(role), ':', role, text)), '/') OVER w AS prefix FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT *, lag(prefix, 1, '') OVER (PARTITION BY conv_id ORDER BY d) AS parent FROM p UNION ALL SELECT conv_id, 0, 0, '', NULL FROM c),
+n AS (SELECT prefix, any_value(parent) AS parent, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM m GROUP BY prefix),
+e AS (SELECT prefix, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM (SELECT conv_id, arg_max(prefix, d) AS prefix FROM m GROUP BY conv_id) GROUP BY prefix),
+k AS (SELECT parent AS prefix, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+s AS (SELECT a.prefix, count(*) FILTER (k.prefix IS NULL) AS n_leaves, sum((b.n_convs - 1) * b.words)::BIGINT AS saved_tokens FROM n a JOIN n b ON a.prefix = '' OR b.prefix = a.prefix OR starts_with(b.prefix, a.prefix || '/') LEFT JOIN k ON k.prefix = b.prefix GROUP BY a.prefix)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM n LEFT JOIN n u ON u.prefix = n.parent LEFT JOIN k ON k.prefix = n.prefix LEFT JOIN e ON e.prefix = n.prefix JOIN s ON s.prefix = n.prefix""",
+    "op12_line_dedup": f"""
+WITH l AS (SELECT r, doc_id, unnest(x) AS line, unnest(range(len(x))) AS pos FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+k AS (SELECT *, translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), '{_UPPER}', '{_LOWER}') AS key FROM l),
+f AS (SELECT key AS gone FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (gone IS NULL), '')) AS kept_sha256 FROM k LEFT JOIN f ON gone = key GROUP BY r, doc_id""",
+    "op13_spelling_variants": f"""
+WITH RECURSIVE u AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || w AS t, w, count(*) AS n FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), '{_UPPER}', '{_LOWER}') AS w FROM documents) WHERE length(w) >= 6 GROUP BY ALL),
+h AS (SELECT w, n, {_crc32("t")} AS crc FROM u),
+v AS (SELECT word, sum(n)::BIGINT AS n, translate(word, '{_LATIN}', '{_PLAIN}') AS code FROM (SELECT n, CASE WHEN crc % 199 = 0 THEN substr(w, 1, crc % length(w)) || substr(w, crc % length(w) + 2) ELSE w END AS word FROM h) WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+near AS (SELECT DISTINCT word, other, n, m FROM (
+  SELECT a.word, b.word AS other, a.n, b.n AS m, a.code AS x, b.code AS y FROM v a JOIN v b ON a.code[1:3] = b.code[1:3] UNION ALL SELECT a.word, b.word, a.n, b.n, a.code, b.code FROM v a JOIN v b ON a.code[-3:] = b.code[-3:])
+  WHERE abs(length(x) - length(y)) <= 1 AND x <> y AND levenshtein(x, y) = 1),
+g AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS place, count(*) OVER (PARTITION BY word) AS n_near FROM near),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * v.n THEN other END AS form, CASE WHEN m >= 5 * v.n THEN m END AS form_n FROM v LEFT JOIN g ON g.word = v.word AND place = 1),
+o AS (SELECT word, word AS tip, form AS up FROM f UNION ALL SELECT o.word, o.up, f.form FROM o JOIN f ON f.word = o.up)
+SELECT f.word, form, tip AS root, n, n_near, form_n FROM f JOIN o ON o.word = f.word WHERE up IS NULL""",
     "op8_exact_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
