@@ -136,9 +136,9 @@ def melt_periods(df: DataFrame, ids: list[str], periods: dict[str, str]) -> Data
     return rows.select(*ids, names[F.col("header")].cast("date").alias("period"), F.coalesce("qty", F.lit(0.0)).alias("qty"))
 
 
-def period_matrix(series: DataFrame, skus: list[str]) -> DataFrame:
-    """A row a month, a column for each of the given items. For export. (C-20)"""
-    return series.groupBy("period").pivot("sku", skus).agg(F.sum("qty"))
+def period_matrix(series: DataFrame, months: list) -> DataFrame:
+    """The matrix of items and months: a row an item, any number of them, a column `yyyy-MM` for each of the given months. (C-20)"""
+    return series.groupBy("sku").agg(*[F.sum(F.when(F.col("period") == F.lit(m), F.col("qty"))).alias(f"{m:%Y-%m}") for m in months])
 
 
 def stack(first: DataFrame, second: DataFrame, key: str, share: float = 0.2) -> DataFrame:

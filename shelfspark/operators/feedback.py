@@ -8,12 +8,35 @@ from pyspark.sql import functions as F
 
 
 def publish(recommended: DataFrame, lead_times: DataFrame, run_at: str, planning_month: str) -> DataFrame:
-    """Snapshot rows of a plan: recommendation, position, class, lead time and its source. (F-01)"""
-    lt = lead_times.select("sku", F.col("wma_lead_time_days").alias("lead_time_days"), "lt_source", "supplier")
-    rows = recommended.select("sku", "stocking_class", "recommended_action", "suggested_po_qty", "available_supply", F.col("next_period_demand").alias("forecast_qty"))
+    """Snapshot rows of a run: recommendation, position, projection, class, and the lead time it planned on. (F-01)"""
+    lt = lead_times.select("sku", F.col("wma_lead_time_days").alias("lead_time_days"), F.col("lt_std_days").alias("lt_sigma_days"), F.col("sample_count").alias("lt_samples"), "lt_source", "supplier")
+    rows = recommended.select(
+        "sku", "stocking_class", "demand_pattern", "demand_cv", "recommended_action", "suggested_po_qty", "available_supply", "net_requirement", "safety_stock", "days_of_supply", "inventory_status", F.col("next_period_demand").alias("forecast_qty"),
+    )
     return rows.join(lt, "sku", "left").withColumn("run_at", F.lit(run_at)).withColumn("planning_month", F.lit(planning_month))
 
 
+def published_plan(detail: DataFrame, run_at: str, planning_month: str, as_of: str, reviewed: bool) -> DataFrame:
+    """The plan of each item and month as a run published it, with the statistical value where a review changed it. (F-01)
+
+    detail: sku, period, forecast_qty and, once reviewed, statistical_qty and forecast_source. `reviewed` says whether
+    the run as a whole went through a review: only such plans were committed to.
+    """
+    more = [c for c in ("statistical_qty", "forecast_source") if c in detail.columns]
+    rows = detail.select("sku", "period", "forecast_qty", *more)
+    return rows.withColumns({"run_at": F.lit(run_at), "planning_month": F.lit(planning_month), "as_of": F.lit(as_of), "reviewed": F.lit(reviewed)})
+
+
+def save_snapshot(rows: DataFrame, root: str) -> None:
+    """Writes a run's rows to a table of snapshots; a run that is published again overwrites its own rows only. (F-01)"""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("planning_month", "run_at").parquet(root)
+
+
+def read_snapshots(like: DataFrame, root: str) -> DataFrame:
+    """All runs' rows, with the columns of `like`."""
+    return like.sparkSession.read.schema(like.schema).parquet(root).select(*like.columns)
+
+
 def actuals_after(lines: DataFrame, stock: DataFrame, as_of: Column, po: DataFrame | None = None) -> DataFrame:
     """Demand of the month after a plan, closing stock and receipts (of `po`), a row an item; ValueError for an empty month. (F-02, F-03)"""
     inside = lines.where((F.col("demand_date") > as_of) & (F.col("demand_date") <= F.add_months(as_of, 1)))
@@ -123,3 +146,15 @@ def item_detail(series: DataFrame, forecast: DataFrame, sku: str) -> DataFrame:
     """History and forecast of one item as (period, kind, value). (X-03)"""
     past = series.where(F.col("sku") == sku).select("period", F.lit("history").alias("kind"), F.col("qty").alias("value"))
     return past.unionByName(forecast.where(F.col("sku") == sku).select("period", F.lit("forecast").alias("kind"), F.col("forecast_qty").alias("value")))
+
+
+def parameter_pairs(rows: DataFrame, sku: str | None = None) -> DataFrame:
+    """(sku, parameter, in_force, suggested): each suggested parameter beside the one in force, as text, and whether they agree. (X-03)
+
+    rows: sku and, for each parameter p, columns `p` and `suggested_p`; a parameter without a present value has null there.
+    """
+    names = [c.removeprefix("suggested_") for c in rows.columns if c.startswith("suggested_")]
+    rows = rows if sku is None else rows.where(F.col("sku") == sku)
+    pair = lambda p: F.struct(F.lit(p).alias("parameter"), (F.col(p) if p in rows.columns else F.lit(None)).cast("string").alias("in_force"), F.col(f"suggested_{p}").cast("string").alias("suggested"))
+    pairs = rows.select("sku", F.explode(F.array(*[pair(p) for p in names])).alias("p")).select("sku", "p.*")
+    return pairs.withColumn("agrees", F.col("in_force").eqNullSafe(F.col("suggested")))

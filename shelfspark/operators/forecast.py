@@ -117,7 +117,7 @@ PHIS = THETAS = (-0.8, -0.4, 0.0, 0.4, 0.8)
 #: Cycle lengths that are looked for, shortest first.
 CYCLES = (3, 4, 6, 12)
 #: Candidates in the order that settles equal scores.
-MODELS = ("ets", "ets_trend", "ets_seasonal", "ets_mul_seasonal", "arima", "croston", "tsb", "moving_average", "smoothing", "naive")
+MODELS = ("ets", "ets_trend", *(f"ets_seasonal{m}" for m in CYCLES), *(f"ets_mul_seasonal{m}" for m in CYCLES), "arima", "croston", "tsb", "moving_average", "smoothing", "naive")
 LEAST_POINTS = 12
 
 
@@ -227,39 +227,53 @@ def intermittent(q: np.ndarray, dying: bool) -> tuple[np.ndarray, np.ndarray]:
     return value, np.where(some & (k > 0), np.sqrt(sq / np.maximum(k, 1)), spread)
 
 
-def candidates(q: np.ndarray, h: int, density: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Values ahead of every model that a series may use, by model: (rows, values), never below 0. (D-21)
+def admitted(q: np.ndarray, density: np.ndarray) -> dict[str, np.ndarray]:
+    """Which series may use each model: rows by model, without those that none may use. (D-21)
 
-    Trend and season are tried beside the plain level, where they are found in these values; ARIMA where half of the
-    months or more have demand (`density`, over the whole series), Croston and TSB where less than 76 % have.
+    Trend and season are tried beside the plain level, where they are found in these values, each cycle length as a model
+    of its own; the multiplying season only without empty months. ARIMA is for series with demand in half of the months
+    or more (`density`, over the whole series), Croston and TSB for those with less than 76 %.
     """
-    n, everyone = q.shape[1], np.arange(len(q))
-    flat = lambda v: np.repeat(v[:, None], h, 1)
-    out: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    n, every = q.shape[1], np.ones(len(q), bool)
+    out = {}
     if n >= LEAST_POINTS:
-        trend, cycle = trending(q), cycles(q)
-        out["ets"] = everyone, smoothed(q, h)[0]
-        out["ets_trend"] = np.flatnonzero(trend), smoothed(q[trend], h, True)[0]
-        for name, ok, mul in (("ets_seasonal", cycle > 0, False), ("ets_mul_seasonal", (cycle > 0) & (q > 0).all(1), True)):
-            rows, values = [np.zeros(0, np.int64)], [np.zeros((0, h))]
-            for m in np.unique(cycle[ok]):
-                for up in (False, True):
-                    at = np.flatnonzero(ok & (cycle == m) & (trend == up))
-                    rows.append(at)
-                    values.append(smoothed(q[at], h, up, int(m), mul)[0])
-            out[name] = np.concatenate(rows), np.concatenate(values)
+        cycle, full = cycles(q), (q > 0).all(1)
+        out |= {"ets": every, "ets_trend": trending(q)}
+        for m in CYCLES:
+            out |= {f"ets_seasonal{m}": cycle == m, f"ets_mul_seasonal{m}": (cycle == m) & full}
     if n >= 8:
-        dense = np.flatnonzero(density >= 0.5)
-        out["arima"] = dense, arima(q[dense], h)[0]
-    gaps = np.flatnonzero(density < 0.76)
-    out["croston"] = gaps, flat(intermittent(q[gaps], False)[0])
-    out["tsb"] = gaps, flat(intermittent(q[gaps], True)[0])
-    out["moving_average"] = everyone, flat(q[:, -3:].mean(1))
-    level = q.mean(1)
-    for t in range(1, n):
-        level = ALPHA * q[:, t] + (1 - ALPHA) * level
-    out["smoothing"], out["naive"] = (everyone, flat(level)), (everyone, flat(q[:, -1]))
-    return {name: (rows, np.maximum(v, 0)) for name, (rows, v) in out.items() if len(rows)}
+        out["arima"] = density >= 0.5
+    out |= {"croston": density < 0.76, "tsb": density < 0.76, "moving_average": every, "smoothing": every, "naive": every}
+    return {m: np.flatnonzero(out[m]) for m in MODELS if m in out and out[m].any()}
+
+
+def _ahead(model: str, q: np.ndarray, h: int, up: np.ndarray) -> np.ndarray:
+    """A model's values ahead of a series a row; `up` marks those with a trend, which a season is fitted with."""
+    flat = lambda v: np.repeat(v[:, None], h, 1)
+    if model in ("ets", "ets_trend"):
+        return smoothed(q, h, model == "ets_trend")[0]
+    if model.startswith("ets"):
+        cycle, values = int(model.rpartition("seasonal")[2]), np.zeros((len(q), h))
+        for trend in (False, True):
+            at = np.flatnonzero(up == trend)
+            values[at] = smoothed(q[at], h, trend, cycle, "mul" in model)[0]
+        return values
+    if model == "arima":
+        return arima(q, h)[0]
+    if model in ("croston", "tsb"):
+        return flat(intermittent(q, model == "tsb")[0])
+    if model == "smoothing":
+        level = q.mean(1)
+        for t in range(1, q.shape[1]):
+            level = ALPHA * q[:, t] + (1 - ALPHA) * level
+        return flat(level)
+    return flat(q[:, -3:].mean(1) if model == "moving_average" else q[:, -1])
+
+
+def candidates(q: np.ndarray, h: int, density: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Values ahead of every model that a series may use, by model: (rows, values), never below 0. (D-21)"""
+    up = trending(q)
+    return {m: (rows, np.maximum(_ahead(m, q[rows], h, up[rows]), 0)) for m, rows in admitted(q, density).items()}
 
 
 def density_of(q: np.ndarray) -> np.ndarray:
@@ -278,6 +292,7 @@ def _by_length(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame,
 def backtest(arrays: DataFrame, folds: int = 3, steps: int = 3) -> DataFrame:
     """Errors of each candidate, pooled over the last origins and `steps` ahead: rmse, mape, mase. (D-21, D-22)
 
+    `admitted` says whether the whole series, too, may use the model: an origin may have seen a trend that has ended.
     Each of the `folds` origins leaves `steps` values to forecast; the last origin's are the series' last ones. Series
     of fewer than 12 months have no origins, and origins have at least 9 months. The mean absolute first difference of
     the whole series scales mase; mape needs 4 values other than 0.
@@ -294,7 +309,7 @@ def backtest(arrays: DataFrame, folds: int = 3, steps: int = 3) -> DataFrame:
             for i, o in enumerate(origins):
                 for m, (rows, values) in candidates(q[:, :o], steps, density).items():
                     error[m][rows, i * steps : (i + 1) * steps] = values - q[rows, o : o + steps]
-            scale = np.abs(np.diff(q, axis=1)).mean(1)
+            scale, last = np.abs(np.diff(q, axis=1)).mean(1), admitted(q, density)
             for i, m in enumerate(MODELS):
                 e = error[m]
                 rows = np.flatnonzero(~np.isnan(e).all(1))
@@ -306,18 +321,20 @@ def backtest(arrays: DataFrame, folds: int = 3, steps: int = 3) -> DataFrame:
                     {
                         "sku": part.sku.to_numpy()[rows], "ord": i, "model": m, "rmse": np.sqrt(np.nanmean(e * e, 1)) if len(rows) else [],
                         "mape": pd.array(np.where(hit.sum(1) >= 4, mape, np.nan), "Float64"), "mase": pd.array(np.where(some, np.nanmean(np.abs(e), 1) / np.where(some, scale[rows], 1), np.nan) if len(rows) else [], "Float64"),
-                        "has_zero": (there & (a == 0)).any(1), "all_zero": ~hit.any(1),
+                        "has_zero": (there & (a == 0)).any(1), "all_zero": ~hit.any(1), "admitted": np.isin(rows, last.get(m, [])),
                     }
                 )
 
-    found = arrays.mapInPandas(run, "sku string, ord int, model string, rmse double, mape double, mase double, has_zero boolean, all_zero boolean")
-    return found.select("sku", "ord", "model", "rmse", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("mape", "mase")], "has_zero", "all_zero")
+    found = arrays.mapInPandas(run, "sku string, ord int, model string, rmse double, mape double, mase double, has_zero boolean, all_zero boolean, admitted boolean")
+    return found.select("sku", "ord", "model", "rmse", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("mape", "mase")], "has_zero", "all_zero", "admitted")
 
 
 def choose_model(scores: DataFrame) -> DataFrame:
-    """The model with the lowest error: mape where no actual is 0 and all models have one, else mase, else rmse. (D-23)
+    """The model with the lowest error of those that the whole series admits. (D-23)
 
-    A window without demand has measured nothing: such items go to TSB, without a score.
+    The error is mape where no actual is 0 and all models have one, else mase, else rmse; ties go by the order of MODELS.
+    Where no scored model is admitted, the lowest stands. A window without demand has measured nothing: such items go to
+    TSB, without scores.
     """
     whole = W.partitionBy("sku")
     rows = scores.withColumn("use_mape", ~F.max("has_zero").over(whole) & (F.count("mape").over(whole) == F.count("*").over(whole)))
@@ -326,64 +343,100 @@ def choose_model(scores: DataFrame) -> DataFrame:
     score = F.when(F.col("use_mape"), F.col("mape")).when(F.col("use_mase"), F.col("mase")).otherwise(F.col("rmse"))
     rows = rows.withColumn("metric", metric).withColumn("score", score)
     rows = rows.withColumn("naive_score", F.max(F.when(F.col("model") == "naive", F.col("score"))).over(whole))
-    best = rows.withColumn("place", F.row_number().over(whole.orderBy(F.round("score", 9), "ord"))).where("place = 1")
+    best = rows.withColumn("place", F.row_number().over(whole.orderBy(F.desc("admitted"), F.round("score", 9), "ord"))).where("place = 1")
     judged = lambda c: F.when(~F.col("quiet"), c)
     return best.select(
         "sku", F.when(F.col("quiet"), "tsb").otherwise(F.col("model")).alias("model"), F.when(F.col("quiet"), "no demand in window").otherwise(F.col("metric")).alias("metric"), judged(F.col("score")).alias("score"),
-        judged(F.try_divide("score", "naive_score")).alias("ratio_to_naive"), judged(F.col("rmse")).alias("rmse"),
+        judged(F.try_divide("score", "naive_score")).alias("ratio_to_naive"), judged(F.col("rmse")).alias("rmse"), judged(F.col("mape")).alias("mape"), judged(F.col("mase")).alias("mase"),
     )
 
 
+def shape_of(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean size of a demand, and months between two, the run since the last one included, of a series a row. As D-11."""
+    n, hit = q.shape[1], q > 0
+    count = hit.sum(1)
+    first, last = hit.argmax(1), n - 1 - hit[:, ::-1].argmax(1)
+    gaps = np.maximum(count - 1, 0) + (last < n - 1)
+    months = np.where(gaps > 0, (n - 1 - first) / np.maximum(gaps, 1), n)
+    return np.where(count > 0, q.sum(1, where=hit) / np.maximum(count, 1), 0.0), np.where(count > 0, np.maximum(months, 1.0), np.nan)
+
+
+#: What a forecast rests on, beside its quantities. (D-25)
+PROVENANCE = ("model", "selected_by", "backtest_mape", "backtest_mase", "backtest_rmse", "vs_naive", "forecast_rmse", "expected_order_size", "expected_interval")
+
+
 def forecast(arrays: DataFrame, chosen: DataFrame, hints: DataFrame | None = None, horizon: int = 6) -> DataFrame:
-    """(sku, model, h, forecast_qty, forecast_rmse): the chosen model's values on the whole series, to one digit. (D-24)
+    """The chosen model's values on the whole series, to one digit, a row for each of the next months (h). (D-24)
 
     Items without a choice (too short to hold anything out) go by their hints (sku, stocking_policy, demand_pattern):
-    TSB when made to order or with gaps; else ARIMA from 8 months on, else the average of the last three. A chosen model
-    that the whole series doesn't admit gives way to that average. Series of under 4 months or without demand have none.
+    TSB when made to order or with gaps; else ARIMA from 8 months on, else the average of the last three. Series of under
+    4 months or without demand have none. Beside `forecast_qty` stand PROVENANCE and whether trend and cycle were found.
     """
-    rows = arrays.join(chosen.select("sku", F.col("model").alias("chosen"), F.col("rmse").alias("scored")), "sku", "left")
+    scored = [F.col(c).alias(f"backtest_{c}") for c in ("mape", "mase", "rmse")]
+    rows = arrays.join(chosen.select("sku", F.col("model").alias("chosen"), "metric", "ratio_to_naive", *scored), "sku", "left")
+    made = F.lit(False)
     if hints is not None:
-        gaps = (F.col("stocking_policy") == "MTO") | F.col("demand_pattern").isin("intermittent", "lumpy")
-        rows = rows.join(hints.select("sku", F.coalesce(gaps, F.lit(False)).alias("gaps")), "sku", "left")
-    else:
-        rows = rows.withColumn("gaps", F.lit(False))
+        rows = rows.join(hints.select("sku", "stocking_policy", "demand_pattern"), "sku", "left")
+        made = F.coalesce(F.col("stocking_policy") == "MTO", made)
+    gaps = made if hints is None else F.coalesce(F.col("demand_pattern").isin("intermittent", "lumpy"), F.lit(False))
     rows = rows.where((F.size("q") >= 4) & F.exists("q", lambda x: x > 0))
-    short = F.when(F.coalesce("gaps", F.lit(False)), "tsb").when(F.size("q") >= 8, "arima").otherwise("moving_average")
-    rows = rows.select("sku", "q", F.coalesce("chosen", short).alias("model"), F.col("chosen").isNotNull().alias("tested"), "scored")
+    short = F.when(made | gaps, "tsb").when(F.size("q") >= 8, "arima").otherwise("moving_average")
+    quiet = F.col("metric") == "no demand in window"
+    by = F.when(quiet, F.lit("no demand in window: tsb")).when(F.col("chosen").isNotNull(), F.concat(F.lit("backtest:"), "metric")).when(made, "policy:MTO").otherwise("pattern")
+    rows = rows.select("sku", "q", F.coalesce("chosen", short).alias("model"), F.col("chosen").isNotNull().alias("tested"), by.alias("selected_by"), "backtest_mape", "backtest_mase", "backtest_rmse", F.round("ratio_to_naive", 3).alias("vs_naive"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, q in _by_length(batches):
-            model, tested = part.model.to_numpy(), part.tested.to_numpy(bool)
-            values, rmse = np.repeat(q[:, -3:].mean(1)[:, None], horizon, 1), part.scored.to_numpy(float).copy()
+            model, tested, up = part.model.to_numpy(), part.tested.to_numpy(bool), trending(q)
+            values, rmse = np.zeros((len(q), horizon)), part.backtest_rmse.to_numpy(float).copy()
             before = np.array([[q[i, max(0, t - 3) : t].mean() for t in range(1, q.shape[1])] for i in np.flatnonzero(~tested)]).reshape(-1, q.shape[1] - 1)
             rmse[~tested] = np.sqrt(((q[~tested][:, 1:] - before) ** 2).mean(1))
-            for m, (at, v) in candidates(q, horizon, density_of(q)).items():
-                use = model[at] == m
-                values[at[use]] = v[use]
-            late = np.flatnonzero((model == "tsb") & np.isnan(part.scored.to_numpy(float)))  # quiet windows and short series, whatever their density
-            v, e = intermittent(q[late], True)
-            values[late], rmse[late] = v[:, None], e
+            for m in np.unique(model):
+                at = np.flatnonzero(model == m)
+                values[at] = np.maximum(_ahead(m, q[at], horizon, up[at]), 0)
+            late = np.flatnonzero((model == "tsb") & part.backtest_rmse.isna().to_numpy())  # quiet windows and short series
+            rmse[late] = intermittent(q[late], True)[1]
             early = np.flatnonzero(~tested & (model == "arima"))
             if len(early):
-                values[early], rmse[early] = arima(q[early], horizon)
-            n = len(q)
-            yield pd.DataFrame({"sku": np.repeat(part.sku.to_numpy(), horizon), "model": np.repeat(model, horizon), "h": np.tile(np.arange(1, horizon + 1), n), "value": values.reshape(-1), "rmse": np.repeat(rmse, horizon)})
-
-    found = rows.mapInPandas(run, "sku string, model string, h int, value double, rmse double")
+                rmse[early] = arima(q[early], horizon)[1]
+            size, interval = shape_of(q)
+            out = pd.DataFrame({"sku": part.sku.to_numpy(), "trend_detected": up, "seasonal_detected": cycles(q) > 0, "rmse": rmse, "size": size, "interval": interval})
+            for c in ("model", "selected_by", "backtest_mape", "backtest_mase", "backtest_rmse", "vs_naive"):
+                out[c] = part[c].to_numpy()
+            out = out.loc[np.repeat(np.arange(len(q)), horizon)]
+            yield out.assign(h=np.tile(np.arange(1, horizon + 1), len(q)), value=values.reshape(-1))
+
+    kinds = "sku string, model string, selected_by string, trend_detected boolean, seasonal_detected boolean, backtest_mape double, backtest_mase double, backtest_rmse double, vs_naive double"
+    found = rows.mapInPandas(run, f"{kinds}, h int, value double, rmse double, size double, interval double")
     value = F.bround(F.greatest(F.col("value"), F.lit(0.0)), 1)
-    return found.select("sku", "model", "h", value.alias("forecast_qty"), F.when(~F.isnan("rmse"), F.round("rmse", 3)).alias("forecast_rmse"))
+    known = lambda c: F.when(~F.isnan(c), F.col(c))
+    return found.select(
+        "sku", "h", value.alias("forecast_qty"), "model", "selected_by", "trend_detected", "seasonal_detected", F.round(known("rmse"), 3).alias("forecast_rmse"),
+        *[known(c).alias(c) for c in ("backtest_mape", "backtest_mase", "backtest_rmse", "vs_naive")], F.bround("size", 1).alias("expected_order_size"), F.bround(known("interval"), 2).alias("expected_interval"),
+    )
 
 
 def forecast_detail(forecasts: DataFrame, last: DataFrame) -> DataFrame:
-    """A row for each future month; the first one is marked. forecasts: sku, model, h, forecast_qty, forecast_rmse; last: one row, `period`. (D-25)"""
+    """The forecasts by month instead of h; the first month is marked. last: one row, `period`. (D-25)"""
     rows = forecasts.crossJoin(F.broadcast(last))  # one row
-    return rows.select("sku", F.add_months("period", F.col("h")).alias("period"), "forecast_qty", "model", "forecast_rmse", (F.col("h") == 1).alias("is_next_period"))
+    rest = [c for c in forecasts.columns if c not in ("sku", "h")]
+    return rows.select("sku", F.add_months("period", F.col("h")).alias("period"), *rest, (F.col("h") == 1).alias("is_next_period"))
 
 
 def forecast_summary(detail: DataFrame) -> DataFrame:
-    """Next month, mean and total over the horizon, error of each item. (D-26)"""
-    return detail.groupBy("sku").agg(
-        F.max(F.when(F.col("is_next_period"), F.col("forecast_qty"))).alias("forecast_next_period"), F.avg("forecast_qty").alias("forecast_avg_monthly"), F.sum("forecast_qty").alias("forecast_total"), F.max("forecast_rmse").alias("forecast_rmse"),
+    """Next month, mean and total over the horizon, and error of each item, with its model and what was found. (D-26)
+
+    Of a reviewed detail (D-29), `statistical_next_period` and `statistical_total` say what the model said, and
+    `forecast_source` whether the next month was reviewed.
+    """
+    ahead = lambda c: F.max(F.when(F.col("is_next_period"), F.col(c)))
+    exact = lambda c: F.col(c).cast("decimal(20,1)")  # noqa: E731  quantities have one digit
+    keys = [c for c in ("model", "trend_detected", "seasonal_detected") if c in detail.columns]
+    more = []
+    if "statistical_qty" in detail.columns:
+        more = [ahead("statistical_qty").alias("statistical_next_period"), F.sum(exact("statistical_qty")).cast("double").alias("statistical_total"), ahead("forecast_source").alias("forecast_source")]
+    return detail.groupBy("sku", *keys).agg(
+        ahead("forecast_qty").alias("forecast_next_period"), F.bround(F.avg(exact("forecast_qty")), 1).cast("double").alias("forecast_avg_monthly"), F.sum(exact("forecast_qty")).cast("double").alias("forecast_total"), F.max("forecast_rmse").alias("forecast_rmse"), *more,
     )
 
 
@@ -409,12 +462,31 @@ def accuracy_by(detail: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("direction", way)
 
 
-def history_and_forecast(series: DataFrame, detail: DataFrame, months: int = 12) -> DataFrame:
-    """A row an item, a column for each past and coming month. For export: months are few. (D-27)"""
-    newest = series.select("period").distinct().orderBy(F.desc("period")).limit(months)
-    past = series.join(F.broadcast(newest), "period", "left_semi").select("sku", F.concat(F.lit("hist "), F.date_format("period", "yyyy-MM")).alias("c"), F.col("qty").alias("v"))
-    coming = detail.select("sku", F.concat(F.lit("fcst "), F.date_format("period", "yyyy-MM")).alias("c"), F.col("forecast_qty").alias("v"))
-    return past.unionByName(coming).groupBy("sku").pivot("c").agg(F.sum("v"))
+def month_columns(months: list, **measures: str) -> list[Column]:
+    """A column for each measure and month, named `<label> yyyy-MM`, of rows with `period`: aggregates for one groupBy.
+
+    measures: source column by label with _ for space. The months are given, so no pass over the rows looks for them.
+    """
+    cell = lambda c, m: F.max(F.when(F.col("period") == F.lit(m), F.col(c)))
+    return [cell(c, m).alias(f"{label.replace('_', ' ')} {m:%Y-%m}") for label, c in measures.items() for m in months]
+
+
+def months_of(rows: DataFrame, last: int | None = None) -> list:
+    """The distinct months of rows, or the last so many, in order: a short list, from an aggregate."""
+    found = rows.select("period").distinct().orderBy(F.desc("period"))
+    return sorted(r.period for r in (found if last is None else found.limit(last)).collect())
+
+
+def history_and_forecast(series: DataFrame, detail: DataFrame, past: list, coming: list) -> DataFrame:
+    """A row an item of the detail: PROVENANCE, then a column for each past and each coming month. For export. (D-27)
+
+    past, coming: months, as of `months_of`. An item without history in the months has nulls there.
+    """
+    meta = [c for c in PROVENANCE if c in detail.columns]
+    ahead = detail.groupBy("sku").agg(*[F.max(F.when(F.col("is_next_period"), F.col(c))).alias(c) for c in meta], *month_columns(coming, fcst="forecast_qty"))
+    before = series.where(F.col("period").isin(past)).groupBy("sku").agg(*month_columns(past, hist="qty"))
+    hist, fcst = ([c for c in x.columns if c.startswith(k)] for x, k in ((before, "hist "), (ahead, "fcst ")))
+    return ahead.join(before, "sku", "left").select("sku", *meta, *[F.col(f"`{c}`") for c in hist + fcst])
 
 
 def reviewed_plan(wide: DataFrame, prefix: str = "reviewed qty ") -> DataFrame:

@@ -6,17 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfspark.operators.forecast import month_columns
 
-def plan_months(as_of: Column, horizon: int) -> Column:
-    return F.sequence(F.trunc(as_of, "MM"), F.add_months(F.trunc(as_of, "MM"), horizon - 1), F.expr("interval 1 month"))
 
+def plan_span(detail: DataFrame) -> DataFrame:
+    """One row, the first and the last month of a forecast: the horizon of the plan. (L-03)"""
+    return detail.agg(F.min("period").alias("first"), F.max("period").alias("last"))
 
-def phase_supply(open_po: DataFrame, as_of: Column, horizon: int = 6) -> DataFrame:
-    """Open orders by plan month; undated and late ones fall in the first, later ones drop out. (L-01)"""
-    first = F.trunc(as_of, "MM")
-    month = F.greatest(F.coalesce(F.trunc("committed_delivery", "MM"), first), first)
-    rows = open_po.where("open_qty > 0").withColumn("period", month).where(F.col("period") <= F.add_months(first, horizon - 1))
-    return rows.groupBy("sku", "period").agg(F.sum("open_qty").alias("supply_qty"))
+
+def phase_supply(open_po: DataFrame, span: DataFrame) -> DataFrame:
+    """Open orders by plan month; undated and late ones fall in the first, those after the last drop out. (L-01)
+
+    span: one row (first, last) as of `plan_span`.
+    """
+    rows = open_po.where("open_qty > 0").crossJoin(F.broadcast(span))  # one row
+    month = F.greatest(F.coalesce(F.trunc("committed_delivery", "MM"), "first"), "first")
+    return rows.withColumn("period", month).where("period <= last").groupBy("sku", "period").agg(F.sum("open_qty").alias("supply_qty"))
 
 
 def opening(stock: DataFrame) -> DataFrame:
@@ -35,50 +40,98 @@ def unit_costs(*sources: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(first), "rank").groupBy("sku").agg(F.min("unit_cost").alias("unit_cost"))  # one row
 
 
-def period_balance(items: DataFrame, demand: DataFrame, supply: DataFrame, as_of: Column, horizon: int = 6) -> DataFrame:
-    """Closing stock of each item and month, its gap to the safety stock and whether it lies inside the lead time. (L-03)
+DAYS_A_MONTH = 30.4375
 
-    items: sku, opening_qty, unit_cost, safety_stock, lead_time_days; demand: sku, monthly_demand. The spine is items
-    times months; balances are running sums. A negative balance is a backlog, its value 0.
+
+def period_balance(detail: DataFrame, supply: DataFrame, items: DataFrame, span: DataFrame) -> DataFrame:
+    """What each item needs, gets and has left in each month of the forecast, in units and at cost. (L-03)
+
+    detail: sku, period, forecast_qty; supply: sku, period, supply_qty; items: sku, opening_qty, unit_cost, safety_stock,
+    lead_time_days, each of them null where unknown. Every item with a forecast or supply has all months: demand and
+    supply are merged in one grouping, months are spread from its rows, and one running sum carries the balance. A negative
+    balance is a backlog, worth 0. An order placed today cannot reach the first `lead_time_periods` months: at least one,
+    all of them where no lead time is known.
     """
-    spine = items.join(demand, "sku", "left").fillna(0.0, ["monthly_demand", "opening_qty", "safety_stock"])
-    spine = spine.select("*", F.posexplode(plan_months(as_of, horizon)).alias("pos", "period"))
-    rows = spine.join(supply, ["sku", "period"], "left").fillna(0.0, ["supply_qty"])
+    need = detail.groupBy("sku", "period").agg(F.sum("forecast_qty").alias("demand_qty"), F.lit(0.0).alias("supply_qty"))
+    both = need.unionByName(supply.select("sku", "period", F.lit(0.0).alias("demand_qty"), F.col("supply_qty").cast("double")))
+    rows = both.groupBy("sku").agg(F.collect_list(F.struct("period", "demand_qty", "supply_qty")).alias("flows"))  # at most two a month
+    rows = rows.crossJoin(F.broadcast(span)).join(items, "sku", "left")  # one row
+    months = F.sequence("first", "last", F.expr("interval 1 month"))
+    rows = rows.select("*", F.size(months).alias("horizon"), F.posexplode(months).alias("pos", "period"))
+    flow = lambda c: F.aggregate(F.filter("flows", lambda f: f.period == F.col("period")), F.lit(0.0), lambda n, f: n + f[c])
+    cost, floor = F.coalesce("unit_cost", F.lit(0.0)), F.coalesce("safety_stock", F.lit(0.0))
+    days = F.when(F.col("lead_time_days") > 0, F.col("lead_time_days"))
+    periods = F.when(days.isNull(), F.col("horizon")).otherwise(F.least(F.greatest(F.ceil(days / DAYS_A_MONTH), F.lit(1)), "horizon")).cast("int")
     running = W.partitionBy("sku").orderBy("period").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumn("closing_qty", F.col("opening_qty") + F.sum(F.col("supply_qty") - F.col("monthly_demand")).over(running))
-    rows = rows.withColumn("gap_qty", F.greatest(F.lit(0.0), F.col("safety_stock") - F.col("closing_qty")))
-    months = F.when(F.col("lead_time_days") > 0, F.least(F.greatest(F.ceil(F.col("lead_time_days") / 30.4375), F.lit(1)), F.lit(horizon))).otherwise(F.lit(horizon))
-    cost = F.coalesce("unit_cost", F.lit(0.0))
+    rows = rows.withColumn("demand_qty", flow("demand_qty")).withColumn("supply_qty", flow("supply_qty"))
+    closing = F.coalesce("opening_qty", F.lit(0.0)) + F.sum(F.col("supply_qty") - F.col("demand_qty")).over(running)
+    rows = rows.withColumn("closing_qty", closing).withColumn("gap_qty", F.greatest(F.lit(0.0), floor - F.col("closing_qty")))
     return rows.select(
-        "sku", "period", "monthly_demand", "supply_qty", "closing_qty", "gap_qty", (F.greatest(F.col("closing_qty"), F.lit(0.0)) * cost).alias("closing_value"), (F.col("gap_qty") * cost).alias("gap_value"), (F.col("pos") < months).alias("within_lead_time")
+        "sku", "period", "demand_qty", (F.col("demand_qty") * cost).alias("demand_cogs"), "supply_qty", (F.col("supply_qty") * cost).alias("supply_value"), "closing_qty",
+        (F.greatest(F.col("closing_qty"), F.lit(0.0)) * cost).alias("closing_value"), "gap_qty", (F.col("gap_qty") * cost).alias("gap_value"), floor.alias("safety_stock"), days.alias("lead_time_days"), periods.alias("lead_time_periods"),
+        (F.col("pos") < periods).alias("within_lead_time"),
     )
 
 
-def balance_by_period(balance: DataFrame, families: DataFrame | None = None) -> DataFrame:
-    """Totals of each month (and family): demand, supply, closing, gaps and items short. (L-04)"""
-    rows = balance if families is None else balance.join(families.select("sku", "product_family"), "sku", "left")
-    keys = ["period"] if families is None else ["product_family", "period"]
-    return rows.groupBy(*keys).agg(
-        F.sum("monthly_demand").alias("demand_qty"), F.sum("supply_qty").alias("supply_qty"), F.sum("closing_qty").alias("closing_qty"), F.sum("closing_value").alias("closing_value"),
-        F.sum("gap_value").alias("gap_value"), F.count_if(F.col("gap_qty") > 0).alias("gap_skus"),
-    )
+MEASURES = ("demand_qty", "demand_cogs", "supply_qty", "supply_value", "closing_qty", "closing_value", "gap_qty", "gap_value")
+
+
+def balance_by_period(balance: DataFrame, detail: DataFrame, items: DataFrame) -> DataFrame:
+    """Totals of each month, items short, and the value it opens with: the month before's close. (L-04)
+
+    The first month opens with the stock of the items with a forecast, at cost.
+    """
+    out = balance.groupBy("period").agg(*[F.sum(c).alias(c) for c in MEASURES], F.count_if(F.col("gap_qty") > 0).alias("gap_skus"))
+    held = items.join(detail.select("sku").distinct(), "sku", "left_semi").agg(F.coalesce(F.sum(F.col("opening_qty") * F.col("unit_cost")), F.lit(0.0)).alias("held"))
+    out = out.crossJoin(F.broadcast(held))  # one row
+    return out.withColumn("opening_value", F.coalesce(F.lag("closing_value").over(W.orderBy("period")), "held")).drop("held")  # a row a month
+
 
+def balance_by_family(balance: DataFrame, families: DataFrame) -> DataFrame:
+    """Money of each business unit, family and month. families: sku, business_unit, product_family. (L-04)"""
+    rows = balance.join(families.select("sku", "business_unit", "product_family"), "sku", "left")
+    return rows.groupBy("business_unit", "product_family", "period").agg(*[F.sum(c).alias(c) for c in ("demand_cogs", "supply_value", "closing_value", "gap_value")])
 
-def balance_by_item(balance: DataFrame) -> DataFrame:
-    """First short month, months short, peak gap and totals of each item. (L-05)"""
-    short = F.col("gap_qty") > 0
+
+def balance_by_item(balance: DataFrame, months: list | None = None) -> DataFrame:
+    """A row an item: first short month, months short, floor, gap inside the lead time, totals of flows, peaks of the gap. (L-05)
+
+    With months (as of `months_of`), a column for each measure and month follows: one grouping, no pass to find the months.
+    """
+    short, inside = F.col("gap_qty") > 0, F.col("within_lead_time")
+    reach = lambda c: F.coalesce(F.max(F.when(inside, F.col(c))), F.lit(0.0))
+    wide = [] if months is None else month_columns(months, **{f"{m}_{unit}": c for m, unit, c in PHASED})
     return balance.groupBy("sku").agg(
-        F.min(F.when(short, F.col("period"))).alias("first_short"), F.count_if(short).alias("short_months"), F.max("gap_qty").alias("peak_gap_qty"), F.sum("monthly_demand").alias("demand_qty"),
-        F.sum("supply_qty").alias("supply_qty"), F.coalesce(F.max(F.when(F.col("within_lead_time"), F.col("gap_qty"))), F.lit(0.0)).alias("gap_in_lead_time"),
+        F.min(F.when(short, F.col("period"))).alias("first_short_period"), F.count_if(short).alias("short_periods"), F.first("safety_stock").alias("safety_stock"), F.first("lead_time_days").alias("lead_time_days"), F.first("lead_time_periods").alias("lead_time_periods"),
+        reach("gap_qty").alias("gap_qty_within_lead_time"), reach("gap_value").alias("gap_amt_within_lead_time"), F.sum("demand_qty").alias("demand_qty_total"), F.sum("supply_qty").alias("supply_qty_total"),
+        F.sum("demand_cogs").alias("demand_amt_total"), F.sum("supply_value").alias("supply_amt_total"), F.max("gap_qty").alias("gap_qty_peak"), F.max("gap_value").alias("gap_amt_peak"), *wide,
     )
 
 
+#: Measures that the wide table spreads, by name and unit.
+PHASED = (
+    ("demand", "qty", "demand_qty"), ("supply", "qty", "supply_qty"), ("closing", "qty", "closing_qty"), ("gap", "qty", "gap_qty"),
+    ("demand", "amt", "demand_cogs"), ("supply", "amt", "supply_value"), ("closing", "amt", "closing_value"), ("gap", "amt", "gap_value"),
+)
+
+
+def lead_time_exposure(balance: DataFrame) -> DataFrame:
+    """One row: the worth of the gaps that an order placed today cannot close, an item's deepest one each, and items with one. (L-05)"""
+    worst = balance.where("within_lead_time").groupBy("sku").agg(F.max("gap_value").alias("gap"))
+    return worst.agg(F.coalesce(F.sum("gap"), F.lit(0.0)).alias("gap_within_lead_time"), F.count_if(F.col("gap") > 0).alias("items"))
+
+
+#: Amounts and quantities are added exactly, to six digits.
+EXACT = "decimal(24,6)"
+
+
 def selling_price(lines: DataFrame, cost: DataFrame, as_of: Column) -> DataFrame:
     """Average price of twelve months, three months or the whole history, else the standard cost; the first positive. (L-06)"""
 
     def price(months: int | None) -> Column:
         inside = F.lit(True) if months is None else F.col("demand_date") > F.add_months(as_of, -months)
-        return F.try_divide(F.sum(F.when(inside, F.col("amount"))), F.sum(F.when(inside, F.col("qty"))))
+        total = lambda c: F.sum(F.when(inside, F.col(c).cast(EXACT))).cast("double")
+        return F.try_divide(total("amount"), total("qty"))
 
     rows = lines.groupBy("sku").agg(price(12).alias("p12"), price(3).alias("p3"), price(None).alias("p_all"))
     rows = rows.join(cost.select("sku", "unit_cost"), "sku", "full")
@@ -88,36 +141,35 @@ def selling_price(lines: DataFrame, cost: DataFrame, as_of: Column) -> DataFrame
 
 
 def value_series(lines: DataFrame) -> DataFrame:
-    """Money of each item and month. (L-07)"""
-    return lines.groupBy("sku", F.trunc("demand_date", "MM").alias("period")).agg(F.sum("amount").alias("amount"))
+    """Money of each item and month; summed exactly, so the order of addition has no bearing. (L-07)"""
+    return lines.groupBy("sku", F.trunc("demand_date", "MM").alias("period")).agg(F.sum(F.col("amount").cast(EXACT)).cast("double").alias("amount"))
 
 
 def country_shares(lines: DataFrame, as_of: Column, least: float = 0.02) -> DataFrame:
     """Share of countries in an item's last twelve months (or its whole history); small ones go to the largest. (L-08)"""
     recent = F.col("demand_date") > F.add_months(as_of, -12)
-    rows = lines.where("country is not null").groupBy("sku", "country").agg(F.sum(F.when(recent, F.col("qty"))).alias("recent"), F.sum("qty").alias("all"))
+    qty = F.col("qty").cast(EXACT)
+    rows = lines.where("country is not null").groupBy("sku", "country").agg(F.sum(F.when(recent, qty)).cast("double").alias("recent"), F.sum(qty).cast("double").alias("all"))
     whole = W.partitionBy("sku")
     rows = rows.withColumn("qty", F.when(F.sum("recent").over(whole) > 0, F.coalesce("recent", F.lit(0.0))).otherwise(F.col("all")))
-    rows = rows.withColumn("raw", F.try_divide("qty", F.sum("qty").over(whole)))
+    rows = rows.withColumn("total", F.sum("qty").over(whole)).withColumn("raw", F.try_divide("qty", "total"))
     rows = rows.withColumn("place", F.row_number().over(whole.orderBy(F.desc("raw"), "country")))
     rows = rows.where((F.col("raw") >= least) | (F.col("place") == 1))
-    rest = 1 - F.sum("raw").over(whole)
-    return rows.select("sku", "country", (F.col("raw") + F.when(F.col("place") == 1, rest).otherwise(0.0)).alias("share"))
+    rest = F.when(F.col("place") == 1, F.col("total") - F.sum("qty").over(whole)).otherwise(0.0)
+    return rows.select("sku", "country", F.try_divide(F.col("qty") + rest, F.col("total")).alias("share"))
 
 
-def sop_rows(history: DataFrame, detail: DataFrame, values: DataFrame, prices: DataFrame, shares: DataFrame, months: int = 12) -> DataFrame:
+def sop_rows(history: DataFrame, detail: DataFrame, values: DataFrame, prices: DataFrame, shares: DataFrame, past: list) -> DataFrame:
     """History and forecast of each item and country, in units and money, a row a period. (L-09)
 
-    history: sku, period, qty; detail: sku, period, forecast_qty; values: sku, period, amount. Items are those with a
-    forecast. Quantities and past money are split by country share; future money is the split quantity at the item's
-    price. Items without a country keep one row: `(not stated)`.
+    history: sku, period, qty; detail: sku, period, forecast_qty; values: sku, period, amount; past: the months of history.
+    Items are those with a forecast. Quantities and past money are split by country share; future money is the split
+    quantity at the item's price. Items without a country keep one row: `(not stated)`.
     """
-    items = detail.select("sku").distinct()
-    newest = history.select("period").distinct().orderBy(F.desc("period")).limit(months)  # a year of months
-    past = history.join(F.broadcast(newest), "period", "left_semi").join(items, "sku", "left_semi").join(values, ["sku", "period"], "left")
-    past = past.select("sku", "period", F.lit("history").alias("kind"), "qty", "amount")
+    before = history.where(F.col("period").isin(past)).join(values.where(F.col("period").isin(past)), ["sku", "period"], "left")
+    before = before.join(detail.select("sku").distinct(), "sku", "left_semi").select("sku", "period", F.lit("history").alias("kind"), "qty", "amount")
     coming = detail.select("sku", "period", F.lit("forecast").alias("kind"), F.col("forecast_qty").alias("qty"), F.lit(None).cast("double").alias("amount"))
-    rows = past.unionByName(coming).join(prices.select("sku", "price"), "sku", "left").join(shares, "sku", "left")
+    rows = before.unionByName(coming).join(prices.select("sku", "price"), "sku", "left").join(shares, "sku", "left")
     share = F.coalesce("share", F.lit(1.0))
     qty = F.col("qty") * share
     amount = F.when(F.col("kind") == "history", F.col("amount") * share).otherwise(qty * F.col("price"))
@@ -125,25 +177,25 @@ def sop_rows(history: DataFrame, detail: DataFrame, values: DataFrame, prices: D
     return rows.select("sku", F.coalesce("country", F.lit("(not stated)")).alias("country"), "period", "kind", qty.alias("qty"), amount.alias("amount"), basis.alias("split_basis"))
 
 
-def sop_totals(rows: DataFrame, attrs: DataFrame, prices: DataFrame) -> DataFrame:
-    """Totals of each line of the sheet, with the item's dimensions; null where all of a line's values are.
+def sop_sheet(rows: DataFrame, attrs: DataFrame, prices: DataFrame, detail: DataFrame, past: list | None = None, coming: list | None = None) -> DataFrame:
+    """The sheet as a reviewer reads it: a line an item and country. (L-09)
 
-    Sums are exact over amounts of four digits, in any order of addition. (L-09)
+    Dimensions of the item (attrs: sku and any columns), totals, what the forecast and the price rest on, then, where the
+    months are given, columns `hist qty yyyy-MM`, `hist amt`, `fcst qty` and `fcst amt`. All in one grouping of rows.
+    Totals are null where all of a line's values are; they add up whole ten-thousandths, in any order.
     """
-    total = lambda kind, c: F.sum(F.when(F.col("kind") == kind, F.round(c, 4).cast("decimal(20,4)"))).cast("double")
-    out = rows.groupBy("sku", "country").agg(
-        total("history", "qty").alias("history_qty_total"), total("history", "amount").alias("history_amount_total"), total("forecast", "qty").alias("forecast_qty_total"), total("forecast", "amount").alias("forecast_amount_total"), F.first("split_basis").alias("split_basis"),
+    total = lambda kind, c: F.sum(F.when(F.col("kind") == kind, F.floor(F.col(c) * 10_000 + 0.5))).cast("double") / 10_000
+    lines = rows.groupBy("sku", "country").agg(
+        total("history", "qty").alias("history_qty_total"), total("history", "amount").alias("history_amount_total"), total("forecast", "qty").alias("forecast_qty_total"), total("forecast", "amount").alias("forecast_amount_total"),
+        F.first("split_basis").alias("split_basis"), *month_columns(past or [], hist_qty="qty", hist_amt="amount"), *month_columns(coming or [], fcst_qty="qty", fcst_amt="amount"),
     )
-    named = out.join(attrs, "sku", "left").join(prices.select("sku", F.col("price").alias("asp"), F.col("price_source").alias("price_basis")), "sku", "left")
-    return named.withColumn("price_basis", F.coalesce("price_basis", F.lit("none")))
-
-
-def sop_sheet(rows: DataFrame, totals: DataFrame) -> DataFrame:
-    """The sheet as a reviewer reads it: a line an item and country, a column a month and measure. For export. (L-09)"""
-    name = lambda m: F.concat(F.when(F.col("kind") == "history", F.lit("hist ")).otherwise(F.lit("fcst ")), F.lit(f"{m} "), F.date_format("period", "yyyy-MM"))
-    cells = rows.select("sku", "country", name("qty").alias("c"), F.col("qty").alias("v")).unionByName(rows.select("sku", "country", name("amt").alias("c"), F.col("amount").alias("v")))
-    wide = cells.groupBy("sku", "country").pivot("c").agg(F.sum("v"))
-    return totals.join(wide, ["sku", "country"]).orderBy("business_unit", "product_family", "country", F.desc("forecast_amount_total"), "sku")
+    basis = [c for c in ("model", "selected_by", "vs_naive", "backtest_mape") if c in detail.columns]
+    meta = detail.where("is_next_period").select("sku", *basis)
+    price = prices.select("sku", F.col("price").alias("asp"), F.col("price_source").alias("price_basis"))
+    named = lines.join(attrs, "sku", "left").join(meta, "sku", "left").join(price, "sku", "left").withColumn("price_basis", F.coalesce("price_basis", F.lit("none")))
+    totals = ["history_qty_total", "history_amount_total", "forecast_qty_total", "forecast_amount_total"]
+    spread = [c for c in lines.columns if c.startswith(("hist ", "fcst "))]
+    return named.select("sku", *[c for c in attrs.columns if c != "sku"], "country", *totals, *basis, "asp", "price_basis", "split_basis", *[F.col(f"`{c}`") for c in spread])
 
 
 def last_movement(series: DataFrame) -> DataFrame:

@@ -22,27 +22,39 @@ def unpivoted(df: DataFrame) -> DataFrame:
     return cast.unpivot([], df.columns, "column_name", "value")
 
 
+#: The most distinct values of which a column's list is shown.
+CATEGORIES = 25
+
+
 def profile(df: DataFrame) -> DataFrame:
-    """One row a column: fill, distinct values, inferred type, range, negatives and zeros. Whole columns count. (Q-01)"""
+    """One row a column: fill, distinct values, inferred type, range, negatives, zeros, small list of values. (Q-01)
+
+    Whole columns count. Cells are brought down to distinct values and their counts first, which both the figures and the
+    lists of values start from; of a column with more than CATEGORIES values the lists' part sees so many and one.
+    """
+    cells = unpivoted(df).groupBy("column_name", "value").agg(F.count("*").alias("n"))
     v, number = F.col("value"), F.col("value").try_cast("double")
-    rows = unpivoted(df)
-    out = rows.groupBy("column_name").agg(
-        F.count("*").alias("rows"),
-        F.count(v).alias("non_null"),
-        F.count_distinct(v).alias("distinct_values"),
-        F.count(number).alias("numbers"),
-        F.count_if(F.try_to_date(v, "yyyy-MM-dd").isNotNull()).alias("dates"),
-        F.count_if(F.lower(v).isin("true", "false", "yes", "no", "y", "n")).alias("booleans"),
+    held = lambda ok: F.coalesce(F.sum(F.when(ok, F.col("n"))), F.lit(0))
+    out = cells.groupBy("column_name").agg(
+        F.sum("n").alias("rows"),
+        held(v.isNotNull()).alias("non_null"),
+        F.count(v).alias("distinct_values"),
+        held(number.isNotNull()).alias("numbers"),
+        held(F.try_to_date(v, "yyyy-MM-dd").isNotNull()).alias("dates"),
+        held(F.lower(v).isin("true", "false", "yes", "no", "y", "n")).alias("booleans"),
         F.min(number).alias("min_number"),
         F.max(number).alias("max_number"),
-        F.count_if(number < 0).alias("negatives"),
-        F.count_if(number == 0).alias("zeros"),
+        held(number < 0).alias("negatives"),
+        held(number == 0).alias("zeros"),
     )
     share = lambda c: F.try_divide(F.col(c), F.col("non_null"))
     kind = F.when(share("booleans") >= 0.95, "boolean").when(share("numbers") >= 0.9, "number").when(share("dates") >= 0.8, "date").otherwise("text")
+    first = cells.where("value is not null").withColumn("place", F.row_number().over(W.partitionBy("column_name").orderBy("value"))).where(F.col("place") <= CATEGORIES + 1)
+    lists = first.groupBy("column_name").agg(F.sort_array(F.collect_set(F.trim("value"))).alias("categories"), F.count("*").alias("seen")).where(F.col("seen") <= CATEGORIES)
+    out = out.withColumn("inferred_type", kind).join(lists.select("column_name", "categories"), "column_name", "left")
     return out.select(
-        "column_name", "rows", "non_null", (1 - F.col("non_null") / F.col("rows")).alias("null_rate"), "distinct_values", share("distinct_values").alias("distinct_rate"),
-        kind.alias("inferred_type"), "min_number", "max_number", share("negatives").alias("negative_rate"), share("zeros").alias("zero_rate"),
+        "column_name", "rows", "non_null", (1 - F.col("non_null") / F.col("rows")).alias("null_rate"), "distinct_values", share("distinct_values").alias("distinct_rate"), "inferred_type", "min_number", "max_number",
+        share("negatives").alias("negative_rate"), share("zeros").alias("zero_rate"), F.when(F.col("inferred_type").isin("text", "boolean"), F.col("categories")).alias("categories"),
     )
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -188,28 +190,66 @@ def recommend(rows: DataFrame) -> DataFrame:
     return rows.withColumn("suggested_po_qty", F.coalesce(quantity, F.lit(0.0)))
 
 
+def fill_in_order(item: np.ndarray, need: np.ndarray, left: np.ndarray, share: float) -> np.ndarray:
+    """Marks the lines that stock can fill, item by item in order of rows, and lowers `left`, the items' stock, by them.
+
+    item: rising item numbers from 0; a line is filled when at least `share` of its need is left, and takes all of it.
+    All items advance together. While an item's stock stays above a power of two, all lines that need no more than that
+    are filled: a prefix sum says how far. A phase ends with the line that takes the stock below the power, or with the
+    first larger line that still fits; either halves the stock, so there are few phases, however many lines.
+    """
+    filled = np.zeros(len(need), bool)
+    rows = np.flatnonzero(need > 0)
+    while len(rows):
+        own, want = item[rows], need[rows]
+        have = left[own]
+        floor = np.ldexp(1.0, np.frexp(have)[1] - 1)
+        light = (have > 0) & (want * share <= floor)
+        taken = np.cumsum(np.where(light, want, 0.0))
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        size = np.diff(np.append(first, len(rows)))
+        before = taken - np.where(light, want, 0.0)
+        rest = have - (before - np.repeat(before[first], size))
+        ends = (have > 0) & np.where(light, rest - want < floor, want * share <= rest)
+        at = np.arange(len(rows))
+        end = np.minimum.reduceat(np.where(ends, at, len(rows)), first)
+        upto = np.repeat(end, size)
+        filled[rows[(light & (at < upto)) | (ends & (at == upto))]] = True
+        over = end == len(rows)
+        last = first + size - 1
+        stop = np.where(over, last, np.minimum(end, len(rows) - 1))
+        took = np.where(over & ~light[stop], 0.0, want[stop])
+        left[own[first]] = np.maximum(rest[stop] - took, 0.0)
+        rows = rows[(at > upto) & (left[own] > 0)]
+    return filled
+
+
 def allocate(lines: DataFrame, on_hand: DataFrame, share: float = 0.95) -> DataFrame:
     """Which open lines stock can fill, by request date; lines that don't fit are skipped, and later ones may. (R-11)
 
-    Lines are dealt by sku and sorted; a task passes over them once, batch by batch, with the stock that is left, so a
-    sku's lines are never held together. Items without stock need none: their lines are short. Every line keeps its row;
-    `line_order` settles ties of dates (undated lines come last).
+    Lines are dealt by sku and sorted; a task passes over them batch by batch and hands the stock that is left from one to
+    the next, so a sku's lines are never held together. Items without stock need none: their lines are short. Every line
+    keeps its row; `line_order` settles ties of dates (undated lines come last).
     """
     rows = lines.join(on_hand.where("qty_on_hand > 0").select("sku", F.col("qty_on_hand").alias("_stock")), "sku", "left")
     columns = lines.columns
     dealt = rows.repartition("sku").sortWithinPartitions("sku", F.col("customer_request_date").isNull(), "customer_request_date", "line_order")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        item, left = None, 0.0
+        last, rest = None, 0.0
         for batch in batches:
-            flags = []
-            for sku, stock, need in zip(*(batch.column(c).to_pylist() for c in ("sku", "_stock", "open_qty")), strict=True):
-                if sku != item:
-                    item, left = sku, stock or 0.0
-                ok = sku is not None and (need or 0.0) > 0 and left >= need * share
-                left = max(left - need, 0.0) if ok else left
-                flags.append(ok)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(flags, "bool")], [*columns, "fillable"])
+            if not batch.num_rows:
+                continue
+            sku = batch.column("sku")
+            number = lambda c: pc.fill_null(pc.cast(batch.column(c), pa.float64()), 0.0).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            new = pc.fill_null(pc.not_equal(sku.slice(1), sku.slice(0, len(sku) - 1)), True).to_numpy(zero_copy_only=False)
+            item = np.concatenate(([0], np.cumsum(new)))
+            left = number("_stock")[np.concatenate(([True], new))]
+            if last is not None and last == sku[0].as_py():
+                left[0] = rest
+            filled = fill_in_order(item, np.where(sku.is_valid().to_numpy(zero_copy_only=False), number("open_qty"), 0.0), left, share)
+            last, rest = sku[-1].as_py(), left[-1]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(filled)], [*columns, "fillable"])
 
     schema = T.StructType([*lines.schema, T.StructField("fillable", T.BooleanType())])
     return dealt.select(*columns, "_stock").mapInArrow(take, schema)

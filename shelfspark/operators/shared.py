@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -22,10 +24,22 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def delete(spark: SparkSession, place: str) -> None:
+    """Removes a folder, wherever it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _at_exit(spark: SparkSession, place: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended
+        delete(spark, place)
+
+
 def keep(df: DataFrame, tag: str) -> DataFrame:
-    """Writes `df` to the shared folder and reads it back: cuts lineage, survives a lost executor."""
+    """Writes `df` to the shared folder and reads it back: cuts lineage, survives a lost executor. It goes when the driver ends."""
     place = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(place)
+    atexit.register(_at_exit, df.sparkSession, place)
     kept = df.sparkSession.read.schema(df.schema).parquet(place)
     kept.kept_at = place
     return kept

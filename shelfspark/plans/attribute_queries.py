@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from shelfspark.operators import attributes as A
@@ -93,9 +95,13 @@ def c38_identity_conflicts(spark, sf_dir):
     return I.identity_conflicts(I.item_ids(I.alias_edges(_codes(spark, sf_dir), ["sku", "maker_code"])), "maker_code", most=2)
 
 
-@query("SELECT period, sum(qty) FILTER (sku = 'S1-0') AS \"S1-0\", sum(qty) FILTER (sku = 'S1-1') AS \"S1-1\" FROM d_series WHERE sku IN ('S1-0', 'S1-1') GROUP BY period")
+_EVERY = [datetime.date(1995 + i // 12, i % 12 + 1, 1) for i in range(61)]
+
+
+@query(f"""SELECT sku, {", ".join(f"sum(qty) FILTER (period = DATE '{m}') AS \"{m:%Y-%m}\"" for m in _EVERY)} FROM d_series GROUP BY sku""")
 def c20_period_matrix(spark, sf_dir):
-    return C.period_matrix(series(spark, sf_dir).where("sku in ('S1-0', 'S1-1')"), ["S1-0", "S1-1"])
+    have = series(spark, sf_dir)
+    return C.period_matrix(have, Fc.months_of(have))
 
 
 @query("SELECT sku, count(*) AS rows, 'first' AS source_sheet FROM fx_sales WHERE sku LIKE '%-0' GROUP BY sku UNION ALL SELECT sku, count(*), 'second' FROM fx_sales WHERE sku NOT LIKE '%-0' GROUP BY sku")
@@ -109,11 +115,6 @@ def c22_timeseries(spark, sf_dir):
     return C.timeseries(series(spark, sf_dir).withColumn("qty", F.col("qty") - 40), 6)
 
 
-@query()
-def d27_history_and_forecast(spark, sf_dir):
-    return Fc.history_and_forecast(series(spark, sf_dir), detail(spark, sf_dir))
-
-
 @query("""SELECT sku, DATE '2000-01-01' AS period, sum(qty) FILTER (ship_date > DATE '1999-06-01') AS reviewed_qty, string_agg(DISTINCT CASE WHEN so_line_number % 2 = 0 THEN 'ann' ELSE 'bob' END, ', ' ORDER BY CASE WHEN so_line_number % 2 = 0 THEN 'ann' ELSE 'bob' END) FILTER (ship_date > DATE '1999-06-01') AS reviewers
 FROM fx_sales GROUP BY sku HAVING sum(qty) FILTER (ship_date > DATE '1999-06-01') IS NOT NULL""")
 def d28_reviewed_plan(spark, sf_dir):

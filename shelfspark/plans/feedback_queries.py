@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfspark.operators import asof as A
 from shelfspark.operators import feedback as B
 from shelfspark.operators import supply as S
+from shelfspark.operators.shared import shared_dir
 from shelfspark.plans.demand_queries import classified, lines, series
 from shelfspark.plans.fixtures import ORACLE_VIEWS, query, tidy, view
-from shelfspark.plans.forecast_queries import detail
+from shelfspark.plans.forecast_queries import detail, reviewed
+from shelfspark.plans.profile_queries import suggested
 from shelfspark.plans.supply_queries import lead_times, recommended, stock
 
 ORACLE_VIEWS["b_plan"] = """
@@ -55,12 +59,22 @@ def decisions(spark, sf_dir):
     return rows.select("sku", kind.alias("decision"), F.when(F.col("part") % 2 == 0, "moq").otherwise("budget").alias("reason_code"), F.when(F.col("customer") % 2 == 0, "push_out").otherwise("expedite").alias("action_kind"), F.col("qty").alias("value_at_stake"))
 
 
-@query("""SELECT r.sku, stocking_class, recommended_action, suggested_po_qty, effective_position AS available_supply, demand_mean_rolling AS forecast_qty, o.wma_lead_time_days AS lead_time_days, o.lt_source, o.supplier, '2000-01-01T00:00:00' AS run_at, '2000-01' AS planning_month
-FROM r_rec r LEFT JOIN s_one o ON o.sku = r.sku""")
+@query("""SELECT r.sku, stocking_class, demand_pattern, demand_cv, recommended_action, suggested_po_qty, effective_position AS available_supply, net_requirement, safety_stock, days_of_supply, inventory_status, demand_mean_rolling AS forecast_qty,
+o.wma_lead_time_days AS lead_time_days, o.lt_std_days AS lt_sigma_days, o.sample_count AS lt_samples, o.lt_source, o.supplier, '2000-01-01T00:00:00' AS run_at, '2000-01' AS planning_month FROM r_rec r LEFT JOIN s_one o ON o.sku = r.sku""", shared=True)
 def f01_plan_snapshot(spark, sf_dir):
     return B.publish(recommended(spark, sf_dir), S.one_supplier(lead_times(spark, sf_dir)), "2000-01-01T00:00:00", "2000-01")
 
 
+@query("""SELECT sku, period, coalesce(reviewed, forecast_qty) AS forecast_qty, forecast_qty AS statistical_qty, CASE WHEN reviewed IS NOT NULL THEN 'reviewed' ELSE 'statistical' END AS forecast_source, run_at, '2000-01' AS planning_month, '2000-01-01' AS as_of, run_at = 'r2' AS reviewed
+FROM f_rev CROSS JOIN (VALUES ('r1'), ('r2')) r(run_at)""", shared=True)
+def f01_published_plan(spark, sf_dir):
+    root = f"{shared_dir(spark)}/plans-{uuid.uuid4().hex}"
+    for run, committed in (("r1", False), ("r2", False), ("r2", True)):  # the second run is published twice
+        plan = B.published_plan(reviewed(spark, sf_dir), run, "2000-01", "2000-01-01", committed)
+        B.save_snapshot(plan, root)
+    return B.read_snapshots(plan, root)
+
+
 @query("""SELECT coalesce(d.sku, s.sku) AS sku, coalesce(actual_demand, 0) AS actual_demand, qty_on_hand AS actual_eom_inv FROM (SELECT sku, sum(qty) AS actual_demand FROM d_lines WHERE demand_date > DATE '1999-11-01' AND demand_date <= DATE '1999-12-01' GROUP BY sku) d
 FULL JOIN s_stock s ON s.sku = d.sku""")
 def f02_actuals(spark, sf_dir):
@@ -146,3 +160,9 @@ def x02_review_list(spark, sf_dir):
 @query("SELECT period, 'history' AS kind, qty AS value FROM d_series WHERE sku = 'S1-1' UNION ALL SELECT period, 'forecast', forecast_qty FROM f_det WHERE sku = 'S1-1'")
 def x03_item_detail(spark, sf_dir):
     return B.item_detail(series(spark, sf_dir), detail(spark, sf_dir), "S1-1")
+
+
+@query("""SELECT sku, p.parameter, p.in_force, p.suggested, p.in_force IS NOT DISTINCT FROM p.suggested AS agrees FROM (SELECT sku, unnest([{'parameter': 'review_period_days', 'in_force': review_period_days::VARCHAR, 'suggested': s_review::VARCHAR},
+{'parameter': 'replenishment_method', 'in_force': method, 'suggested': s_method}, {'parameter': 'service_level', 'in_force': service_level::VARCHAR, 'suggested': s_level::VARCHAR}]) AS p FROM g_sug)""", shared=True)
+def x03_parameter_pairs(spark, sf_dir):
+    return B.parameter_pairs(suggested(spark, sf_dir))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from contextvars import ContextVar
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,14 +62,21 @@ FROM supplier CROSS JOIN bs JOIN nation ON s_nationkey = n_nationkey JOIN region
 }
 
 
-def _chain() -> str:
-    return "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in VIEWS.items())
+#: What the documents take from the joined order lines.
+_LINE = "l_orderkey l_linenumber l_partkey l_suppkey l_quantity l_extendedprice l_discount l_returnflag l_linestatus o_custkey o_orderstatus ship ordered sku vendor term".split()
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of VIEWS over the tables in a folder."""
-    tables = ",\n".join(f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in TABLES)
-    return spark.sql(f"WITH {tables},\n{_chain().removeprefix('WITH ')}\nSELECT * FROM {name}")
+    """One of VIEWS over the tables in a folder; within a query of several documents, over its own copy of the order lines."""
+    held = _held.get()
+    if held is not None and held.get("shared") and name != "li":
+        lines = _once("li", sf_dir, lambda: keep(view(spark, sf_dir, "li").select(*_LINE), "lines"))
+        views = {**VIEWS, "li": f"SELECT * FROM parquet.`{lines.kept_at}`"}
+    else:
+        views = VIEWS
+    tables = [f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in TABLES]
+    chain = ",\n".join(tables + [f"{n} AS ({body})" for n, body in views.items()])
+    return spark.sql(f"WITH {chain}\nSELECT * FROM {name}")
 
 
 #: Views that oracles build on; each is the plain SQL of one operator.
@@ -101,17 +109,21 @@ def oracles() -> dict[str, str]:
     return {name: oracle(sql) for name, sql in _TEXTS.items()}
 
 
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its oracle."""
+#: What the running query has made so far; a query has its own, so two at a time don't meet.
+_held: ContextVar[dict | None] = ContextVar("held", default=None)
+
+
+def query(sql: str | None = None, shared: bool = False):
+    """Registers a query under its function's name, with its oracle. `shared`: its documents read one copy of the order lines."""
 
     def add(f):
         @wraps(f)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            _held.clear()
+            token = _held.set({"shared": shared})
             try:
                 return f(spark, sf_dir)
             finally:
-                _held.clear()
+                _held.reset(token)
 
         QUERIES[f.__name__] = run
         if sql is not None:
@@ -121,7 +133,13 @@ def query(sql: str | None = None):
     return add
 
 
-_held: dict[tuple[str, str], DataFrame] = {}
+def _once(name: str, sf_dir: str, make: Callable):
+    held = _held.get()
+    if held is None:
+        return make()
+    if (name, sf_dir) not in held:
+        held[name, sf_dir] = make()
+    return held[name, sf_dir]
 
 
 def once(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -129,10 +147,7 @@ def once(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession,
 
     @wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        name = (f.__qualname__, sf_dir)
-        if name not in _held:
-            _held[name] = keep(f(spark, sf_dir), f.__name__)
-        return _held[name]
+        return _once(f.__qualname__, sf_dir, lambda: keep(f(spark, sf_dir), f.__name__))
 
     return run
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -37,7 +39,7 @@ ORACLE_VIEWS["f_grid"] = """
 SELECT v.*, alpha, CASE WHEN up THEN beta ELSE 0 END AS beta, CASE WHEN p > 0 THEN gamma ELSE 0 END AS gamma, row_number() OVER (PARTITION BY v.sku, v.o, model ORDER BY alpha, beta, gamma) AS g
 FROM (SELECT sku, o, q, 'ets' AS model, false AS up, 0 AS p, 1 AS c, false AS mul FROM f_arr WHERE o >= 12
   UNION ALL SELECT sku, o, q, 'ets_trend', true, 0, 1, false FROM f_arr JOIN f_trend USING (sku, o) WHERE o >= 12 AND up
-  UNION ALL SELECT sku, o, q, CASE WHEN m THEN 'ets_mul_seasonal' ELSE 'ets_seasonal' END, up, p, p, m FROM f_arr JOIN f_trend USING (sku, o) JOIN f_cyc USING (sku, o) CROSS JOIN (VALUES (false), (true)) x(m)
+  UNION ALL SELECT sku, o, q, CASE WHEN m THEN 'ets_mul_seasonal' ELSE 'ets_seasonal' END || p, up, p, p, m FROM f_arr JOIN f_trend USING (sku, o) JOIN f_cyc USING (sku, o) CROSS JOIN (VALUES (false), (true)) x(m)
     WHERE o >= 12 AND p > 0 AND (NOT m OR list_min(q) > 0)) v
 CROSS JOIN (VALUES (0.1::DOUBLE), (0.3), (0.5), (0.7), (0.9)) a(alpha) JOIN (VALUES (0.1::DOUBLE), (0.3), (0.5)) b(beta) ON up OR beta = 0.1::DOUBLE JOIN (VALUES (0.1::DOUBLE), (0.3), (0.5)) c(gamma) ON p > 0 OR gamma = 0.1::DOUBLE"""
 ORACLE_VIEWS["f_fold"] = """
@@ -62,22 +64,23 @@ SELECT sku, o, max(k) AS k, avg(qty) AS mz, coalesce(avg(gap), o) AS mg, coalesc
 FROM (SELECT *, count(*) OVER w AS k, row_number() OVER (PARTITION BY sku, o ORDER BY i) AS j, i - lag(i) OVER (PARTITION BY sku, o ORDER BY i) AS gap FROM f_x WHERE qty > 0 WINDOW w AS (PARTITION BY sku, o)) GROUP BY sku, o) USING (sku, o)"""
 ORACLE_VIEWS["f_cand"] = """
 SELECT sku, o, model, ord, h, greatest(v, 0) AS v FROM (
-SELECT sku, o, model, CASE model WHEN 'ets' THEN 0 WHEN 'ets_trend' THEN 1 WHEN 'ets_seasonal' THEN 2 ELSE 3 END AS ord, h, CASE WHEN mul THEN (l + h * b) * s[(o + h - 1) % c + 1] ELSE l + h * b + s[(o + h - 1) % c + 1] END AS v
+SELECT sku, o, model, (list_position(['ets', 'ets_trend', 'ets_seasonal3', 'ets_seasonal4', 'ets_seasonal6', 'ets_seasonal12', 'ets_mul_seasonal3', 'ets_mul_seasonal4', 'ets_mul_seasonal6', 'ets_mul_seasonal12'], model) - 1)::INT AS ord, h, CASE WHEN mul THEN (l + h * b) * s[(o + h - 1) % c + 1] ELSE l + h * b + s[(o + h - 1) % c + 1] END AS v
   FROM (SELECT *, row_number() OVER (PARTITION BY sku, o, model ORDER BY round(sse, 6), g) AS place FROM f_fold WHERE i = o) CROSS JOIN f_ahead WHERE place = 1
-UNION ALL SELECT sku, o, 'arima', 4, h, q[o] + (phi * (q[o] - q[o - 1]) + theta * e) * (1 - pow(phi, h)) / (1 - phi)
+UNION ALL SELECT sku, o, 'arima', 10, h, q[o] + (phi * (q[o] - q[o - 1]) + theta * e) * (1 - pow(phi, h)) / (1 - phi)
   FROM (SELECT *, row_number() OVER (PARTITION BY sku, o ORDER BY round(sse, 6), g) AS place FROM f_ar WHERE i = o) CROSS JOIN f_ahead WHERE place = 1
-UNION ALL SELECT sku, o, 'croston', 5, h, croston FROM f_gap JOIN f_den USING (sku) CROSS JOIN f_ahead WHERE density < 0.76
-UNION ALL SELECT sku, o, 'tsb', 6, h, tsb FROM f_gap JOIN f_den USING (sku) CROSS JOIN f_ahead WHERE density < 0.76
-UNION ALL SELECT sku, o, 'moving_average', 7, h, list_avg(q[o - 2:o]) FROM f_arr CROSS JOIN f_ahead
-UNION ALL SELECT sku, o, 'smoothing', 8, h, any_value(m) * pow(0.8, o - 1) + sum(0.2 * pow(0.8, o - i) * qty) FILTER (i > 1) FROM (SELECT *, avg(qty) OVER (PARTITION BY sku, o) AS m FROM f_x) CROSS JOIN f_ahead GROUP BY sku, o, h
-UNION ALL SELECT sku, o, 'naive', 9, h, q[o] FROM f_arr CROSS JOIN f_ahead)"""
+UNION ALL SELECT sku, o, 'croston', 11, h, croston FROM f_gap JOIN f_den USING (sku) CROSS JOIN f_ahead WHERE density < 0.76
+UNION ALL SELECT sku, o, 'tsb', 12, h, tsb FROM f_gap JOIN f_den USING (sku) CROSS JOIN f_ahead WHERE density < 0.76
+UNION ALL SELECT sku, o, 'moving_average', 13, h, list_avg(q[o - 2:o]) FROM f_arr CROSS JOIN f_ahead
+UNION ALL SELECT sku, o, 'smoothing', 14, h, any_value(m) * pow(0.8, o - 1) + sum(0.2 * pow(0.8, o - i) * qty) FILTER (i > 1) FROM (SELECT *, avg(qty) OVER (PARTITION BY sku, o) AS m FROM f_x) CROSS JOIN f_ahead GROUP BY sku, o, h
+UNION ALL SELECT sku, o, 'naive', 15, h, q[o] FROM f_arr CROSS JOIN f_ahead)"""
 ORACLE_VIEWS["f_score"] = """
-SELECT sku, ord, model, sqrt(avg(e * e)) AS rmse, CASE WHEN count(*) FILTER (a <> 0) >= 4 THEN avg(abs(e / a)) FILTER (a <> 0) END AS mape, CASE WHEN any_value(scale) > 0 THEN avg(abs(e)) / any_value(scale) END AS mase, bool_or(a = 0) AS has_zero, bool_and(a = 0) AS all_zero
+SELECT sku, ord, model, sqrt(avg(e * e)) AS rmse, CASE WHEN count(*) FILTER (a <> 0) >= 4 THEN avg(abs(e / a)) FILTER (a <> 0) END AS mape, CASE WHEN any_value(scale) > 0 THEN avg(abs(e)) / any_value(scale) END AS mase, bool_or(a = 0) AS has_zero, bool_and(a = 0) AS all_zero,
+  (sku, model) IN (SELECT (sku, model) FROM f_cand JOIN f_den USING (sku) WHERE o = n) AS admitted
 FROM (SELECT c.*, q.qty AS a, c.v - q.qty AS e, scale FROM f_cand c JOIN f_num q ON q.sku = c.sku AND q.i = c.o + c.h JOIN (SELECT sku, avg(abs(d)) AS scale FROM f_x WHERE o = n GROUP BY sku) x ON x.sku = c.sku WHERE h <= 3 AND o < q.n)
 GROUP BY sku, ord, model"""
 ORACLE_VIEWS["f_pick"] = """
-SELECT sku, CASE WHEN quiet THEN 'tsb' ELSE model END AS model, CASE WHEN quiet THEN 'no demand in window' ELSE metric END AS metric, CASE WHEN NOT quiet THEN score END AS score, CASE WHEN NOT quiet THEN score / nullif(ns, 0) END AS ratio_to_naive, CASE WHEN NOT quiet THEN rmse END AS rmse
-FROM (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY round(score, 9), ord) AS place, max(score) FILTER (model = 'naive') OVER (PARTITION BY sku) AS ns FROM (
+SELECT sku, CASE WHEN quiet THEN 'tsb' ELSE model END AS model, CASE WHEN quiet THEN 'no demand in window' ELSE metric END AS metric, CASE WHEN NOT quiet THEN score END AS score, CASE WHEN NOT quiet THEN score / nullif(ns, 0) END AS ratio_to_naive, CASE WHEN NOT quiet THEN rmse END AS rmse, CASE WHEN NOT quiet THEN mape END AS mape, CASE WHEN NOT quiet THEN mase END AS mase
+FROM (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY admitted DESC, round(score, 9), ord) AS place, max(score) FILTER (model = 'naive') OVER (PARTITION BY sku) AS ns FROM (
   SELECT *, CASE metric WHEN 'mape' THEN mape WHEN 'mase' THEN mase ELSE rmse END AS score FROM (SELECT *, CASE WHEN NOT bool_or(has_zero) OVER w AND count(mape) OVER w = count(*) OVER w THEN 'mape' WHEN count(mase) OVER w = count(*) OVER w THEN 'mase' ELSE 'rmse' END AS metric,
     bool_and(all_zero) OVER w AS quiet FROM f_score WINDOW w AS (PARTITION BY sku)))) WHERE place = 1"""
 #: TSB's own errors over the whole series, for items whose window had no demand.
@@ -86,13 +89,33 @@ SELECT sku, q, list_position(list_transform(q, lambda x: x > 0), true) AS i, lis
 UNION ALL
 SELECT sku, q, i + 1, CASE WHEN x > 0 THEN 0.2 * x + 0.8 * z ELSE z END, 0.2 * CASE WHEN x > 0 THEN 1 ELSE 0 END + 0.8 * p, sq + CASE WHEN x > 0 THEN (x - z * p) * (x - z * p) ELSE 0 END, k + CASE WHEN x > 0 THEN 1 ELSE 0 END FROM (SELECT *, q[i + 1] AS x FROM f_tsb WHERE i < len(q))"""
 ORACLE_VIEWS["f_out"] = """
-SELECT p.sku, p.model, x.h, round_even(coalesce(c.v, greatest(CASE WHEN p.model = 'tsb' THEN tsb ELSE list_avg(a.q[d.n - 2:d.n]) END, 0)), 1) AS forecast_qty, round(coalesce(p.rmse, t.rmse), 3) AS forecast_rmse
-FROM f_pick p CROSS JOIN f_ahead x JOIN f_den d ON d.sku = p.sku JOIN f_arr a ON a.sku = p.sku AND a.o = d.n JOIN f_gap g ON g.sku = p.sku AND g.o = d.n LEFT JOIN f_cand c ON c.sku = p.sku AND c.o = d.n AND c.model = p.model AND c.h = x.h
-LEFT JOIN (SELECT sku, CASE WHEN k > 0 THEN sqrt(sq / k) END AS rmse FROM f_tsb WHERE i = len(q)) t ON t.sku = p.sku"""
-ORACLE_VIEWS["f_det"] = "SELECT sku, (last + to_months(h))::DATE AS period, forecast_qty, model, forecast_rmse, h = 1 AS is_next_period FROM f_out CROSS JOIN (SELECT max(period) AS last FROM d_series)"
+SELECT p.sku, x.h, round_even(coalesce(c.v, greatest(tsb, 0)), 1) AS forecast_qty, p.model, CASE WHEN metric LIKE 'no %' THEN 'no demand in window: tsb' ELSE 'backtest:' || metric END AS selected_by, up AS trend_detected, coalesce(cy.p, 0) > 0 AS seasonal_detected,
+  round(coalesce(p.rmse, t.rmse), 3) AS forecast_rmse, mape AS backtest_mape, mase AS backtest_mase, p.rmse AS backtest_rmse, round(ratio_to_naive, 3) AS vs_naive, expected_order_size, expected_interval
+FROM f_pick p CROSS JOIN f_ahead x JOIN f_den d ON d.sku = p.sku JOIN f_gap g ON g.sku = p.sku AND g.o = d.n JOIN f_trend tr ON tr.sku = p.sku AND tr.o = d.n LEFT JOIN f_cyc cy ON cy.sku = p.sku AND cy.o = d.n
+LEFT JOIN f_cand c ON c.sku = p.sku AND c.o = d.n AND c.model = p.model AND c.h = x.h
+LEFT JOIN (SELECT sku, CASE WHEN k > 0 THEN sqrt(sq / k) END AS rmse FROM f_tsb WHERE i = len(q)) t ON t.sku = p.sku
+LEFT JOIN (SELECT sku, round_even(avg(qty), 1) AS expected_order_size, round_even(greatest(1, coalesce((max(n) - min(i)) / nullif(count(*) - 1 + CASE WHEN max(i) < max(n) THEN 1 ELSE 0 END, 0), max(n))), 2) AS expected_interval FROM f_num WHERE qty > 0 GROUP BY sku) e ON e.sku = p.sku"""
+ORACLE_VIEWS["f_det"] = "SELECT sku, (last + to_months(h))::DATE AS period, * EXCLUDE (sku, h), h = 1 AS is_next_period FROM f_out CROSS JOIN (SELECT max(period) AS last FROM d_series)"
 ORACLE_VIEWS["f_rev"] = "SELECT *, CASE WHEN is_next_period AND sku LIKE '%-1' THEN forecast_qty + 5 END AS reviewed FROM f_det"
 
 
+#: The months of the driver's tables that wide tables have columns for, a year back and half a year ahead.
+PAST = [datetime.date(1999, m, 1) for m in range(2, 13)] + [datetime.date(2000, 1, 1)]
+COMING = [datetime.date(2000, m, 1) for m in range(2, 8)]
+
+
+def wide(label: str, value: str, months: list, where: str = "true") -> str:
+    """Oracle text: a column for each month."""
+    return ", ".join(f"max({value}) FILTER (period = DATE '{m}' AND {where}) AS \"{label} {m:%Y-%m}\"" for m in months)
+
+
+def spine(spark, sf_dir):
+    """The last year's months of the series, and the next half year's."""
+    past = Fc.months_of(series(spark, sf_dir), 12)
+    ends = [past[-1].year * 12 + past[-1].month + i for i in range(6)]
+    return past, [datetime.date(i // 12, i % 12 + 1, 1) for i in ends]
+
+
 def arrays(spark, sf_dir):
     return Fc.as_arrays(series(spark, sf_dir))
 
@@ -107,6 +130,7 @@ def forecasts(spark, sf_dir):
     return Fc.forecast(arrays(spark, sf_dir), chosen(spark, sf_dir), hints)
 
 
+@once
 def detail(spark, sf_dir):
     return Fc.forecast_detail(forecasts(spark, sf_dir), series(spark, sf_dir).agg(F.max("period").alias("period")))
 
@@ -167,41 +191,61 @@ def d21_candidates(spark, sf_dir):
     return found.select("sku", F.array_join(F.transform("m", lambda x: x.model), ",").alias("models"))
 
 
-@query("SELECT sku, ord, model, round(rmse, 6) AS rmse, round(mape, 6) AS mape, round(mase, 6) AS mase, has_zero, all_zero FROM f_score")
+@query("SELECT sku, ord, model, round(rmse, 6) AS rmse, round(mape, 6) AS mape, round(mase, 6) AS mase, has_zero, all_zero, admitted FROM f_score")
 def d22_backtest(spark, sf_dir):
     return tidy(Fc.backtest(arrays(spark, sf_dir)))
 
 
-@query("SELECT sku, model, metric, round(score, 6) AS score, round(ratio_to_naive, 6) AS ratio_to_naive, round(rmse, 6) AS rmse FROM f_pick")
+@query("SELECT sku, model, metric, round(score, 6) AS score, round(ratio_to_naive, 6) AS ratio_to_naive, round(rmse, 6) AS rmse, round(mape, 6) AS mape, round(mase, 6) AS mase FROM f_pick")
 def d23_chosen_models(spark, sf_dir):
     return tidy(chosen(spark, sf_dir))
 
 
-@query("SELECT * FROM f_out")
+@query("SELECT * REPLACE (round(backtest_mape, 6) AS backtest_mape, round(backtest_mase, 6) AS backtest_mase, round(backtest_rmse, 6) AS backtest_rmse) FROM f_out")
 def d24_forecasts(spark, sf_dir):
-    return forecasts(spark, sf_dir)
+    return tidy(forecasts(spark, sf_dir))
 
 
-@query("SELECT * FROM f_det")
+@query("SELECT * REPLACE (round(backtest_mape, 6) AS backtest_mape, round(backtest_mase, 6) AS backtest_mase, round(backtest_rmse, 6) AS backtest_rmse) FROM f_det")
 def d25_forecast_detail(spark, sf_dir):
-    return detail(spark, sf_dir)
+    return tidy(detail(spark, sf_dir))
+
+
+def _tenth(total: str) -> str:
+    """Oracle text: the mean, to one digit with ties to even, of amounts of one digit."""
+    return f"((({total}) // count(*) + CASE WHEN 2 * (({total}) % count(*)) > count(*) OR (2 * (({total}) % count(*)) = count(*) AND ({total}) // count(*) % 2 = 1) THEN 1 ELSE 0 END) / 10)::DOUBLE"
+
 
+_TENTHS = "sum(round(forecast_qty * 10)::BIGINT)::BIGINT"
 
-@query("SELECT sku, max(forecast_qty) FILTER (is_next_period) AS forecast_next_period, round(avg(forecast_qty), 6) AS forecast_avg_monthly, round(sum(forecast_qty), 6) AS forecast_total, max(forecast_rmse) AS forecast_rmse FROM f_det GROUP BY sku")
+
+@query(f"""SELECT sku, model, trend_detected, seasonal_detected, max(forecast_qty) FILTER (is_next_period) AS forecast_next_period, {_tenth(_TENTHS)} AS forecast_avg_monthly, ({_TENTHS} / 10)::DOUBLE AS forecast_total, max(forecast_rmse) AS forecast_rmse
+FROM f_det GROUP BY ALL""")
 def d26_forecast_summary(spark, sf_dir):
-    return tidy(Fc.forecast_summary(detail(spark, sf_dir)))
+    return Fc.forecast_summary(detail(spark, sf_dir))
 
 
-@query("SELECT sku, period, forecast_qty AS statistical_qty, model, forecast_rmse, is_next_period, coalesce(reviewed, forecast_qty) AS forecast_qty, CASE WHEN reviewed IS NOT NULL THEN 'reviewed' ELSE 'statistical' END AS forecast_source FROM f_rev")
-def d29_reviewed_plan(spark, sf_dir):
+@query(f"""SELECT sku, model, trend_detected, seasonal_detected, max(forecast_qty) FILTER (is_next_period) AS forecast_next_period, {_tenth(_TENTHS)} AS forecast_avg_monthly, ({_TENTHS} / 10)::DOUBLE AS forecast_total, max(forecast_rmse) AS forecast_rmse,
+max(statistical_qty) FILTER (is_next_period) AS statistical_next_period, (sum(round(statistical_qty * 10)::BIGINT) / 10)::DOUBLE AS statistical_total, max(CASE WHEN reviewed IS NOT NULL THEN 'reviewed' ELSE 'statistical' END) FILTER (is_next_period) AS forecast_source
+FROM (SELECT * REPLACE (coalesce(reviewed, forecast_qty) AS forecast_qty), forecast_qty AS statistical_qty FROM f_rev) GROUP BY sku, model, trend_detected, seasonal_detected""")
+def d26_reviewed_summary(spark, sf_dir):
+    return Fc.forecast_summary(reviewed(spark, sf_dir))
+
+
+def reviewed(spark, sf_dir):
     rows = detail(spark, sf_dir)
     plan = rows.where("is_next_period").select("sku", "period", (F.col("forecast_qty") + 5).alias("reviewed_qty")).where("sku like '%-1'")
     return Fc.apply_review(rows, plan)
 
 
+@query("SELECT sku, period, forecast_qty AS statistical_qty, model, forecast_rmse, is_next_period, coalesce(reviewed, forecast_qty) AS forecast_qty, CASE WHEN reviewed IS NOT NULL THEN 'reviewed' ELSE 'statistical' END AS forecast_source FROM f_rev")
+def d29_reviewed_plan(spark, sf_dir):
+    return reviewed(spark, sf_dir).select("sku", "period", "statistical_qty", "model", "forecast_rmse", "is_next_period", "forecast_qty", "forecast_source")
+
+
 ORACLE_VIEWS["f_plan"] = """
 SELECT s.sku, s.period, s.qty AS actual_qty, s.qty + (CASE WHEN s.sku LIKE '%-0' THEN 3 WHEN s.sku LIKE '%-1' THEN -4 ELSE 0 END) AS plan_qty, s.qty + 100 AS later FROM d_series s"""
-ORACLE_VIEWS["f_price"] = "SELECT sku, sum(amount) FILTER (demand_date > DATE '1999-01-01') / sum(qty) FILTER (demand_date > DATE '1999-01-01') AS p12, sum(amount) / sum(qty) AS pa FROM d_lines GROUP BY sku"
+ORACLE_VIEWS["f_price"] = "SELECT sku, sum(amount::DECIMAL(24,6)) FILTER (demand_date > DATE '1999-01-01')::DOUBLE / sum(qty) FILTER (demand_date > DATE '1999-01-01') AS p12, sum(amount::DECIMAL(24,6))::DOUBLE / sum(qty) AS pa FROM d_lines GROUP BY sku"
 
 
 def plans(spark, sf_dir):
@@ -234,3 +278,9 @@ LEFT JOIN (SELECT part::VARCHAR AS sku, date_trunc('month', demand_date)::DATE A
 def d15_naive_by_part(spark, sf_dir):
     parts = D.monthly_series(lines(spark, sf_dir).withColumn("sku", F.col("part").cast("string")))
     return tidy(Fc.as_arrays(parts).select("sku", Fc.naive(F.col("q")).alias("naive")))
+
+
+@query(f"""SELECT * EXCLUDE (k) FROM (SELECT sku, any_value(model) AS model, any_value(selected_by) AS selected_by, round(any_value(backtest_mape), 6) AS backtest_mape, round(any_value(backtest_mase), 6) AS backtest_mase, round(any_value(backtest_rmse), 6) AS backtest_rmse, any_value(vs_naive) AS vs_naive,
+any_value(forecast_rmse) AS forecast_rmse, any_value(expected_order_size) AS expected_order_size, any_value(expected_interval) AS expected_interval, {wide("fcst", "forecast_qty", COMING)} FROM f_det GROUP BY sku) LEFT JOIN (SELECT sku AS k, {wide("hist", "qty", PAST)} FROM d_series GROUP BY sku) ON k = sku""")
+def d27_history_and_forecast(spark, sf_dir):
+    return tidy(Fc.history_and_forecast(series(spark, sf_dir), detail(spark, sf_dir), *spine(spark, sf_dir)))

@@ -27,11 +27,12 @@ def texts(spark, sf_dir):
 
 @query("""SELECT column_name, rows, non_null, round(1 - non_null / rows, 6) AS null_rate, distinct_values, round(distinct_values / non_null, 6) AS distinct_rate,
   CASE WHEN numbers / non_null >= 0.9 THEN 'number' WHEN dates / non_null >= 0.8 THEN 'date' ELSE 'text' END AS inferred_type, lo AS min_number, hi AS max_number,
-  round(neg / non_null, 6) AS negative_rate, round(zero / non_null, 6) AS zero_rate
-FROM (SELECT column_name, count(*) AS rows, count(value) AS non_null, count(DISTINCT value) AS distinct_values, count(n) AS numbers, count(d) AS dates, min(n) AS lo, max(n) AS hi, count(*) FILTER (n < 0) AS neg,
+  round(neg / non_null, 6) AS negative_rate, round(zero / non_null, 6) AS zero_rate, CASE WHEN distinct_values <= 25 AND NOT numbers / non_null >= 0.9 AND NOT dates / non_null >= 0.8 THEN cats END AS categories
+FROM (SELECT column_name, string_agg(DISTINCT trim(value), ', ' ORDER BY trim(value)) AS cats, count(*) AS rows, count(value) AS non_null, count(DISTINCT value) AS distinct_values, count(n) AS numbers, count(d) AS dates, min(n) AS lo, max(n) AS hi, count(*) FILTER (n < 0) AS neg,
   count(*) FILTER (n = 0) AS zero FROM (SELECT *, try_cast(value AS DOUBLE) AS n, try_cast(value AS DATE) AS d FROM q_cells) GROUP BY column_name)""")
 def q01_profile(spark, sf_dir):
-    return tidy(Q.profile(po(spark, sf_dir).select("sku", "po_qty", "receive_date", "incoterm")))
+    found = Q.profile(po(spark, sf_dir).select("sku", "po_qty", "receive_date", "incoterm"))
+    return tidy(found.withColumn("categories", F.array_join("categories", ", ")))
 
 
 @query("""SELECT column_name, count(*) AS n, count(*) FILTER (f = 'iso_date') AS iso_date, count(*) FILTER (f = 'delimited_date') AS delimited_date, count(*) FILTER (f = 'eu_number') AS eu_number,
