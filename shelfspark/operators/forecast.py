@@ -148,57 +148,74 @@ def cycles(q: np.ndarray, least: float = 0.3, z: float = 2.5) -> np.ndarray:
     return found
 
 
-def _best(fits: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+Fit = tuple[np.ndarray, np.ndarray]
+
+
+def _best(fits: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Fit:
     """Values ahead, and the error within the sample, of each series' first fit with the least squared error."""
     sse = np.round(np.array([f[0] for f in fits]), 6)
     pick, rows = np.argmin(sse, axis=0), np.arange(sse.shape[1])
     return np.array([f[1] for f in fits])[pick, rows], np.array([f[2] for f in fits])[pick, rows]
 
 
-def smoothed(q: np.ndarray, h: int, trend: bool = False, cycle: int = 0, mul: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def smoothed_at(q: np.ndarray, ends: list[int], h: int, trend: bool = False, cycle: int = 0, mul: bool = False) -> dict[int, Fit]:
     """Exponential smoothing of level, trend and season by the best weights of the grid, a series a row. (D-19)
 
     The level starts at the first value, the trend at the first step; with a season, at the first cycle's mean, the step
-    between the means of the first two cycles, and the first cycle's departures. Returns (values ahead, rmse).
+    between the means of the first two cycles, and the first cycle's departures. Fits to the first `end` values are read
+    off one pass over the series, as no start depends on the end. Returns (values ahead, rmse) by end.
     """
-    n, start = q.shape[1], cycle or 1
+    start = cycle or 1
     mean = q[:, :start].mean(1)
     first = (q[:, cycle : 2 * cycle].mean(1) - mean) / cycle if cycle else q[:, 1] - q[:, 0]
-    fits = []
+    fits: dict[int, list] = {end: [] for end in ends}
     for alpha in ALPHAS:
         for beta in BETAS if trend else (0.0,):
             for gamma in GAMMAS if cycle else (0.0,):
                 level, slope, sse = mean.copy(), first * trend, np.zeros(len(q))
                 season = [(q[:, i] / mean if mul else q[:, i] - mean) if cycle else np.full(len(q), float(mul)) for i in range(start)]
-                for t in range(start, n):
+                for t in range(start, max(ends)):
                     x, s, ahead = q[:, t], season[t % start], level + slope
-                    sse += (x - (ahead * s if mul else ahead + s)) ** 2
+                    sse = sse + (x - (ahead * s if mul else ahead + s)) ** 2
                     new = alpha * (x / s if mul else x - s) + (1 - alpha) * ahead
                     slope = beta * (new - level) + (1 - beta) * slope if trend else slope
                     if cycle:
                         season[t % start] = gamma * (x / new if mul else x - new) + (1 - gamma) * s
                     level = new
-                steps = [(level + (i + 1) * slope, season[(n + i) % start]) for i in range(h)]
-                fits.append((sse, np.stack([a * s if mul else a + s for a, s in steps], 1), np.sqrt(sse / (n - start))))
-    return _best(fits)
+                    if t + 1 in fits:
+                        steps = [(level + (i + 1) * slope, season[(t + 1 + i) % start]) for i in range(h)]
+                        fits[t + 1].append((sse, np.stack([a * s if mul else a + s for a, s in steps], 1), np.sqrt(sse / (t + 1 - start))))
+    return {end: _best(found) for end, found in fits.items()}
+
+
+def smoothed(q: np.ndarray, h: int, trend: bool = False, cycle: int = 0, mul: bool = False) -> Fit:
+    """`smoothed_at` the end of the series."""
+    return smoothed_at(q, [q.shape[1]], h, trend, cycle, mul)[q.shape[1]]
 
 
-def arima(q: np.ndarray, h: int) -> tuple[np.ndarray, np.ndarray]:
-    """ARIMA(1,1,1) by the least conditional sum of squares on a grid, a series a row: (values ahead, rmse). (D-20)"""
-    w, fits = np.diff(q, axis=1), []
+def arima_at(q: np.ndarray, ends: list[int], h: int) -> dict[int, Fit]:
+    """ARIMA(1,1,1) by the least conditional sum of squares on a grid, a series a row: (values ahead, rmse) by end. (D-20)"""
+    w = np.diff(q, axis=1)
+    fits: dict[int, list] = {end: [] for end in ends}
     for phi in PHIS:
         for theta in THETAS:
             e, sse = np.zeros(len(q)), np.zeros(len(q))
-            for t in range(1, w.shape[1]):
+            for t in range(1, max(ends) - 1):
                 e = w[:, t] - phi * w[:, t - 1] - theta * e
                 sse = sse + e * e
-            step, at, out = phi * w[:, -1] + theta * e, q[:, -1], []
-            for _ in range(h):
-                at = at + step
-                out.append(at)
-                step = phi * step
-            fits.append((sse, np.stack(out, 1), np.sqrt(sse / (w.shape[1] - 1))))
-    return _best(fits)
+                if t + 2 in fits:
+                    step, at, out = phi * w[:, t] + theta * e, q[:, t + 1], []
+                    for _ in range(h):
+                        at = at + step
+                        out.append(at)
+                        step = phi * step
+                    fits[t + 2].append((sse, np.stack(out, 1), np.sqrt(sse / t)))
+    return {end: _best(found) for end, found in fits.items()}
+
+
+def arima(q: np.ndarray, h: int) -> Fit:
+    """`arima_at` the end of the series."""
+    return arima_at(q, [q.shape[1]], h)[q.shape[1]]
 
 
 def intermittent(q: np.ndarray, dying: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -247,33 +264,57 @@ def admitted(q: np.ndarray, density: np.ndarray) -> dict[str, np.ndarray]:
     return {m: np.flatnonzero(out[m]) for m in MODELS if m in out and out[m].any()}
 
 
-def _ahead(model: str, q: np.ndarray, h: int, up: np.ndarray) -> np.ndarray:
-    """A model's values ahead of a series a row; `up` marks those with a trend, which a season is fitted with."""
+def _ahead_at(model: str, q: np.ndarray, ends: list[int], h: int, up: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """A model's values ahead of the first `end` values of a series a row; up[end] marks those with a trend there.
+
+    A season is fitted with the trend that its series has at the end.
+    """
     flat = lambda v: np.repeat(v[:, None], h, 1)
     if model in ("ets", "ets_trend"):
-        return smoothed(q, h, model == "ets_trend")[0]
+        return {end: v for end, (v, _) in smoothed_at(q, ends, h, model == "ets_trend").items()}
     if model.startswith("ets"):
-        cycle, values = int(model.rpartition("seasonal")[2]), np.zeros((len(q), h))
+        cycle, values = int(model.rpartition("seasonal")[2]), {end: np.zeros((len(q), h)) for end in ends}
         for trend in (False, True):
-            at = np.flatnonzero(up == trend)
-            values[at] = smoothed(q[at], h, trend, cycle, "mul" in model)[0]
+            at = np.flatnonzero(np.any([up[end] == trend for end in ends], axis=0))
+            with np.errstate(all="ignore"):  # of a series that isn't admitted at every end
+                found = smoothed_at(q[at], ends, h, trend, cycle, "mul" in model)
+            for end in ends:
+                mine = up[end][at] == trend
+                values[end][at[mine]] = found[end][0][mine]
         return values
     if model == "arima":
-        return arima(q, h)[0]
+        return {end: v for end, (v, _) in arima_at(q, ends, h).items()}
     if model in ("croston", "tsb"):
-        return flat(intermittent(q, model == "tsb")[0])
+        return {end: flat(intermittent(q[:, :end], model == "tsb")[0]) for end in ends}
     if model == "smoothing":
-        level = q.mean(1)
-        for t in range(1, q.shape[1]):
-            level = ALPHA * q[:, t] + (1 - ALPHA) * level
-        return flat(level)
-    return flat(q[:, -3:].mean(1) if model == "moving_average" else q[:, -1])
+        out = {}
+        for end in ends:
+            level = q[:, :end].mean(1)
+            for t in range(1, end):
+                level = ALPHA * q[:, t] + (1 - ALPHA) * level
+            out[end] = flat(level)
+        return out
+    return {end: flat(q[:, end - 3 : end].mean(1) if model == "moving_average" else q[:, end - 1]) for end in ends}
+
+
+def candidates_at(q: np.ndarray, ends: list[int], h: int, density: np.ndarray) -> dict[int, dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """Values ahead of every model that a series may use at an end, by end and model: (rows, values), never below 0. (D-21)"""
+    may = {end: admitted(q[:, :end], density) for end in ends}
+    up = {end: trending(q[:, :end]) for end in ends}
+    out: dict[int, dict] = {end: {} for end in ends}
+    for m in MODELS:
+        mine = [end for end in ends if m in may[end]]
+        if mine:
+            rows = np.unique(np.concatenate([may[end][m] for end in mine]))
+            found = _ahead_at(m, q[rows], mine, h, {end: up[end][rows] for end in mine})
+            for end in mine:
+                out[end][m] = may[end][m], np.maximum(found[end][np.searchsorted(rows, may[end][m])], 0)
+    return out
 
 
 def candidates(q: np.ndarray, h: int, density: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Values ahead of every model that a series may use, by model: (rows, values), never below 0. (D-21)"""
-    up = trending(q)
-    return {m: (rows, np.maximum(_ahead(m, q[rows], h, up[rows]), 0)) for m, rows in admitted(q, density).items()}
+    """`candidates_at` the end of the series."""
+    return candidates_at(q, [q.shape[1]], h, density)[q.shape[1]]
 
 
 def density_of(q: np.ndarray) -> np.ndarray:
@@ -306,8 +347,9 @@ def backtest(arrays: DataFrame, folds: int = 3, steps: int = 3) -> DataFrame:
                 continue
             error = {m: np.full((len(q), len(origins) * steps), np.nan) for m in MODELS}
             actual = np.concatenate([q[:, o : o + steps] for o in origins], 1)
+            made = candidates_at(q, origins, steps, density)
             for i, o in enumerate(origins):
-                for m, (rows, values) in candidates(q[:, :o], steps, density).items():
+                for m, (rows, values) in made[o].items():
                     error[m][rows, i * steps : (i + 1) * steps] = values - q[rows, o : o + steps]
             scale, last = np.abs(np.diff(q, axis=1)).mean(1), admitted(q, density)
             for i, m in enumerate(MODELS):
@@ -393,7 +435,7 @@ def forecast(arrays: DataFrame, chosen: DataFrame, hints: DataFrame | None = Non
             rmse[~tested] = np.sqrt(((q[~tested][:, 1:] - before) ** 2).mean(1))
             for m in np.unique(model):
                 at = np.flatnonzero(model == m)
-                values[at] = np.maximum(_ahead(m, q[at], horizon, up[at]), 0)
+                values[at] = np.maximum(_ahead_at(m, q[at], [q.shape[1]], horizon, {q.shape[1]: up[at]})[q.shape[1]], 0)
             late = np.flatnonzero((model == "tsb") & part.backtest_rmse.isna().to_numpy())  # quiet windows and short series
             rmse[late] = intermittent(q[late], True)[1]
             early = np.flatnonzero(~tested & (model == "arima"))

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,11 +52,10 @@ def safety_stock(classified: DataFrame, lead_time: DataFrame, rmse: DataFrame |
 
 
 def require_unique(rows: DataFrame, key: str = "sku") -> DataFrame:
-    """The rows, or ValueError where a key repeats: quantities joined on it would count twice."""
-    twice = rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").limit(3).collect()
-    if twice:
-        raise ValueError(f"rows repeat a {key}, for example {', '.join(str(r[0]) for r in twice)}; consolidate first")
-    return rows
+    """The rows; the job fails where a key repeats, as quantities joined on it would count twice. No job runs before."""
+    said = F.raise_error(F.concat(F.lit(f"rows repeat a {key}: "), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit("; consolidate first"))).cast("boolean")
+    counted = rows.withColumn("_times", F.count("*").over(W.partitionBy(key)))
+    return counted.where(F.when(F.col("_times") > 1, said).otherwise(True)).drop("_times")
 
 
 def project(stock: DataFrame, position: DataFrame, inbound: DataFrame, *, excess_days: float = 90, horizon_days: float = 30) -> DataFrame:

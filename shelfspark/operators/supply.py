@@ -193,15 +193,17 @@ def split_by_status(inventory: DataFrame, statuses: dict[str, str], wildcard: st
     """Stock in places that may not be sold moves from the netting measures to reported ones; goods in transit stay. (C-31)
 
     statuses: location code -> status; only `sellable` nets. The wildcard answers for codes that are not declared.
-    ValueError where several codes are in use and one of them is undeclared: stock of unknown status must not be summed.
+    The job fails where several codes are in use and one of them is undeclared: stock of unknown status must not be summed.
     """
     code = F.upper(F.trim(F.coalesce(F.col("location_id").cast("string"), F.lit(""))))
     declared = {k.strip().upper(): v for k, v in statuses.items()}
-    codes = inventory.select(code.alias("code")).where("code <> ''").distinct()
-    if wildcard is None and codes.limit(2).count() > 1:
-        unknown = [r.code for r in codes.where(~F.col("code").isin(*declared)).orderBy("code").limit(5).collect()]
-        if unknown:
-            raise ValueError(f"stock locations without a declared status, for example {', '.join(unknown)}")
+    if wildcard is None:
+        used = inventory.select(code.alias("code")).where("code <> ''")
+        facts = used.agg(F.min("code").alias("lo"), F.max("code").alias("hi"), F.min(F.when(~F.col("code").isin(*declared), F.col("code"))).alias("unknown"))
+        said = F.raise_error(F.concat(F.lit("stock locations without a declared status, for example "), "unknown")).cast("boolean")
+        ok = facts.select(F.when((F.col("lo") < F.col("hi")) & F.col("unknown").isNotNull(), said).otherwise(True).alias("_ok"))
+        columns = inventory.columns
+        inventory = inventory.crossJoin(F.broadcast(ok)).where("_ok").select(*columns)  # one row
     known = F.create_map(*[F.lit(x) for kv in declared.items() for x in kv]) if declared else F.create_map().cast("map<string,string>")
     status = F.when(code == "", F.lit("sellable")).otherwise(F.coalesce(known[code], F.lit(wildcard), F.lit("sellable")))
     held = status != "sellable"

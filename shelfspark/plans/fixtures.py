@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable
 from contextvars import ContextVar
 from functools import wraps
@@ -67,16 +68,31 @@ _LINE = "l_orderkey l_linenumber l_partkey l_suppkey l_quantity l_extendedprice
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of VIEWS over the tables in a folder; within a query of several documents, over its own copy of the order lines."""
+    """One of VIEWS over the tables in a folder; within a query of several documents, over its own copy of the order lines.
+
+    A query resolves each table and view once, however often it asks; only those that a view needs are looked at.
+    """
     held = _held.get()
-    if held is not None and held.get("shared") and name != "li":
-        lines = _once("li", sf_dir, lambda: keep(view(spark, sf_dir, "li").select(*_LINE), "lines"))
-        views = {**VIEWS, "li": f"SELECT * FROM parquet.`{lines.kept_at}`"}
-    else:
-        views = VIEWS
-    tables = [f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in TABLES]
-    chain = ",\n".join(tables + [f"{n} AS ({body})" for n, body in views.items()])
-    return spark.sql(f"WITH {chain}\nSELECT * FROM {name}")
+    made = {} if held is None else held.setdefault(("views", sf_dir), {})
+    prefix = f"v{zlib.crc32(sf_dir.encode()):08x}"
+
+    def find(n: str) -> DataFrame:
+        if n in made:
+            return made[n]
+        if n in TABLES:
+            made[n] = spark.read.parquet(f"{sf_dir}/{n}.parquet")
+        else:
+            words = set(re.findall(r"\w+", VIEWS[n])) - {n}
+            needs = [x for x in (*TABLES, *VIEWS) if x in words]
+            for x in needs:
+                find(x).createOrReplaceTempView(f"{prefix}_{x}")
+            tables = ", ".join(f"{x} AS (SELECT * FROM {prefix}_{x})" for x in needs)
+            made[n] = spark.sql(f"WITH {tables} {VIEWS[n]}" if needs else VIEWS[n])
+        if n == "li" and held is not None and held.get("shared"):
+            made[n] = keep(made[n].select(*_LINE), "lines")
+        return made[n]
+
+    return find(name)
 
 
 #: Views that oracles build on; each is the plain SQL of one operator.

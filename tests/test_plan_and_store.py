@@ -272,3 +272,19 @@ def test_a_matrix_has_a_row_for_each_item(spark):
     series = spark.createDataFrame([("a", D(2020, 1, 1), 1.0), ("a", D(2020, 1, 1), 2.0), ("b", D(2020, 2, 1), 3.0)], "sku string, period date, qty double")
     out = conform.period_matrix(series, forecast.months_of(series))
     assert rows(out, "sku", "2020-01", "2020-02") == [("a", 3.0, None), ("b", None, 3.0)]
+
+
+def test_fits_read_off_one_pass_are_the_fits_of_each_prefix():
+    rng = np.random.default_rng(2)
+    q = rng.integers(0, 40, (40, 20)).astype(float)
+    q[:10] = np.linspace(5, 60, 20) + rng.integers(0, 4, (10, 20))
+    q[10:20] = np.tile([30.0, 5.0, 12.0, 8.0], 5) + rng.integers(0, 3, (10, 20))
+    density = forecast.density_of(q)
+    ends = [9, 15, 16, 17]
+    shared = forecast.candidates_at(q, ends, 3, density)
+    for end in ends:
+        alone = forecast.candidates(q[:, :end], 3, density)
+        assert set(alone) == set(shared[end])
+        for m, (at, values) in alone.items():
+            assert shared[end][m][0].tolist() == at.tolist() and np.allclose(shared[end][m][1], values)
+    assert {"ets_trend", "ets_seasonal4", "ets_mul_seasonal4"} <= set(shared[17])
