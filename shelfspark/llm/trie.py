@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfspark.llm.common import WORD, keep, release, text_of, trim
@@ -49,10 +50,12 @@ def rebuild(convs: DataFrame, every: int = 20, heads: int = 4) -> DataFrame:
 
     Where the other conversation is absent or shorter, fewer turns or none take their place. `%` has the sign of c.
     """
-    base = convs.where(F.col("conv_id") % every == 0).select(F.col("conv_id").alias("base"), *[F.slice(c, 1, heads - 1).alias(f"base_{c}") for c in ("codes", "words")])
+    own = ("codes", "words")
     h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % heads).cast("int")
-    rows = convs.withColumn("base", F.col("conv_id") - F.col("conv_id") % every).join(base, "base", "left")
-    new = [F.concat(F.slice(F.coalesce(f"base_{c}", F.array().cast("array<long>")), F.lit(1), h), F.slice(c, h + 1, F.greatest(F.size(c) - h, F.lit(0)))).alias(c) for c in ("codes", "words")]
+    rows = convs.withColumn("base", F.col("conv_id") - F.col("conv_id") % every)
+    head = F.struct(*[F.slice(c, 1, heads - 1).alias(c) for c in own])
+    rows = rows.withColumn("head", F.max(F.when(F.col("conv_id") == F.col("base"), head)).over(W.partitionBy("base")))  # `every` rows, twice as many about 0
+    new = [F.concat(F.slice(F.coalesce(f"head.{c}", F.array().cast("array<long>")), F.lit(1), h), F.slice(c, h + 1, F.greatest(F.size(c) - h, F.lit(0)))).alias(c) for c in own]
     return rows.select("conv_id", *new)
 
 

@@ -86,3 +86,40 @@ def test_stages_keep_columns_with_clashing_names(spark):
         assert out.columns == docs.columns and out.count() > 0
         assert all(tuple(r[c] for c in names) == tuple(range(len(names))) for r in out.collect())
         assert stage(spark, docs.limit(0), "").count() == 0
+
+
+FIELDS = "doc_id long, text string, lang string, source string, n_chars int"
+
+
+def test_pipeline_of_an_empty_table_is_empty(spark, tmp_path):
+    spark.createDataFrame([], FIELDS).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    rng = random.Random(7)
+    text = lambda: " ".join("".join(rng.choice(["the", "ing", "wh", "ed"]) for _ in range(3)) for _ in range(60))
+    names = ["row", "key", "own", "held", "size", "taken", "copy", "lang_pred", "spans", "component_id"]
+    rows = [(i, text(), "en", "s", 1, *[f"{c}{i}" for c in names]) for i in range(30)]
+    docs = spark.createDataFrame(rows, f"{FIELDS}, {', '.join(f'`{c}` string' for c in names)}")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        assert all(r.row == f"row{r.doc_id}" and r.component_id == f"component_id{r.doc_id}" for r in out.collect())
+
+
+def test_texts_unlike_any_learned_language_are_rejected(spark):
+    from pyspark.sql import functions as F
+
+    from shelfspark.llm.langid import identify, train_language_model
+
+    rng = random.Random(11)
+    make = {"en": ["the", "ing", "tion", "wh", "ed"], "de": ["sch", "ung", "der", "ge", "st"]}
+    text = lambda parts: " ".join("".join(rng.choice(parts) for _ in range(3)) for _ in range(50))
+    rows = [(i, text(make[lang]), lang) for i, lang in enumerate(["en", "de"] * 60)] + [(900, "12 34 !!", "en"), (901, None, "en"), (902, "", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train_language_model(docs, F.lit(True))
+    kept = {r.doc_id: r.lang_pred for r in identify(docs, model).collect()}
+    assert {kept[i] for i in (900, 901, 902)} == {"und"}
+    assert sum(kept[i] == lang for i, _, lang in rows[:120]) >= 118  # clean documents stay
+    assert all(r.lang_pred != "und" for r in identify(docs, model, reject=False).where("doc_id < 900").collect())
