@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import bound_batches, keep, row_key
+from shelfspark.llm.common import bound_batches, keep, release, row_key
 from shelfspark.llm.jaccard import jaccard_components, keep_one
 from shelfspark.llm.langid import identify, train_language_model
 from shelfspark.llm.mixing import mix_sources
@@ -17,14 +17,23 @@ from shelfspark.llm.suffix import remove_repeats
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model accepts; the others (null, no letter, below the calibrated score) go."""
+    """Documents whose language the model accepts; the others (null or empty text, no letter, below the calibrated score) go.
+
+    Whole texts are judged, whatever their length; equal texts fare alike, repeated rows stay repeated. Rows without a
+    language teach nothing. Columns of any name stay as they are; an empty table gives an empty one.
+    """
     bound_batches(spark)
     model = train_language_model(docs, F.lit(True))
     return identify(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at a Jaccard similarity of 0.8 or more."""
+    """One document of each group linked by five-word shingles at a Jaccard similarity of 0.8 or more.
+
+    Of a group, and of repeated rows, the row of the smallest doc_id stays. Null texts and texts without words are linked
+    with nothing and stay; whole texts count, whatever their length. An empty table gives an empty one; columns of any name
+    stay as they are.
+    """
     bound_batches(spark)
     return keep_one(docs, jaccard_components(docs, words=5, num=80, den=100)).select(*docs.columns)
 
@@ -71,7 +80,11 @@ def first_words(text: str, n: Column) -> Column:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 tokens."""
+    """Pieces of sequences of 4096 tokens, as op3 returns them: every token of every row in exactly one piece.
+
+    Null texts are empty and hold their end token only; repeated rows are packed each; long texts are cut. An empty table
+    gives no pieces.
+    """
     bound_batches(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), shard_bytes=4 << 20, remember=50_000)
 
@@ -89,6 +102,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), name)
+        if last is not None:  # what the stage before kept is read no more
+            release(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
