@@ -138,7 +138,7 @@ def risk(spark, sf_dir):
 @query("""SELECT line_rate, line_rate AS harsh_rate, p.*, value_at_risk, skus_out_30_days, round(actual_value / should_be_value, 6) AS stock_ratio
 FROM (SELECT round(count(*) FILTER (state = 'on_time') / nullif(count(*) FILTER (state IN ('on_time', 'shipped_late')), 0), 6) AS line_rate FROM v_ship) CROSS JOIN (SELECT round(sum(should_be_value), 1) AS should_be_value, round(sum(actual_value), 1) AS actual_value, round(sum(gap_value), 1) AS net_gap_value,
   round(sum(greatest(gap_value, 0)), 1) AS excess_value, round(sum(greatest(-gap_value, 0)), 1) AS shortfall_value, round(sum(daily_demand * unit_cost), 2) AS daily_cogs, 0 AS unpriced_skus FROM p_gap) p
-CROSS JOIN (SELECT round(coalesce(sum(greatest(horizon * daily_demand - o.qty_on_hand - inbound_before, 0) * s.unit_cost), 0), 1) AS value_at_risk, count(*) FILTER (days_left <= 30) AS skus_out_30_days FROM g_out o JOIN s_stock s ON s.sku = o.sku)""")
+CROSS JOIN (SELECT round(coalesce(sum(greatest(horizon * daily_demand - o.qty_on_hand - inbound_before, 0) * s.unit_cost), 0), 1) AS value_at_risk, count(*) FILTER (days_left <= 30) AS skus_out_30_days FROM g_out o JOIN s_stock s ON s.sku = o.sku)""", shared=True)
 def v20_headline(spark, sf_dir):
     found = V.headline(V.service_rates(shipped(spark, sf_dir)), P.portfolio(shouldbe(spark, sf_dir)), risk(spark, sf_dir))
     return tidy(found, should_be_value=1, actual_value=1, net_gap_value=1, excess_value=1, shortfall_value=1, daily_cogs=2, value_at_risk=1)

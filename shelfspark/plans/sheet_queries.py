@@ -67,7 +67,7 @@ def attributes(spark, sf_dir):
     return master.join(classes(spark, sf_dir), "sku", "left").join(wanted, "sku", "left")
 
 
-@query("SELECT sku, country, period, kind, qty, amount, split_basis FROM g_rows")
+@query("SELECT sku, country, period, kind, qty, amount, split_basis FROM g_rows", shared=True)
 def l09_sop_rows(spark, sf_dir):
     return sheet_rows(spark, sf_dir)  # sums and quotients are exact or the same in both engines: nothing is rounded
 
@@ -84,7 +84,7 @@ def _shown(df):
     return df.withColumn("backtest_mape", F.round("backtest_mape", 6))
 
 
-@query(f"SELECT {_SHEET} {_JOINED}")
+@query(f"SELECT {_SHEET} {_JOINED}", shared=True)
 def l09_sop_totals(spark, sf_dir):
     found = L.sop_sheet(sheet_rows(spark, sf_dir), dimensions(spark, sf_dir), prices(spark, sf_dir), detail(spark, sf_dir))
     return _shown(found)
@@ -93,7 +93,7 @@ def l09_sop_totals(spark, sf_dir):
 _CELLS = ", ".join(wide(f"{k} {unit}", c, months, f"kind = '{kind}'") for k, kind, months in (("hist", "history", PAST), ("fcst", "forecast", COMING)) for unit, c in (("qty", "qty"), ("amt", "amount")))
 
 
-@query(f"SELECT {_SHEET}, s.* EXCLUDE (sku, country) {_JOINED} JOIN (SELECT sku, country, {_CELLS} FROM g_rows GROUP BY sku, country) s USING (sku, country)")
+@query(f"SELECT {_SHEET}, s.* EXCLUDE (sku, country) {_JOINED} JOIN (SELECT sku, country, {_CELLS} FROM g_rows GROUP BY sku, country) s USING (sku, country)", shared=True)
 def l09_sop_sheet(spark, sf_dir):
     found = L.sop_sheet(sheet_rows(spark, sf_dir), dimensions(spark, sf_dir), prices(spark, sf_dir), detail(spark, sf_dir), *spine(spark, sf_dir))
     return _shown(found)

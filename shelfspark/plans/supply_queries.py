@@ -280,6 +280,6 @@ SELECT r_req.*, CASE WHEN net_requirement > 0 AND method <> 'make_to_order' THEN
 FROM r_req LEFT JOIN s_by USING (sku)))"""
 
 
-@query("SELECT sku, recommended_action, suggested_po_qty FROM r_rec")
+@query("SELECT sku, recommended_action, suggested_po_qty FROM r_rec", shared=True)
 def r18_recommendations(spark, sf_dir):
     return recommended(spark, sf_dir).select("sku", "recommended_action", "suggested_po_qty")
