@@ -425,7 +425,7 @@ def forecast(arrays: DataFrame, chosen: DataFrame, hints: DataFrame | None = Non
     short = F.when(made | gaps, "tsb").when(F.size("q") >= 8, "arima").otherwise("moving_average")
     quiet = F.col("metric") == "no demand in window"
     by = F.when(quiet, F.lit("no demand in window: tsb")).when(F.col("chosen").isNotNull(), F.concat(F.lit("backtest:"), "metric")).when(made, "policy:MTO").otherwise("pattern")
-    rows = rows.select("sku", "q", F.coalesce("chosen", short).alias("model"), F.col("chosen").isNotNull().alias("tested"), by.alias("selected_by"), "backtest_mape", "backtest_mase", "backtest_rmse", F.round("ratio_to_naive", 3).alias("vs_naive"))
+    rows = rows.select("sku", "q", F.coalesce("chosen", short).alias("model"), F.col("chosen").isNotNull().alias("tested"), by.alias("selected_by"), "backtest_mape", "backtest_mase", "backtest_rmse", F.round(F.round("ratio_to_naive", 9), 3).alias("vs_naive"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, q in _by_length(batches):
@@ -453,7 +453,7 @@ def forecast(arrays: DataFrame, chosen: DataFrame, hints: DataFrame | None = Non
     value = F.bround(F.greatest(F.col("value"), F.lit(0.0)), 1)
     known = lambda c: F.when(~F.isnan(c), F.col(c))
     return found.select(
-        "sku", "h", value.alias("forecast_qty"), "model", "selected_by", "trend_detected", "seasonal_detected", F.round(known("rmse"), 3).alias("forecast_rmse"),
+        "sku", "h", value.alias("forecast_qty"), "model", "selected_by", "trend_detected", "seasonal_detected", F.round(F.round(known("rmse"), 9), 3).alias("forecast_rmse"),
         *[known(c).alias(c) for c in ("backtest_mape", "backtest_mase", "backtest_rmse", "vs_naive")], F.bround("size", 1).alias("expected_order_size"), F.bround(known("interval"), 2).alias("expected_interval"),
     )
 

@@ -90,7 +90,7 @@ UNION ALL
 SELECT sku, q, i + 1, CASE WHEN x > 0 THEN 0.2 * x + 0.8 * z ELSE z END, 0.2 * CASE WHEN x > 0 THEN 1 ELSE 0 END + 0.8 * p, sq + CASE WHEN x > 0 THEN (x - z * p) * (x - z * p) ELSE 0 END, k + CASE WHEN x > 0 THEN 1 ELSE 0 END FROM (SELECT *, q[i + 1] AS x FROM f_tsb WHERE i < len(q))"""
 ORACLE_VIEWS["f_out"] = """
 SELECT p.sku, x.h, round_even(coalesce(c.v, greatest(tsb, 0)), 1) AS forecast_qty, p.model, CASE WHEN metric LIKE 'no %' THEN 'no demand in window: tsb' ELSE 'backtest:' || metric END AS selected_by, up AS trend_detected, coalesce(cy.p, 0) > 0 AS seasonal_detected,
-  round(coalesce(p.rmse, t.rmse), 3) AS forecast_rmse, mape AS backtest_mape, mase AS backtest_mase, p.rmse AS backtest_rmse, round(ratio_to_naive, 3) AS vs_naive, expected_order_size, expected_interval
+  round(round(coalesce(p.rmse, t.rmse), 9), 3) AS forecast_rmse, mape AS backtest_mape, mase AS backtest_mase, p.rmse AS backtest_rmse, round(round(ratio_to_naive, 9), 3) AS vs_naive, expected_order_size, expected_interval
 FROM f_pick p CROSS JOIN f_ahead x JOIN f_den d ON d.sku = p.sku JOIN f_gap g ON g.sku = p.sku AND g.o = d.n JOIN f_trend tr ON tr.sku = p.sku AND tr.o = d.n LEFT JOIN f_cyc cy ON cy.sku = p.sku AND cy.o = d.n
 LEFT JOIN f_cand c ON c.sku = p.sku AND c.o = d.n AND c.model = p.model AND c.h = x.h
 LEFT JOIN (SELECT sku, CASE WHEN k > 0 THEN sqrt(sq / k) END AS rmse FROM f_tsb WHERE i = len(q)) t ON t.sku = p.sku
@@ -201,14 +201,19 @@ def d23_chosen_models(spark, sf_dir):
     return tidy(chosen(spark, sf_dir))
 
 
-@query("SELECT * REPLACE (round(backtest_mape, 6) AS backtest_mape, round(backtest_mase, 6) AS backtest_mase, round(backtest_rmse, 6) AS backtest_rmse) FROM f_out")
+def _scored(df):
+    """Rounded twice: what the order of addition leaves in the last digits must not decide a tie."""
+    return tidy(df.withColumns({c: F.round(c, 9) for c in ("backtest_mape", "backtest_mase", "backtest_rmse")}))
+
+
+@query("SELECT * REPLACE (round(round(backtest_mape, 9), 6) AS backtest_mape, round(round(backtest_mase, 9), 6) AS backtest_mase, round(round(backtest_rmse, 9), 6) AS backtest_rmse) FROM f_out")
 def d24_forecasts(spark, sf_dir):
-    return tidy(forecasts(spark, sf_dir))
+    return _scored(forecasts(spark, sf_dir))
 
 
-@query("SELECT * REPLACE (round(backtest_mape, 6) AS backtest_mape, round(backtest_mase, 6) AS backtest_mase, round(backtest_rmse, 6) AS backtest_rmse) FROM f_det")
+@query("SELECT * REPLACE (round(round(backtest_mape, 9), 6) AS backtest_mape, round(round(backtest_mase, 9), 6) AS backtest_mase, round(round(backtest_rmse, 9), 6) AS backtest_rmse) FROM f_det")
 def d25_forecast_detail(spark, sf_dir):
-    return tidy(detail(spark, sf_dir))
+    return _scored(detail(spark, sf_dir))
 
 
 def _tenth(total: str) -> str:
@@ -280,7 +285,7 @@ def d15_naive_by_part(spark, sf_dir):
     return tidy(Fc.as_arrays(parts).select("sku", Fc.naive(F.col("q")).alias("naive")))
 
 
-@query(f"""SELECT * EXCLUDE (k) FROM (SELECT sku, any_value(model) AS model, any_value(selected_by) AS selected_by, round(any_value(backtest_mape), 6) AS backtest_mape, round(any_value(backtest_mase), 6) AS backtest_mase, round(any_value(backtest_rmse), 6) AS backtest_rmse, any_value(vs_naive) AS vs_naive,
+@query(f"""SELECT * EXCLUDE (k) FROM (SELECT sku, any_value(model) AS model, any_value(selected_by) AS selected_by, round(round(any_value(backtest_mape), 9), 6) AS backtest_mape, round(round(any_value(backtest_mase), 9), 6) AS backtest_mase, round(round(any_value(backtest_rmse), 9), 6) AS backtest_rmse, any_value(vs_naive) AS vs_naive,
 any_value(forecast_rmse) AS forecast_rmse, any_value(expected_order_size) AS expected_order_size, any_value(expected_interval) AS expected_interval, {wide("fcst", "forecast_qty", COMING)} FROM f_det GROUP BY sku) LEFT JOIN (SELECT sku AS k, {wide("hist", "qty", PAST)} FROM d_series GROUP BY sku) ON k = sku""")
 def d27_history_and_forecast(spark, sf_dir):
-    return tidy(Fc.history_and_forecast(series(spark, sf_dir), detail(spark, sf_dir), *spine(spark, sf_dir)))
+    return _scored(Fc.history_and_forecast(series(spark, sf_dir), detail(spark, sf_dir), *spine(spark, sf_dir)))

@@ -76,12 +76,12 @@ ORACLE_VIEWS["g_tot"] = """
 SELECT sku, country, any_value(split_basis) AS split_basis, sum(floor(qty * 10000 + 0.5)::BIGINT) FILTER (kind = 'history')::DOUBLE / 10000 AS history_qty_total, sum(floor(amount * 10000 + 0.5)::BIGINT) FILTER (kind = 'history')::DOUBLE / 10000 AS history_amount_total,
   sum(floor(qty * 10000 + 0.5)::BIGINT) FILTER (kind = 'forecast')::DOUBLE / 10000 AS forecast_qty_total, sum(floor(amount * 10000 + 0.5)::BIGINT) FILTER (kind = 'forecast')::DOUBLE / 10000 AS forecast_amount_total FROM g_rows GROUP BY sku, country"""
 _SHEET = """sku, country, business_unit, product_family, stocking_policy, history_qty_total, history_amount_total, forecast_qty_total, forecast_amount_total,
-model, selected_by, vs_naive, round(backtest_mape, 6) AS backtest_mape, price AS asp, price_source AS price_basis, split_basis"""
+model, selected_by, vs_naive, round(round(backtest_mape, 9), 6) AS backtest_mape, price AS asp, price_source AS price_basis, split_basis"""
 _JOINED = "FROM g_tot LEFT JOIN fx_item_master USING (sku) LEFT JOIN g_price USING (sku) LEFT JOIN (SELECT sku, model, selected_by, vs_naive, backtest_mape FROM f_det WHERE is_next_period) USING (sku)"
 
 
 def _shown(df):
-    return df.withColumn("backtest_mape", F.round("backtest_mape", 6))
+    return df.withColumn("backtest_mape", F.round(F.round("backtest_mape", 9), 6))
 
 
 @query(f"SELECT {_SHEET} {_JOINED}", shared=True)
