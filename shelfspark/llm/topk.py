@@ -12,6 +12,8 @@ from shelfspark.llm.common import keep
 from shelfspark.llm.vectors import is_usable, matrix
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Components below it are exact in the index and its sums.
+WIDE = 1 << 24
 
 
 def pack(bits: np.ndarray) -> np.ndarray:
@@ -131,12 +133,37 @@ def _search(index: BitSlicedIndex, ids: np.ndarray, query: np.ndarray, own: int,
 
 
 def _search_wide(values: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int):
-    """As _search, in Python's integers."""
+    """As _search, for integers of any size held in doubles: rows whose rounded score can reach the k-th best are scored in Python's integers."""
+    values, ids = values[ids != own], ids[ids != own]
+    with np.errstate(over="ignore", invalid="ignore"):
+        about, error = values @ query, 2.0**-52 * (len(query) + 2) * (np.abs(values) @ np.abs(query))
+        least = np.where(np.isfinite(about - error), about - error, -np.inf)
+        kth = np.partition(least, len(least) - k)[len(least) - k] if len(least) > k else -np.inf
+        rows = np.flatnonzero(~(about + error < kth))  # an infinite or undefined sum rules nothing out
     weights = [int(x) for x in query]
-    scored = sorted((-sum(int(x) * w for x, w in zip(row, weights, strict=True)), i) for row, i in zip(values, ids.tolist(), strict=True) if i != own)[:k]
-    if any(abs(s) >= 1 << 63 for s, _ in scored):
-        raise ValueError("an inner product does not fit in a long")
-    return np.array([i for _, i in scored], np.int64), np.array([-s for s, _ in scored], np.int64)
+    scored = sorted((-sum(int(x) * w for x, w in zip(values[r], weights, strict=True)), int(ids[r])) for r in rows)[:k]
+    return [i for _, i in scored], [-s for s, _ in scored]
+
+
+def search(found: np.ndarray, ids: np.ndarray, asked: np.ndarray, asked_ids: np.ndarray, k: int, drop_bits: int = 3, drop_weight: int = 2):
+    """(query's id, ids, scores) of the k best rows for each query; whole numbers in doubles.
+
+    Rows and queries within 24 bits meet in the bit-sliced index; only wider rows, and wider queries, take the other way.
+    """
+    wide = np.abs(found).max(1, initial=0) >= WIDE
+    index, narrow_ids = BitSlicedIndex(found[~wide].astype(np.int64), drop_bits), ids[~wide]
+    for own, query in zip(asked_ids.tolist(), asked, strict=True):
+        if np.abs(query).max(initial=0) >= WIDE:
+            best, scores = _search_wide(found, ids, query, own, k)
+        else:
+            best, scores = (x.tolist() for x in _search(index, narrow_ids, query.astype(np.int64), own, k, drop_weight))
+            if wide.any():
+                more = _search_wide(found[wide], ids[wide], query, own, k)
+                both = sorted(zip([-s for s in scores + more[1]], best + more[0], strict=True))[:k]
+                best, scores = [i for _, i in both], [-s for s, _ in both]
+        if any(abs(s) >= 1 << 63 for s in scores):
+            raise ValueError("an inner product does not fit in a long")
+        yield own, best, scores
 
 
 def top_k(
@@ -160,9 +187,9 @@ def top_k(
     k-th best are scored exactly. Ties go to the smaller key; a row is never its own result.
 
     Vectors that are null or hold null or non-finite components take no part; nor do rows with a null key. Vectors of
-    different lengths are not compared. Rows that repeat a key are candidates one by one. A pair of blocks with quantised
-    components beyond 24 bits is scored whole, in integers of any size; ValueError only where one of the k best scores
-    doesn't fit in a long. An empty table gives an empty result.
+    different lengths are not compared. Rows that repeat a key are candidates one by one. Rows with quantised
+    components beyond 24 bits stand beside the index: those that can be among the k best are scored in integers of any
+    size; ValueError only where one of the k best scores of a pair of blocks doesn't fit in a long. Keys are whole numbers. An empty table gives an empty result.
     """
     used = rows.where(is_usable(vector) & F.col(key).isNotNull())
     used = used.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("asks"))
@@ -178,15 +205,9 @@ def top_k(
     def meet(found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(found) and len(asked):
-            ids, values, weights = found.id.to_numpy(), np.floor(matrix(found.v) * scale), np.floor(matrix(asked.v) * scale)
-            wide = max(np.abs(values).max(initial=0), np.abs(weights).max(initial=0)) >= 1 << 24
-            index = None if wide else BitSlicedIndex(values.astype(np.int64), drop_bits)
-            for own_id, query in zip(asked.id.to_numpy(), weights, strict=True):
-                if wide:
-                    best, scores = _search_wide(values, ids, query, own_id, k)
-                else:
-                    best, scores = _search(index, ids, query.astype(np.int64), own_id, k, drop_weight)
-                out.append(pd.DataFrame({"query_id": own_id, "vec_id": best, "score": scores}))
+            whole = [np.floor(matrix(x.v) * scale) for x in (found, asked)]
+            for own_id, best, scores in search(whole[0], found.id.to_numpy(), whole[1], asked.id.to_numpy(), k, drop_bits, drop_weight):
+                out.append(pd.DataFrame({"query_id": own_id, "vec_id": best, "score": scores}, dtype="int64"))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
 
     pairs = left.groupBy("b", "q", "d").cogroup(right.groupBy("b", "q", "d"))

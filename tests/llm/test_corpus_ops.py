@@ -403,6 +403,43 @@ def test_exact_top_k_of_wide_components(spark):
         assert [(r.score, r.vec_id) for r in sorted((x for x in found if x.query_id == own), key=lambda x: x.rank)] == [(-s, i) for s, i in want]
 
 
+@pytest.mark.parametrize("share", [0.0, 0.02, 0.5, 1.0])
+def test_wide_rows_stand_beside_the_index(share):
+    rng = np.random.default_rng(5)
+    values = rng.integers(-300, 300, (500, 6)).astype(float)
+    wide = rng.random(500) < share
+    values[wide] = values[wide] * 2.0 ** rng.integers(17, 21, (wide.sum(), 1)) + rng.integers(-99, 99, (wide.sum(), 6))  # sums beyond 53 bits
+    values[1] = values[0]  # a tie
+    ids = np.arange(500) * 3
+    ids[7] = ids[8]  # a repeated key
+    asked = np.concatenate([np.flatnonzero(wide)[:4], np.arange(6)])
+    for own, best, scores in topk.search(values, ids, values[asked], ids[asked], 5):
+        query = [int(x) for x in values[np.flatnonzero(ids == own)[0]]]
+        want = sorted((-sum(int(a) * b for a, b in zip(v, query, strict=True)), i) for v, i in zip(values, ids.tolist(), strict=True) if i != own)[:5]
+        if own != ids[7]:
+            assert [(-s, i) for s, i in zip(scores, best, strict=True)] == want
+
+
+def test_wide_scores_that_fit_in_no_long():
+    values = np.array([[2.0**40, 1.0], [2.0**40, 2.0], [-1.0, 0.0]])
+    with pytest.raises(ValueError, match="long"):
+        list(topk.search(values, np.arange(3), values[:1], np.arange(1), 1))
+    assert list(topk.search(values[1:], np.arange(1, 3), np.array([[0.0, 3.0]]), np.array([9]), 5)) == [(9, [1, 2], [6, 0])]
+    with np.errstate(all="ignore"):
+        assert list(topk.search(np.array([[1e308, 1e308], [4.0, 4.0]]), np.arange(2), np.array([[1.0, -1.0]]), np.array([9]), 1)) == [(9, [0], [0])]
+
+
+def test_exact_top_k_of_a_block_with_one_wide_row(spark):
+    rng = random.Random(9)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(400)]
+    rows[5] = (5, [1e6] * 8)
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    q = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    for own in range(0, 400, 50):
+        want = sorted((-sum(a * b for a, b in zip(q[own], q[i], strict=True)), i) for i in q if i != own)[:5]
+        assert [(r.score, r.vec_id) for r in sorted((x for x in found if x.query_id == own), key=lambda x: x.rank)] == [(-s, i) for s, i in want]
+
+
 def test_bitmap_sums():
     rng = np.random.default_rng(3)
     values = rng.integers(-256, 256, (300, 9))
