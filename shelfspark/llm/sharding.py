@@ -44,7 +44,8 @@ def pack_shards(
     parts. Groups large for their cell (a number that the cells bound: at most 96 for each) are placed first, in one
     task; the others are dealt by text hash to cells of about `cell_groups` groups, and each cell fills its share of what
     every shard has left. Bytes weigh most in the dot product, so they come out nearly equal; tokens and rows follow as
-    far as groups allow. A task holds one cell, of about `cell_groups` groups up to `max_cells` times as many; beyond, cells grow.
+    far as groups allow. A task holds one cell; beyond
+    `max_cells` * `cell_groups` groups cells grow with the input.
 
     Null text counts as empty (size 8, one group with empty texts). Null or repeated ids are rows like others. An empty
     table gives an empty result. Extra columns are ignored.
