@@ -10,3 +10,14 @@ def test_part_numbers_of_seven_digits_stay_apart(spark, monkeypatch):
     rows = spark.range(1_000_000, 1_000_040).select(F.lit("S1-0").alias("sku"), F.col("id").alias("part"), F.lit("PERU").alias("country"))
     monkeypatch.setattr(attribute_queries, "view", lambda *_: rows)
     assert attribute_queries._codes(spark, "").select("erp_code").distinct().count() == 40
+
+
+def test_the_detail_of_a_forecast_names_no_helper_column():
+    import duckdb
+
+    from shelfspark.plans.fixtures import TABLES
+
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
+    assert "last" not in [c[0] for c in con.execute("DESCRIBE " + oracles()["d25_forecast_detail"]).fetchall()]
