@@ -6,6 +6,23 @@ from shelfspark.operators import policy, replenish
 from shelfspark.plans import attribute_queries, oracles
 
 
+def test_an_item_meets_its_lines_in_one_task_after_any_join(spark):
+    lines = spark.range(0, 4000, 1, 8).select(F.concat(F.lit("S"), F.col("id") % 500).alias("sku"), F.lit("2000-01-01").cast("date").alias("customer_request_date"), F.format_string("%06d", "id").alias("line_order"), F.lit(10.0).alias("open_qty"))
+    stock = spark.range(500).select(F.concat(F.lit("S"), "id").alias("sku"), F.lit(20.0).alias("qty_on_hand")).groupBy("sku").agg(F.max("qty_on_hand").alias("qty_on_hand"))
+    wanted = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        dealt = replenish.allocate(lines, stock)
+        plan = dealt._jdf.queryExecution().executedPlan().toString()
+        found = dealt.where("fillable").groupBy("sku").count().select("count").distinct().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert [r[0] for r in found] == [2] and "REPARTITION_BY_COL" in plan
+
+
 def test_part_numbers_of_seven_digits_stay_apart(spark, monkeypatch):
     rows = spark.range(1_000_000, 1_000_040).select(F.lit("S1-0").alias("sku"), F.col("id").alias("part"), F.lit("PERU").alias("country"))
     monkeypatch.setattr(attribute_queries, "view", lambda *_: rows)
