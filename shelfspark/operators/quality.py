@@ -76,12 +76,15 @@ def representation_mix(df: DataFrame, least: int = 10, share: float = 0.02) -> D
 
 def order_evidence(df: DataFrame) -> DataFrame:
     """Votes a column: day first or month first, comma or point decimals. (Q-03)"""
-    t = F.trim("value")
-    a = F.regexp_extract(t, r"^(\d{1,2})[/.](\d{1,2})[/.]\d{2,4}$", 1).try_cast("int")
-    b = F.regexp_extract(t, r"^(\d{1,2})[/.](\d{1,2})[/.]\d{2,4}$", 2).try_cast("int")
-    rows = unpivoted(df).where("value is not null")
-    return rows.groupBy("column_name").agg(
-        F.count_if(a > 12).alias("day_first"), F.count_if(b > 12).alias("month_first"), F.count_if(form(t) == "eu_number").alias("decimal_comma"), F.count_if(form(t) == "us_number").alias("decimal_point")
+    t = F.col("t")
+    part = lambda i: F.when(t.rlike(r"[/.]"), F.regexp_extract(t, r"^(\d{1,2})[/.](\d{1,2})[/.]\d{2,4}$", i).try_cast("int"))
+    number = F.when(t.contains(","), form(t))  # both forms that are counted have a comma
+    rows = unpivoted(df).where("value is not null").select("column_name", F.trim("value").alias("t"))
+    rows = rows.groupBy("column_name", "t").agg(F.count("*").alias("n"))  # a text is read once, however often it stands there
+    votes = rows.select("column_name", "n", part(1).alias("a"), part(2).alias("b"), number.alias("f"))
+    n = lambda hit: F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).cast("long")
+    return votes.groupBy("column_name").agg(
+        n(F.col("a") > 12).alias("day_first"), n(F.col("b") > 12).alias("month_first"), n(F.col("f") == "eu_number").alias("decimal_comma"), n(F.col("f") == "us_number").alias("decimal_point")
     )
 
 

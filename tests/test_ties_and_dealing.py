@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from shelfspark.operators import policy, replenish
+from shelfspark.operators import policy, quality, replenish
 from shelfspark.plans import attribute_queries, oracles
 
 
@@ -70,3 +70,10 @@ def test_the_detail_of_a_forecast_names_no_helper_column():
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
     assert "last" not in [c[0] for c in con.execute("DESCRIBE " + oracles()["d25_forecast_detail"]).fetchall()]
+
+
+def test_order_evidence_reads_each_text_once(spark):
+    texts = ["13.01.2000", "01/13/2000", "1.234,5", "1,234.5", "2000-01-01", "x", None, " 13.01.2000 "] * 3
+    found = quality.order_evidence(spark.createDataFrame([(t,) for t in texts], "t string"))
+    assert [tuple(r) for r in found.collect()] == [("t", 6, 3, 3, 3)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
