@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from shelfspark.operators import demand, forecast
 from shelfspark.operators import planning as L
-from shelfspark.plans import QUERIES
+from shelfspark.operators import supply as S
+from shelfspark.plans import QUERIES, planning_queries
 
 
 @pytest.fixture
@@ -63,3 +64,20 @@ def test_sheet_is_sorted_for_no_grouping_and_adds_up_its_rows(plain):
 
 def test_sheet_query_sorts_for_no_grouping(plain):
     assert "SortAggregate" not in plan_of(QUERIES["l09_sop_sheet"](plain, "/root/testdata/sf0.001"))
+
+
+def test_lead_times_carry_no_columns_for_ties_that_change_nothing(plain):
+    rows = [("a", "v", "2000-01-01", "2000-01-11", 2), ("a", "v", "2000-01-01", "2000-01-11", 1), ("a", "v", "2000-01-01", "2000-01-05", 3), ("a", "v", "1999-01-01", "1999-03-01", 4), ("a", "v", "2000-02-01", None, 5), ("b", "v", "1998-01-01", "1998-01-21", 6)]
+    po = plain.createDataFrame(rows, "sku string, supplier string, ordered string, received string, po_number int")
+    po = po.select("sku", "supplier", F.to_date("ordered").alias("po_date"), F.to_date("received").alias("receive_date"), "po_number", *[F.lit(1).alias(c) for c in ("po_line_number", "part", "po_qty", "po_amount")], F.lit("FOB").alias("incoterm"))
+    found = S.supplier_lead_times(S.sane_lead_times(po))
+    assert not [line for line in plan_of(found).splitlines() if ("Sort" in line or "Exchange" in line or "Window" in line) and "po_number" in line]
+    got = {r.sku: (r.wma_lead_time_days, r.sample_count, r.lt_source) for r in found.collect()}
+    assert got == {"a": (9.0, 3, "measured"), "b": (20.0, 1, "measured_outside_window")}
+
+
+def test_totals_by_month_ask_for_safety_stock_once(spark, monkeypatch):
+    asked, safety = [], planning_queries.safety
+    monkeypatch.setattr(planning_queries, "safety", lambda *a: asked.append(a) or safety(*a))
+    assert QUERIES["l04_balance_by_period"](spark, "/root/testdata/sf0.001").count() == 6
+    assert len(asked) == 1
