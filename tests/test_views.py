@@ -24,7 +24,7 @@ print("planned")
 """
 
 
-@pytest.mark.parametrize("name", ["p10_policy_profile", "v12_cadence_verdicts", "v13_verdict_counts"])
+@pytest.mark.parametrize("name", ["p10_policy_profile", "v12_cadence_verdicts", "v13_verdict_counts", "v19_materials_to_act"])
 def test_plans_define_no_relations(spark, name):
     assert "CTERelation" not in QUERIES[name](spark, DATA)._jdf.queryExecution().analyzed().toString()
 
